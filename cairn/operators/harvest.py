@@ -31,9 +31,10 @@ def harvest_gate(df: DataFrame, *, domains: dict[str, list[str]] = DOMAINS,
     if require_pain:
         kept = kept.filter(F.col("pain") >= min_pain)
     both = F.concat_ws("\n", F.coalesce(F.col("title"), F.lit("")), F.col("text"))
-    best = lx.best_domain(lx.domain_scores(both, domains), domains)
-    kept = kept.select("*", F.inline(F.array(F.struct(best["domain"].alias("domain"),
-                                                      best["hits"].alias("domain_hits")))))
+    kept = kept.select("*", F.inline(F.array(F.struct(lx.domain_scores(both, domains).alias("_scores")))))
+    best = lx.best_domain(F.col("_scores"), domains)
+    kept = (kept.withColumn("domain", best["domain"]).withColumn("domain_hits", best["hits"])
+            .drop("_scores"))
     return kept.filter(F.col("domain_hits") >= min_hits)
 
 

@@ -6,8 +6,6 @@ rounded to 6 places on both sides; integer outputs are 64-bit.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +16,7 @@ from ..operators import evidence as ev
 from ..operators.util import round6
 from . import fixtures as fx
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def register(fn):
-    QUERIES[fn.__name__.removeprefix("q_")] = fn
-    return fn
+from .registry import QUERIES, SQL, register  # noqa: F401
 
 
 FIXTURE_NOISE = ["is the", "la de", "und die"]
@@ -41,9 +34,9 @@ def q_domain_scores(spark, sf):
 def q_best_domain(spark, sf):
     raw = fx.raw_signal(spark, sf)
     both = F.concat_ws("\n", "title", "text")
-    b = lx.best_domain(lx.domain_scores(both, FIXTURE_DOMAINS), FIXTURE_DOMAINS)
-    return raw.select("id", F.inline(F.array(b))).select(
-        "id", "domain", F.col("hits").cast("long").alias("domain_hits"))
+    scored = raw.select("id", F.inline(F.array(F.struct(lx.domain_scores(both, FIXTURE_DOMAINS).alias("s")))))
+    b = lx.best_domain(F.col("s"), FIXTURE_DOMAINS)
+    return scored.select("id", b["domain"].alias("domain"), b["hits"].cast("long").alias("domain_hits"))
 
 
 @register

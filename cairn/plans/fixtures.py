@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import NOW
 from ..functions.lexicons import FIXTURE_DOMAINS, FIXTURE_PAIN
 from ..operators.harvest import harvest_gate
+from ..operators.util import materialize
 from ..sources.tables import table
 
 
@@ -46,9 +47,12 @@ def signal_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf: str) -> DataFrame:
-    """The gated corpus (fixture lexicon) with weights; missing weight -> NULL."""
+    """The gated corpus (fixture lexicon) with weights; missing weight -> NULL.
+
+    Like the harvested ``signal`` table it stands for, it is written once (to the
+    shared checkpoint folder) and every consumer reads the stored rows."""
     gated = harvest_gate(raw_signal(spark, sf), domains=FIXTURE_DOMAINS, pain_markers=FIXTURE_PAIN)
-    return gated.join(signal_weight(spark, sf), "id", "left")
+    return materialize(gated.join(signal_weight(spark, sf), "id", "left"), "signal")
 
 
 def members(spark: SparkSession, sf: str, sig: DataFrame | None = None) -> DataFrame:
@@ -62,3 +66,33 @@ def members(spark: SparkSession, sf: str, sig: DataFrame | None = None) -> DataF
 def used_ids(sig: DataFrame) -> DataFrame:
     """Already-cited evidence: even signal ids."""
     return sig.filter(F.col("id") % 2 == 0).select("id")
+
+
+# Quote tails appended to user turns so that every quote-stripping branch is live.
+REPLY_TAILS = {
+    0: "\n\nOn Mon, 17 Aug 2026 at 07:03, ideas wrote:\n> earlier digest text",
+    1: "\n--- reply above this line ---\nname it first, one per line",
+    2: "\n\nSent from my phone",
+    3: "\n\n-----Original Message-----\nFrom: ideas <ideas@example.org>\n",
+    4: "\nreply above this line. name it first.",
+    5: "",
+}
+
+
+def replies(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns of ``conversations`` as inbound replies: message_id, subject, body.
+    Every third turn reports a time ('solved in <n>m')."""
+    c = table(spark, sf, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    tail = F.when(F.lit(False), F.lit(""))
+    for k, v in REPLY_TAILS.items():
+        tail = tail.when(F.col("conv_id") % 6 == k, F.lit(v))
+    timed = F.when(F.col("turn") % 3 == 0,
+                   F.concat(F.lit(" solved in "), ((F.col("conv_id") % 90) + 1).cast("string"), F.lit("m"))
+                   ).otherwise(F.lit(""))
+    subject = (F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Re: ideas — "), F.left("text", F.lit(20))))
+               .when(F.col("turn") % 4 == 1, F.lit("RE: Fwd: prep - 7 due"))
+               .when(F.col("turn") % 4 == 2, F.concat(F.lit("aw:sv: "), F.left("text", F.lit(30))))
+               .otherwise(F.left("text", F.lit(40))))
+    return c.select(
+        F.concat_ws("-", _s("conv_id"), _s("turn")).alias("message_id"), "conv_id", "turn",
+        subject.alias("subject"), F.concat("text", timed, tail).alias("body"))

@@ -109,3 +109,19 @@ themes AS (
   SELECT k.theme, k.theme_key, k.size, e.evidence, p.domain, w.weight
   FROM tkeys k JOIN evid e USING (theme) LEFT JOIN plural p USING (theme) JOIN tweight w USING (theme)
   WHERE k.size >= 2)"""
+
+
+REPLIES = """
+replies AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS message_id, conv_id, turn,
+         CASE turn % 4 WHEN 0 THEN 'Re: ideas — ' || left(text, 20) WHEN 1 THEN 'RE: Fwd: prep - 7 due'
+              WHEN 2 THEN 'aw:sv: ' || left(text, 30) ELSE left(text, 40) END AS subject,
+         text || CASE WHEN turn % 3 = 0 THEN ' solved in ' || CAST(conv_id % 90 + 1 AS VARCHAR) || 'm' ELSE '' END
+              || CASE conv_id % 6
+                   WHEN 0 THEN chr(10) || chr(10) || 'On Mon, 17 Aug 2026 at 07:03, ideas wrote:' || chr(10) || '> earlier digest text'
+                   WHEN 1 THEN chr(10) || '--- reply above this line ---' || chr(10) || 'name it first, one per line'
+                   WHEN 2 THEN chr(10) || chr(10) || 'Sent from my phone'
+                   WHEN 3 THEN chr(10) || chr(10) || '-----Original Message-----' || chr(10) || 'From: ideas <ideas@example.org>' || chr(10)
+                   WHEN 4 THEN chr(10) || 'reply above this line. name it first.'
+                   ELSE '' END AS body
+  FROM conversations WHERE role = 'user')"""

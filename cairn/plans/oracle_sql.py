@@ -6,7 +6,7 @@ from .. import NOW
 from ..functions.lexicons import FIXTURE_DOMAINS
 from .oracle import EVIDENCE_CTE, FOLD, RAW_SIGNAL, SIGNAL, hits_sql, q, with_
 
-SQL: dict[str, str] = {}
+from .registry import SQL
 
 _dom_cols = ", ".join(f"CAST({hits_sql(FOLD.format(t='text'), t)} AS BIGINT) AS \"{d}\""
                       for d, t in FIXTURE_DOMAINS.items())

@@ -4,6 +4,6 @@ plan module so that the registry is complete."""
 
 def all_queries():
     from . import catalog, oracle_sql  # noqa: F401
-    from . import q_text  # noqa: F401
+    from . import q_select, q_text  # noqa: F401
     from .registry import QUERIES, SQL
     return QUERIES, SQL

@@ -125,3 +125,43 @@ replies AS (
                    WHEN 4 THEN chr(10) || 'reply above this line. name it first.'
                    ELSE '' END AS body
   FROM conversations WHERE role = 'user')"""
+
+TOP_CTE = """
+reuse AS (
+  SELECT m.theme, count(u.id) AS n_used FROM members m LEFT JOIN (SELECT DISTINCT id FROM used) u USING (id)
+  GROUP BY 1),
+elig AS (
+  SELECT t.*, coalesce(r.n_used, 0) / greatest(t.size, 1) AS reused, t.evidence * t.weight AS score
+  FROM themes t LEFT JOIN reuse r USING (theme)
+  WHERE t.domain IS NOT NULL AND coalesce(r.n_used, 0) / greatest(t.size, 1) <= 0.5),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, theme_key) AS rn FROM elig),
+top AS (SELECT * FROM best WHERE rn = 1)"""
+
+PACKET_CTE = """
+themed AS (
+  SELECT t.domain, s.id, s.url, s.title, s.text, t.theme_key,
+         row_number() OVER (PARTITION BY t.domain ORDER BY s.pain * 2 + s.domain_hits DESC, s.id) AS rank
+  FROM top t JOIN members m USING (theme) JOIN signal s USING (id)),
+themed14 AS (SELECT * FROM themed WHERE rank <= 14),
+ntheme AS (SELECT domain, count(*) AS n_theme, any_value(theme_key) AS tk FROM themed14 GROUP BY 1),
+fresh AS (
+  SELECT s.*, row_number() OVER (PARTITION BY domain ORDER BY pain * 2 + domain_hits DESC, created_utc DESC, id) AS rank
+  FROM signal s WHERE domain IS NOT NULL AND id NOT IN (SELECT id FROM used)),
+tier0 AS (
+  SELECT th.domain, th.id, th.url, th.title, th.text, 0 AS tier, th.rank, n.tk AS theme_key
+  FROM themed14 th JOIN ntheme n USING (domain) WHERE n.n_theme >= 2),
+tier1 AS (
+  SELECT f.domain, f.id, f.url, f.title, f.text, 1 AS tier, f.rank, n.tk AS theme_key
+  FROM fresh f LEFT JOIN ntheme n ON n.domain = f.domain AND n.n_theme >= 2
+  WHERE f.rank <= 14 AND NOT EXISTS (SELECT 1 FROM tier0 t WHERE t.domain = f.domain AND t.url = f.url)),
+allrows AS (SELECT * FROM tier0 UNION ALL SELECT * FROM tier1),
+packet_rows AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY tier, rank) AS pos FROM allrows)
+  WHERE pos <= 14),
+packets AS (
+  SELECT domain, any_value(theme_key) AS theme_key, count(*) AS n_rows, count(*) < 4 AS starved,
+         string_agg('--- [' || CAST(pos AS VARCHAR) || '] ' || url || chr(10) || 'thread: ' || title || chr(10) || chr(10)
+                    || left(text, 1600), chr(10) || chr(10) ORDER BY pos) AS packet,
+         list(url ORDER BY pos) AS urls
+  FROM packet_rows GROUP BY domain)"""

@@ -126,3 +126,53 @@ def top_theme_per_domain(themes: DataFrame, members: DataFrame, used_ids: DataFr
          .withColumn("score", F.col("evidence") * F.col("weight")))
     w = Window.partitionBy("domain").orderBy(F.col("score").desc(), F.col("theme_key"))
     return t.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "n_used")
+
+
+TOKEN_RE = r"[\p{L}\p{N}_]{2,}"  # maximal runs of 2+ word characters
+LABEL_TERMS = 5
+MAX_FEATURES = 4000
+
+
+def tfidf_labels(member_text: DataFrame, stop_words: list[str] | None = None, theme: str = "theme",
+                 max_features: int = MAX_FEATURES, top_k: int = LABEL_TERMS) -> DataFrame:
+    """E5: one document per theme (its members' texts joined by a space, in id
+    order); lower-cased word tokens, stop words removed, then 1- and 2-grams (a
+    bigram may span two consecutive members, as in the joined text); the corpus
+    keeps the ``max_features`` most frequent terms (ties by term); score = tf x
+    smooth idf ``ln((1+N)/(1+df)) + 1``; label = top ``top_k`` terms by score
+    (ties by term) joined with ', '. An empty vocabulary labels every theme
+    '(unlabelled)'. ``member_text(theme, id, text)``."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    from ..functions.stopwords import spark_stop_words
+    stops = list(stop_words) if stop_words is not None else list(spark_stop_words())
+    toks = member_text.select(F.col(theme).alias("theme"), "id",
+                              F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_RE), 0).alias("raw"))
+    toks = StopWordsRemover(inputCol="raw", outputCol="t", stopWords=stops, caseSensitive=True).transform(toks)
+    toks = toks.select("theme", "id", "t")
+    n = F.size("t")
+    inner = F.when(n >= 2, F.zip_with(F.slice("t", 1, n - 1), F.slice("t", 2, n - 1),
+                                      lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array())
+    grams = toks.select("theme", F.explode(F.concat("t", inner)).alias("term"))
+    # bigrams across member boundaries: last token of a member + first token of the
+    # next non-empty member of the same theme
+    ends = toks.filter(n > 0).select("theme", "id", F.element_at("t", -1).alias("last"),
+                                     F.element_at("t", 1).alias("first"))
+    w = Window.partitionBy("theme").orderBy("id")
+    cross = (ends.withColumn("nxt", F.lead("first").over(w)).filter(F.col("nxt").isNotNull())
+             .select("theme", F.concat("last", F.lit(" "), "nxt").alias("term")))
+    tf = grams.unionByName(cross).groupBy("theme", "term").agg(F.count("*").alias("tf"))
+    vocab = (tf.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count("*").alias("df"))
+             .orderBy(F.col("ctf").desc(), F.col("term")).limit(max_features))
+    docs = member_text.select(F.col(theme).alias("theme")).distinct()
+    n_docs = docs.count()  # one scalar: the number of documents (themes)
+    idf = F.log((F.lit(1.0 + n_docs)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    scored = (tf.join(vocab.select("term", "df"), "term")
+              .select("theme", "term", (F.col("tf") * idf).alias("score")))
+    wr = Window.partitionBy("theme").orderBy(F.col("score").desc(), F.col("term"))
+    top = scored.withColumn("r", F.row_number().over(wr)).filter(F.col("r") <= top_k)
+    labels = top.groupBy("theme").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]),
+                     ", ").alias("label"))
+    return docs.join(labels, "theme", "left").select(
+        "theme", F.coalesce("label", F.lit("(unlabelled)")).alias("label"))

@@ -86,7 +86,7 @@ def matched_terms(text: Column, domain: Column | None = None,
         for t in terms:
             if t not in entries:
                 entries.append(t)
-    hit = {t: F.lower(F.regexp_extract(text, F.lit("(?iU)" + term_regex(t)), 0)) for t in entries}
+    hit = {t: F.lower(F.regexp_extract(text, "(?iU)" + term_regex(t), 0)) for t in entries}
 
     def ordered(first: str | None) -> Column:
         order: list[str] = []

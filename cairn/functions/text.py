@@ -61,8 +61,8 @@ def clean_html(c: Column) -> Column:
 
 
 def flatten(c: Column, limit: int | None = None) -> Column:
-    """B2: whitespace runs -> one space, delimiters removed, trimmed, then cut."""
-    t = full_trim(strip_delims(F.regexp_replace(c, r"(?U)\s+", " ")))
+    """B2: whitespace runs -> one space and trimmed, then delimiters removed, then cut."""
+    t = strip_delims(full_trim(F.regexp_replace(c, r"(?U)\s+", " ")))
     return F.left(t, F.lit(limit)) if limit else t
 
 

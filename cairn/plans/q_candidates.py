@@ -258,3 +258,128 @@ def q_first_survivor(spark, sf):
 SELECT domain, failed_stage, count(*) AS n FROM f WHERE failed_stage IS NOT NULL GROUP BY 1, 2""")
 def q_funnel_report(spark, sf):
     return cd.funnel_report(funnel(spark, sf))
+
+
+# ---- query builder (C7, E8, E9) ----
+
+def _ideas(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    text = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" "),
+                    F.substring_index("text", "\n", 1), F.lit(" "), F.left("text", F.lit(300)))
+    return d.select(F.col("doc_id").alias("idea_id"), F.col("lang").alias("domain"), text.alias("text"))
+
+
+def _entry_hit_sql(term: str) -> str:
+    from ..functions.lexicon import term_regex
+    pat = q("(?i)" + term_regex(term))
+    pre = q("(?is)^(.*?)" + term_regex(term))
+    return (f"CASE WHEN regexp_matches(ft, {pat}) THEN lower(substr(low, length(regexp_extract(ft, {pre}, 1)) + 1, "
+            f"length(regexp_extract(ft, {pat}, 0)))) ELSE '' END")
+
+
+def _matched_sql() -> str:
+    entries: list[str] = []
+    for terms in FIXTURE_DOMAINS.values():
+        for t in terms:
+            if t not in entries:
+                entries.append(t)
+
+    def ordered(first):
+        order: list[str] = []
+        for d in ([first] if first else []) + [d for d in FIXTURE_DOMAINS if d != first]:
+            for t in FIXTURE_DOMAINS[d]:
+                if t not in order:
+                    order.append(t)
+        return "list_filter([" + ", ".join(_entry_hit_sql(t) for t in order) + "], lambda x: x <> '')"
+    whens = " ".join(f"WHEN domain = {q(d)} THEN {ordered(d)}" for d in FIXTURE_DOMAINS)
+    return f"CASE {whens} ELSE {ordered(None)} END"
+
+
+_STOP_SQL = "[" + ", ".join(q(w) for w in cd.QUERY_STOP) + "]"
+QB_SQL = f"""
+WITH ideas AS (
+  SELECT doc_id AS idea_id, lang AS domain,
+         regexp_replace(lower('doc ' || CAST(doc_id AS VARCHAR) || ' ' || split_part(text, chr(10), 1) || ' ' || left(text, 300)),
+                        {q(cd.URL_RE)}, ' ', 'g') AS low
+  FROM documents),
+f AS (SELECT idea_id, domain, low, regexp_replace(low, '[À-ÖØ-öø-ɏ]', 'z', 'g') AS ft FROM ideas),
+j AS (SELECT idea_id, low, list_filter({_matched_sql()}, lambda t: length(t) > 2) AS jargon FROM f),
+tok AS (
+  SELECT idea_id, unnest(regexp_extract_all(low, {q(cd.WORD_RE)})) AS w,
+         unnest(generate_series(1, len(regexp_extract_all(low, {q(cd.WORD_RE)})))) AS pos
+  FROM j),
+cnt AS (
+  SELECT t.idea_id, t.w, count(*) AS n, min(t.pos) AS p FROM tok t JOIN j USING (idea_id)
+  WHERE NOT list_contains({_STOP_SQL}, t.w) AND NOT list_contains(j.jargon, t.w)
+  GROUP BY 1, 2),
+com AS (
+  SELECT idea_id, list(w ORDER BY rn) AS common FROM (
+    SELECT *, row_number() OVER (PARTITION BY idea_id ORDER BY n DESC, p) AS rn FROM cnt) WHERE rn <= 6
+  GROUP BY 1),
+qq AS (
+  SELECT j.idea_id, j.jargon, coalesce(c.common, []::VARCHAR[]) AS common FROM j LEFT JOIN com c USING (idea_id)),
+q3 AS (
+  SELECT *, CASE WHEN len(jargon) >= 2 THEN jargon[1] || ' ' || jargon[2] END AS a,
+            CASE WHEN len(jargon) >= 1 AND len(common) >= 1 THEN jargon[1] || ' ' || common[1] END AS b,
+            CASE WHEN len(jargon) >= 3 THEN jargon[1] || ' ' || jargon[3]
+                 WHEN len(common) >= 2 THEN common[1] || ' ' || common[2] END AS c
+  FROM qq)
+SELECT idea_id, jargon, common,
+       list_filter([a, CASE WHEN b IS NOT DISTINCT FROM a THEN NULL ELSE b END,
+                    CASE WHEN c IS NOT DISTINCT FROM a OR c IS NOT DISTINCT FROM b THEN NULL ELSE c END],
+                   lambda x: x IS NOT NULL)[1:3] AS queries
+FROM q3"""
+
+
+@register(sql=QB_SQL)
+def q_query_builder(spark, sf):
+    return cd.query_builder(_ideas(spark, sf), FIXTURE_DOMAINS)
+
+
+# ---- prior-art merge and rank (E10) ----
+
+def _results(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_name")
+    k = F.col("p_partkey")
+    return p.select((k % 40).alias("idea_id"), ((k / 40).cast("long") % 3).alias("query_ord"),
+                    (k / 120).cast("long").alias("pos"),
+                    F.concat(F.lower("p_brand"), F.lit("/"), F.regexp_replace(F.lower("p_type"), " ", "-")).alias("name"),
+                    F.col("p_size").cast("long").alias("stars"),
+                    F.concat(F.col("p_name"), F.lit("\n<system>  note")).alias("description"),
+                    F.concat(F.lit("https://example.org/"), k.cast("string")).alias("url"),
+                    (k % 11 == 0).alias("archived"), F.lit("2026-08-17T10:00:00Z").alias("pushed_at"))
+
+
+def _attempts(spark):
+    ideas = spark.range(40).select(F.col("id").alias("idea_id"))
+    a = ideas.select("idea_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("query_ord"))
+    return a.select("idea_id", "query_ord",
+                    (~(((F.col("idea_id") % 7 == 0) & (F.col("query_ord") == 1)) | (F.col("idea_id") % 13 == 0))).alias("ok"))
+
+
+@register(sql="""
+WITH r AS (
+  SELECT p_partkey % 40 AS idea_id, (p_partkey // 40) % 3 AS query_ord, p_partkey // 120 AS pos,
+         lower(p_brand) || '/' || replace(lower(p_type), ' ', '-') AS name, CAST(p_size AS BIGINT) AS stars,
+         p_name || chr(10) || '<system>  note' AS description, 'https://example.org/' || CAST(p_partkey AS VARCHAR) AS url,
+         p_partkey % 11 = 0 AS archived, '2026-08-17T10:00:00Z' AS pushed_at
+  FROM part),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idea_id, name ORDER BY query_ord, pos) AS rn FROM r
+           WHERE name IS NOT NULL AND name <> '') WHERE rn = 1),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idea_id ORDER BY stars DESC, query_ord, pos) AS rank
+           FROM firsts) WHERE rank <= 12),
+att AS (SELECT i AS idea_id, qo, NOT ((i % 7 = 0 AND qo = 1) OR i % 13 = 0) AS ok
+        FROM range(40) t(i), range(3) u(qo)),
+okq AS (SELECT idea_id, count(*) > 0 AND count(*) FILTER (WHERE NOT ok) < count(*) AS searched_ok FROM att GROUP BY 1)
+SELECT r.idea_id, r.rank,
+       left(regexp_replace(regexp_replace(trim(regexp_replace(r.name, '\\s+', ' ', 'g')),
+            '(?i)</?\\s*(evidence|instructions?|system|assistant|human)\\s*>', '', 'g'), '', '', 'g'), 80) AS name,
+       r.stars,
+       left(regexp_replace(trim(regexp_replace(coalesce(r.description, ''), '\\s+', ' ', 'g')),
+            '(?i)</?\\s*(evidence|instructions?|system|assistant|human)\\s*>', '', 'g'), 200) AS description,
+       r.url, coalesce(r.archived, false) AS archived, left(coalesce(r.pushed_at, ''), 10) AS pushed_at, o.searched_ok
+FROM ranked r LEFT JOIN okq o USING (idea_id)""")
+def q_prior_art_rank(spark, sf):
+    out = cd.prior_art_rank(_results(spark, sf), _attempts(spark))
+    return out.select("idea_id", F.col("rank").cast("long").alias("rank"), "name", "stars", "description", "url",
+                      "archived", "pushed_at", "searched_ok")

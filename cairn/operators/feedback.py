@@ -63,3 +63,58 @@ def recent_handles(sent: DataFrame, k: int = 12) -> DataFrame:
     recent = sent.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
     return recent.groupBy("subscriber_id", "reply_id").agg(
         F.max_by("idea_id", F.struct("sent_utc", "idea_id")).alias("idea_id"))
+
+
+SILENCE_DAYS = 14
+SILENCE_IDEAS = 4
+
+
+def silence_canary(sent: DataFrame, last_reply: DataFrame, fired: DataFrame, now: int,
+                   silence_days: int = SILENCE_DAYS, silence_ideas: int = SILENCE_IDEAS) -> DataFrame:
+    """E7 per subscriber. since = last reply, else first send, else now; n = ideas
+    sent since then without a verdict; fires iff n >= 4, quiet >= 14 days and it
+    has not already fired in this silent stretch (re-arms after another 14 days).
+    ``sent(subscriber_id, idea_id, sent_utc, domain, answered)``,
+    ``last_reply(subscriber_id, last_reply_utc)``, ``fired(subscriber_id, fired_utc)``.
+    Top three unanswered domains by count (ties by name) are reported."""
+    first = sent.groupBy("subscriber_id").agg(F.min("sent_utc").alias("first_sent"))
+    base = (first.join(last_reply, "subscriber_id", "left").join(fired, "subscriber_id", "left")
+            .withColumn("last", F.coalesce("last_reply_utc", F.lit(0)))
+            .withColumn("since", F.when(F.col("last") != 0, F.col("last"))
+                        .otherwise(F.coalesce("first_sent", F.lit(now)))))
+    open_ = (sent.join(base.select("subscriber_id", "since"), "subscriber_id")
+             .filter(~F.col("answered") & (F.col("sent_utc") >= F.col("since"))))
+    n = open_.groupBy("subscriber_id").agg(F.count("*").alias("n_unanswered"))
+    per_dom = open_.filter(F.col("domain").isNotNull()).groupBy("subscriber_id", "domain").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("subscriber_id").orderBy(F.col("n").desc(), F.col("domain"))
+    top = (per_dom.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 3)
+           .groupBy("subscriber_id").agg(F.array_join(F.transform(
+               F.array_sort(F.collect_list(F.struct("r", "domain", "n"))),
+               lambda x: F.concat(x["domain"], F.lit(" x"), x["n"].cast("string"))), ", ").alias("breakdown")))
+    quiet = (F.lit(now) - F.col("since")) / 86400.0
+    fired_utc = F.coalesce(F.col("fired_utc"), F.lit(0))
+    already = (fired_utc > F.col("last")) & ((F.lit(now) - fired_utc) < silence_days * 86400)
+    x = base.join(n, "subscriber_id", "left").join(top, "subscriber_id", "left")
+    cnt = F.coalesce(F.col("n_unanswered"), F.lit(0))
+    return x.select("subscriber_id", cnt.cast("long").alias("n_unanswered"),
+                    F.floor(quiet).cast("long").alias("quiet_days"),
+                    ((cnt >= silence_ideas) & (quiet >= silence_days) & ~already).alias("fires"),
+                    F.coalesce("breakdown", F.lit("")).alias("breakdown"))
+
+
+def route_bare_verdict(messages: DataFrame, ideas: DataFrame) -> DataFrame:
+    """A verdict naming no idea goes to the sent idea whose title equals the
+    normalised subject (newest send wins), else to the sole idea of the newest
+    batch, else nowhere. ``messages(message_id, subscriber_id, subject)``,
+    ``ideas(subscriber_id, idea_id, title, sent_utc)``."""
+    stripped = tx.full_trim(F.regexp_replace(F.coalesce("subject", F.lit("")), tx.SUBJECT_PREFIX_RE, ""))
+    m = messages.select("message_id", "subscriber_id", stripped.alias("s"))
+    usable = (F.col("s") != "") & ~F.lower("s").startswith("ideas —") & ~F.lower("s").startswith("ideas -")
+    by_title = ideas.groupBy("subscriber_id", F.col("title").alias("s")).agg(
+        F.max_by("idea_id", F.struct("sent_utc", "idea_id")).alias("title_idea"))
+    newest = ideas.groupBy("subscriber_id").agg(F.max("sent_utc").alias("last_sent"))
+    batch = (ideas.join(newest, "subscriber_id").filter(F.col("sent_utc") == F.col("last_sent"))
+             .groupBy("subscriber_id").agg(F.count("*").alias("n_batch"), F.min("idea_id").alias("batch_idea")))
+    j = (m.join(by_title, ["subscriber_id", "s"], "left").join(batch, "subscriber_id", "left"))
+    return j.select("message_id", F.coalesce(F.when(usable, F.col("title_idea")),
+                                             F.when(F.col("n_batch") == 1, F.col("batch_idea"))).alias("idea_id"))

@@ -96,3 +96,22 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(
         F.concat_ws("-", _s("conv_id"), _s("turn")).alias("message_id"), "conv_id", "turn",
         subject.alias("subject"), F.concat("text", timed, tail).alias("body"))
+
+
+VERDICT_OF_EVENT = {"signup": "building", "purchase": "more", "click": "too_easy",
+                    "view": "exists", "error": "boring"}
+
+
+def verdict_log(spark: SparkSession, sf: str) -> DataFrame:
+    """events as replies carrying verdicts: idea_id = props.k, verdict by event type."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "event_type", "props")
+    m = F.create_map(*[x for k, v in VERDICT_OF_EVENT.items() for x in (F.lit(k), F.lit(v))])
+    return ev.select(F.get_json_object("props", "$.k").cast("long").alias("idea_id"),
+                     m[F.col("event_type")].alias("verdict"), F.unix_timestamp("ts").alias("ts"),
+                     F.col("event_id").alias("message_id"))
+
+
+def idea_signal(sig: DataFrame) -> DataFrame:
+    """Each spent signal was cited by two ideas: id % 7 and 7 + id % 11."""
+    used = used_ids(sig)
+    return used.select(F.explode(F.array(F.col("id") % 7, F.lit(7) + F.col("id") % 11)).alias("idea_id"), "id")

@@ -165,3 +165,11 @@ packets AS (
                     || left(text, 1600), chr(10) || chr(10) ORDER BY pos) AS packet,
          list(url ORDER BY pos) AS urls
   FROM packet_rows GROUP BY domain)"""
+
+VERDICT_LOG = """
+vlog AS (
+  SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS idea_id,
+         CASE event_type WHEN 'signup' THEN 'building' WHEN 'purchase' THEN 'more' WHEN 'click' THEN 'too_easy'
+                         WHEN 'view' THEN 'exists' WHEN 'error' THEN 'boring' END AS verdict,
+         CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id AS message_id
+  FROM events)"""

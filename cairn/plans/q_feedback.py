@@ -93,3 +93,108 @@ SELECT m.message_id, m.own AS unparsed, CASE WHEN NOT m.own THEN {_bare} END AS
 FROM msgs m LEFT JOIN plain p USING (message_id)""")
 def q_reply_parse(spark, sf):
     return _parsed(spark, sf)[1]
+
+
+# ---- verdict folds over the events-as-replies log ----
+from .. import NOW  # noqa: E402
+from ..operators import feedback as fb  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+from .oracle import SIGNAL, VERDICT_LOG  # noqa: E402
+
+
+@register(sql=with_(VERDICT_LOG) + """
+SELECT idea_id, arg_min(verdict, (ts, message_id)) AS verdict, min(ts) AS ts,
+       arg_min(message_id, (ts, message_id)) AS message_id
+FROM vlog GROUP BY idea_id""")
+def q_first_verdict(spark, sf):
+    return fb.first_verdict(fx.verdict_log(spark, sf))
+
+
+_steps = "CASE verdict " + " ".join(f"WHEN {q(k)} THEN CAST({v} AS DOUBLE)" for k, v in fb.WEIGHT_STEP.items()) + " END"
+
+
+@register(sql=with_(SIGNAL, VERDICT_LOG) + f""",
+fv AS (SELECT idea_id, arg_min(verdict, (ts, message_id)) AS verdict, min(ts) AS ts,
+              arg_min(message_id, (ts, message_id)) AS seq FROM vlog GROUP BY idea_id),
+isig AS (SELECT id % 7 AS idea_id, id FROM used UNION ALL SELECT 7 + id % 11 AS idea_id, id FROM used),
+steps AS (SELECT s.id, fv.ts, fv.seq, {_steps} AS factor FROM fv JOIN isig s USING (idea_id)),
+folded AS (
+  SELECT id, list_reduce(list(factor ORDER BY ts, seq), lambda w, f: greatest(CAST(0.1 AS DOUBLE), least(CAST(4.0 AS DOUBLE), w * f)), CAST(1.0 AS DOUBLE)) AS weight,
+         count(*) AS n_steps
+  FROM steps WHERE factor IS NOT NULL GROUP BY id)
+SELECT id, round(weight, 6) AS weight, CAST(n_steps AS INTEGER) AS n_steps FROM folded""")
+def q_weight_fold(spark, sf):
+    sig = fx.signal(spark, sf)
+    fv = fb.first_verdict(fx.verdict_log(spark, sf)).select("idea_id", "verdict", "ts", F.col("message_id").alias("seq"))
+    out = fb.weight_fold(fv, fx.idea_signal(sig))
+    return out.select("id", F.round("weight", 6).alias("weight"), "n_steps")
+
+
+@register(sql="""
+WITH c AS (
+  SELECT user_id AS subscriber_id, CASE event_type WHEN 'signup' THEN 'resume' WHEN 'error' THEN 'pause' END AS action,
+         CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id AS seq FROM events)
+SELECT subscriber_id, arg_max(action, (ts, seq)) AS action, arg_max(action, (ts, seq)) = 'pause' AS paused
+FROM c WHERE action IS NOT NULL GROUP BY 1""")
+def q_pause_state(spark, sf):
+    ev = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
+    c = ev.select(F.col("user_id").alias("subscriber_id"),
+                  F.when(F.col("event_type") == "signup", "resume").when(F.col("event_type") == "error", "pause").alias("action"),
+                  F.unix_timestamp("ts").alias("ts"), F.col("event_id").alias("seq")).filter(F.col("action").isNotNull())
+    st = fb.latest_control(c)
+    return st.select("subscriber_id", "action", (F.col("action") == "pause").alias("paused"))
+
+
+@register(sql="""
+WITH latest AS (SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1)
+SELECT c.c_custkey AS key, coalesce(l.value, -1.0) AS value
+FROM customer c LEFT JOIN latest l ON l.user_id = c.c_custkey""")
+def q_latest_value(spark, sf):
+    """Latest value per key (append log + max_by), defaults for keys never set."""
+    ev = table(spark, sf, "events").select("user_id", "value", "ts", "event_id")
+    latest = ev.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
+    return keys.join(latest.withColumnRenamed("user_id", "key"), "key", "left").select(
+        "key", F.coalesce("value", F.lit(-1.0)).alias("value"))
+
+
+def _sent(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    return o.select(F.col("o_custkey").alias("subscriber_id"), F.col("o_orderkey").alias("idea_id"),
+                    F.unix_timestamp("o_orderdate").alias("sent_utc"), F.col("o_orderpriority").alias("domain"),
+                    (F.col("o_orderstatus") == "F").alias("answered"))
+
+
+@register(sql=f"""
+WITH sent AS (
+  SELECT o_custkey AS subscriber_id, o_orderkey AS idea_id, CAST(epoch(o_orderdate) AS BIGINT) AS sent_utc,
+         o_orderpriority AS domain, o_orderstatus = 'F' AS answered FROM orders),
+lr AS (SELECT subscriber_id, max(sent_utc + 2 * 86400) AS last_reply_utc FROM sent WHERE answered GROUP BY 1),
+fired AS (SELECT DISTINCT subscriber_id, CASE WHEN subscriber_id % 10 = 0 THEN {NOW} - 3 * 86400
+                                             ELSE {NOW} - 30 * 86400 END AS fired_utc
+          FROM sent WHERE subscriber_id % 5 = 0),
+base AS (
+  SELECT f.subscriber_id, coalesce(lr.last_reply_utc, 0) AS last, fi.fired_utc,
+         CASE WHEN coalesce(lr.last_reply_utc, 0) <> 0 THEN lr.last_reply_utc ELSE coalesce(f.first_sent, {NOW}) END AS since
+  FROM (SELECT subscriber_id, min(sent_utc) AS first_sent FROM sent GROUP BY 1) f
+  LEFT JOIN lr USING (subscriber_id) LEFT JOIN fired fi USING (subscriber_id)),
+op AS (SELECT s.* FROM sent s JOIN base b USING (subscriber_id) WHERE NOT s.answered AND s.sent_utc >= b.since),
+n AS (SELECT subscriber_id, count(*) AS n FROM op GROUP BY 1),
+pd AS (SELECT subscriber_id, domain, count(*) AS n FROM op WHERE domain IS NOT NULL GROUP BY 1, 2),
+top AS (SELECT subscriber_id, string_agg(domain || ' x' || CAST(n AS VARCHAR), ', ' ORDER BY r) AS breakdown
+        FROM (SELECT *, row_number() OVER (PARTITION BY subscriber_id ORDER BY n DESC, domain) AS r FROM pd)
+        WHERE r <= 3 GROUP BY 1)
+SELECT b.subscriber_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_unanswered,
+       CAST(floor(({NOW} - b.since) / 86400.0) AS BIGINT) AS quiet_days,
+       coalesce(n.n, 0) >= 4 AND ({NOW} - b.since) / 86400.0 >= 14
+         AND NOT (coalesce(b.fired_utc, 0) > b.last AND ({NOW} - coalesce(b.fired_utc, 0)) < 14 * 86400) AS fires,
+       coalesce(t.breakdown, '') AS breakdown
+FROM base b LEFT JOIN n USING (subscriber_id) LEFT JOIN top t USING (subscriber_id)""")
+def q_silence_canary(spark, sf):
+    sent = _sent(spark, sf)
+    lr = (sent.filter("answered").groupBy("subscriber_id")
+          .agg(F.max(F.col("sent_utc") + 2 * 86400).alias("last_reply_utc")))
+    fired = (sent.select("subscriber_id").distinct().filter(F.col("subscriber_id") % 5 == 0)
+             .select("subscriber_id", F.when(F.col("subscriber_id") % 10 == 0, F.lit(NOW - 3 * 86400))
+                     .otherwise(F.lit(NOW - 30 * 86400)).cast("long").alias("fired_utc")))
+    return fb.silence_canary(sent, lr, fired, NOW)

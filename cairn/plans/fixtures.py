@@ -115,3 +115,30 @@ def idea_signal(sig: DataFrame) -> DataFrame:
     """Each spent signal was cited by two ideas: id % 7 and 7 + id % 11."""
     used = used_ids(sig)
     return used.select(F.explode(F.array(F.col("id") % 7, F.lit(7) + F.col("id") % 11)).alias("idea_id"), "id")
+
+
+RATING_OF_EVENT = {"error": 1, "view": 2, "click": 3, "purchase": 4}  # signup -> skip
+REVIEW_NOW = 1704067200 + 25 * 86400  # inside the events' 30-day span
+
+
+def review_log(spark: SparkSession, sf: str) -> DataFrame:
+    """events as card grades: learner = user, card = 'c' + k % 10, deck = 'd' + k % 2."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    k = F.get_json_object("props", "$.k").cast("long")
+    m = F.create_map(*[x for kk, v in RATING_OF_EVENT.items() for x in (F.lit(kk), F.lit(v))])
+    return ev.select(F.col("user_id").alias("learner_id"), F.concat(F.lit("d"), (k % 2).cast("string")).alias("deck"),
+                     F.concat(F.lit("c"), (k % 10).cast("string")).alias("card_id"),
+                     m[F.col("event_type")].alias("rating"), F.unix_timestamp("ts").alias("review_utc"),
+                     F.col("event_id").alias("seq")).filter(F.col("rating").isNotNull())
+
+
+def review_state(spark: SparkSession, sf: str) -> DataFrame:
+    """A review-state table derived from the grade log by closed-form counts (the
+    selection operators take any state table; the FSRS replay is checked apart)."""
+    lg = review_log(spark, sf)
+    agg = lg.groupBy("learner_id", "deck", "card_id").agg(
+        F.count("*").alias("reps"), F.count_if(F.col("rating") == 1).alias("fails"),
+        F.max("review_utc").alias("last_utc"))
+    return agg.select("learner_id", "deck", "card_id", "reps", "fails",
+                      F.greatest(F.col("fails") - 1, F.lit(0)).alias("lapses"), "last_utc",
+                      (F.col("last_utc") + 86400 * (F.col("reps") - 2 * F.col("fails"))).alias("due_utc"))

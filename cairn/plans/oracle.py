@@ -173,3 +173,16 @@ vlog AS (
                          WHEN 'view' THEN 'exists' WHEN 'error' THEN 'boring' END AS verdict,
          CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id AS message_id
   FROM events)"""
+
+REVIEW_LOG = """
+rlog AS (
+  SELECT user_id AS learner_id, 'd' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 2 AS VARCHAR) AS deck,
+         'c' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS VARCHAR) AS card_id,
+         CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END AS rating,
+         CAST(floor(epoch(ts)) AS BIGINT) AS review_utc, event_id AS seq
+  FROM events WHERE event_type <> 'signup'),
+rev AS (
+  SELECT learner_id, deck, card_id, count(*) AS reps, count(*) FILTER (WHERE rating = 1) AS fails,
+         greatest(count(*) FILTER (WHERE rating = 1) - 1, 0) AS lapses, max(review_utc) AS last_utc,
+         max(review_utc) + 86400 * (count(*) - 2 * count(*) FILTER (WHERE rating = 1)) AS due_utc
+  FROM rlog GROUP BY 1, 2, 3)"""

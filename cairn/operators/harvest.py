@@ -60,34 +60,38 @@ def union_sources(frames: dict[str, DataFrame], order: list[str]) -> DataFrame:
     return out
 
 
-def probe_match(docs: DataFrame, probes: DataFrame, since: int) -> DataFrame:
-    """A5: which probe surfaces which document.
+TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
+
+
+def tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
 
-    ``probes(probe_ord, query, phrase)``: a phrase probe matches when the lower-cased
-    text contains the query; a term probe when every word of the query is a token
-    of the text. Term probes are answered with an inverted-token equi-join (token ->
-    docs), so the work is a shuffle on the token, not a probes x docs product.
-    Output: one row per (doc, probe) hit with the probe's plan order.
-    """
-    recent = docs.filter(F.col("created_utc") > since)
-    low = F.lower(F.col("text"))
-    tokens = (recent.select("doc_id", F.explode(F.array_distinct(F.split(low, r"[^\p{L}\p{N}_]+"))).alias("tok"))
-              .filter(F.col("tok") != ""))
-
-    phrase = probes.filter(F.col("phrase"))
-    # phrase probes: substring test; the probe list is a small bounded dimension
-    ph = (recent.select("doc_id", low.alias("low"))
-          .join(F.broadcast(phrase.select("probe_ord", "query")), F.expr("instr(low, query) > 0"))
-          .select("doc_id", "probe_ord", "query"))
-
-    term = probes.filter(~F.col("phrase")).select(
-        "probe_ord", "query", F.array_distinct(F.split(F.lower("query"), " ")).alias("words"))
-    words = term.select("probe_ord", "query", F.size("words").alias("n_words"), F.explode("words").alias("tok"))
-    tm = (tokens.join(words, "tok")
-          .groupBy("doc_id", "probe_ord", "query", "n_words").agg(F.count("*").alias("n"))
-          .filter(F.col("n") == F.col("n_words"))
-          .select("doc_id", "probe_ord", "query"))
-    return ph.unionByName(tm)
+
+def probe_match(docs: DataFrame, probes: DataFrame, since: int) -> DataFrame:
+    """A5: which probe surfaces which document (created after ``since``).
+
+    ``probes(probe_ord, query, phrase)``: a term probe matches when every word of
+    the query is a token of the text; a phrase probe when its words also appear
+    consecutively. Candidates come from an inverted-token equi-join against the
+    probe words (a parameter list, broadcast after its size is checked), so hot
+    tokens never shuffle the document side; phrase candidates are then verified
+    on their own token string. Output: (doc_id, probe_ord, query)."""
+    from .util import bounded_broadcast
+    recent = docs.filter(F.col("created_utc") > since).select("doc_id", tokens(F.col("text")).alias("toks"))
+    words = (probes.select("probe_ord", "query", "phrase",
+                           F.array_distinct(F.split(F.lower("query"), " ")).alias("w"))
+             .select("probe_ord", "query", "phrase", F.size("w").alias("n_words"), F.explode("w").alias("tok")))
+    words = bounded_broadcast(words)
+    doc_toks = recent.select("doc_id", F.explode(F.array_distinct("toks")).alias("tok"))
+    cand = (doc_toks.join(words, "tok")
+            .groupBy("doc_id", "probe_ord", "query", "phrase", "n_words").agg(F.count("*").alias("n"))
+            .filter(F.col("n") == F.col("n_words")))
+    terms = cand.filter(~F.col("phrase")).select("doc_id", "probe_ord", "query")
+    joined = F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" "))
+    phr = (cand.filter(F.col("phrase")).join(recent, "doc_id")
+           .filter(F.instr(joined, F.concat(F.lit(" "), F.lower("query"), F.lit(" "))) > 0)
+           .select("doc_id", "probe_ord", "query"))
+    return terms.unionByName(phr)
 
 
 def idempotent_append(existing_keys: DataFrame, batch: DataFrame, keys: list[str],
@@ -107,3 +111,11 @@ def kept_dropped(df: DataFrame, source_col: str, kept: Column) -> DataFrame:
     """Per-source kept / dropped counters in one pass."""
     return df.groupBy(source_col).agg(F.count_if(kept).alias("kept"),
                                       F.count_if(~kept).alias("dropped"))
+
+
+def evolve(df: DataFrame, defaults: dict) -> DataFrame:
+    """Fill columns added after older rows were written with their declared
+    defaults (used after ``unionByName(allowMissingColumns=True)``)."""
+    for c, v in defaults.items():
+        df = df.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
+    return df

@@ -36,9 +36,12 @@ def _interval_days(s: float, retention: float, max_ivl: int) -> int:
     return int(min(max(round(ivl), 1), max_ivl))
 
 
-def replay_card(ratings: list[int], times: list[int], retention: float, max_ivl: int, w=FSRS_W) -> dict:
-    """Fold one card's grades (1 Again, 2 Hard, 3 Good, 4 Easy) in time order.
-    Returns the final state plus reps / lapses / fails. Deterministic (no fuzz)."""
+def replay_card(ratings: list[int], times: list[int], retention: float, max_ivl: int, w=FSRS_W,
+                init: dict | None = None) -> dict:
+    """Fold one card's grades (1 Again, 2 Hard, 3 Good, 4 Easy) in time order,
+    optionally continuing from a previous fold's result (``init``, as returned
+    here plus ``step``). Returns the final state plus reps / lapses / fails.
+    Deterministic (no fuzz)."""
     def clamp_d(d):
         return min(max(d, 1.0), 10.0)
 
@@ -47,6 +50,10 @@ def replay_card(ratings: list[int], times: list[int], retention: float, max_ivl:
 
     state, s, d, step, due, last = NEW, 0.0, 0.0, 0, None, None
     reps = lapses = fails = 0
+    if init:
+        state, s, d, step, due, last = (init["state"], init["stability"], init["difficulty"], init.get("step", 0),
+                                        init["due_utc"], init["last_utc"])
+        reps, lapses, fails = init["reps"], init["lapses"], init["fails"]
     for g, t in zip(ratings, times):
         before = state
         reps += 1
@@ -84,7 +91,7 @@ def replay_card(ratings: list[int], times: list[int], retention: float, max_ivl:
                 state, due = REVIEW, t + 86400 * _interval_days(s, retention, max_ivl)
         last = t
     return {"state": state, "stability": s, "difficulty": d, "due_utc": due, "reps": reps,
-            "lapses": int(lapses), "fails": int(fails), "last_utc": last}
+            "lapses": int(lapses), "fails": int(fails), "last_utc": last, "step": step}
 
 
 REPLAY_SCHEMA = ("learner_id long, deck string, card_id string, state string, stability double, "
@@ -102,6 +109,7 @@ def review_replay(log: DataFrame, mode: str = "recruiting") -> DataFrame:
         st = replay_card(pdf["rating"].astype(int).tolist(), pdf["review_utc"].astype(int).tolist(),
                          retention, max_ivl)
         first = pdf.iloc[0]
+        st.pop("step")
         return pd.DataFrame([{"learner_id": int(first["learner_id"]), "deck": first["deck"],
                               "card_id": first["card_id"], **st}])
 

@@ -52,11 +52,22 @@ def is_kind(x: Column, kind: str) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(x), F.lit(kind)), F.lit(False))
 
 
-def shape_check(body: Column) -> Column:
-    """C9 -> struct(ok, reason); the first failing rule wins."""
-    missing = F.filter(F.array(*[F.when(~truthy(field(body, k)), F.lit(k)) for k in REQUIRED]),
+BACKFILL_FIELDS = ["in_plain_terms", "why_it_is_hard_plainly", "glossary", "starting_points"]
+
+
+def shape_check(body: Column, override: Column | None = None, override_keys: list[str] = BACKFILL_FIELDS) -> Column:
+    """C9 -> struct(ok, reason); the first failing rule wins. With ``override`` the
+    check runs on ``body`` updated by the override's keys (restricted to
+    ``override_keys``), i.e. the merged record of a backfill (C13)."""
+    def get(k):
+        if override is not None and k in override_keys:
+            o = field(override, k)
+            return F.when(o.isNotNull(), o).otherwise(field(body, k))
+        return field(body, k)
+
+    missing = F.filter(F.array(*[F.when(~truthy(get(k)), F.lit(k)) for k in REQUIRED]),
                        lambda x: x.isNotNull())
-    ms, gl = field(body, "milestones"), field(body, "glossary")
+    ms, gl = get("milestones"), get("glossary")
     ms_n = F.size(F.try_variant_get(ms, "$", "array<variant>"))
     gl_arr = F.try_variant_get(gl, "$", "array<variant>")
     entry_ok = F.forall(gl_arr, lambda e: is_kind(e, "OBJECT") & truthy(field(e, "term")) & truthy(field(e, "means")))
@@ -136,6 +147,12 @@ def gate_funnel(cands: DataFrame, packets: DataFrame, nearest, judgements: DataF
                     failed.alias("failed_stage"), trail.alias("trail"))
 
 
+def needs_backfill(body: Column) -> Column:
+    """An idea lacks its plain-language pass when in_plain_terms or the
+    glossary is missing / empty."""
+    return ~(truthy(field(body, "in_plain_terms")) & truthy(field(body, "glossary")))
+
+
 def first_survivor(funnel: DataFrame, rank: str = "candidate_id") -> DataFrame:
     """per slice (domain) the first candidate in rank order that passed every
     gate; NULL when none did (nothing ships rather than the least bad)."""

@@ -55,16 +55,75 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = M
     return labels
 
 
+LOCAL_COMPONENT_ROWS = 2000
+
+
+def _local_rac(x, t):
+    """Reciprocal-nearest-neighbour average linkage on one component (numpy);
+    returns the cluster index of every row."""
+    import numpy as np
+    s = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = np.ones(len(s))
+    label = np.arange(len(s))
+    alive = np.arange(len(s))
+    while len(alive) > 1:
+        S, N = s[alive], n[alive]
+        d = 1.0 - (S @ S.T) / np.outer(N, N)
+        np.fill_diagonal(d, np.inf)
+        nn = np.argmin(d, axis=1)
+        rows = np.arange(len(alive))
+        pairs = rows[(nn[nn] == rows) & (rows < nn) & (d[rows, nn] < t)]
+        if len(pairs) == 0:
+            break
+        keep, gone = alive[pairs], alive[nn[pairs]]
+        s[keep] += s[gone]
+        n[keep] += n[gone]
+        for k, g in zip(keep, gone):
+            label[label == g] = k
+        alive = np.setdiff1d(alive, gone)
+    return label
+
+
 def average_linkage(vecs: DataFrame, threshold: float, edges: DataFrame | None = None,
-                    max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(id, vec) -> (id, cluster) where cluster is the smallest member id.
-    Merges while the average cosine distance is < ``threshold``. Per round the work
-    is proportional to the number of clusters and candidate edges (both shrink);
-    member ids are resolved once at the end from the merge forest."""
+                    max_rounds: int = MAX_ROUNDS, local_rows: int = LOCAL_COMPONENT_ROWS) -> DataFrame:
+    """(id, vec) -> (id, cluster), cluster = smallest member id; merges while the
+    average cosine distance is < ``threshold``. Exact.
+
+    A cluster never spans two connected components of the similarity graph, so the
+    components are found first; every component of at most ``local_rows`` vectors
+    is clustered in one bounded group (numpy, same reciprocal-nearest-neighbour
+    rule), and only oversize components go through the distributed rounds."""
     spark = vecs.sparkSession
     checkpoint_dir(spark)
     if edges is None:
         edges = similar_pairs(vecs, threshold)
+    edges = _cut(edges.select("a", "b"), "edges")
+    comps = connected_components(vecs.select("id"), edges)
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("csize"))
+    tagged = _cut(vecs.select("id", "vec").join(comps, "id").join(sizes, "comp"), "tagged")
+
+    def local(pdf):
+        import numpy as np
+        import pandas as pd
+        x = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
+        ids = pdf["id"].to_numpy()
+        lab = _local_rac(x, threshold)
+        mins = pd.Series(ids).groupby(lab).transform("min").to_numpy()
+        return pd.DataFrame({"id": ids.astype("int64"), "cluster": mins.astype("int64")})
+
+    small = (tagged.filter(F.col("csize") <= local_rows).select("comp", "id", "vec")
+             .groupBy("comp").applyInPandas(local, "id long, cluster long"))
+    big_ids = tagged.filter(F.col("csize") > local_rows).select("id", "vec")
+    if big_ids.limit(1).count() == 0:
+        return small
+    big_edges = edges.join(big_ids.select(F.col("id").alias("a")), "a", "left_semi")
+    return small.unionByName(_rac_rounds(big_ids, threshold, big_edges, max_rounds))
+
+
+def _rac_rounds(vecs: DataFrame, threshold: float, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Distributed rounds for oversize components. Per round the work is
+    proportional to the number of clusters and candidate edges (both shrink);
+    member ids are resolved once at the end from the merge forest."""
     u = vecs.select("id", unit(F.col("vec")).alias("u"))
     merged = None  # every (keep, gone) merge so far; a forest over the ids
     csum = _cut(u.select(F.col("id").alias("cid"), F.lit(1).cast("long").alias("n"), F.col("u").alias("s")), "csum")

@@ -100,22 +100,51 @@ REPLAY_SCHEMA = ("learner_id long, deck string, card_id string, state string, st
 
 def review_replay(log: DataFrame, mode: str = "recruiting") -> DataFrame:
     """Fold every (learner, deck, card)'s grades in (review_utc, seq) order into
-    its review state. Groups are one card's history for one learner (bounded by
-    how often a card is reviewed), processed with pandas per group."""
+    its review state. Rows are hash-partitioned by card key and sorted; one Python
+    call per Arrow batch streams through the sorted rows, carrying only the current
+    card's state across batch boundaries (no group is ever materialised)."""
     retention, max_ivl = MODES[mode][0], MODES[mode][1]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["review_utc", "seq"])
-        st = replay_card(pdf["rating"].astype(int).tolist(), pdf["review_utc"].astype(int).tolist(),
-                         retention, max_ivl)
-        first = pdf.iloc[0]
-        st.pop("step")
-        return pd.DataFrame([{"learner_id": int(first["learner_id"]), "deck": first["deck"],
-                              "card_id": first["card_id"], **st}])
-
-    graded = log.filter(F.col("rating").between(1, 4)).select(
-        "learner_id", "deck", "card_id", "rating", "review_utc", "seq")
-    return graded.groupBy("learner_id", "deck", "card_id").applyInPandas(fold, REPLAY_SCHEMA)
+    keys = ["learner_id", "deck", "card_id"]
+
+    def fold(batches):
+        cur, st = None, None
+        out = []
+        cols = ["learner_id", "deck", "card_id", "state", "stability", "difficulty", "due_utc", "reps",
+                "lapses", "fails", "last_utc"]
+
+        def emit():
+            if cur is not None and st is not None:
+                out.append({"learner_id": int(cur[0]), "deck": cur[1], "card_id": cur[2],
+                            **{k: v for k, v in st.items() if k != "step"}})
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k0, k1, k2 = pdf["learner_id"].to_numpy(), pdf["deck"].to_numpy(), pdf["card_id"].to_numpy()
+            r, t = pdf["rating"].to_numpy(), pdf["review_utc"].to_numpy()
+            n = len(pdf)
+            start = 0
+            while start < n:
+                key = (k0[start], k1[start], k2[start])
+                end = start + 1
+                while end < n and (k0[end], k1[end], k2[end]) == key:
+                    end += 1
+                if key != cur:
+                    emit()
+                    cur, st = key, None
+                st = replay_card([int(x) for x in r[start:end]], [int(x) for x in t[start:end]],
+                                 retention, max_ivl, init=st)
+                start = end
+            if len(out) >= 4096:
+                yield pd.DataFrame(out, columns=cols)
+                out = []
+        emit()
+        if out:
+            yield pd.DataFrame(out, columns=cols)
+
+    graded = log.filter(F.col("rating").between(1, 4)).select(*keys, "rating", "review_utc", "seq")
+    ordered = graded.repartition(*keys).sortWithinPartitions(*keys, "review_utc", "seq")
+    return ordered.mapInPandas(fold, REPLAY_SCHEMA)
 
 
 # ---- selection over a review-state table ----

@@ -65,6 +65,7 @@ def body_expr(refs: Both) -> Both:
     problem = cat(lit("problem in "), colb("lang"))
     why = case([(idc(5, 0), lit(""))], cat(lit("why "), colb("id")))
     plainly = case([(idc(13, 0), lit(""))], lit("hard"))
+    plain_terms = case([(idc(8, 0), lit(""))], lit("plain"))
     ms = case([(idc(6, 0), lit('"just one"')), (idc(6, 1), lit('["m1"]'))], lit('["m1", "m2"]'))
     g2 = '[{"term": "a", "means": "x"}, {"term": "b", "means": "y"}'
     gl = case([(idc(4, 0), lit(g2 + "]")),
@@ -72,7 +73,7 @@ def body_expr(refs: Both) -> Both:
               lit(g2 + ', {"term": "c", "means": "z"}]'))
     return cat(lit('{"title": "'), title, lit('", "one_liner": "'), one, lit('", "problem": "'), problem,
                lit('", "why_hard": "'), why, lit('", "first_weekend": "prototype", "milestones": '), ms,
-               lit(', "in_plain_terms": "plain", "why_it_is_hard_plainly": "'), plainly,
+               lit(', "in_plain_terms": "'), plain_terms, lit('", "why_it_is_hard_plainly": "'), plainly,
                lit('", "glossary": '), gl, lit(', "evidence_refs": '), refs, lit("}"))
 
 

@@ -107,3 +107,29 @@ def parse_replies(replies: DataFrame, cards: list[str], ideas: list[str],
                        F.when(own, F.lit("(quote-stripping failed; reply not parsed)"))
                        .otherwise(F.left("text", F.lit(500))).alias("note")))
     return bindings, summary
+
+
+def apply_replies(bindings: DataFrame, summary: DataFrame, messages: DataFrame,
+                  handles: DataFrame, routed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Project parsed replies into the three append logs.
+
+    * grades (``skip`` is a no-op) -> review_log(message_id, card_id, grade)
+    * verdicts naming a handle -> verdict_log via the subscriber's recent handles
+      (D8); a bare verdict goes to the routed idea (D9) or is kept as ambiguous
+    * control words -> control_log(subscriber_id, action, message_id)
+    A refused (unparsed) reply contributes nothing but its liveness.
+    ``messages(message_id, subscriber_id)``, ``handles(subscriber_id, reply_id,
+    idea_id)``, ``routed(message_id, idea_id)``."""
+    ok = summary.filter(~F.col("unparsed")).select("message_id")
+    b = bindings.join(ok, "message_id", "left_semi")
+    grades = (b.filter((F.col("kind") == "grade") & (F.col("value") != "skip"))
+              .select("message_id", F.col("term").alias("card_id"), F.col("value").alias("grade")))
+    named = (b.filter(F.col("kind") == "verdict").join(messages, "message_id")
+             .join(handles.withColumnRenamed("reply_id", "term"), ["subscriber_id", "term"])
+             .select("message_id", "idea_id", F.col("value").alias("verdict"), F.lit(False).alias("bare")))
+    bare = (summary.filter(F.col("bare_verdict").isNotNull() & ~F.col("unparsed")).join(routed, "message_id", "left")
+            .select("message_id", "idea_id", F.col("bare_verdict").alias("verdict"), F.lit(True).alias("bare")))
+    verdicts = named.unionByName(bare).withColumn("ambiguous", F.col("idea_id").isNull())
+    control = (summary.filter(F.col("control").isNotNull()).join(messages, "message_id")
+               .select("subscriber_id", F.col("control").alias("action"), "message_id"))
+    return grades, verdicts, control

@@ -18,17 +18,21 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFr
     return F.broadcast(df) if n <= limit else df
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as parquet under the shared checkpoint folder and read it
-    back: cuts lineage (no recomputation when several branches reuse it, survives
-    executor loss) and gives downstream scans column pruning / filter pushdown."""
+def write_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` as a parquet table under the shared checkpoint folder; returns its path."""
     import uuid
 
     from ..session import checkpoint_dir
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it
+    back: cuts lineage (no recomputation when several branches reuse it, survives
+    executor loss) and gives downstream scans column pruning / filter pushdown."""
+    return df.sparkSession.read.parquet(write_table(df, name))
 
 
 def round6(c):

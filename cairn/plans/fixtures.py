@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import NOW
 from ..functions.lexicons import FIXTURE_DOMAINS, FIXTURE_PAIN
 from ..operators.harvest import harvest_gate
-from ..operators.util import materialize
+from ..operators.util import write_table
 from ..sources.tables import table
 
 
@@ -46,13 +46,23 @@ def signal_weight(spark: SparkSession, sf: str) -> DataFrame:
                       .when(F.col("quality") == 1, F.lit(1.8)).otherwise(F.lit(0.6)).alias("weight"))
 
 
+_SIGNAL_TABLES: dict = {}
+
+
 def signal(spark: SparkSession, sf: str) -> DataFrame:
     """The gated corpus (fixture lexicon) with weights; missing weight -> NULL.
 
-    Like the harvested ``signal`` table it stands for, it is written once (to the
-    shared checkpoint folder) and every consumer reads the stored rows."""
-    gated = harvest_gate(raw_signal(spark, sf), domains=FIXTURE_DOMAINS, pain_markers=FIXTURE_PAIN)
-    return materialize(gated.join(signal_weight(spark, sf), "id", "left"), "signal")
+    Like the harvested ``signal`` table it stands for, it is written once per
+    session and input folder (to the shared checkpoint folder) and every
+    downstream query reads the stored rows."""
+    import os
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
+    path = _SIGNAL_TABLES.get(key)
+    if path is None:
+        gated = harvest_gate(raw_signal(spark, sf), domains=FIXTURE_DOMAINS, pain_markers=FIXTURE_PAIN)
+        path = write_table(gated.join(signal_weight(spark, sf), "id", "left"), "signal")
+        _SIGNAL_TABLES[key] = path
+    return spark.read.parquet(path)
 
 
 def members(spark: SparkSession, sf: str, sig: DataFrame | None = None) -> DataFrame:

@@ -198,3 +198,30 @@ def q_silence_canary(spark, sf):
              .select("subscriber_id", F.when(F.col("subscriber_id") % 10 == 0, F.lit(NOW - 3 * 86400))
                      .otherwise(F.lit(NOW - 30 * 86400)).cast("long").alias("fired_utc")))
     return fb.silence_canary(sent, lr, fired, NOW)
+
+
+@register(sql=with_(REPLIES, REPLY_CTE) + f""",
+mm AS (SELECT message_id, conv_id % 150 AS subscriber_id FROM replies),
+hd AS (SELECT s.subscriber_id, h.term AS reply_id, s.subscriber_id * 10 + h.i AS idea_id
+       FROM (SELECT DISTINCT subscriber_id FROM mm) s, (VALUES ('and', 1), ('that', 2)) h(term, i)),
+bare AS (
+  SELECT m.message_id, CASE WHEN NOT m.own THEN {_bare} END AS v FROM msgs m LEFT JOIN plain p USING (message_id))
+SELECT f.message_id, h.idea_id, f.value AS verdict, false AS bare
+FROM firsts f JOIN mm USING (message_id) JOIN hd h ON h.subscriber_id = mm.subscriber_id AND h.reply_id = f.term
+WHERE f.kind = 'verdict'
+UNION ALL
+SELECT message_id, CASE WHEN CAST(split_part(message_id, '-', 2) AS INTEGER) % 2 = 0 THEN 7 END, v, true
+FROM bare WHERE v IS NOT NULL""")
+def q_reply_apply(spark, sf):
+    """J4 verdict log: named verdicts resolved through each subscriber's handles,
+    bare verdicts routed (here: even turns route to idea 7, odd ones are ambiguous)."""
+    b, s = _parsed(spark, sf)
+    r = fx.replies(spark, sf)
+    msgs = r.select("message_id", (F.col("conv_id") % 150).alias("subscriber_id"))
+    subs = msgs.select("subscriber_id").distinct()
+    pairs = F.array(*[F.struct(F.lit(t).alias("reply_id"), F.lit(i).alias("i")) for t, i in (("and", 1), ("that", 2))])
+    handles = subs.select("subscriber_id", F.inline(pairs)).select(
+        "subscriber_id", "reply_id", (F.col("subscriber_id") * 10 + F.col("i")).alias("idea_id"))
+    routed = r.select("message_id", F.when(F.col("turn") % 2 == 0, F.lit(7).cast("long")).alias("idea_id"))
+    _, verdicts, _ = rp.apply_replies(b, s, msgs, handles, routed)
+    return verdicts.select("message_id", "idea_id", "verdict", "bare")

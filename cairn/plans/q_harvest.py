@@ -9,7 +9,7 @@ from ..functions.lexicons import FIXTURE_DOMAINS, FIXTURE_PAIN
 from ..operators import harvest as hv
 from ..sources.tables import table
 from . import fixtures as fx
-from .oracle import RAW_SIGNAL, SIGNAL, q, with_
+from .oracle import FOLD, RAW_SIGNAL, SIGNAL, hits_sql, q, with_
 from .registry import register
 
 # fixture probes: (query, phrase?) in plan order
@@ -85,3 +85,27 @@ def q_kept_dropped(spark, sf):
     kept = fx.signal(spark, sf).select("id", F.lit(True).alias("k"))
     x = raw.join(kept, "id", "left")
     return hv.kept_dropped(x, "source", F.coalesce(F.col("k"), F.lit(False)))
+
+
+@register(sql=with_(RAW_SIGNAL) + """
+SELECT id, source, CASE WHEN CAST(substr(source, 4) AS INTEGER) < 7 THEN 0 ELSE 2 END AS source_ord
+FROM raw_signal WHERE CAST(substr(source, 4) AS INTEGER) < 7 OR CAST(substr(source, 4) AS INTEGER) >= 14""")
+def q_source_union(spark, sf):
+    """A4: three feeds (sources 0-6, 7-13, 14-19) unioned in plan order; the middle
+    feed failed to load this run, so it is reported and skipped."""
+    raw = fx.raw_signal(spark, sf).select("id", "source")
+    n = F.substring("source", 4, 10).cast("int")
+    feeds = {"feed_a": raw.filter(n < 7), "feed_b": None, "feed_c": raw.filter(n >= 14)}
+    return hv.union_sources(feeds, ["feed_a", "feed_b", "feed_c"]).select("id", "source", "source_ord")
+
+
+@register(sql=with_(RAW_SIGNAL) + f"""
+SELECT id, ({" + ".join(hits_sql(FOLD.format(t="(title || chr(10) || text)"), t) for t in FIXTURE_DOMAINS.values())}) >= 2 AS technical
+FROM raw_signal""")
+def q_technical(spark, sf):
+    """Is-technical = the sum of all domain scores reaches two."""
+    from ..functions import lexicon as lx
+    raw = fx.raw_signal(spark, sf)
+    both = F.concat_ws("\n", "title", "text")
+    s = raw.select("id", F.inline(F.array(F.struct(lx.domain_scores(both, FIXTURE_DOMAINS).alias("s")))))
+    return s.select("id", lx.is_technical(F.col("s"), FIXTURE_DOMAINS).alias("technical"))

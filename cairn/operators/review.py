@@ -163,17 +163,18 @@ def due_cards(review: DataFrame, now: int, limit: int, leech_at: int = LEECH_AT,
     slots = max(1, limit // 3)
     rnd = stable_rand(seed, "learner_id", "deck", "card_id")
     due = review.filter((F.col("due_utc") <= now) & (F.col("fails") < leech_at)).withColumn("rnd", rnd)
-    ww = Window.partitionBy(*key).orderBy(F.col("fails").desc(), "due_utc", "rnd")
-    weak_rank = F.when(F.col("fails") > 0, F.row_number().over(ww.partitionBy(*key, F.col("fails") > 0)))
-    x = due.withColumn("weak_rank", weak_rank).withColumn(
-        "tier", F.when(F.col("weak_rank") <= slots, F.lit(0)).otherwise(F.lit(1)))
-    n_weak = F.sum(1 - F.col("tier")).over(Window.partitionBy(*key))
-    wr = Window.partitionBy(*key, "tier").orderBy("due_utc", F.col("last_utc").asc_nulls_first(), "rnd")
-    x = x.withColumn("n_weak", n_weak).withColumn("rest_rank", F.row_number().over(wr))
+    # every window is partitioned by (learner, deck) alone, so one exchange serves all
+    # of them: failed cards sort first, so their row number is their weak rank
+    w1 = Window.partitionBy(*key).orderBy((F.col("fails") > 0).desc(), F.col("fails").desc(), "due_utc", "rnd")
+    x = due.withColumn("rn1", F.row_number().over(w1))
+    x = x.withColumn("tier", F.when((F.col("fails") > 0) & (F.col("rn1") <= slots), F.lit(0)).otherwise(F.lit(1)))
+    x = x.withColumn("n_weak", F.sum(1 - F.col("tier")).over(Window.partitionBy(*key)))
+    w2 = Window.partitionBy(*key).orderBy("tier", "due_utc", F.col("last_utc").asc_nulls_first(), "rnd")
+    x = x.withColumn("rest_rank", F.row_number().over(w2) - F.col("n_weak"))
     keep = (F.col("tier") == 0) | (F.col("rest_rank") <= F.lit(limit) - F.col("n_weak"))
     x = x.filter(keep).withColumn(
-        "slot", F.when(F.col("tier") == 0, F.col("weak_rank")).otherwise(F.col("n_weak") + F.col("rest_rank")))
-    return x.drop("rnd", "weak_rank", "rest_rank", "n_weak", "tier")
+        "slot", F.when(F.col("tier") == 0, F.col("rn1")).otherwise(F.col("n_weak") + F.col("rest_rank")))
+    return x.drop("rnd", "rn1", "rest_rank", "n_weak", "tier")
 
 
 def leeches(review: DataFrame, leech_at: int = LEECH_AT) -> DataFrame:

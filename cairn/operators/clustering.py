@@ -55,65 +55,106 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = M
     return labels
 
 
-LOCAL_COMPONENT_ROWS = 2000
+LOCAL_COMPONENT_ROWS = 50_000
+LOCAL_COMPONENT_EDGES = 5_000_000
 
 
-def _local_rac(x, t):
-    """Reciprocal-nearest-neighbour average linkage on one component (numpy);
-    returns the cluster index of every row."""
+def _local_rac(ids, x, ea, eb, t):
+    """Reciprocal-nearest-neighbour average linkage inside one component, on its
+    sparse edge list and per-cluster sum vectors (numpy; memory O(edges + rows)).
+    ``ea``/``eb`` are row indexes of the member pairs closer than ``t``. Returns
+    the smallest member id of every row's cluster."""
     import numpy as np
+    k = len(ids)
     s = x / np.linalg.norm(x, axis=1, keepdims=True)
-    n = np.ones(len(s))
-    label = np.arange(len(s))
-    alive = np.arange(len(s))
-    while len(alive) > 1:
-        S, N = s[alive], n[alive]
-        d = 1.0 - (S @ S.T) / np.outer(N, N)
-        np.fill_diagonal(d, np.inf)
-        nn = np.argmin(d, axis=1)
-        rows = np.arange(len(alive))
-        pairs = rows[(nn[nn] == rows) & (rows < nn) & (d[rows, nn] < t)]
-        if len(pairs) == 0:
+    n = np.ones(k)
+    parent = np.arange(k)
+    a, b = np.minimum(ea, eb), np.maximum(ea, eb)
+    while len(a):
+        d = 1.0 - np.einsum("ij,ij->i", s[a], s[b]) / (n[a] * n[b])
+        m = d < t
+        if not m.any():
             break
-        keep, gone = alive[pairs], alive[nn[pairs]]
-        s[keep] += s[gone]
-        n[keep] += n[gone]
-        for k, g in zip(keep, gone):
-            label[label == g] = k
-        alive = np.setdiff1d(alive, gone)
-    return label
+        src = np.concatenate([a[m], b[m]])
+        dst = np.concatenate([b[m], a[m]])
+        dd = np.concatenate([d[m], d[m]])
+        order = np.lexsort((dst, dd, src))          # per src: smallest distance, then smallest id
+        src, dst = src[order], dst[order]
+        first = np.ones(len(src), dtype=bool)
+        first[1:] = src[1:] != src[:-1]
+        nn = np.full(k, -1)
+        nn[src[first]] = dst[first]
+        xs = src[first]
+        recip = xs[(nn[nn[xs]] == xs) & (xs < nn[xs])]
+        if len(recip) == 0:
+            break
+        gone = nn[recip]
+        s[recip] += s[gone]
+        n[recip] += n[gone]
+        parent[gone] = recip
+        rel = np.arange(k)
+        rel[gone] = recip
+        a, b = rel[a], rel[b]
+        keep = a != b
+        a, b = np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])
+        key = np.unique(a.astype(np.int64) * k + b)
+        a, b = key // k, key % k
+    root = parent.copy()
+    while True:                                      # resolve merge chains
+        nxt = root[root]
+        if (nxt == root).all():
+            break
+        root = nxt
+    order = np.argsort(root, kind="stable")
+    first_id = {}
+    for r, i in zip(root[order], ids[order]):
+        first_id[r] = min(first_id.get(r, i), i)
+    return np.array([first_id[r] for r in root], dtype=np.int64)
 
 
 def average_linkage(vecs: DataFrame, threshold: float, edges: DataFrame | None = None,
-                    max_rounds: int = MAX_ROUNDS, local_rows: int = LOCAL_COMPONENT_ROWS) -> DataFrame:
+                    max_rounds: int = MAX_ROUNDS, local_rows: int = LOCAL_COMPONENT_ROWS,
+                    local_edges: int = LOCAL_COMPONENT_EDGES) -> DataFrame:
     """(id, vec) -> (id, cluster), cluster = smallest member id; merges while the
     average cosine distance is < ``threshold``. Exact.
 
     A cluster never spans two connected components of the similarity graph, so the
-    components are found first; every component of at most ``local_rows`` vectors
-    is clustered in one bounded group (numpy, same reciprocal-nearest-neighbour
-    rule), and only oversize components go through the distributed rounds."""
+    components are found first. A component within ``local_rows`` vectors and
+    ``local_edges`` edges is clustered in one bounded cogroup (its vectors and its
+    edges, numpy, memory linear in both); only oversize components go through the
+    distributed rounds, which use the same merge rule."""
     spark = vecs.sparkSession
     checkpoint_dir(spark)
     if edges is None:
         edges = similar_pairs(vecs, threshold)
     edges = _cut(edges.select("a", "b"), "edges")
     comps = connected_components(vecs.select("id"), edges)
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("csize"))
-    tagged = _cut(vecs.select("id", "vec").join(comps, "id").join(sizes, "comp"), "tagged")
-
-    def local(pdf):
+    ecomp = comps.select(F.col("id").alias("a"), F.col("comp").alias("ecomp"))
+    esize = edges.join(ecomp, "a").groupBy("ecomp").agg(F.count("*").alias("esize"))
+    sizes = (comps.groupBy("comp").agg(F.count("*").alias("csize"))
+             .join(esize, F.col("comp") == F.col("ecomp"), "left").drop("ecomp"))
+    local_ok = (F.col("csize") <= local_rows) & (F.coalesce("esize", F.lit(0)) <= local_edges)
+    tagged = _cut(vecs.select("id", "vec").join(comps, "id").join(sizes, "comp")
+                  .withColumn("local", local_ok), "tagged")
+    small_v = tagged.filter("local").select("comp", "id", "vec")
+    small_e = edges.join(tagged.filter("local").select(F.col("id").alias("a"), F.col("comp").alias("comp")), "a")
+
+    def local(vp, ep):
         import numpy as np
         import pandas as pd
-        x = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
-        ids = pdf["id"].to_numpy()
-        lab = _local_rac(x, threshold)
-        mins = pd.Series(ids).groupby(lab).transform("min").to_numpy()
-        return pd.DataFrame({"id": ids.astype("int64"), "cluster": mins.astype("int64")})
-
-    small = (tagged.filter(F.col("csize") <= local_rows).select("comp", "id", "vec")
-             .groupBy("comp").applyInPandas(local, "id long, cluster long"))
-    big_ids = tagged.filter(F.col("csize") > local_rows).select("id", "vec")
+        if vp.empty:
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "cluster": pd.Series([], dtype="int64")})
+        ids = vp["id"].to_numpy().astype(np.int64)
+        x = np.vstack(vp["vec"].to_numpy()).astype(np.float64)
+        pos = pd.Series(np.arange(len(ids)), index=ids)
+        ea = pos.loc[ep["a"].to_numpy()].to_numpy() if len(ep) else np.array([], dtype=np.int64)
+        eb = pos.loc[ep["b"].to_numpy()].to_numpy() if len(ep) else np.array([], dtype=np.int64)
+        lab = _local_rac(ids, x, ea, eb, threshold)
+        return pd.DataFrame({"id": ids, "cluster": lab})
+
+    small = (small_v.groupBy("comp").cogroup(small_e.groupBy("comp"))
+             .applyInPandas(local, "id long, cluster long"))
+    big_ids = tagged.filter(~F.col("local")).select("id", "vec")
     if big_ids.limit(1).count() == 0:
         return small
     big_edges = edges.join(big_ids.select(F.col("id").alias("a")), "a", "left_semi")

@@ -84,3 +84,25 @@ def test_incremental_harvest_is_idempotent(spark):
     n1 = spark.read.parquet(store).count()
     incremental_harvest(spark, os.path.join(landed, "*"), store, ckpt)   # restart: nothing new
     assert n1 == 6 and spark.read.parquet(store).count() == 6
+
+
+def test_silence_canary_timer(spark):
+    from cairn.streaming.canary import stream_silence_canary
+    day = 86400
+    t0 = 1_800_000_000
+    rows = [(1, "send", i, "storage", t0 + i * day) for i in range(5)]          # five unanswered sends
+    rows += [(2, "send", 100, "compilers", t0), (2, "reply", None, None, t0 + day)]
+    later = [(2, "send", 101, "compilers", t0 + 30 * day)]                      # traffic that moves the clock
+    schema = "subscriber_id long, kind string, idea_id long, domain string, ts_s long"
+    d = land(spark, [pd.DataFrame(rows, columns=["subscriber_id", "kind", "idea_id", "domain", "ts_s"]),
+                     pd.DataFrame(later, columns=["subscriber_id", "kind", "idea_id", "domain", "ts_s"])], schema)
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "*"))
+              .withColumn("ts", F.timestamp_seconds("ts_s")).drop("ts_s"))
+    out = []
+    ckpt = tempfile.mkdtemp(prefix="cairn-stream-")
+    q = (stream_silence_canary(stream).writeStream.outputMode("append").option("checkpointLocation", ckpt)
+         .foreachBatch(lambda b, i: out.extend(r.asDict() for r in b.collect())).trigger(availableNow=True).start())
+    q.awaitTermination()
+    fired = [r for r in out if r["subscriber_id"] == 1]
+    assert len(fired) == 1 and fired[0]["n_unanswered"] == 5 and fired[0]["breakdown"] == "storage x5"
+    assert not [r for r in out if r["subscriber_id"] == 2]

@@ -131,10 +131,11 @@ def top_theme_per_domain(themes: DataFrame, members: DataFrame, used_ids: DataFr
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"  # maximal runs of 2+ word characters
 LABEL_TERMS = 5
 MAX_FEATURES = 4000
+ID_CHUNK = 4096
 
 
 def tfidf_labels(member_text: DataFrame, stop_words: list[str] | None = None, theme: str = "theme",
-                 max_features: int = MAX_FEATURES, top_k: int = LABEL_TERMS) -> DataFrame:
+                 max_features: int = MAX_FEATURES, top_k: int = LABEL_TERMS, id_chunk: int = ID_CHUNK) -> DataFrame:
     """E5: one document per theme (its members' texts joined by a space, in id
     order); lower-cased word tokens, stop words removed, then 1- and 2-grams (a
     bigram may span two consecutive members, as in the joined text); the corpus
@@ -156,11 +157,19 @@ def tfidf_labels(member_text: DataFrame, stop_words: list[str] | None = None, th
     grams = toks.select("theme", F.explode(F.concat("t", inner)).alias("term"))
     # bigrams across member boundaries: last token of a member + first token of the
     # next non-empty member of the same theme
-    ends = toks.filter(n > 0).select("theme", "id", F.element_at("t", -1).alias("last"),
-                                     F.element_at("t", 1).alias("first"))
-    w = Window.partitionBy("theme").orderBy("id")
-    cross = (ends.withColumn("nxt", F.lead("first").over(w)).filter(F.col("nxt").isNotNull())
-             .select("theme", F.concat("last", F.lit(" "), "nxt").alias("term")))
+    # Two levels so no window ever holds a whole theme: consecutive members inside
+    # an id chunk, then consecutive non-empty chunks (one summary row per chunk).
+    ends = toks.filter(n > 0).select("theme", "id", (F.col("id") / F.lit(id_chunk)).cast("long").alias("chunk"),
+                                     F.element_at("t", -1).alias("last"), F.element_at("t", 1).alias("first"))
+    w_in = Window.partitionBy("theme", "chunk").orderBy("id")
+    inner_b = (ends.withColumn("nxt", F.lead("first").over(w_in)).filter(F.col("nxt").isNotNull())
+               .select("theme", F.concat("last", F.lit(" "), "nxt").alias("term")))
+    chunks = ends.groupBy("theme", "chunk").agg(F.min_by("first", "id").alias("c_first"),
+                                                F.max_by("last", "id").alias("c_last"))
+    w_ch = Window.partitionBy("theme").orderBy("chunk")
+    edge_b = (chunks.withColumn("nxt", F.lead("c_first").over(w_ch)).filter(F.col("nxt").isNotNull())
+              .select("theme", F.concat("c_last", F.lit(" "), "nxt").alias("term")))
+    cross = inner_b.unionByName(edge_b)
     tf = grams.unionByName(cross).groupBy("theme", "term").agg(F.count("*").alias("tf"))
     vocab = (tf.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count("*").alias("df"))
              .orderBy(F.col("ctf").desc(), F.col("term")).limit(max_features))

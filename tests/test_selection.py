@@ -89,3 +89,13 @@ def test_rebuild_clusters_near_duplicates(spark):
     assert sizes == [3, 3, 3, 3]
     keys = ev.theme_keys(lab.select(F.col("cluster").cast("string").alias("theme"), "id"))
     assert keys.filter("size = 3").count() == 4
+
+
+def test_tfidf_labels_chunking_is_invisible(spark):
+    texts = ["raft consensus broke", "", "consensus raft again", "leader election flapped",
+             "disk fsync latency", "fsync latency spikes", "latency latency disk"]
+    rows = [("a" if i < 4 else "b", i, t) for i, t in enumerate(texts)]
+    mt = spark.createDataFrame(rows, "theme string, id long, text string")
+    one = {r.theme: r.label for r in ev.tfidf_labels(mt).collect()}
+    tiny = {r.theme: r.label for r in ev.tfidf_labels(mt, id_chunk=1).collect()}
+    assert one == tiny and "raft" in one["a"] and "fsync latency" in one["b"]

@@ -35,20 +35,61 @@ def first_verdict(verdicts: DataFrame) -> DataFrame:
     ).select("idea_id", "first.verdict", "first.ts", "first.message_id")
 
 
-def weight_fold(verdicts: DataFrame, idea_signal: DataFrame, steps: dict[str, float] = WEIGHT_STEP) -> DataFrame:
+def _compose(acc, x):
+    """Clamped-multiply steps compose: doing (F1, L1, H1) then (F2, L2, H2), each
+    meaning w -> min(H, max(L, F * w)), is (F1*F2, min(max(F2*L1, L2), H2),
+    max(min(F2*H1, H2), L2))."""
+    return F.struct((acc["f"] * x["f"]).alias("f"),
+                    F.least(F.greatest(x["f"] * acc["lo"], x["lo"]), x["hi"]).alias("lo"),
+                    F.greatest(F.least(x["f"] * acc["hi"], x["hi"]), x["lo"]).alias("hi"),
+                    (acc["n"] + x["n"]).alias("n"))
+
+
+def weight_fold(verdicts: DataFrame, idea_signal: DataFrame, steps: dict[str, float] = WEIGHT_STEP,
+                partitions: int | None = None) -> DataFrame:
     """Each verdict multiplies the weight of every signal its idea cited by the
-    verdict's step, clamping to [0.1, 4.0] after *each* step (order-dependent, so
-    the fold runs in (ts, seq) order per signal). Start weight 1.0."""
+    verdict's step, clamping to [0.1, 4.0] after *each* step, in (ts, seq) order;
+    start weight 1.0.
+
+    The fold is order-dependent but associative: a run of clamped multiplications
+    is itself one clamped multiplication (see ``_compose``). Steps are therefore
+    range-partitioned on (signal, ts, seq) -- which also splits a hot signal over
+    many tasks -- each partition folds its contiguous runs in order, and the
+    per-partition results (at most one per partition a signal spans) are composed
+    in range order. No group ever holds a signal's whole history."""
     step = F.create_map(*[x for k, v in steps.items() for x in (F.lit(k), F.lit(v))])
     per_signal = (verdicts.join(idea_signal, "idea_id")
                   .select("id", "ts", "seq", step[F.col("verdict")].alias("factor"))
                   .filter(F.col("factor").isNotNull()))
-    folded = per_signal.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("ts", "seq", "factor"))).alias("steps"))
-    return folded.select("id", F.aggregate(
-        F.transform("steps", lambda s: s["factor"]), F.lit(1.0),
-        lambda w, f: tx.clamp_mul(w, f, WEIGHT_MIN, WEIGHT_MAX)).alias("weight"),
-        F.size("steps").alias("n_steps"))
+    n_parts = partitions or int(per_signal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = per_signal.repartitionByRange(n_parts, "id", "ts", "seq").sortWithinPartitions("id", "ts", "seq")
+
+    def runs(batches):
+        import pandas as pd
+        lo_c, hi_c = WEIGHT_MIN, WEIGHT_MAX
+        out = []
+        cur = None
+        for pdf in batches:
+            for i, ts, seq, f in zip(pdf["id"], pdf["ts"], pdf["seq"], pdf["factor"]):
+                if cur is None or cur[0] != i:
+                    if cur is not None:
+                        out.append(cur)
+                    cur = [int(i), int(ts), int(seq), 1.0, float("-inf"), float("inf"), 0]
+                _, _, _, fa, la, ha, n = cur
+                f = float(f)
+                cur[3:] = [fa * f, min(max(f * la, lo_c), hi_c), max(min(f * ha, hi_c), lo_c), n + 1]
+        if cur is not None:
+            out.append(cur)
+        if out:
+            yield pd.DataFrame(out, columns=["id", "ts", "seq", "f", "lo", "hi", "n"])
+
+    parts = ordered.mapInPandas(runs, "id long, ts long, seq long, f double, lo double, hi double, n long")
+    folded = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "f", "lo", "hi", "n"))).alias("p"))
+    ident = F.struct(F.lit(1.0).alias("f"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"),
+                     F.lit(0).cast("long").alias("n"))
+    total = F.aggregate("p", ident, _compose)
+    return folded.select("id", F.least(total["hi"], F.greatest(total["lo"], total["f"] * F.lit(1.0))).alias("weight"),
+                         total["n"].cast("int").alias("n_steps"))
 
 
 def latest_control(controls: DataFrame, key: str = "subscriber_id") -> DataFrame:

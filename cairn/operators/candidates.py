@@ -106,7 +106,8 @@ def gate_funnel(cands: DataFrame, packets: DataFrame, nearest, judgements: DataF
     text = tx.idea_text(F.try_variant_get(F.col("body"), "$.title", "string"),
                         F.try_variant_get(F.col("body"), "$.one_liner", "string"),
                         F.try_variant_get(F.col("body"), "$.problem", "string"))
-    s1 = (cands.join(packets.select("domain", "urls"), "domain", "left")
+    from .util import bounded_broadcast
+    s1 = (cands.join(bounded_broadcast(packets.select("domain", "urls")), "domain", "left")
           .select("candidate_id", "domain", "body", (F.size(kept) >= 2).alias("g_ok"),
                   shape_check(F.col("body")).alias("shape"), (text != "").alias("has_text")))
     # the vector join only for candidates that survived the cheap stages

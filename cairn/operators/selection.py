@@ -91,7 +91,9 @@ def domain_rotation(slots: DataFrame, cursor: int, n_domains: int, ideas: int =
 def citation_grounding(candidates: DataFrame, packets: DataFrame, minimum: int = 2) -> DataFrame:
     """Keep cited urls that were supplied in the domain's packet (duplicates
     kept and counted); fewer than ``minimum`` kept -> ungrounded."""
-    j = candidates.join(packets.select("domain", F.col("urls").alias("supplied")), "domain", "left")
+    from .util import bounded_broadcast
+    # packets: at most one row per domain (a parameter-sized dimension), size-checked
+    j = candidates.join(bounded_broadcast(packets.select("domain", F.col("urls").alias("supplied"))), "domain", "left")
     supplied = F.coalesce(F.col("supplied"), F.array().cast("array<string>"))
     kept = F.filter(F.coalesce("evidence_refs", F.array().cast("array<string>")),
                     lambda u: F.array_contains(supplied, u))

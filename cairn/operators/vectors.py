@@ -122,8 +122,12 @@ def nearest_prior(queries: DataFrame, ledger: DataFrame, dim: int, threshold: fl
     queries(qid, vec); ledger(ord, title, vec). Exact, block-partitioned."""
     led = ledger.filter(F.size("vec") == dim).select(F.col("ord").alias("id"), "title", "vec")
     q = queries.select(F.col("qid").alias("id"), "vec")
-    nl = _blocks(led.count(), block_rows)
-    nq = _blocks(q.count(), block_rows)
+    n_led, n_q = led.count(), q.count()
+    nl = _blocks(n_led, block_rows)
+    # A query block is at least as large as the ledger block, so copying every
+    # ledger block once per query block never moves more rows than the queries
+    # themselves; inside a group the scoring runs in chunks of ``block_rows``.
+    nq = _blocks(n_q, max(block_rows, min(n_led, 64 * block_rows)))
     lb = F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int")
     qb = F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")
     # every query block meets every ledger block once: (qblk, lblk) groups
@@ -141,17 +145,19 @@ def nearest_prior(queries: DataFrame, ledger: DataFrame, dim: int, threshold: fl
         if lq.empty or ll.empty:
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "ord": pd.Series([], dtype="int64"),
                                  "title": pd.Series([], dtype="object"), "sim": pd.Series([], dtype="float64")})
-        xq = np.vstack(lq["vec"].to_numpy()).astype(np.float64)
         xl = np.vstack(ll["vec"].to_numpy()).astype(np.float64)
-        sims = xq @ xl.T
         ords = ll["id"].to_numpy()
-        # max sim, earliest ord among ties
-        order = np.lexsort((ords,))
-        sims_o = sims[:, order]
-        j = np.argmax(sims_o, axis=1)
-        pick = order[j]
-        return pd.DataFrame({"qid": lq["id"].to_numpy().astype("int64"), "ord": ords[pick].astype("int64"),
-                             "title": ll["title"].to_numpy()[pick], "sim": sims[np.arange(len(pick)), pick]})
+        order = np.argsort(ords, kind="stable")   # max sim, earliest ord among ties
+        xl, ords, titles = xl[order], ords[order], ll["title"].to_numpy()[order]
+        qv, qid = lq["vec"].to_numpy(), lq["id"].to_numpy()
+        outs = []
+        for a in range(0, len(qv), block_rows):
+            xq = np.vstack(qv[a:a + block_rows]).astype(np.float64)
+            sims = xq @ xl.T
+            j = np.argmax(sims, axis=1)
+            outs.append(pd.DataFrame({"qid": qid[a:a + block_rows].astype("int64"), "ord": ords[j].astype("int64"),
+                                      "title": titles[j], "sim": sims[np.arange(len(j)), j]}))
+        return pd.concat(outs, ignore_index=True)
 
     per_block = both.groupBy("qblk", "lblk").applyInPandas(best, "qid long, ord long, title string, sim double")
     top = per_block.groupBy("qid").agg(F.max_by(F.struct("ord", "title", "sim"),

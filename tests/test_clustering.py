@@ -67,3 +67,21 @@ def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 6)] + [(8, 9)], "a long, b long")
     got = dict(cl.connected_components(nodes, edges).collect())
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 7, 8: 8, 9: 8}
+
+
+def test_nearest_prior_blocks_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    led = rng.normal(size=(23, 5))
+    led /= np.linalg.norm(led, axis=1, keepdims=True)
+    led[7] = led[3]                                   # tie: the earlier ledger entry must win
+    qs = rng.normal(size=(41, 5))
+    qs /= np.linalg.norm(qs, axis=1, keepdims=True)
+    qs[0] = led[3]
+    ledger = spark.createDataFrame([(i, f"t{i}", [float(v) for v in r]) for i, r in enumerate(led)] +
+                                   [(99, "bad", [1.0, 0.0])], "ord long, title string, vec array<float>")
+    queries = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(qs)], "qid long, vec array<float>")
+    sims = qs.astype(np.float32).astype(np.float64) @ led.astype(np.float32).astype(np.float64).T
+    for block in (4, 1000):
+        got = {r.qid: (r.nearest_ord, r.duplicate) for r in vx.nearest_prior(queries, ledger, 5, block_rows=block).collect()}
+        want = {i: (int(np.argmax(sims[i])), bool(sims[i].max() >= 0.75)) for i in range(41)}
+        assert got == want and got[0] == (3, True)

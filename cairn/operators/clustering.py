@@ -39,6 +39,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = M
     smallest id in the component."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = _cut(nodes.select("id", F.col("id").alias("comp")), "cc")
+    # labels only ever decrease, so the label sum is unchanged iff no label changed
+    total = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
     for _ in range(max_rounds):
         msgs = both.join(labels.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), "comp")
         prop = labels.unionByName(msgs).groupBy("id").agg(F.min("comp").alias("comp"))
@@ -46,12 +48,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = M
         parent = prop.select(F.col("id").alias("comp"), F.col("comp").alias("pcomp"))
         jumped = prop.join(parent, "comp", "left").select(
             "id", F.least("comp", F.coalesce("pcomp", "comp")).alias("comp"))
-        jumped = _cut(jumped, "cc")
-        changed = (jumped.join(labels.withColumnRenamed("comp", "old"), "id")
-                   .filter(F.col("comp") != F.col("old")).limit(1).count())
-        labels = jumped
-        if changed == 0:
+        labels = _cut(jumped, "cc")
+        new_total = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
+        if new_total == total:
             break
+        total = new_total
     return labels
 
 
@@ -156,9 +157,9 @@ def average_linkage(vecs: DataFrame, threshold: float, edges: DataFrame | None =
              .applyInPandas(local, "id long, cluster long"))
     big_ids = tagged.filter(~F.col("local")).select("id", "vec")
     if big_ids.limit(1).count() == 0:
-        return small
+        return _cut(small, "clusters")   # written once: consumers read it several times
     big_edges = edges.join(big_ids.select(F.col("id").alias("a")), "a", "left_semi")
-    return small.unionByName(_rac_rounds(big_ids, threshold, big_edges, max_rounds))
+    return _cut(small.unionByName(_rac_rounds(big_ids, threshold, big_edges, max_rounds)), "clusters")
 
 
 def _rac_rounds(vecs: DataFrame, threshold: float, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:

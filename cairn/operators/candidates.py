@@ -234,3 +234,25 @@ def prior_art_rank(results: DataFrame, attempts: DataFrame, keep: int = PRIOR_AR
                          "url", F.coalesce("archived", F.lit(False)).alias("archived"),
                          F.left(F.coalesce("pushed_at", F.lit("")), F.lit(10)).alias("pushed_at")
                          ).join(ok, "idea_id", "left")
+
+
+# ---- FIXED VALUES: the two non-list renderings of the prior-art block ----
+SEARCH_UNAVAILABLE = ("SEARCH UNAVAILABLE -- the repository search failed. Do NOT "
+                      "conclude the field is clear; treat prior art as unknown and say so.")
+NO_MATCHES = "(no repositories matched the search terms)"
+
+
+def prior_art_block(ranked: DataFrame, ideas: DataFrame) -> DataFrame:
+    """E10 rendering per idea: the failed-search notice, the no-match line, or one
+    line per ranked repo ('- name (N stars, last push D[, ARCHIVED]): description').
+    ``ranked`` is ``prior_art_rank`` output; ``ideas(idea_id, searched_ok)``."""
+    line = F.concat(F.lit("- "), F.col("name"), F.lit(" ("), F.col("stars").cast("string"), F.lit(" stars, last push "),
+                    F.col("pushed_at"), F.when(F.col("archived"), F.lit(", ARCHIVED")).otherwise(F.lit("")),
+                    F.lit("): "), F.col("description"))
+    lines = ranked.groupBy("idea_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]),
+                     "\n").alias("listing"))
+    j = ideas.join(lines, "idea_id", "left")
+    text = (F.when(~F.coalesce(F.col("searched_ok"), F.lit(False)), F.lit(SEARCH_UNAVAILABLE))
+            .when(F.col("listing").isNull(), F.lit(NO_MATCHES)).otherwise(F.col("listing")))
+    return j.select("idea_id", text.alias("prior_art"))

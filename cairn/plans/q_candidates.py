@@ -358,7 +358,7 @@ def _attempts(spark):
                     (~(((F.col("idea_id") % 7 == 0) & (F.col("query_ord") == 1)) | (F.col("idea_id") % 13 == 0))).alias("ok"))
 
 
-@register(sql="""
+PRIOR_ART_SQL = """
 WITH r AS (
   SELECT p_partkey % 40 AS idea_id, (p_partkey // 40) % 3 AS query_ord, p_partkey // 120 AS pos,
          lower(p_brand) || '/' || replace(lower(p_type), ' ', '-') AS name, CAST(p_size AS BIGINT) AS stars,
@@ -379,8 +379,31 @@ SELECT r.idea_id, r.rank,
        left(regexp_replace(trim(regexp_replace(coalesce(r.description, ''), '\\s+', ' ', 'g')),
             '(?i)</?\\s*(evidence|instructions?|system|assistant|human)\\s*>', '', 'g'), 200) AS description,
        r.url, coalesce(r.archived, false) AS archived, left(coalesce(r.pushed_at, ''), 10) AS pushed_at, o.searched_ok
-FROM ranked r LEFT JOIN okq o USING (idea_id)""")
+FROM ranked r LEFT JOIN okq o USING (idea_id)"""
+
+
+@register(sql=PRIOR_ART_SQL)
 def q_prior_art_rank(spark, sf):
     out = cd.prior_art_rank(_results(spark, sf), _attempts(spark))
     return out.select("idea_id", F.col("rank").cast("long").alias("rank"), "name", "stars", "description", "url",
                       "archived", "pushed_at", "searched_ok")
+
+
+
+
+@register(sql=PRIOR_ART_SQL.replace("FROM ranked r LEFT JOIN okq o USING (idea_id)",
+    "FROM ranked r LEFT JOIN okq o USING (idea_id)), ideas AS (SELECT idea_id, searched_ok FROM okq") .replace(
+    "SELECT r.idea_id, r.rank,", ", rr AS (SELECT r.idea_id, r.rank,", 1) + f""")
+SELECT i.idea_id, CASE WHEN NOT coalesce(i.searched_ok, false) THEN {q(cd.SEARCH_UNAVAILABLE)}
+                       WHEN l.listing IS NULL THEN {q(cd.NO_MATCHES)} ELSE l.listing END AS prior_art
+FROM ideas i LEFT JOIN (
+  SELECT idea_id, string_agg('- ' || name || ' (' || CAST(stars AS VARCHAR) || ' stars, last push ' || pushed_at
+                             || CASE WHEN archived THEN ', ARCHIVED' ELSE '' END || '): ' || description,
+                             chr(10) ORDER BY rank) AS listing
+  FROM rr GROUP BY 1) l USING (idea_id)""")
+def q_prior_art_block(spark, sf):
+    """E10 rendering: the three cases of the prior-art block per idea."""
+    ranked = cd.prior_art_rank(_results(spark, sf), _attempts(spark))
+    ideas = _attempts(spark).groupBy("idea_id").agg(
+        ((F.count("*") > 0) & (F.count_if(~F.col("ok")) < F.count("*"))).alias("searched_ok"))
+    return cd.prior_art_block(ranked, ideas)

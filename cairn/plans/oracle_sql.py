@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from .. import NOW
 from ..functions.lexicons import FIXTURE_DOMAINS
 from .oracle import EVIDENCE_CTE, FOLD, RAW_SIGNAL, SIGNAL, hits_sql, q, with_
 

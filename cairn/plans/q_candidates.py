@@ -16,7 +16,6 @@ from ..operators import selection as sel
 from ..operators import vectors as vx
 from ..operators.util import materialize
 from ..sources.tables import table
-from . import fixtures as fx
 from .oracle import EVIDENCE_CTE, PACKET_CTE, SIGNAL, TOP_CTE, q, with_
 from .q_select import packet_inputs
 from .registry import register

@@ -17,8 +17,8 @@ from ..operators import review as rv
 from ..operators import vectors as vx
 from ..sources.tables import table
 from . import fixtures as fx
-from .oracle import REPLIES, REVIEW_LOG, q, with_
-from .q_candidates import DOC_CANDS, Both, _truthy, case, cat, doc_candidates, idc, lit, shape_sql
+from .oracle import REVIEW_LOG, q, with_
+from .q_candidates import DOC_CANDS, _truthy, case, doc_candidates, idc, lit, shape_sql
 from .q_review import LEECH, LIMIT, NOW_R
 from .q_vectors import CACHE_MODEL, cache_fixture
 from .registry import register

@@ -129,6 +129,12 @@ def average_linkage(vecs: DataFrame, threshold: float, edges: DataFrame | None =
     if edges is None:
         edges = similar_pairs(vecs, threshold)
     edges = _cut(edges.select("a", "b"), "edges")
+    n_vecs = vecs.count()
+    if n_vecs <= local_rows and edges.limit(local_edges + 1).count() <= local_edges:
+        # the whole graph is within the bound of one component: no labelling rounds
+        return _cut(_local_groups(vecs.select(F.lit(0).cast("long").alias("comp"), "id", "vec"),
+                                  edges.select("a", "b", F.lit(0).cast("long").alias("comp")), threshold),
+                    "clusters")
     comps = connected_components(vecs.select("id"), edges)
     ecomp = comps.select(F.col("id").alias("a"), F.col("comp").alias("ecomp"))
     esize = edges.join(ecomp, "a").groupBy("ecomp").agg(F.count("*").alias("esize"))
@@ -139,7 +145,17 @@ def average_linkage(vecs: DataFrame, threshold: float, edges: DataFrame | None =
                   .withColumn("local", local_ok), "tagged")
     small_v = tagged.filter("local").select("comp", "id", "vec")
     small_e = edges.join(tagged.filter("local").select(F.col("id").alias("a"), F.col("comp").alias("comp")), "a")
+    small = _local_groups(small_v, small_e, threshold)
+    big_ids = tagged.filter(~F.col("local")).select("id", "vec")
+    if big_ids.limit(1).count() == 0:
+        return _cut(small, "clusters")   # written once: consumers read it several times
+    big_edges = edges.join(big_ids.select(F.col("id").alias("a")), "a", "left_semi")
+    return _cut(small.unionByName(_rac_rounds(big_ids, threshold, big_edges, max_rounds)), "clusters")
+
 
+def _local_groups(vecs: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """Exact linkage per bounded group: ``vecs(comp, id, vec)`` cogrouped with
+    ``edges(a, b, comp)`` by ``comp``."""
     def local(vp, ep):
         import numpy as np
         import pandas as pd
@@ -150,16 +166,9 @@ def average_linkage(vecs: DataFrame, threshold: float, edges: DataFrame | None =
         pos = pd.Series(np.arange(len(ids)), index=ids)
         ea = pos.loc[ep["a"].to_numpy()].to_numpy() if len(ep) else np.array([], dtype=np.int64)
         eb = pos.loc[ep["b"].to_numpy()].to_numpy() if len(ep) else np.array([], dtype=np.int64)
-        lab = _local_rac(ids, x, ea, eb, threshold)
-        return pd.DataFrame({"id": ids, "cluster": lab})
+        return pd.DataFrame({"id": ids, "cluster": _local_rac(ids, x, ea, eb, threshold)})
 
-    small = (small_v.groupBy("comp").cogroup(small_e.groupBy("comp"))
-             .applyInPandas(local, "id long, cluster long"))
-    big_ids = tagged.filter(~F.col("local")).select("id", "vec")
-    if big_ids.limit(1).count() == 0:
-        return _cut(small, "clusters")   # written once: consumers read it several times
-    big_edges = edges.join(big_ids.select(F.col("id").alias("a")), "a", "left_semi")
-    return _cut(small.unionByName(_rac_rounds(big_ids, threshold, big_edges, max_rounds)), "clusters")
+    return vecs.groupBy("comp").cogroup(edges.groupBy("comp")).applyInPandas(local, "id long, cluster long")
 
 
 def _rac_rounds(vecs: DataFrame, threshold: float, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:

@@ -270,7 +270,7 @@ def q_theme_rebuild(spark, sf):
     v = materialize(v.select("id", "vec"), "signal_vec")
     lab = cl.average_linkage(v, REBUILD_DISTANCE)
     mem = lab.select(F.col("cluster").cast("string").alias("theme"), "id")
-    th = ev.build_themes(mem, sig, NOW)
+    th = materialize(ev.build_themes(mem, sig, NOW), "themes")   # read twice below
     mt = mem.join(sig.select("id", "title", "text"), "id").select(
         "theme", "id", tx.embed_text(F.col("title"), F.col("text")).alias("text"))
     labels = ev.tfidf_labels(mt.join(th.select("theme"), "theme"))

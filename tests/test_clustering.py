@@ -45,9 +45,11 @@ def test_average_linkage_matches_brute_force(spark, seed, t):
     want = brute_average_linkage(x.astype(np.float64), t)
     got = as_partition(cl.average_linkage(df, t).select("id", "cluster").collect())
     assert got == want
-    # the same clusters when every component takes the distributed rounds
-    got = as_partition(cl.average_linkage(df, t, local_rows=0).select("id", "cluster").collect())
-    assert got == want
+    # the same clusters per component (small bound) and when every component
+    # takes the distributed rounds
+    for bound in (10, 0):
+        got = as_partition(cl.average_linkage(df, t, local_rows=bound).select("id", "cluster").collect())
+        assert got == want
 
 
 def test_similar_pairs_small_blocks_equal_one_block(spark):

@@ -84,8 +84,7 @@ def q_theme_keys(spark, sf):
 
 
 def themes(spark, sf):
-    sig, mem, _ = _rows(spark, sf)
-    return sig, mem, ev.build_themes(mem, sig, NOW)
+    return fx.theme_tables(spark, sf)
 
 
 @register

@@ -152,3 +152,25 @@ def review_state(spark: SparkSession, sf: str) -> DataFrame:
     return agg.select("learner_id", "deck", "card_id", "reps", "fails",
                       F.greatest(F.col("fails") - 1, F.lit(0)).alias("lapses"), "last_utc",
                       (F.col("last_utc") + 86400 * (F.col("reps") - 2 * F.col("fails"))).alias("due_utc"))
+
+
+_THEME_TABLES: dict = {}
+
+
+def theme_tables(spark: SparkSession, sf: str):
+    """(signal, members, themes) where members and themes are the stored output of
+    the theme build over the given clusters -- written once per session and input
+    folder, like the theme / theme_member tables that ideation reads."""
+    import os
+
+    from .. import NOW
+    from ..operators.evidence import build_themes
+    sig = signal(spark, sf)
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
+    paths = _THEME_TABLES.get(key)
+    if paths is None:
+        mem_path = write_table(members(spark, sf, sig), "theme_member")
+        mem = spark.read.parquet(mem_path)
+        paths = (mem_path, write_table(build_themes(mem, sig, NOW), "theme"))
+        _THEME_TABLES[key] = paths
+    return sig, spark.read.parquet(paths[0]), spark.read.parquet(paths[1])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import NOW
 from ..functions.lexicons import FIXTURE_DOMAINS
 from ..operators import evidence as ev
 from ..operators import selection as sel
@@ -14,9 +13,7 @@ from .registry import register
 
 
 def packet_inputs(spark, sf):
-    sig = fx.signal(spark, sf)
-    mem = fx.members(spark, sf, sig)
-    th = ev.build_themes(mem, sig, NOW)
+    sig, mem, th = fx.theme_tables(spark, sf)
     used = fx.used_ids(sig)
     top = ev.top_theme_per_domain(th, mem, used)
     rows = sel.gather_evidence(top, mem, sig, used)

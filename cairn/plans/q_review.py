@@ -115,15 +115,18 @@ def q_budget_split(spark, sf):
 
 
 @register(sql="""
-SELECT 'missing' AS kind, c_custkey AS key FROM customer c
+WITH cards AS (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'AUTOMOBILE')
+SELECT 'missing' AS kind, c_custkey AS key FROM cards c
 WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)
 UNION ALL
 SELECT DISTINCT 'orphan' AS kind, o_custkey AS key FROM orders o
-WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)""")
+WHERE NOT EXISTS (SELECT 1 FROM cards c WHERE c.c_custkey = o.o_custkey)""")
 def q_orphans(spark, sf):
-    """D4 both directions: deck cards (customers) with no review row (orders), and
-    review rows whose card is gone."""
-    cards = table(spark, sf, "customer").select(F.lit("c").alias("deck"), F.col("c_custkey").alias("card_id"))
+    """D4 both directions: deck cards (customers; the AUTOMOBILE segment was retired
+    from the deck) with no review row (orders), and review rows whose card is gone."""
+    cust = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    cards = cust.filter(F.col("c_mktsegment") != "AUTOMOBILE").select(
+        F.lit("c").alias("deck"), F.col("c_custkey").alias("card_id"))
     rev = table(spark, sf, "orders").select(F.lit("c").alias("deck"), F.col("o_custkey").alias("card_id"))
     missing = rv.register_missing(cards, rev).select(F.lit("missing").alias("kind"), F.col("card_id").alias("key"))
     orph = rv.orphans(rev, cards).select(F.lit("orphan").alias("kind"), F.col("card_id").alias("key")).distinct()

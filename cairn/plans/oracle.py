@@ -117,6 +117,7 @@ replies AS (
          CASE turn % 4 WHEN 0 THEN 'Re: ideas — ' || left(text, 20) WHEN 1 THEN 'RE: Fwd: prep - 7 due'
               WHEN 2 THEN 'aw:sv: ' || left(text, 30) ELSE left(text, 40) END AS subject,
          text || CASE WHEN turn % 3 = 0 THEN ' solved in ' || CAST(conv_id % 90 + 1 AS VARCHAR) || 'm' ELSE '' END
+              || CASE WHEN turn % 7 = 2 THEN chr(10) || 'stop ideas' ELSE '' END
               || CASE conv_id % 6
                    WHEN 0 THEN chr(10) || chr(10) || 'On Mon, 17 Aug 2026 at 07:03, ideas wrote:' || chr(10) || '> earlier digest text'
                    WHEN 1 THEN chr(10) || '--- reply above this line ---' || chr(10) || 'name it first, one per line'

@@ -76,15 +76,15 @@ def card_problems(spark, sf):
 
 @register
 def q_problem_rotation(spark, sf):
-    """F7 over the weighted picks: learners get a problem of each picked card they
-    have not been given yet (the given log: part names whose key % 7 matches)."""
+    """F7 over the weighted picks: each learner gets one problem of each picked card,
+    preferring problems not given before. The given log: about a third of each
+    picked card's problems (chosen by hash) were handed out earlier."""
     picks = rv.weighted_draw(fx.review_state(spark, sf), 3)
     cp = card_problems(spark, sf)
-    learners = picks.select("learner_id").distinct()
-    p = table(spark, sf, "part").select("p_partkey", "p_name")
-    given = (p.join(learners, (F.col("p_partkey") % 7) == (F.col("learner_id") % 7))
-             .select("learner_id", F.concat(F.lit("c"), (F.col("p_partkey") % 10).cast("string")).alias("card_id"),
-                     F.col("p_name").alias("problem")))
+    given = (picks.select("learner_id", "card_id").join(cp, "card_id")
+             .filter(F.conv(F.substring(rv.stable_rand("given", "learner_id", "problem"), 1, 4), 16, 10)
+                     .cast("int") % 3 == 0)
+             .select("learner_id", "card_id", "problem"))
     return rv.problem_rotation(picks, cp, given)
 
 

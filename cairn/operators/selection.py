@@ -83,9 +83,10 @@ def domain_rotation(slots: DataFrame, cursor: int, n_domains: int, ideas: int =
     gens_before = F.coalesce(F.sum((F.col("outcome") != "starved").cast("int")).over(w), F.lit(0))
     visited = (shipped_before < ideas) & (gens_before < ideas + 2)
     out = slots.select("*", step.alias("step"), visited.alias("visited"))
-    nxt = out.groupBy(run_key).agg(
-        ((F.lit(cursor) + F.sum(F.col("visited").cast("int"))).alias("next_cursor")))
-    return out.join(nxt, run_key)
+    # a window, not a join back: the run key can be a constant, and a join on a
+    # constant key is planned as a cross product
+    return out.withColumn("next_cursor", F.lit(cursor) + F.sum(F.col("visited").cast("int")).over(
+        Window.partitionBy(run_key)))
 
 
 def citation_grounding(candidates: DataFrame, packets: DataFrame, minimum: int = 2) -> DataFrame:

@@ -99,3 +99,15 @@ def test_tfidf_labels_chunking_is_invisible(spark):
     one = {r.theme: r.label for r in ev.tfidf_labels(mt).collect()}
     tiny = {r.theme: r.label for r in ev.tfidf_labels(mt, id_chunk=1).collect()}
     assert one == tiny and "raft" in one["a"] and "fsync latency" in one["b"]
+
+
+def test_domain_rotation_rules(spark):
+    # eight domains; from cursor 2: starved slots are free, stop after 3 shipped or 5 generated
+    outcomes = ["shipped", "starved", "starved", "rejected", "shipped", "starved", "shipped", "shipped"]
+    slots = spark.createDataFrame([(1, i, f"d{i}", o) for i, o in enumerate(outcomes)],
+                                  "run_id int, ord int, domain string, outcome string")
+    rows = sorted(sel.domain_rotation(slots, cursor=2, n_domains=8).collect(), key=lambda r: r.step)
+    visited = [r.domain for r in rows if r.visited]
+    # order from cursor 2: d2 starved, d3 rejected, d4 shipped, d5 starved, d6 shipped, d7 shipped -> stop
+    assert visited == ["d2", "d3", "d4", "d5", "d6", "d7"]
+    assert {r.next_cursor for r in rows} == {8}

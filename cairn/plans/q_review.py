@@ -53,7 +53,8 @@ def q_leeches(spark, sf):
 
 @register(sql=with_(REVIEW_LOG) + f"""
 SELECT learner_id, deck, count(*) AS total, count(*) FILTER (WHERE due_utc <= {NOW_R}) AS due,
-       coalesce(sum(reps), 0) AS reps, coalesce(sum(lapses), 0) AS lapses, coalesce(sum(fails), 0) AS fails
+       CAST(coalesce(sum(reps), 0) AS BIGINT) AS reps, CAST(coalesce(sum(lapses), 0) AS BIGINT) AS lapses,
+       CAST(coalesce(sum(fails), 0) AS BIGINT) AS fails
 FROM rev GROUP BY 1, 2""")
 def q_review_stats(spark, sf):
     st = rv.review_stats(fx.review_state(spark, sf), NOW_R)
@@ -168,7 +169,7 @@ head AS (
 @register(sql="WITH " + PAUSED_SQL + " SELECT subscriber_id, idea_id, position FROM head")
 def q_queue_head(spark, sf):
     h = dg.queue_head(_queue(spark, sf), _paused(spark, sf))
-    return h.select("subscriber_id", "idea_id", "position")
+    return h.select("subscriber_id", "idea_id", F.col("position").cast("long").alias("position"))
 
 
 TAKEN = [f"c{i}" for i in range(10)] + ["almond", "antique", "aquamarine"]

@@ -284,16 +284,20 @@ def node_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, star_
     for turn in range(star_rounds + 1):
         member = (groups.join(labels, "node", "left")
                   .select("key", "node", F.coalesce("label", "node").alias("label")))
+        order = F.xxhash64("node") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
         mixed = (member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                           F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")).alias("c"))
+                                           F.min(F.struct(order, "node", "label")).alias("c"))
                  .filter("lo <> hi"))
         if turn < star_rounds:
-            # one centre a group; of a node's centres the one it shares most groups with
+            # one centre a group. First the same order everywhere, and of a node's centres only the one
+            # it shares most groups with: this settles clear groups. Then another order in each group,
+            # and all centres of a node: at most one pair for each row of a group
             open_ = member.join(mixed.select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("other")),
                                 "key").filter("label <> other")
-            best = (open_.groupBy("node", "centre").agg(F.count("*").alias("n")).groupBy("node")
-                    .agg(F.max_by("centre", F.struct("n", "centre")).alias("centre")))
-            pairs = best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+            open_ = open_.groupBy("node", "centre").agg(F.count("*").alias("n"))
+            if turn == 0:
+                open_ = open_.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
+            pairs = open_.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
             pairs = _bounded(pairs, light, percent)
         else:
             open_ = materialize(member.join(mixed.select("key"), "key").join(light, "node"), "parity-open")

@@ -218,8 +218,8 @@ def _batches(frame, text: str):
 
 
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text: str = "text", threads: int = THREADS,
-           parity_bytes: int = PARITY_BYTES) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip, verified). ``model`` is a path on the driver; the
+           parity_bytes: int = PARITY_BYTES, keep: tuple = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids, round_trip, verified) and the columns ``keep``. ``model`` is a path on the driver; the
     file (a vocabulary, some hundred KB) goes along with the tasks."""
     ship_package(docs.sparkSession)
     with open(model, "rb") as f:
@@ -233,11 +233,13 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text: st
                 part = frame.iloc[a:b]
                 ids, back, seen = encode_texts(data.value, part["text"].tolist(), parity_bytes)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": [len(x) for x in ids],
-                                    "ids": ids, "round_trip": back, "verified": seen})
+                                    "ids": ids, "round_trip": back, "verified": seen}
+                                   | {c: part[c].to_numpy() for c in keep})
 
-    kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean, verified boolean")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *keep)
+    kinds = dict(d.dtypes)
+    return d.mapInPandas(run, f"doc_id {kinds['doc_id']}, n_tokens long, ids array<int>, round_trip boolean, "
+                              "verified boolean" + "".join(f", `{c}` {kinds[c]}" for c in keep))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:

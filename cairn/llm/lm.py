@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, materialize, release, ship_package, total_bytes
 
 FOLDS = 10              # fold 0 is held out; fold 1 is also the held-out part of the weights' EM
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 MAX_SHARDS = 1 << 18    # rows a block sends at most; a shard's share is a sum of hashes, never cut
 SMOOTH = 0.1
 BUCKETS = 42            # context counts 0, 1, 2-3, 4-7, ...

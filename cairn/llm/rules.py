@@ -95,6 +95,9 @@ def _covered(win: Column) -> Column:
     return let(win, count)
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+
+
 def _facts(text: Column, stop_words=STOP_WORDS) -> Column:
     """One struct of all counts of a text."""
     t = F.coalesce(text, F.lit(""))
@@ -106,9 +109,8 @@ def _facts(text: Column, stop_words=STOP_WORDS) -> Column:
             _n(F.size(w)).alias("n_words"),
             _n(F.length(F.regexp_replace(t, SPACE + "+", ""))).alias("word_chars"),
             _n(F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", ""))).alias("n_symbols"),
-            let(lines, lambda x: F.struct(_n(F.size(x)).alias("n_lines"),
-                                          _n(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup"))).alias("lines"),
-            _n(_covered(_windows(w))).alias("n_repeat_words"),
+            _n(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
+            _n(_covered(_windows(w))).alias("n_repeat_words"), _n(F.size(lines)).alias("n_lines"),
             _n(F.size(F.filter(w, lambda x: F.lower(x).isin(list(stop_words))))).alias("n_stop_words"))
 
     return let(words, of)
@@ -140,11 +142,9 @@ def measure(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text: str = "t
     """Counts and decision of every document: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, then n_lines, n_stop_words, failed_rules
     (names of the broken rules) and the columns ``keep`` adds (already aliased)."""
-    f = docs.select(F.col(id_col).alias("doc_id"), _facts(F.col(text), stop_words).alias("f"), *keep)
-    extra = [c for c in f.columns if c not in ("doc_id", "f")]
-    d = f.select("doc_id", *[F.col(f"f.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols")],
-                 F.col("f.lines.n_dup").alias("n_dup_lines"), F.col("f.n_repeat_words").alias("n_repeat_words"),
-                 F.col("f.lines.n_lines").alias("n_lines"), F.col("f.n_stop_words").alias("n_stop_words"), *extra)
+    # a generator: neither a later filter nor a projection can make Spark compute the counts twice
+    d = docs.select(F.col(id_col).alias("doc_id"), *keep, F.inline(F.array(_facts(F.col(text), stop_words))))
+    extra = [c for c in d.columns if c not in ("doc_id", *COUNTS)]
     base = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") >
                                              F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
     failed = F.filter(F.array(*[F.when(_breaks(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())

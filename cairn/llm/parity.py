@@ -5,7 +5,7 @@ two sets at the wanted similarity differ in D shingles at most. Their shingles a
 D + 1 + s parts, and the XOR of the hashes in a part is its parity sketch: XOR cancels common
 shingles, so each differing shingle changes at most one part, and by the pigeonhole principle at
 least 1 + s sketches of a linked pair are equal. Equal (band, part, sketch) rows give the
-candidates; a 256-bit parity sketch of the whole set, whose Hamming distance is a lower bound
+candidates; a 2048-bit parity sketch of the whole set, whose Hamming distance is a lower bound
 of the symmetric difference, drops most false ones; the rest are verified on the shingles.
 
 No link is lost. A part may be empty in many documents, so empty parts give no row; a set with more
@@ -36,7 +36,8 @@ from .common import materialize, release, ship_package
 WORDS, PERCENT = 4, 85
 SEEDS = 4
 STAR_ROUNDS = 2
-SKETCH_WORDS = 4
+SKETCH_WORDS = 32     # of a set's parity sketch
+FOLDED = 4             # of the same sketch folded, which goes along with candidate rows
 U64 = np.uint64
 _GOLD, _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -189,11 +190,10 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, sets: DataFrame, words: int) -> DataFrame:
-    """(node, n, sketch words, shingles) of the given nodes, from one document of each."""
+    """(node, n, p0.., sketch, shingles) of the given nodes, from one document of each."""
     chosen = sets.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("id"))
     texts = docs.join(chosen.select(F.col("id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")),
                       "left_semi")
-    sketch = [f"p{i}" for i in range(SKETCH_WORDS)]
 
     def run(batches):
         import pyarrow as pa
@@ -205,28 +205,34 @@ def node_sets(docs: DataFrame, nodes: DataFrame, sets: DataFrame, words: int) ->
                     found.append(s)
                     held += len(s)
                 if held > 1 << 20:
-                    yield _packed(pa, found, sketch)
+                    yield _packed(pa, found)
                     found, held = [], 0
             if found:
-                yield _packed(pa, found, sketch)
+                yield _packed(pa, found)
 
     rows = texts.select("text").mapInArrow(
-        run, "node long, n long, " + ", ".join(f"{c} long" for c in sketch) + ", shingles binary")
-    one = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *sketch, "shingles")])
+        run, "node long, n long, " + "".join(f"p{i} long, " for i in range(FOLDED)) + "sketch array<long>, shingles binary")
+    one = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in rows.columns if c != "node"])
     return one.join(nodes, "node", "left_semi")
 
 
-def _packed(pa, found, sketch):
-    marks = np.stack([parity_sketch(s) for s in found])
+def _packed(pa, found):
+    marks = np.stack([parity_sketch(x) for x in found])
+    folded = np.bitwise_xor.reduce(marks.reshape(len(found), -1, FOLDED), axis=1)     # parity of parities
     return pa.RecordBatch.from_arrays(
-        [pa.array([node_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())]
-        + [pa.array(marks[:, i]) for i in range(len(sketch))] + [pa.array([s.tobytes() for s in found], pa.binary())],
-        ["node", "n", *sketch, "shingles"])
+        [pa.array([node_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()),
+         *[pa.array(folded[:, i]) for i in range(FOLDED)], pa.array(list(marks), pa.list_(pa.int64())),
+         pa.array([x.tobytes() for x in found], pa.binary())],
+        ["node", "n", *[f"p{i}" for i in range(FOLDED)], "sketch", "shingles"])
 
 
-def _may_link(percent: int):
+def _may_link(percent: int, folded: bool):
     """The bounds that sizes and parity sketches set: the sets differ in hamming shingles at least."""
-    hamming = sum((F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    if folded:
+        hamming = sum((F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}"))) for i in range(FOLDED)), F.lit(0))
+    else:
+        differing = F.zip_with("a.sketch", "b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        hamming = F.aggregate(differing, F.lit(0), lambda total, x: total + x)
     least, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     return (least * 100 >= most * percent) & (hamming * (100 + percent) <= (least + most) * (100 - percent))
 
@@ -300,27 +306,30 @@ def node_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, star_
             pairs = open_.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
             pairs = _bounded(pairs, light, percent)
         else:
-            open_ = materialize(member.join(mixed.select("key"), "key").join(light, "node"), "parity-open")
+            open_ = materialize(member.join(mixed.select("key"), "key").join(light.drop("sketch"), "node"),
+                                "parity-open")
             a, b = open_.alias("a"), open_.alias("b")
             pairs = (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
-                            & _may_link(percent))
+                            & _may_link(percent, folded=True))
                      .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
+            pairs = _bounded(pairs, light, percent)
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "parity-pairs")
         if pairs.isEmpty() and turn < star_rounds:
             continue
         links = materialize(links.unionByName(verified(pairs, known, percent)), "parity-links")
         tested = tested.unionByName(pairs)
         labels = components(links)
+        release(spark)
     return labels
 
 
 def _bounded(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
-    cols = [c for c in light.columns if c != "node"]
+    cols = ["n", "sketch"]
     side = {s: light.select(F.col("node").alias(s), F.struct(*cols).alias(f"__{s}")) for s in "ab"}
     both = pairs.join(side["a"], "a").join(side["b"], "b")
     both = both.select(F.struct(F.col("a").alias("node"), "__a.*").alias("a"),
                        F.struct(F.col("b").alias("node"), "__b.*").alias("b"))
-    return both.filter(_may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    return both.filter(_may_link(percent, folded=False)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS,

@@ -23,8 +23,6 @@ from ..session import checkpoint_dir
 from .util import materialize
 from .vectors import similar_pairs, unit
 
-MAX_ROUNDS = 200
-_DEBUG = False
 
 
 def _cut(df: DataFrame, name: str) -> DataFrame:
@@ -34,14 +32,14 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id) nodes + (a, b) undirected edges -> (id, component) with component =
-    smallest id in the component."""
+    smallest id in the component. Runs until no label changes."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = _cut(nodes.select("id", F.col("id").alias("comp")), "cc")
     # labels only ever decrease, so the label sum is unchanged iff no label changed
     total = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
-    for _ in range(max_rounds):
+    while True:
         msgs = both.join(labels.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), "comp")
         prop = labels.unionByName(msgs).groupBy("id").agg(F.min("comp").alias("comp"))
         # pointer jumping: adopt the label of your label
@@ -114,8 +112,7 @@ def _local_rac(ids, x, ea, eb, t):
 
 
 def average_linkage(vecs: DataFrame, threshold: float, edges: DataFrame | None = None,
-                    max_rounds: int = MAX_ROUNDS, local_rows: int = LOCAL_COMPONENT_ROWS,
-                    local_edges: int = LOCAL_COMPONENT_EDGES) -> DataFrame:
+                    local_rows: int = LOCAL_COMPONENT_ROWS, local_edges: int = LOCAL_COMPONENT_EDGES) -> DataFrame:
     """(id, vec) -> (id, cluster), cluster = smallest member id; merges while the
     average cosine distance is < ``threshold``. Exact.
 
@@ -150,7 +147,7 @@ def average_linkage(vecs: DataFrame, threshold: float, edges: DataFrame | None =
     if big_ids.limit(1).count() == 0:
         return _cut(small, "clusters")   # written once: consumers read it several times
     big_edges = edges.join(big_ids.select(F.col("id").alias("a")), "a", "left_semi")
-    return _cut(small.unionByName(_rac_rounds(big_ids, threshold, big_edges, max_rounds)), "clusters")
+    return _cut(small.unionByName(_rac_rounds(big_ids, threshold, big_edges)), "clusters")
 
 
 def _local_groups(vecs: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
@@ -171,7 +168,7 @@ def _local_groups(vecs: DataFrame, edges: DataFrame, threshold: float) -> DataFr
     return vecs.groupBy("comp").cogroup(edges.groupBy("comp")).applyInPandas(local, "id long, cluster long")
 
 
-def _rac_rounds(vecs: DataFrame, threshold: float, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _rac_rounds(vecs: DataFrame, threshold: float, edges: DataFrame) -> DataFrame:
     """Distributed rounds for oversize components. Per round the work is
     proportional to the number of clusters and candidate edges (both shrink);
     member ids are resolved once at the end from the merge forest."""
@@ -183,7 +180,7 @@ def _rac_rounds(vecs: DataFrame, threshold: float, edges: DataFrame, max_rounds:
     def add(a, b):
         return F.zip_with(a, b, lambda p, q: p + q)
 
-    for _ in range(max_rounds):
+    while True:
         sx = csum.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"))
         sy = csum.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"))
         dots = F.aggregate(F.zip_with("sx", "sy", lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
@@ -197,8 +194,6 @@ def _rac_rounds(vecs: DataFrame, threshold: float, edges: DataFrame, max_rounds:
                   .select(F.col("p.x").alias("keep"), F.col("p.nn").alias("gone")))
         merges = _cut(merges, "merges")
         n_merges = merges.count()
-        if _DEBUG:
-            print("round", _, "merges", n_merges, "clusters", csum.count(), "edges", cedges.count())
         if n_merges == 0:
             break
         merged = merges if merged is None else merged.unionByName(merges)

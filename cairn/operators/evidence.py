@@ -143,14 +143,11 @@ def tfidf_labels(member_text: DataFrame, stop_words: list[str] | None = None, th
     smooth idf ``ln((1+N)/(1+df)) + 1``; label = top ``top_k`` terms by score
     (ties by term) joined with ', '. An empty vocabulary labels every theme
     '(unlabelled)'. ``member_text(theme, id, text)``."""
-    from pyspark.ml.feature import StopWordsRemover
-
     from ..functions.stopwords import spark_stop_words
     stops = list(stop_words) if stop_words is not None else list(spark_stop_words())
     toks = member_text.select(F.col(theme).alias("theme"), "id",
                               F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_RE), 0).alias("raw"))
-    toks = StopWordsRemover(inputCol="raw", outputCol="t", stopWords=stops, caseSensitive=True).transform(toks)
-    toks = toks.select("theme", "id", "t")
+    toks = toks.select("theme", "id", F.filter("raw", lambda w: ~w.isin(stops)).alias("t"))
     n = F.size("t")
     inner = F.when(n >= 2, F.zip_with(F.slice("t", 1, n - 1), F.slice("t", 2, n - 1),
                                       lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array())

@@ -99,7 +99,10 @@ def latest_control(controls: DataFrame, key: str = "subscriber_id") -> DataFrame
 
 def recent_handles(sent: DataFrame, k: int = 12) -> DataFrame:
     """Handle -> idea among the most recent ``k`` sent ideas per subscriber;
-    on a handle collision the newest send wins."""
+    on a handle collision the newest send wins. Handles are trimmed and lower-cased;
+    ideas without one take no place."""
+    sent = (sent.withColumn("reply_id", F.lower(F.trim(F.col("reply_id").cast("string"))))
+            .filter(F.coalesce(F.col("reply_id"), F.lit("")) != ""))
     w = Window.partitionBy("subscriber_id").orderBy(F.col("sent_utc").desc(), F.col("idea_id").desc())
     recent = sent.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
     return recent.groupBy("subscriber_id", "reply_id").agg(
@@ -119,6 +122,8 @@ def silence_canary(sent: DataFrame, last_reply: DataFrame, fired: DataFrame, now
     ``last_reply(subscriber_id, last_reply_utc)``, ``fired(subscriber_id, fired_utc)``.
     Top three unanswered domains by count (ties by name) are reported."""
     first = sent.groupBy("subscriber_id").agg(F.min("sent_utc").alias("first_sent"))
+    last_reply = last_reply.groupBy("subscriber_id").agg(F.max("last_reply_utc").alias("last_reply_utc"))
+    fired = fired.groupBy("subscriber_id").agg(F.max("fired_utc").alias("fired_utc"))
     base = (first.join(last_reply, "subscriber_id", "left").join(fired, "subscriber_id", "left")
             .withColumn("last", F.coalesce("last_reply_utc", F.lit(0)))
             .withColumn("since", F.when(F.col("last") != 0, F.col("last"))
@@ -126,9 +131,11 @@ def silence_canary(sent: DataFrame, last_reply: DataFrame, fired: DataFrame, now
     open_ = (sent.join(base.select("subscriber_id", "since"), "subscriber_id")
              .filter(~F.col("answered") & (F.col("sent_utc") >= F.col("since"))))
     n = open_.groupBy("subscriber_id").agg(F.count("*").alias("n_unanswered"))
-    per_dom = open_.filter(F.col("domain").isNotNull()).groupBy("subscriber_id", "domain").agg(F.count("*").alias("n"))
+    # ideas without a domain take their place among the three and are not shown
+    per_dom = (open_.groupBy("subscriber_id", F.nullif("domain", F.lit("")).alias("domain"))
+               .agg(F.count("*").alias("n")))
     w = Window.partitionBy("subscriber_id").orderBy(F.col("n").desc(), F.col("domain"))
-    top = (per_dom.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 3)
+    top = (per_dom.withColumn("r", F.row_number().over(w)).filter((F.col("r") <= 3) & F.col("domain").isNotNull())
            .groupBy("subscriber_id").agg(F.array_join(F.transform(
                F.array_sort(F.collect_list(F.struct("r", "domain", "n"))),
                lambda x: F.concat(x["domain"], F.lit(" x"), x["n"].cast("string"))), ", ").alias("breakdown")))

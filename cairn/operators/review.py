@@ -64,7 +64,7 @@ def replay_card(ratings: list[int], times: list[int], retention: float, max_ivl:
         else:
             elapsed = max(0.0, (t - (last or t)) / 86400.0)
             r = (1 + FACTOR * elapsed / s) ** DECAY
-            d = clamp_d(w[7] * d0(4) + (1 - w[7]) * (d - w[6] * (g - 3)))
+            d = clamp_d(w[7] * w[4] + (1 - w[7]) * (d - w[6] * (g - 3)))
             if g == 1:
                 s = w[11] * d ** (-w[12]) * ((s + 1) ** w[13] - 1) * math.exp(w[14] * (1 - r))
             else:

@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +35,20 @@ def unit(vec: Column) -> Column:
 
 def hashing_encoder(df: DataFrame, text_col: str = "text", dim: int = 256, out: str = "vec") -> DataFrame:
     """H1 default encoder: lower-cased word tokens -> hashed term counts -> L2
-    normalised float vector. Entirely JVM-side (Spark ML transformers), a pure
-    function of the text, so vectors can be cached by text hash. Any other encoder
-    with the same (DataFrame, text_col) -> vec contract can be plugged in."""
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}_]+", toLowercase=True)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
-    nz = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0)
-    v = nz.transform(tf.transform(tok.transform(df)))
-    return v.withColumn(out, vector_to_array("_nv", "float32")).drop("_tok", "_tf", "_nv")
+    normalised float vector (tokens and their buckets in the JVM, the counts in an
+    Arrow batch), a pure function of the text, so vectors can be cached by text hash.
+    Any other encoder with the same (DataFrame, text_col) -> vec contract can be plugged in."""
+    @F.pandas_udf("array<float>")
+    def counted(buckets: pd.Series) -> pd.Series:
+        import numpy as np
+        rows = []
+        for x in buckets:
+            v = np.bincount(np.asarray(x if x is not None else [], dtype=np.int64), minlength=dim).astype(np.float64)
+            rows.append((v / max(np.sqrt(v @ v), 1e-300)).astype(np.float32))
+        return pd.Series(rows, index=buckets.index)
+
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return df.withColumn(out, counted(F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))))
 
 
 def embedding_cache(corpus: DataFrame, cache: DataFrame, model: str, encode=hashing_encoder,
@@ -58,9 +63,11 @@ def embedding_cache(corpus: DataFrame, cache: DataFrame, model: str, encode=hash
     """
     keyed = corpus.select("id", "title", "text",
                           tx.cache_key(model, tx.embed_text(F.col("title"), F.col("text"))).alias("text_hash"))
-    good = cache.filter(F.size("vec") == dim).select("id", "text_hash", "vec").dropDuplicates(["id", "text_hash"])
-    hit = keyed.join(good, ["id", "text_hash"], "inner").select("id", "text_hash", "vec", F.lit(True).alias("reused"))
-    miss = keyed.join(good.select("id", "text_hash"), ["id", "text_hash"], "left_anti")
+    good = (valid_vectors(cache, dim).filter(F.col("vec").isNotNull())
+            .groupBy("id", "text_hash").agg(F.min("vec").alias("vec")))   # one of several, always the same
+    found = keyed.join(good, ["id", "text_hash"], "left")
+    hit = found.filter(F.col("vec").isNotNull()).select("id", "text_hash", "vec", F.lit(True).alias("reused"))
+    miss = found.filter(F.col("vec").isNull()).drop("vec")
     miss = encode(miss.withColumn("_etext", tx.embed_text(F.col("title"), F.col("text"))), "_etext", dim, "vec")
     fresh = miss.select("id", "text_hash", "vec", F.lit(False).alias("reused"))
     return hit.unionByName(fresh)
@@ -79,9 +86,16 @@ def _replicate(df: DataFrame, nb: int, side: str) -> DataFrame:
                     "blk", F.lit(side).alias("side"), "id", "vec"))
 
 
-def similar_pairs(vecs: DataFrame, max_distance: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs(vecs: DataFrame, max_distance: float, block_rows: int = BLOCK_ROWS,
+                  dim: int | None = None) -> DataFrame:
     """All pairs (a < b) with cosine distance < ``max_distance``, exact.
-    Output ``(a, b, sim)`` with sim = cosine similarity (double)."""
+    Output ``(a, b, sim)`` with sim = cosine similarity (double). Vectors that are not
+    ``dim`` wide (default: the commonest width, ties to the larger) count as missing."""
+    if dim is None:
+        widths = vecs.groupBy(F.size("vec").alias("w")).agg(F.count("*").alias("n")).filter("w > 0")
+        top = widths.orderBy(F.col("n").desc(), F.col("w").desc()).first()
+        dim = top.w if top else 0
+    vecs = valid_vectors(vecs.select("id", "vec"), dim).filter(F.col("vec").isNotNull())
     n = vecs.count()
     nb = _blocks(n, block_rows)
     rep = _replicate(vecs.select("id", "vec"), nb, "x")
@@ -121,7 +135,7 @@ def nearest_prior(queries: DataFrame, ledger: DataFrame, dim: int, threshold: fl
     ``duplicate`` iff sim >= threshold (inclusive).
     queries(qid, vec); ledger(ord, title, vec). Exact, block-partitioned."""
     led = ledger.filter(F.size("vec") == dim).select(F.col("ord").alias("id"), "title", "vec")
-    q = queries.select(F.col("qid").alias("id"), "vec")
+    q = valid_vectors(queries.select(F.col("qid").alias("id"), "vec"), dim)
     n_led, n_q = led.count(), q.count()
     nl = _blocks(n_led, block_rows)
     # A query block is at least as large as the ledger block, so copying every
@@ -133,7 +147,7 @@ def nearest_prior(queries: DataFrame, ledger: DataFrame, dim: int, threshold: fl
     # every query block meets every ledger block once: (qblk, lblk) groups
     lrep = led.select("id", "title", "vec", lb.alias("lblk"),
                       F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qblk")).withColumn("side", F.lit("l"))
-    qrep = q.select("id", F.lit(None).cast("string").alias("title"), "vec", qb.alias("qblk"),
+    qrep = q.filter(F.col("vec").isNotNull()).select("id", F.lit(None).cast("string").alias("title"), "vec", qb.alias("qblk"),
                     F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("lblk")).withColumn("side", F.lit("q"))
     both = lrep.unionByName(qrep)
 

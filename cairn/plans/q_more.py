@@ -273,6 +273,6 @@ def q_theme_rebuild(spark, sf):
     th = materialize(ev.build_themes(mem, sig, NOW), "themes")   # read twice below
     mt = mem.join(sig.select("id", "title", "text"), "id").select(
         "theme", "id", tx.embed_text(F.col("title"), F.col("text")).alias("text"))
-    labels = ev.tfidf_labels(mt.join(th.select("theme"), "theme"))
+    labels = ev.tfidf_labels(mt)   # over all clusters, single ones too: they count in N and df
     return th.join(labels, "theme", "left").select("theme_key", "size", F.round("evidence", 6).alias("evidence"),
                                                    "domain", F.round("weight", 6).alias("weight"), "label")

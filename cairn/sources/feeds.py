@@ -134,12 +134,12 @@ def issue_feed(spark: SparkSession, path: str, since: int) -> DataFrame:
 def decks(spark: SparkSession, path: str) -> DataFrame:
     """Deck files -> one row per card (deck, card_id, ...); an absent folder
     gives an empty table."""
-    from py4j.protocol import Py4JJavaError
-
     from pyspark.errors import AnalysisException
     try:
         d = spark.read.schema(DECK).option("multiLine", True).json(path)
-    except (AnalysisException, Py4JJavaError):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], T.StructType([T.StructField("deck", T.StringType())] + CARD.fields))
     return d.select("deck", F.inline("cards")).withColumnRenamed("id", "card_id")
 

@@ -1,20 +1,21 @@
 """Incremental harvest (I7) and idempotent micro-batch commits.
 
 Landed item files are read as a file stream, pushed through the shared gate,
-de-duplicated on (source, external_id) within a 45-day event-time watermark (the
-harvest look-back, which also bounds the de-dup state), and committed by
-``foreachBatch``: each micro-batch drops keys already stored (anti join) and writes
-one directory named by its batch id with overwrite, so a replayed batch after a
-failure rewrites the same directory instead of appending twice.
+and committed by ``foreachBatch``: each micro-batch keeps one row per (source,
+external_id), drops keys that other batches have stored (anti join) and writes one
+directory named by its batch id with overwrite, so a replayed batch rewrites its own
+directory with the same rows. No event is late: the store itself is the de-dup state, so
+old rows and rows of unknown time are stored like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.harvest import harvest_gate
+from ..operators.util import materialize
 
 ITEM = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("external_id", T.StringType()),
@@ -22,15 +23,23 @@ ITEM = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("author", T.StringType()),
     T.StructField("created_utc", T.LongType()), T.StructField("engagement", T.LongType()),
     T.StructField("query", T.StringType())])
-LOOKBACK = "45 days"
 
 
 def gated_stream(spark: SparkSession, landed: str, gate_kwargs: dict | None = None) -> DataFrame:
     items = spark.readStream.schema(ITEM).parquet(landed)
-    gated = harvest_gate(items, **(gate_kwargs or {}))
-    return (gated.withColumn("event_time", F.timestamp_seconds("created_utc"))
-            .withWatermark("event_time", LOOKBACK)
-            .dropDuplicatesWithinWatermark(["source", "external_id"]))
+    return harvest_gate(items, **(gate_kwargs or {}))
+
+
+def _stored(spark: SparkSession, store: str) -> DataFrame | None:
+    """Keys of the store with their batch; None while there is no store. Any other failure
+    to read is raised: taking it for an empty store would insert duplicates."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(store).select("source", "external_id", "batch")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def commit_batch(store: str):
@@ -38,13 +47,16 @@ def commit_batch(store: str):
     micro-batch (overwrite = idempotent on replay)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            existing = spark.read.parquet(store).select("source", "external_id")
-            fresh = batch.join(existing, ["source", "external_id"], "left_anti")
-        except Exception:  # noqa: BLE001 - empty store on the first batch
-            fresh = batch
-        fresh.drop("event_time").write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={batch_id}")
+        one = Window.partitionBy("source", "external_id").orderBy(F.xxhash64(*batch.columns), *[
+            c for c, kind in batch.dtypes if kind in ("string", "bigint", "int", "double")])
+        fresh = batch.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+        stored = _stored(batch.sparkSession, store)
+        if stored is not None:
+            others = stored.filter(F.col("batch") != batch_id).select("source", "external_id")
+            fresh = fresh.join(others, ["source", "external_id"], "left_anti")
+        # the rows are settled before the directory that a replay may have left is replaced
+        fresh = materialize(fresh, "harvest-batch")
+        fresh.write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={batch_id}")
 
     return write
 

@@ -27,8 +27,8 @@ def test_missing_timestamp_scores_zero(spark):
 
 def test_stale_second_source_adds_little(spark):
     one = score(spark, [("hn", "a", NOW), ("hn", "b", NOW)])
-    two = score(spark, [("hn", "a", NOW), ("hn", "b", NOW), ("gh", "c", NOW - 540 * DAY)])
-    assert two / one < 1.10 * (1 + math.exp(-3) / 2)
+    two = score(spark, [("hn", "a", NOW), ("hn", "b", NOW), ("gh", "c", NOW - 900 * DAY)])
+    assert 1 < two / one < 1.10
 
 
 def test_fresh_second_source_corroborates(spark):
@@ -37,19 +37,18 @@ def test_fresh_second_source_corroborates(spark):
     assert two / one > 1.3
 
 
-def test_closed_form_matches_reference_formula(spark):
-    import random
-    rnd = random.Random(3)
+def test_score_is_voices_times_diversity_of_a_table(spark):
+    """Against a pandas group-by of the same rows: freshest weight per voice, summed, times
+    0.5 + 0.5 * (sum of the sources' best) / (best of all)."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
     for _ in range(5):
-        rows = [(rnd.choice("xyz"), rnd.choice(["a", "b", "", "c"]), NOW - rnd.randint(0, 400) * DAY) for _ in range(9)]
-        seen, per = {}, {}
-        for s, a, c in rows:
-            w = math.exp(-max(0.0, (NOW - c) / DAY) / 180.0)
-            k = (s, a or "\0")
-            seen[k] = max(seen.get(k, 0), w)
-            per[s] = max(per.get(s, 0), w)
-        v = sum(seen.values())
-        if len(per) >= 2:
-            m = max(per.values())
-            v *= 1 + 0.5 * min((sum(per.values()) - m) / m, len(per) - 1)
-        assert math.isclose(score(spark, rows), v, rel_tol=1e-9)
+        t = pd.DataFrame({"source": rng.choice(list("pqr"), 12), "author": rng.choice(["m", "n", "", "o"], 12),
+                          "created": NOW - rng.integers(0, 400, 12) * DAY})
+        t["w"] = np.exp(-(NOW - t.created) / DAY / 180.0)
+        voices = t.groupby(["source", "author"]).w.max()
+        best = voices.groupby("source").max()
+        want = voices.sum() * (0.5 + 0.5 * best.sum() / best.max())
+        rows = [(s, a, int(c)) for s, a, c in zip(t.source, t.author, t.created)]
+        assert math.isclose(score(spark, rows), want, rel_tol=1e-9)

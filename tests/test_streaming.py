@@ -130,3 +130,44 @@ def test_weight_fold_partitioning_is_invisible(spark):
         got = {r.id: r.weight for r in fb.weight_fold(v, isig, partitions=parts).collect()}
         assert got.keys() == expect.keys()
         assert all(math.isclose(got[k], expect[k], rel_tol=1e-12) for k in got)
+
+
+GATED = ("the raft cluster failed and the consensus layer broke; it was painful and we had to "
+         "build a workaround because the leader election kept flapping under load for days ") * 2
+
+
+def _items(ids, created):
+    return pd.DataFrame([("hn", str(i), f"u/{i}", f"t{i}", GATED, "a", created, 1, "q") for i in ids],
+                        columns=[f.name for f in ITEM.fields])
+
+
+def test_replayed_batch_keeps_its_rows(spark):
+    from cairn.streaming.harvest import commit_batch
+    store = tempfile.mkdtemp(prefix="cairn-store-") + "/s"
+    batch = spark.createDataFrame(_items(range(6), 1_700_000_000), ITEM)
+    commit = commit_batch(store)
+    for batch_id in (0, 0, 1, 0):
+        commit(batch, batch_id)
+        assert spark.read.parquet(store).count() == 6
+
+
+def test_old_and_undated_rows_are_stored(spark):
+    store, ckpt = tempfile.mkdtemp(prefix="cairn-store-"), tempfile.mkdtemp(prefix="cairn-ckpt-")
+    landed = land(spark, [_items(range(4), 1_700_000_000)], ITEM)
+    incremental_harvest(spark, os.path.join(landed, "*"), store, ckpt)
+    spark.createDataFrame(pd.concat([_items([4, 5], 0), _items([6, 7], 1_700_000_000 - 60 * 86400), _items([0], 5)]),
+                          ITEM).write.parquet(os.path.join(landed, "later"))
+    incremental_harvest(spark, os.path.join(landed, "*"), store, ckpt)
+    assert sorted(int(r.external_id) for r in spark.read.parquet(store).collect()) == list(range(8))
+
+
+def test_unreadable_store_is_not_taken_for_empty(spark):
+    import pytest
+
+    from cairn.streaming.harvest import commit_batch
+    store = tempfile.mkdtemp(prefix="cairn-store-")
+    with open(os.path.join(store, "part-0.parquet"), "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        commit_batch(store)(spark.createDataFrame(_items([1], 1), ITEM), 0)
+    assert not os.path.exists(os.path.join(store, "batch=0"))

@@ -32,6 +32,7 @@ CHUNK_BYTES = 1 << 18
 READ_BYTES = 1 << 18
 ARCHIVE_BYTES = 1 << 26     # a new archive file begins after so many bytes
 END = b"\r\n\r\n"
+LEVEL = 5                   # each record is a gzip member of its own
 
 
 def _open(uri: str):
@@ -88,11 +89,21 @@ def write(records: DataFrame, folder: str, chunk: int = CHUNK_BYTES, archive_byt
     ship_package(records.sparkSession)
 
     def run(batches):
+        import zlib
+
         import pyarrow as pa
         store, base = _open(folder)
         store.create_dir(base, recursive=True)
-        sink = name = None
+        sink = name = member = None
         size = count = 0
+
+        def put(data: bytes) -> int:
+            sink.write(data)
+            return len(data)
+
+        def close_record() -> int:
+            return put(member.compress(END) + member.flush())
+
         try:
             for batch in batches:
                 columns = [batch.column(c).to_pylist() for c in
@@ -102,28 +113,26 @@ def write(records: DataFrame, folder: str, chunk: int = CHUNK_BYTES, archive_byt
                 for i, k in enumerate(numbers):
                     if k == 0:
                         if sink is not None:
-                            sink.write(END)
-                            size += len(END)
+                            size += close_record()
                             if size >= archive_bytes:
                                 sink.close()
                                 done.append((name, count, size))
                                 sink = None
                         if sink is None:
-                            name, size, count = f"part-{uuid.uuid4().hex}.warc", 0, 0
-                            sink = store.open_output_stream(f"{base}/{name}")
+                            name, size, count = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
+                            sink = store.open_output_stream(f"{base}/{name}", compression=None)
                         head = header(*(c[i] if c[i] is not None else None for c in columns)).replace(
                             b"<urn:page:None>", b"<urn:page:null>")
-                        sink.write(head)
-                        size, count = size + len(head), count + 1
+                        member, count = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), count + 1
+                        size += put(member.compress(head))
                     value = data[i].as_buffer()
                     if value is not None:
-                        sink.write(value)
-                        size += value.size
+                        size += put(member.compress(value))
                 if done:
                     yield _manifest(pa, done)
             if sink is not None:
-                sink.write(END)
-                yield _manifest(pa, [(name, count, size + len(END))])
+                size += close_record()
+                yield _manifest(pa, [(name, count, size)])
         finally:
             if sink is not None:
                 sink.close()
@@ -187,6 +196,7 @@ def read(spark: SparkSession, folder: str, with_bytes: bool = True, read_bytes:
               + ", bytes binary" * with_bytes)
 
     def run(batches):
+        import gzip
         import io
 
         import pyarrow as pa
@@ -200,9 +210,9 @@ def read(spark: SparkSession, folder: str, with_bytes: bool = True, read_bytes:
 
         for batch in batches:
             for name in batch.column("archive").to_pylist():
-                with store.open_input_stream(f"{base}/{name}") as raw:
+                with store.open_input_stream(f"{base}/{name}", compression=None) as raw:
                     rows, held = [], 0
-                    for f, k, data, digest, seen, last in chunks_of(io.BufferedReader(raw, read_bytes), read_bytes):
+                    for f, k, data, digest, seen, last in chunks_of(io.BufferedReader(gzip.GzipFile(fileobj=raw)), read_bytes):
                         declared = f.get("x-payload-length")
                         url = f.get("warc-target-uri")
                         rows.append((_number(f["warc-record-id"]), None if url == "urn:none" else url, f["warc-type"],

@@ -78,12 +78,12 @@ def search_hits(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("h.num_comments", F.lit(0)).alias("engagement"), "query", "probe_ord", "page", "pos")
 
 
-def threaded_feed(spark: SparkSession, listings: str, details: str, since: int) -> DataFrame:
+def threaded_feed(spark: SparkSession, listings: str, details: str, since: int, multi_line: bool = True) -> DataFrame:
     """A2: listings -> stories (first tag in plan order wins; a story whose
     comment_count is explicitly 0 is skipped, a missing count is still read) ->
     detail comments. Comment url falls back to the story url; bad timestamps -> 0.
     The look-back cutoff is applied (unknown timestamps are kept; scoring ignores
-    them)."""
+    them). Details are one story per file, or one per line without ``multi_line``."""
     lst = spark.read.schema(LISTING).json(listings)
     st = lst.select("tag", "tag_ord", "page", F.posexplode("stories").alias("pos", "s")).filter(
         F.col("s.short_id").isNotNull())
@@ -91,7 +91,7 @@ def threaded_feed(spark: SparkSession, listings: str, details: str, since: int)
     first = (st.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
              .filter(~F.col("s.comment_count").eqNullSafe(F.lit(0)))
              .select(F.col("s.short_id").alias("short_id"), "tag", "tag_ord"))
-    det = spark.read.schema(DETAIL).option("multiLine", True).json(details)
+    det = spark.read.schema(DETAIL).option("multiLine", multi_line).json(details)
     j = first.join(det, "short_id")
     c = j.select("tag", "tag_ord", F.col("title").alias("story_title"), F.col("url").alias("story_url"),
                  F.posexplode("comments").alias("pos", "c"))
@@ -122,7 +122,7 @@ def issue_feed(spark: SparkSession, path: str, since: int) -> DataFrame:
                   reactions.alias("engagement"))
     x = x.filter((F.coalesce(F.col("i.state"), F.lit("open")) == "open") & (F.col("engagement") >= MIN_REACTIONS)
                  & (F.col("created_utc") >= since))
-    w = Window.partitionBy("repo").orderBy(F.col("engagement").desc(), "pos")
+    w = Window.partitionBy("repo").orderBy(F.col("engagement").desc(), "pos", "i.id")
     x = x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= PER_REPO)
     return x.select(
         F.lit("github").alias("source"), F.col("i.id").cast("string").alias("external_id"),
@@ -131,12 +131,12 @@ def issue_feed(spark: SparkSession, path: str, since: int) -> DataFrame:
         "created_utc", "engagement", F.concat(F.lit("repo:"), F.col("repo")).alias("query"), "repo_ord", "pos")
 
 
-def decks(spark: SparkSession, path: str) -> DataFrame:
-    """Deck files -> one row per card (deck, card_id, ...); an absent folder
-    gives an empty table."""
+def decks(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Deck files (or lines) -> one row per card (deck, card_id, ...); an absent
+    folder gives an empty table."""
     from pyspark.errors import AnalysisException
     try:
-        d = spark.read.schema(DECK).option("multiLine", True).json(path)
+        d = spark.read.schema(DECK).option("multiLine", multi_line).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -148,12 +148,13 @@ def card_problems(deck_cards: DataFrame) -> DataFrame:
     return deck_cards.select("deck", "card_id", F.explode("problems").alias("problem"))
 
 
-def idea_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Every *.json idea file; corrupt or unreadable files are skipped."""
+def idea_ledger(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True,
+                glob: str = "*.json") -> DataFrame:
+    """Every idea file (or line); corrupt or unreadable ones are skipped."""
     s = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
-    df = (spark.read.schema(s).option("multiLine", True).option("mode", "PERMISSIVE")
+    df = (spark.read.schema(s).option("multiLine", multi_line).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt").option("ignoreCorruptFiles", True)
-          .option("pathGlobFilter", "*.json").json(path))
+          .option("pathGlobFilter", glob).json(path))
     return df.filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
 

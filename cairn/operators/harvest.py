@@ -45,15 +45,30 @@ def annotate_domains(df: DataFrame, text: Column, domains: dict[str, list[str]]
     return scored.withColumn("domain", best["domain"]).withColumn("domain_hits", best["hits"])
 
 
-def union_sources(frames: dict[str, DataFrame], order: list[str]) -> DataFrame:
-    """A4: union in declared source order; a source that failed to load (None) is
-    skipped and the rest proceed. ``source_ord`` carries the plan order."""
-    parts = []
+def union_sources(frames: dict, order: list[str], failed: list[str] | None = None) -> DataFrame:
+    """A4: union in declared source order; ``source_ord`` carries the plan order.
+
+    A source is a DataFrame, None (it failed before), or a function that loads one. A load that
+    raises an error of Spark's or of the file system is skipped, its name is added to ``failed``,
+    and the rest proceed; if nothing is left, ValueError names the sources."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+    parts, lost = [], []
     for i, name in enumerate(order):
         df = frames.get(name)
+        if callable(df):
+            try:
+                df = df()
+            except (PySparkException, Py4JJavaError, OSError):
+                df = None
         if df is None:
-            continue
-        parts.append(df.withColumn("source_ord", F.lit(i)))
+            lost.append(name)
+        else:
+            parts.append(df.withColumn("source_ord", F.lit(i)))
+    if failed is not None:
+        failed.extend(lost)
+    if not parts:
+        raise ValueError(f"no source could be loaded: {', '.join(lost)}")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

@@ -109,6 +109,15 @@ def parse_replies(replies: DataFrame, cards: list[str], ideas: list[str],
     return bindings, summary
 
 
+def liveness(messages: DataFrame) -> DataFrame:
+    """The last reply of each subscriber. Any reply counts, refused ones and ones that bind
+    nothing too; a reply without a time counts as one at 0.
+    ``messages(message_id, subscriber_id, ts)``; rows without a subscriber are left out."""
+    return (messages.filter(F.col("subscriber_id").isNotNull()).groupBy("subscriber_id")
+            .agg(F.max(F.coalesce("ts", F.lit(0).cast("long"))).alias("last_reply_utc"),
+                 F.countDistinct("message_id").alias("n_replies")))
+
+
 def apply_replies(bindings: DataFrame, summary: DataFrame, messages: DataFrame,
                   handles: DataFrame, routed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Project parsed replies into the three append logs.

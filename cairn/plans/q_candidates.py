@@ -264,8 +264,7 @@ def q_funnel_report(spark, sf):
 
 def _ideas(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    text = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" "),
-                    F.substring_index("text", "\n", 1), F.lit(" "), F.left("text", F.lit(300)))
+    text = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))
     return d.select(F.col("doc_id").alias("idea_id"), F.col("lang").alias("domain"), text.alias("text"))
 
 
@@ -299,7 +298,7 @@ _STOP_SQL = "[" + ", ".join(q(w) for w in cd.QUERY_STOP) + "]"
 QB_SQL = f"""
 WITH ideas AS (
   SELECT doc_id AS idea_id, lang AS domain,
-         regexp_replace(lower('doc ' || CAST(doc_id AS VARCHAR) || ' ' || split_part(text, chr(10), 1) || ' ' || left(text, 300)),
+         regexp_replace(lower('doc ' || CAST(doc_id AS VARCHAR) || ' ' || coalesce(text, '')),
                         {q(cd.URL_RE)}, ' ', 'g') AS low
   FROM documents),
 f AS (SELECT idea_id, domain, low, regexp_replace(low, '[À-ÖØ-öø-ɏ]', 'z', 'g') AS ft FROM ideas),

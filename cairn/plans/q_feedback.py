@@ -215,13 +215,45 @@ FROM bare WHERE v IS NOT NULL""")
 def q_reply_apply(spark, sf):
     """J4 verdict log: named verdicts resolved through each subscriber's handles,
     bare verdicts routed (here: even turns route to idea 7, odd ones are ambiguous)."""
+    return _applied(spark, sf)[1].select("message_id", "idea_id", "verdict", "bare")
+
+
+def _reply_messages(r):
+    return r.select("message_id", (F.col("conv_id") % 150).alias("subscriber_id"),
+                    (F.col("conv_id") * 3600 + F.col("turn")).alias("ts"))
+
+
+def _applied(spark, sf):
     b, s = _parsed(spark, sf)
     r = fx.replies(spark, sf)
-    msgs = r.select("message_id", (F.col("conv_id") % 150).alias("subscriber_id"))
+    msgs = _reply_messages(r).drop("ts")
     subs = msgs.select("subscriber_id").distinct()
     pairs = F.array(*[F.struct(F.lit(t).alias("reply_id"), F.lit(i).alias("i")) for t, i in (("and", 1), ("that", 2))])
     handles = subs.select("subscriber_id", F.inline(pairs)).select(
         "subscriber_id", "reply_id", (F.col("subscriber_id") * 10 + F.col("i")).alias("idea_id"))
     routed = r.select("message_id", F.when(F.col("turn") % 2 == 0, F.lit(7).cast("long")).alias("idea_id"))
-    _, verdicts, _ = rp.apply_replies(b, s, msgs, handles, routed)
-    return verdicts.select("message_id", "idea_id", "verdict", "bare")
+    return rp.apply_replies(b, s, msgs, handles, routed)
+
+
+@register(sql=with_(REPLIES, REPLY_CTE) + """
+SELECT f.message_id, f.term AS card_id, f.value AS grade FROM firsts f JOIN msgs m USING (message_id)
+WHERE f.kind = 'grade' AND f.value <> 'skip' AND NOT m.own""")
+def q_reply_grades(spark, sf):
+    """J4 review log: the grades of all replies that were not refused."""
+    return _applied(spark, sf)[0]
+
+
+@register(sql=with_(REPLIES, REPLY_CTE) + f"""
+SELECT CAST(split_part(m.message_id, '-', 1) AS BIGINT) % 150 AS subscriber_id, {_ctrl} AS action, m.message_id
+FROM msgs m WHERE NOT m.own AND m.text <> '' AND {_ctrl} IS NOT NULL""")
+def q_reply_controls(spark, sf):
+    """J4 control log: pause and resume words per subscriber."""
+    return _applied(spark, sf)[2]
+
+
+@register(sql="""
+SELECT conv_id % 150 AS subscriber_id, max(conv_id * 3600 + turn) AS last_reply_utc, count(*) AS n_replies
+FROM conversations WHERE role = 'user' GROUP BY 1""")
+def q_reply_liveness(spark, sf):
+    """J4 liveness: every reply, refused or not, resets its subscriber's silence."""
+    return rp.liveness(_reply_messages(fx.replies(spark, sf)))

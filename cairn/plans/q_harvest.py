@@ -88,15 +88,18 @@ def q_kept_dropped(spark, sf):
 
 
 @register(sql=with_(RAW_SIGNAL) + """
-SELECT id, source, CASE WHEN CAST(substr(source, 4) AS INTEGER) < 7 THEN 0 ELSE 2 END AS source_ord
-FROM raw_signal WHERE CAST(substr(source, 4) AS INTEGER) < 7 OR CAST(substr(source, 4) AS INTEGER) >= 14""")
+SELECT id, source, CASE WHEN CAST(substr(source, 4) AS INTEGER) < 7 THEN 0
+                        WHEN CAST(substr(source, 4) AS INTEGER) < 14 THEN 1 ELSE 3 END AS source_ord
+FROM raw_signal""")
 def q_source_union(spark, sf):
-    """A4: three feeds (sources 0-6, 7-13, 14-19) unioned in plan order; the middle
-    feed failed to load this run, so it is reported and skipped."""
+    """A4: three feeds (sources 0-6, 7-13, 14 and on) unioned in plan order; a fourth, third in
+    the plan, has no landed folder: its load fails, and all rows of the others come out."""
     raw = fx.raw_signal(spark, sf).select("id", "source")
     n = F.substring("source", 4, 10).cast("int")
-    feeds = {"feed_a": raw.filter(n < 7), "feed_b": None, "feed_c": raw.filter(n >= 14)}
-    return hv.union_sources(feeds, ["feed_a", "feed_b", "feed_c"]).select("id", "source", "source_ord")
+    feeds = {"feed_a": lambda: raw.filter(n < 7), "feed_b": lambda: raw.filter((n >= 7) & (n < 14)),
+             "lost": lambda: spark.read.parquet(f"{sf}/feed_that_never_landed.parquet"),
+             "feed_c": raw.filter(n >= 14)}
+    return hv.union_sources(feeds, ["feed_a", "feed_b", "lost", "feed_c"]).select("id", "source", "source_ord")
 
 
 @register(sql=with_(RAW_SIGNAL) + f"""

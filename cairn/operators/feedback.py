@@ -61,8 +61,13 @@ def weight_fold(verdicts: DataFrame, idea_signal: DataFrame, steps: dict[str, fl
     per_signal = (verdicts.join(idea_signal, "idea_id")
                   .select("id", "ts", "seq", step[F.col("verdict")].alias("factor"))
                   .filter(F.col("factor").isNotNull()))
-    n_parts = partitions or int(per_signal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = per_signal.repartitionByRange(n_parts, "id", "ts", "seq").sortWithinPartitions("id", "ts", "seq")
+    return fold_steps(per_signal, partitions)
+
+
+def fold_steps(steps: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The fold of I5 over ``steps(id, ts, seq, factor)``: (id, weight, n_steps)."""
+    n_parts = partitions or int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = steps.repartitionByRange(n_parts, "id", "ts", "seq").sortWithinPartitions("id", "ts", "seq")
 
     def runs(batches):
         import pandas as pd

@@ -48,25 +48,38 @@ def tx_escape(s: str) -> str:
     return "".join("\\" + ch if ch in set(".^$*+?()[]{}|\\") else ch for ch in s)
 
 
-def bind(line: Column, terms: list[str], vocab: dict[str, str]) -> Column:
+def bind(line: Column, terms: list[str] | Column, vocab: dict[str, str]) -> Column:
     """array<struct(term, value, pos)> -- every term in the line bound to the
     earliest vocabulary word between it and the next term (longest word wins at
-    the same start); terms with no word are dropped."""
-    if not terms:
-        return F.array().cast("array<struct<term:string,value:string,pos:int>>")
-    tpat = whole(terms)
+    the same start); terms with no word are dropped. ``terms`` is a list or a column of
+    patterns made like ``whole``; NULL has no terms."""
+    none = F.array().cast("array<struct<term:string,value:string,pos:int>>")
+    if not isinstance(terms, Column) and not terms:
+        return none
+    tpat = terms if isinstance(terms, Column) else F.lit(whole(terms))
     vpat = whole(list(vocab))
-    found = F.regexp_extract_all(line, F.lit(tpat), 1)
+    found = F.regexp_extract_all(line, tpat, 1)
     segs = F.split(line, tpat)          # segs[i + 1] is owned by found[i]
     vmap = F.create_map(*[x for k, v in vocab.items() for x in (F.lit(k), F.lit(v))])
     pairs = F.transform(found, lambda t, i: F.struct(
         t.alias("term"),
         vmap[F.nullif(F.regexp_extract(F.element_at(segs, i + 2), vpat, 1), F.lit(""))].alias("value"),
         i.alias("pos")))
-    return F.filter(pairs, lambda p: p["value"].isNotNull())
+    return F.coalesce(F.filter(pairs, lambda p: p["value"].isNotNull()), none)
 
 
-def parse_replies(replies: DataFrame, cards: list[str], ideas: list[str],
+def handle_patterns(handles: DataFrame) -> DataFrame:
+    """(subscriber_id, pattern): the whole-token alternation of each subscriber's own handles.
+    ``handles(subscriber_id, reply_id)`` holds a bounded number per subscriber (D8)."""
+    h = (handles.select("subscriber_id", F.lower(F.trim(F.col("reply_id").cast("string"))).alias("h"))
+         .filter(F.coalesce("h", F.lit("")) != ""))
+    words = F.transform(F.sort_array(F.collect_set(F.struct((-F.length("h")).alias("n"), "h"))),
+                        lambda x: F.regexp_replace(x["h"], r"([.^$*+?()\[\]{}|\\])", r"\\$1"))
+    return h.groupBy("subscriber_id").agg(F.concat(
+        F.lit(f"(?<![{TOKEN_CHARS}])("), F.array_join(words, "|"), F.lit(f")(?![{TOKEN_CHARS}])")).alias("pattern"))
+
+
+def parse_replies(replies: DataFrame, cards: list[str], ideas: list[str] | DataFrame,
                   grades: dict[str, str] = GRADES, verdicts: dict[str, str] = IDEA_VERDICTS) -> tuple[DataFrame, DataFrame]:
     """J3 over ``replies(message_id, body)``.
 
@@ -74,14 +87,22 @@ def parse_replies(replies: DataFrame, cards: list[str], ideas: list[str],
     the first grade per card and first verdict per idea; summary(message_id,
     unparsed, bare_verdict, control, minutes, note) has one row per message.
     A line binding any card is a grade line; else a line binding any idea is a
-    verdict line; else it is plain and may carry a bare verdict."""
-    text = replies.select("message_id", tx.strip_quoted(F.col("body")).alias("text"))
+    verdict line; else it is plain and may carry a bare verdict.
+
+    ``ideas`` is one list of handles, or a table ``handles(subscriber_id, reply_id)``: then
+    ``replies`` has a subscriber_id too and a line binds its own subscriber's handles only, so
+    another one's handle is a plain word."""
+    scoped = isinstance(ideas, DataFrame)
+    if scoped:
+        replies = replies.join(handle_patterns(ideas), "subscriber_id", "left")
+    own_terms = [F.col("pattern")] if scoped else []
+    text = replies.select("message_id", tx.strip_quoted(F.col("body")).alias("text"), *own_terms)
     own = tx.looks_like_own_text(F.col("text"))
     lines = (text.filter(~own & (F.col("text") != ""))
-             .select("message_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("ln", "line"))
+             .select("message_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("ln", "line"), *own_terms)
              .withColumn("line", tx.full_trim(F.col("line"))).filter(F.col("line") != ""))
     lines = lines.withColumn("g", bind(F.col("line"), cards, grades)).withColumn(
-        "v", F.when(F.size("g") == 0, bind(F.col("line"), ideas, verdicts)))
+        "v", F.when(F.size("g") == 0, bind(F.col("line"), F.col("pattern") if scoped else ideas, verdicts)))
     g = lines.select("message_id", "ln", F.explode("g").alias("b")).select(
         "message_id", F.lit("grade").alias("kind"), "ln", "b.*")
     v = lines.select("message_id", "ln", F.explode("v").alias("b")).select(

@@ -257,3 +257,28 @@ FROM conversations WHERE role = 'user' GROUP BY 1""")
 def q_reply_liveness(spark, sf):
     """J4 liveness: every reply, refused or not, resets its subscriber's silence."""
     return rp.liveness(_reply_messages(fx.replies(spark, sf)))
+
+
+_SUB = "CAST(split_part(t.message_id, '-', 1) AS BIGINT) % 150"
+SCOPED_CTE = REPLY_CTE.replace(
+    f"FROM toks t WHERE t.tok IN {_inlist(IDEAS)}",
+    f"FROM toks t WHERE {_SUB} % 5 <> 0 AND (t.tok = 'that' OR (t.tok = 'and' AND {_SUB} % 2 = 0))")
+
+
+@register(sql=with_(REPLIES, SCOPED_CTE) + f"""
+SELECT message_id, kind, term, value FROM firsts
+UNION ALL
+SELECT m.message_id, 'bare', NULL, {_bare} FROM msgs m JOIN plain p USING (message_id)
+WHERE NOT m.own AND {_bare} IS NOT NULL""")
+def q_reply_scoped(spark, sf):
+    """Replies bound to their own subscriber's handles (every fifth subscriber has none, odd
+    ones have only one of the two); another's handle leaves its line plain, so the line still
+    gives its bare verdict."""
+    r = fx.replies(spark, sf).withColumn("subscriber_id", F.col("conv_id") % 150)
+    handles = r.select("subscriber_id").distinct().filter("subscriber_id % 5 <> 0").select(
+        "subscriber_id", F.explode(F.when(F.col("subscriber_id") % 2 == 0, F.array(F.lit(" And"), F.lit("that")))
+                                   .otherwise(F.array(F.lit("that"), F.lit("")))).alias("reply_id"))
+    b, s = rp.parse_replies(r, CARDS, handles, GRADE_VOCAB, VERDICT_VOCAB)
+    bare = s.filter(F.col("bare_verdict").isNotNull()).select(
+        "message_id", F.lit("bare").alias("kind"), F.lit(None).cast("string").alias("term"), F.col("bare_verdict").alias("value"))
+    return b.unionByName(bare)

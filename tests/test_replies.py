@@ -57,3 +57,21 @@ def test_first_grade_per_card_and_control(spark):
 def test_own_text_is_refused(spark):
     _, s = parse(spark, "reply above this line. name it first. good")
     assert s.unparsed and s.bare_verdict is None
+
+
+def test_handles_bind_only_for_their_subscriber(spark):
+    replies = spark.createDataFrame([("m1", 1, "glass-fern boring"), ("m2", 2, "glass-fern boring"), ("m3", 3, "a.b meh\naxb meh")],
+                                    "message_id string, subscriber_id long, body string")
+    handles = spark.createDataFrame([(1, " Glass-Fern"), (1, None), (2, "other"), (3, "a.b")],
+                                    "subscriber_id long, reply_id string")
+    binds, summary = rp.parse_replies(replies, [], handles)
+    assert sorted(tuple(r) for r in binds.collect()) == [
+        ("m1", "verdict", "glass-fern", "boring"), ("m3", "verdict", "a.b", "boring")]
+    bare = {r.message_id: r.bare_verdict for r in summary.collect()}
+    assert bare == {"m1": None, "m2": "boring", "m3": "boring"}
+
+
+def test_every_reply_counts_as_life(spark):
+    messages = spark.createDataFrame([("m1", 1, 5), ("m2", 1, 9), ("m3", 2, None), ("m4", None, 4)],
+                                     "message_id string, subscriber_id long, ts long")
+    assert sorted(tuple(r) for r in rp.liveness(messages).collect()) == [(1, 9, 2), (2, 0, 1)]

@@ -5,6 +5,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,3 +112,13 @@ def test_union_sources_skips_failed_source(spark):
     a = spark.createDataFrame([("x",)], "t string")
     out = hv.union_sources({"hn": a, "github": None, "lobsters": a}, ["hn", "github", "lobsters"])
     assert sorted(r.source_ord for r in out.collect()) == [0, 2]
+
+
+def test_union_sources_outlives_failed_load(spark, tmp_path):
+    kept = spark.createDataFrame([(7, "x")], "id long, title string")
+    failed = []
+    out = hv.union_sources({"a": lambda: spark.read.parquet(str(tmp_path / "nowhere")), "b": lambda: kept}, ["a", "b"], failed)
+    assert [(r.id, r.source_ord) for r in out.collect()] == [(7, 1)]
+    assert failed == ["a"]
+    with pytest.raises(ValueError, match="a, c"):
+        hv.union_sources({"a": None}, ["a", "c"])

@@ -154,13 +154,15 @@ def stable_rand(seed: str, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in cols]))
 
 
-def due_cards(review: DataFrame, now: int, limit: int, leech_at: int = LEECH_AT, seed: str = "cairn") -> DataFrame:
-    """F4 per (learner, deck): the weakest ``max(1, limit // 3)`` due cards (fails >
+def due_cards(review: DataFrame, now: int, limit: int | Column, leech_at: int = LEECH_AT, seed: str = "cairn") -> DataFrame:
+    """F4 per (learner, deck), ``limit`` being one number or a column of ``review``
+    (each learner's own budget): the weakest ``max(1, limit // 3)`` due cards (fails >
     0, by fails desc, due, random), then the rest of the due cards by (due,
     last_utc NULLS FIRST, random) without repeats, up to ``limit``. Leeches
     (fails >= leech_at) are excluded. Output rows carry ``slot`` (1-based)."""
     key = ["learner_id", "deck"]
-    slots = max(1, limit // 3)
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
+    slots = F.greatest(F.lit(1), F.floor(limit / 3))
     rnd = stable_rand(seed, "learner_id", "deck", "card_id")
     due = review.filter((F.col("due_utc") <= now) & (F.col("fails") < leech_at)).withColumn("rnd", rnd)
     # every window is partitioned by (learner, deck) alone, so one exchange serves all
@@ -171,7 +173,7 @@ def due_cards(review: DataFrame, now: int, limit: int, leech_at: int = LEECH_AT,
     x = x.withColumn("n_weak", F.sum(1 - F.col("tier")).over(Window.partitionBy(*key)))
     w2 = Window.partitionBy(*key).orderBy("tier", "due_utc", F.col("last_utc").asc_nulls_first(), "rnd")
     x = x.withColumn("rest_rank", F.row_number().over(w2) - F.col("n_weak"))
-    keep = (F.col("tier") == 0) | (F.col("rest_rank") <= F.lit(limit) - F.col("n_weak"))
+    keep = (F.col("tier") == 0) | (F.col("rest_rank") <= limit - F.col("n_weak"))
     x = x.filter(keep).withColumn(
         "slot", F.when(F.col("tier") == 0, F.col("rn1")).otherwise(F.col("n_weak") + F.col("rest_rank")))
     return x.drop("rnd", "rn1", "rest_rank", "n_weak", "tier")
@@ -190,14 +192,16 @@ def review_stats(review: DataFrame, now: int) -> DataFrame:
         F.coalesce(F.sum("fails"), F.lit(0)).alias("fails"))
 
 
-def weighted_draw(review: DataFrame, k: int, seed: str = "cairn", key: str = "learner_id") -> DataFrame:
+def weighted_draw(review: DataFrame, k: int, seed: str = "cairn", key: str | list[str] = "learner_id") -> DataFrame:
     """F6 (the intent): weighted sampling without replacement, more failures ->
     likelier first. Exponential race: sort by -ln(u) / (1 + fails) with u a
-    reproducible uniform from a hash; first ``k`` per learner."""
-    h = F.conv(F.substring(stable_rand(seed, key, "deck", "card_id"), 1, 13), 16, 10).cast("double")
+    reproducible uniform from a hash; first ``k`` per learner, or per ``key``
+    (learner and deck for a draw in each deck)."""
+    key = [key] if isinstance(key, str) else key
+    h = F.conv(F.substring(stable_rand(seed, *dict.fromkeys([*key, "deck", "card_id"])), 1, 13), 16, 10).cast("double")
     u = (h + F.lit(1.0)) / F.lit(float(16 ** 13) + 1.0)
     race = -F.log(u) / (F.lit(1.0) + F.col("fails"))
-    w = Window.partitionBy(key).orderBy(race, "deck", "card_id")
+    w = Window.partitionBy(*key).orderBy(race, "deck", "card_id")
     return review.withColumn("draw", F.row_number().over(w)).filter(F.col("draw") <= k)
 
 
@@ -217,6 +221,17 @@ def problem_rotation(picks: DataFrame, card_problems: DataFrame, problem_log: Da
     return x.withColumn("r", F.row_number().over(w)).filter("r = 1").select("learner_id", "card_id", "problem")
 
 
+def practice_picks(review: DataFrame, card_problems: DataFrame, problem_log: DataFrame, k: int,
+                   seed: str = "cairn") -> DataFrame:
+    """F6 and F7 together: in each deck a learner draws among the cards that have problems, so a
+    draw never comes up short while such cards are left, and gets one problem of each.
+    Returns (learner_id, deck, card_id, draw, problem)."""
+    able = review.join(card_problems.select("card_id").distinct(), "card_id", "left_semi")
+    picks = weighted_draw(able, k, seed, ["learner_id", "deck"]).select("learner_id", "deck", "card_id", "draw")
+    return picks.join(problem_rotation(picks, card_problems, problem_log, seed), ["learner_id", "card_id"]).select(
+        "learner_id", "deck", "card_id", "draw", "problem")
+
+
 def budget_split(learners: DataFrame, modes: DataFrame) -> DataFrame:
     """F8: per learner's mode, dsa = max(1, round_half_even(cap * 0.6)) and
     design = max(1, cap - dsa). ``modes(mode, daily_cap, ...)`` is a small

@@ -1,4 +1,5 @@
-"""Registered queries for the landed feeds, scans, sinks and the harvest stream.
+"""Registered queries for the landed feeds, scans, sinks and the harvest stream (A1-A3, A7-A10, I1, I4, I5,
+I7).
 
 Each query lands rows of the driver tables as a fetcher or model run would (JSON pages, deck and
 ledger files, parquet items) in the shared checkpoint folder and reads them back through the
@@ -14,13 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexicons import FIXTURE_DOMAINS, FIXTURE_PAIN
+from ..operators import feedback as fb
+from ..operators import review as rv
 from ..operators.util import materialize
 from ..session import checkpoint_dir
 from ..sources import feeds
 from ..sources.tables import table
+from ..streaming import folds
 from ..streaming import harvest as sh
 from . import fixtures as fx
-from .oracle import SIGNAL, with_
+from .oracle import REVIEW_LOG, SIGNAL, VERDICT_LOG, with_
 from .registry import register
 
 SINCE_1996 = 820454400
@@ -221,3 +225,53 @@ def q_incremental_harvest(spark, sf):
         lot.write.mode("append").parquet(landed)
         sh.incremental_harvest(spark, landed, store, done, gate)
     return spark.read.parquet(store).select("source", "external_id", "domain", "created_utc")
+
+
+def _streamed(spark, events: DataFrame, order: str, keys: list[str], fold) -> DataFrame:
+    """Events arrive in three lots that each span the whole time, so most of the later two are
+    late; the stream runs after each lot."""
+    landed, log, out, done = (_folder(spark, n) for n in ("events", "log", "folds", "fold-progress"))
+    for lot in (2, 0, 1):
+        events.filter(F.col(order) % 3 == lot).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(events.schema).parquet(landed)
+        (stream.writeStream.foreachBatch(folds.refold_touched(log, out, keys, fold))
+         .option("checkpointLocation", done).trigger(availableNow=True).start().awaitTermination())
+    return folds.folded(spark.read.parquet(out), keys)
+
+
+@register(sql=with_(VERDICT_LOG) + """
+SELECT idea_id, arg_min(verdict, (ts, message_id)) AS verdict, min(ts) AS ts,
+       arg_min(message_id, (ts, message_id)) AS message_id
+FROM vlog GROUP BY idea_id""")
+def q_stream_first_verdict(spark, sf):
+    """I4 as a stream: a late verdict that is earlier still becomes the first one."""
+    return _streamed(spark, fx.verdict_log(spark, sf), "message_id", ["idea_id"], fb.first_verdict)
+
+
+@register(sql="""
+WITH steps AS (
+  SELECT user_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id AS seq,
+         CAST(CASE event_type WHEN 'signup' THEN 1.8 WHEN 'purchase' THEN 1.3 WHEN 'click' THEN 0.85 WHEN 'view' THEN 0.95
+                              WHEN 'error' THEN 0.6 END AS DOUBLE) AS factor
+  FROM events)
+SELECT id, round(list_reduce(list(factor ORDER BY ts, seq), lambda w, f: greatest(CAST(0.1 AS DOUBLE), least(CAST(4.0 AS DOUBLE), w * f)),
+                             CAST(1.0 AS DOUBLE)), 6) AS weight, CAST(count(*) AS INTEGER) AS n_steps
+FROM steps WHERE factor IS NOT NULL GROUP BY id""")
+def q_stream_weight_fold(spark, sf):
+    """I5 as a stream: each event is a step of its user's weight, which meets both clamps; late
+    steps are folded at their own place."""
+    ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    steps = F.create_map(*[F.lit(x) for e, v in fx.VERDICT_OF_EVENT.items() for x in (e, fb.WEIGHT_STEP[v])])
+    steps = ev.select(F.col("user_id").alias("id"), F.unix_timestamp("ts").alias("ts"), F.col("event_id").alias("seq"),
+                      steps[F.col("event_type")].alias("factor")).filter(F.col("factor").isNotNull())
+    out = _streamed(spark, steps, "seq", ["id"], fb.fold_steps)
+    return out.select("id", F.round("weight", 6).alias("weight"), "n_steps")
+
+
+@register(sql=with_(REVIEW_LOG) + " SELECT learner_id, deck, card_id, reps, fails, last_utc FROM rev")
+def q_stream_review(spark, sf):
+    """I1 as a stream: every grade counts, late ones too; the states equal the batch replay's (in
+    the tests), here the counts are compared."""
+    out = _streamed(spark, fx.review_log(spark, sf), "seq", ["learner_id", "deck", "card_id"], rv.review_replay)
+    return out.select("learner_id", "deck", "card_id", F.col("reps").cast("long").alias("reps"),
+                      F.col("fails").cast("long").alias("fails"), "last_utc")

@@ -107,14 +107,67 @@ SELECT l.learner_id, l.mode, m.daily_cap, greatest(1, CAST(round_even(m.daily_ca
        greatest(1, m.daily_cap - greatest(1, CAST(round_even(m.daily_cap * 0.6, 0) AS INTEGER))) AS design
 FROM l LEFT JOIN m USING (mode)""")
 def q_budget_split(spark, sf):
-    ev = table(spark, sf, "events").select("user_id").distinct()
-    learners = ev.select(F.col("user_id").alias("learner_id"),
-                         F.when(F.col("user_id") % 3 == 0, "sharp").when(F.col("user_id") % 3 == 1, "ramping")
-                         .otherwise("recruiting").alias("mode"))
+    return _learner_modes(spark, sf)
+
+def _learner_modes(spark, sf):
+    learners = table(spark, sf, "events").select("user_id").distinct().select(
+        F.col("user_id").alias("learner_id"),
+        F.when(F.col("user_id") % 3 == 0, "sharp").when(F.col("user_id") % 3 == 1, "ramping")
+        .otherwise("recruiting").alias("mode"))
     modes = spark.createDataFrame([(m, v[2]) for m, v in rv.MODES.items()], "mode string, daily_cap int")
     return rv.budget_split(learners, modes)
 
 
+@register(sql=with_(REVIEW_LOG) + f""",
+l AS (SELECT DISTINCT user_id AS learner_id, {_MODE_OF} AS mode FROM events),
+b AS (SELECT l.learner_id, greatest(1, CAST(round_even(m.daily_cap * 0.6, 0) AS INTEGER)) AS dsa
+      FROM l JOIN (VALUES {_MODES}) m(mode, daily_cap) USING (mode)),
+due AS (SELECT rev.*, b.dsa, md5('cairn' || '|' || CAST(learner_id AS VARCHAR) || '|' || deck || '|' || card_id) AS rnd
+        FROM rev JOIN b USING (learner_id) WHERE due_utc <= {NOW_R} AND fails < {LEECH}),
+wk AS (SELECT *, CASE WHEN fails > 0 THEN row_number() OVER (PARTITION BY learner_id, deck, fails > 0
+                                                             ORDER BY fails DESC, due_utc, rnd) END AS weak_rank FROM due),
+t AS (SELECT *, CASE WHEN weak_rank <= greatest(1, dsa // 3) THEN 0 ELSE 1 END AS tier FROM wk),
+t2 AS (SELECT *, sum(1 - tier) OVER (PARTITION BY learner_id, deck) AS n_weak,
+              row_number() OVER (PARTITION BY learner_id, deck, tier ORDER BY due_utc, last_utc NULLS FIRST, rnd) AS rest_rank
+       FROM t)
+SELECT learner_id, deck, card_id, dsa AS budget,
+       CAST(CASE WHEN tier = 0 THEN weak_rank ELSE n_weak + rest_rank END AS BIGINT) AS slot
+FROM t2 WHERE tier = 0 OR rest_rank <= dsa - n_weak""")
+def q_today_plan(spark, sf):
+    """F8 into F4: each learner's due cards up to the budget of the learner's own mode."""
+    budget = _learner_modes(spark, sf).select("learner_id", F.col("dsa").alias("budget"))
+    review = fx.review_state(spark, sf).join(budget, "learner_id")
+    out = rv.due_cards(review, NOW_R, F.col("budget"), leech_at=LEECH)
+    return out.select("learner_id", "deck", "card_id", "budget", F.col("slot").cast("long").alias("slot"))
+
+
+@register(sql=with_(REVIEW_LOG) + """,
+cp AS (SELECT DISTINCT 'c' || CAST(p_partkey % 10 AS VARCHAR) AS card_id, p_name AS problem FROM part WHERE p_partkey % 10 NOT IN (3, 4)),
+race AS (
+  SELECT *, row_number() OVER (PARTITION BY learner_id, deck ORDER BY
+      -ln((CAST(('0x' || substr(md5('cairn|' || CAST(learner_id AS VARCHAR) || '|' || deck || '|' || card_id), 1, 13))::BIGINT AS DOUBLE) + 1.0)
+          / (CAST(4503599627370496 AS DOUBLE) + 1.0)) / (1.0 + fails), deck, card_id) AS draw
+  FROM rev WHERE card_id IN (SELECT card_id FROM cp)),
+picks AS (SELECT learner_id, deck, card_id, draw FROM race WHERE draw <= 2),
+given AS (SELECT DISTINCT learner_id, card_id, problem FROM rlog JOIN cp USING (card_id)
+          WHERE learner_id % 2 = 0 AND length(problem) % 2 = 0),
+x AS (SELECT p.*, cp.problem, g.problem IS NULL AS fresh,
+             md5('cairn|' || CAST(p.learner_id AS VARCHAR) || '|' || p.card_id || '|' || cp.problem) AS rnd
+      FROM picks p JOIN cp USING (card_id)
+      LEFT JOIN given g ON g.learner_id = p.learner_id AND g.card_id = p.card_id AND g.problem = cp.problem),
+y AS (SELECT *, bool_or(fresh) OVER (PARTITION BY learner_id, card_id) AS any_fresh FROM x)
+SELECT learner_id, deck, card_id, CAST(draw AS INTEGER) AS draw, problem FROM (
+  SELECT *, row_number() OVER (PARTITION BY learner_id, card_id ORDER BY rnd, problem) AS r FROM y WHERE fresh OR NOT any_fresh)
+WHERE r = 1""")
+def q_practice_picks(spark, sf):
+    """two cards a deck, drawn by weakness among the cards that have problems (two of
+    ten have none), and a problem of each that the learner was not given, if there is one."""
+    cp = card_problems(spark, sf).filter(~F.col("card_id").isin("c3", "c4"))
+    seen = fx.review_log(spark, sf).select("learner_id", "card_id").distinct().filter("learner_id % 2 = 0")
+    given = seen.join(cp.filter(F.length("problem") % 2 == 0), "card_id")
+    return rv.practice_picks(fx.review_state(spark, sf), cp, given, 2)
+
+
 @register(sql="""
 WITH cards AS (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'AUTOMOBILE')
 SELECT 'missing' AS kind, c_custkey AS key FROM cards c

@@ -124,8 +124,9 @@ def refold_touched(log: str, out: str, keys: list[str], fold: Callable[[DataFram
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{log.rstrip('/')}/batch={batch_id}")
         events = spark.read.schema(T.StructType(batch.schema.fields + [T.StructField("batch", T.LongType())])).parquet(log)
-        touched = events.filter(F.col("batch") == batch_id).select(*keys).distinct()
-        history = events.filter(F.col("batch") <= batch_id).drop("batch").join(touched, keys, "left_semi")
+        touched = events.filter(F.col("batch") == batch_id).select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        history = events.filter(F.col("batch") <= batch_id).drop("batch").join(touched, same, "left_semi")
         fold(history).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
 
     return write

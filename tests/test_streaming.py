@@ -171,3 +171,31 @@ def test_unreadable_store_is_not_taken_for_empty(spark):
     with pytest.raises(Exception):
         commit_batch(store)(spark.createDataFrame(_items([1], 1), ITEM), 0)
     assert not os.path.exists(os.path.join(store, "batch=0"))
+
+
+def test_late_events_are_folded_at_their_place(spark):
+    everything = spark.createDataFrame([(k, 1000 + 7 * i % 60, i) for i in range(60) for k in (1, 2, None)],
+                                       "id long, ts long, seq long")
+    base = tempfile.mkdtemp(prefix="cairn-refold-")
+    write = folds.refold_touched(f"{base}/log", f"{base}/out", ["id"],
+                                 lambda d: d.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ts", "seq"))).alias("order"),
+                                                               F.count("*").alias("n")))
+    for batch_id, lot in enumerate((2, 0, 1)):
+        batch = everything.filter(F.col("seq") % 3 == lot)
+        write(batch, batch_id)
+        write(batch, batch_id)            # a replay changes nothing
+    write(everything.filter("seq < 0"), 3)       # an empty batch neither
+    got = {r.id: (r.n, [tuple(x) for x in r.order]) for r in folds.folded(spark.read.parquet(f"{base}/out"), ["id"]).collect()}
+    want = sorted((1000 + 7 * i % 60, i) for i in range(60))
+    assert got == {k: (60, want) for k in (1, 2, None)}
+
+
+def test_refolded_reviews_equal_the_batch_replay(spark):
+    rows = [(1, "d", "c", (i * 5) % 4 + 1, 86400 * i, i) for i in range(12)]
+    log = spark.createDataFrame(rows, "learner_id long, deck string, card_id string, rating int, review_utc long, seq long")
+    base, keys = tempfile.mkdtemp(prefix="cairn-refold-"), ["learner_id", "deck", "card_id"]
+    write = folds.refold_touched(f"{base}/log", f"{base}/out", keys, rv.review_replay)
+    write(log.filter("seq % 2 = 1"), 0)
+    write(log.filter("seq % 2 = 0"), 1)
+    got = folds.folded(spark.read.parquet(f"{base}/out"), keys)
+    assert got.first().asDict() == rv.review_replay(log).first().asDict()

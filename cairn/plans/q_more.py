@@ -256,18 +256,23 @@ def q_observation_log(spark, sf):
 
 
 REBUILD_DISTANCE = 0.2
+REBUILD_MODEL = "hashing-1024"
 
 
 @register
 def q_theme_rebuild(spark, sf):
-    """H4 end to end: gated corpus -> hashing embeddings -> exact similarity edges ->
+    """H4 end to end: gated corpus -> hashing embeddings through the vector cache -> exact similarity edges ->
     average-linkage clusters -> themes (size >= 2) with evidence, domain, weight,
     key and TF-IDF label. No SQL form (the encoder and the linkage are not SQL);
     each stage is oracle- or brute-force-checked on its own."""
     from ..operators.util import materialize
     sig = fx.signal(spark, sf)
-    v = vx.hashing_encoder(sig.select("id", tx.embed_text(F.col("title"), F.col("text")).alias("t")), "t", 1024)
-    v = materialize(v.select("id", "vec"), "signal_vec")
+    corpus = sig.select("id", "title", "text")
+    empty = spark.createDataFrame([], "id long, text_hash string, vec array<float>")
+    # an earlier build left the vectors of every second signal; the others are encoded now
+    cache = vx.embedding_cache(corpus.filter("id % 2 = 0"), empty, REBUILD_MODEL, dim=1024)
+    cache = materialize(cache.drop("reused"), "vector_cache")
+    v = materialize(vx.embedding_cache(corpus, cache, REBUILD_MODEL, dim=1024).select("id", "vec"), "signal_vec")
     lab = cl.average_linkage(v, REBUILD_DISTANCE)
     mem = lab.select(F.col("cluster").cast("string").alias("theme"), "id")
     th = materialize(ev.build_themes(mem, sig, NOW), "themes")   # read twice below

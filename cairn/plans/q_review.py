@@ -61,10 +61,18 @@ def q_review_stats(spark, sf):
     return st.select("learner_id", "deck", "total", "due", *[F.col(c).cast("long").alias(c) for c in ("reps", "lapses", "fails")])
 
 
-@register
+# 52 bits of the key's hash as u, then the race of the draw
+_RACE = """-ln((CAST(('0x' || substr(md5('cairn|' || CAST(learner_id AS VARCHAR) || '|' || deck || '|' || card_id), 1, 13))::BIGINT
+           AS DOUBLE) + 1.0) / (CAST(4503599627370496 AS DOUBLE) + 1.0)) / (1.0 + fails)"""
+_DRAW3 = f"""
+drawn AS (SELECT learner_id, deck, card_id, fails, CAST(row_number() OVER (
+            PARTITION BY learner_id ORDER BY {_RACE}, deck, card_id) AS INTEGER) AS draw FROM rev)"""
+
+
+@register(sql=with_(REVIEW_LOG, _DRAW3) + " SELECT * FROM drawn WHERE draw <= 3")
 def q_weighted_draw(spark, sf):
-    """three weakness-weighted picks per learner (rows-only; the distribution
-    is checked in tests)."""
+    """three weakness-weighted picks per learner (the distribution is checked in
+    tests)."""
     return rv.weighted_draw(fx.review_state(spark, sf), 3).select("learner_id", "deck", "card_id", "fails", "draw")
 
 
@@ -75,7 +83,16 @@ def card_problems(spark, sf):
                     F.col("p_name").alias("problem")).distinct()
 
 
-@register
+@register(sql=with_(REVIEW_LOG, _DRAW3) + """,
+cp AS (SELECT DISTINCT 'c' || CAST(p_partkey % 10 AS VARCHAR) AS card_id, p_name AS problem FROM part),
+x AS (SELECT DISTINCT d.learner_id, d.card_id, cp.problem,
+             CAST('0x' || substr(md5('given|' || CAST(d.learner_id AS VARCHAR) || '|' || cp.problem), 1, 4) AS BIGINT) % 3 <> 0 AS fresh
+      FROM drawn d JOIN cp USING (card_id) WHERE d.draw <= 3),
+y AS (SELECT *, bool_or(fresh) OVER (PARTITION BY learner_id, card_id) AS any_fresh FROM x)
+SELECT learner_id, card_id, problem FROM (
+  SELECT *, row_number() OVER (PARTITION BY learner_id, card_id ORDER BY
+      md5('cairn|' || CAST(learner_id AS VARCHAR) || '|' || card_id || '|' || problem), problem) AS r
+  FROM y WHERE fresh OR NOT any_fresh) WHERE r = 1""")
 def q_problem_rotation(spark, sf):
     """F7 over the weighted picks: each learner gets one problem of each picked card,
     preferring problems not given before. The given log: about a third of each
@@ -144,9 +161,7 @@ def q_today_plan(spark, sf):
 @register(sql=with_(REVIEW_LOG) + """,
 cp AS (SELECT DISTINCT 'c' || CAST(p_partkey % 10 AS VARCHAR) AS card_id, p_name AS problem FROM part WHERE p_partkey % 10 NOT IN (3, 4)),
 race AS (
-  SELECT *, row_number() OVER (PARTITION BY learner_id, deck ORDER BY
-      -ln((CAST(('0x' || substr(md5('cairn|' || CAST(learner_id AS VARCHAR) || '|' || deck || '|' || card_id), 1, 13))::BIGINT AS DOUBLE) + 1.0)
-          / (CAST(4503599627370496 AS DOUBLE) + 1.0)) / (1.0 + fails), deck, card_id) AS draw
+  SELECT *, row_number() OVER (PARTITION BY learner_id, deck ORDER BY """ + _RACE + """, deck, card_id) AS draw
   FROM rev WHERE card_id IN (SELECT card_id FROM cp)),
 picks AS (SELECT learner_id, deck, card_id, draw FROM race WHERE draw <= 2),
 given AS (SELECT DISTINCT learner_id, card_id, problem FROM rlog JOIN cp USING (card_id)

@@ -119,9 +119,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The mix up to the slot where the first source runs out, in mixing order inside
-    range-sorted files, with the columns of ``docs``."""
-    kw.setdefault("until", "first")
+    """Every row of ``docs`` in mixing order inside range-sorted files, with its columns."""
     m = mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                         F.col("doc_id"), F.col("source")), **kw)
     return m.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")

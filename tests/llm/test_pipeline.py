@@ -40,6 +40,16 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
     assert {r.doc_id: list(r.ids) for r in kept[4]} == {r.doc_id: sp.encode(r.text) for r in kept[3]}
 
 
+def test_mix_stage_keeps_all_rows_beside_a_tiny_source(spark):
+    # 2,500 blocks of one source: a period has about 1,000 slots, and a source of one row ends in the second
+    hot = spark.range(40_000).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'hot' AS source", "id AS n_chars")
+    docs = hot.unionByName(spark.createDataFrame([(-1, "t", "en", "one", 1), (-2, "t", "en", None, 1)],
+                                                   "doc_id long, text string, lang string, source string, n_chars long"))
+    out = C.source_mix(spark, docs, "")
+    assert out.columns == COLUMNS
+    assert Counter(r.doc_id for r in out.select("doc_id").collect()) == Counter([-1, -2, *range(40_000)])
+
+
 def test_run_on_the_smallest_table(spark):
     got = C.run(spark, "/root/testdata/sf0.001").collect()
     assert got and len({r.doc_id for r in got}) == len(got) and all(r.round_trip for r in got)

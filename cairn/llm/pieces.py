@@ -3,9 +3,13 @@
 A ``.model`` file is a protobuf: :func:`parse_model` reads its pieces, scores, types and
 normaliser, :func:`build` makes a ``tokenizers`` pipeline from them (normaliser, metaspace
 marker, unigram scores or merges ranked by score, byte fallback), and :func:`encode` runs it in
-batches over several threads. Where ``sentencepiece`` is installed, parity with it is verified:
-every text of a batch up to ``parity_bytes`` and the first texts beyond it are encoded by both,
-and a batch that differs anywhere is returned as the original library encodes it.
+batches over several threads. Where ``sentencepiece`` is installed, parity with it is verified
+for every text, and a text that differs is returned as the original library encodes it. Where no
+piece has a space mark behind another character, merges never leave a word (a run of marks and
+what follows up to the next run), so the original library's tokens of a text are those of its
+words one after the other: it encodes every distinct word once, and their ids joined are compared
+with the text's. Texts of other models are encoded whole by both libraries; so are, besides, the
+first ``parity_bytes`` characters of texts of each batch.
 
 Defined results: NULL and empty texts give no tokens; special tokens' strings in a text are
 ordinary text; a text is encoded whole, whatever its length; rows are independent, repeated
@@ -16,7 +20,9 @@ rows give equal results; an empty table gives an empty table; other columns are
 from __future__ import annotations
 
 import os
+import re
 import struct
+from array import array
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -31,6 +37,7 @@ MARK = "▁"
 THREADS = 2
 BATCH_BYTES = 1 << 20
 PARITY_BYTES = 1 << 15
+KNOWN_WORDS, KNOWN_CHARS = 1 << 19, 64   # words whose ids a worker holds from batch to batch, and their length
 
 
 @dataclass
@@ -143,7 +150,8 @@ _BUILT: dict = {}
 
 
 def _backend(data: bytes):
-    """The tokenizer and the original library's processor of a worker, made once."""
+    """The tokenizer, the original library's processor and its ids of words (None: texts are compared
+    whole) of a worker, made once."""
     key = hash(data)
     if key not in _BUILT:
         processor = None
@@ -153,7 +161,8 @@ def _backend(data: bytes):
         except ImportError:
             pass
         m = parse_model(data)
-        _BUILT[key] = (m, build(m), processor, _plain(m))
+        _BUILT[key] = (m, build(m), processor, _plain(m),
+                       {"": array("i", [m.pieces.index(MARK)]).tobytes()} if _by_words(m) else None)
     return _BUILT[key]
 
 
@@ -182,23 +191,58 @@ def _shown(m: Model, t, plain: list, ids: list) -> str:
     return text[1:] if m.dummy_prefix and text.startswith(" ") else text
 
 
+def _by_words(m: Model) -> bool:
+    """Whether a text's tokens are its words' tokens: only the space is rewritten, every text starts
+    with a mark, and no piece goes on into the next word."""
+    return (m.kind == BPE and m.dummy_prefix and m.escape and not m.squeeze and not m.charsmap
+            and set(m.types) <= {NORMAL, UNKNOWN, CONTROL, BYTE} and (MARK, NORMAL) in zip(m.pieces, m.types)
+            and not any(k == NORMAL and re.search(f"[^{MARK}]{MARK}", p) for p, k in zip(m.pieces, m.types)))
+
+
+def _words(text: str) -> list:
+    """The words of a text in order, each without its first mark, which encoding puts back; the
+    empty word is a mark alone at the end."""
+    if not text:
+        return []
+    if "  " in text or MARK in text or text.startswith(" "):
+        return [w[1:] for w in re.findall(f"[ {MARK}]+[^ {MARK}]*", " " + text)]
+    return text.split(" ")
+
+
+def _mend(processor, known: dict | None, texts: list, ids: list, parity_bytes: int) -> None:
+    """Put the original library's ids in place of those that differ."""
+    if known is None:
+        again = range(len(texts))
+    else:
+        own = [_words(x) for x in texts]
+        new = list(set().union(*own).difference(known))
+        known.update((w, array("i", x).tobytes()) for w, x in zip(new, processor.encode(new, num_threads=1)))
+        again, left = [], parity_bytes
+        for i, x in enumerate(texts):
+            if left > 0 or b"".join(map(known.__getitem__, own[i])) != array("i", ids[i]).tobytes():
+                again.append(i)
+            left -= len(x)
+        if len(known) > KNOWN_WORDS:
+            mark = known[""]
+            known.clear()
+            known[""] = mark
+        else:
+            for w in new:
+                if len(w) > KNOWN_CHARS:
+                    del known[w]
+    for i in again:
+        ids[i] = processor.encode(texts[i])
+
+
 def encode_texts(data: bytes, texts: list, parity_bytes: int = PARITY_BYTES):
     """(ids, round trip holds, verified) of each text; one batch of the library."""
-    m, t, processor, plain = _backend(data)
+    m, t, processor, plain, known = _backend(data)
     texts = [x or "" for x in texts]
     ids = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-    checked = [False] * len(texts)
     if processor is not None:
-        left = parity_bytes
-        for i, x in enumerate(texts):
-            if left <= 0:
-                break
-            left -= len(x)
-            checked[i] = True
-            if processor.encode(x) != ids[i]:
-                ids, checked = processor.encode(texts, num_threads=1), [True] * len(texts)
-                break
-    return ids, [_shown(m, t, plain, i) == _normal(m, t, x) for i, x in zip(ids, texts)], checked
+        _mend(processor, known, texts, ids, parity_bytes)
+    return (ids, [_shown(m, t, plain, i) == _normal(m, t, x) for i, x in zip(ids, texts)],
+            [processor is not None] * len(texts))
 
 
 def decode_ids(data: bytes, ids: list) -> list:

@@ -22,6 +22,30 @@ def test_pieces_have_parity_and_round_trip(spark):
     assert pieces.encode(table(spark, [])).count() == 0
 
 
+def test_every_text_is_verified_beyond_the_sample():
+    import sentencepiece
+    data = open(pieces.MODEL, "rb").read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["a" + " " * k + "b" for k in range(100)] + [" " * k for k in range(60)]
+    texts += ["▁" * k + " a▁ ▁b" + " " * k for k in range(50)]
+    texts += ["def f():\n" + " " * 24 + "return  1\n" + "\t" * 9 + " " * 31 + "# é\x00漢字 ", "plain words only", ""]
+    ids, _, seen = pieces.encode_texts(data, texts, parity_bytes=0)
+    assert ids == sp.encode(texts) and all(seen)
+    assert ids == [pieces.encode_texts(data, [x], parity_bytes=0)[0][0] for x in texts]   # whatever the batch
+
+
+def test_a_wrong_rebuild_is_noticed_in_any_text(monkeypatch):
+    import sentencepiece
+    data = open(pieces.MODEL, "rb").read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    merges = pieces._merges
+    monkeypatch.setattr(pieces, "_merges", lambda m: merges(m)[::-1])
+    monkeypatch.setattr(pieces, "_BUILT", {})
+    texts = [r[1] or "" for r in rows()] + ["the last one is wrong too"]
+    ids, _, seen = pieces.encode_texts(data, texts, parity_bytes=0)
+    assert ids == sp.encode(texts) and all(seen)
+
+
 def test_pieces_decode(spark):
     texts = ["a  b\n\nc", "日本語 🎉 x", "", None, "<s> </s> <0x0A> ▁"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -12,9 +12,15 @@ No link is lost. A part may be empty in many documents, so empty parts give no r
 than s empty parts repeats with another seed, and after the last seed joins an overflow
 group of its band, so a pair that all its common parts leave empty still meets.
 
+Frequent sketches come last. A set with e empty parts shares 1 + s - e sketches with each of its
+partners, so it may leave out the s - e that most sets have: what remains of both still has the
+rarest one they share. In a family of texts that differ in many places the common sketches are the
+frequent ones, and those that remain are shared by few.
+
 No group is expanded into all pairs. Equal sets are one node. In each group every node is first
 compared with one centre; the links make classes, and only pairs of a group whose ends lie in
-different classes are looked at after that, which is exact for components.
+different classes are looked at after that, which is exact for components. ``links`` gives all links of
+the join, between classes of equal sets.
 
 Defined results: NULL and empty texts have an empty set and are linked with nothing; with fewer
 words than a shingle the whole sequence is one shingle; repeated rows and equal sets are linked;
@@ -31,13 +37,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, ship_package
+from .common import WORD, materialize, release, ship_package
 
 WORDS, PERCENT = 4, 85
 SEEDS = 4
+SLACK = 4              # one more part for so many that may differ
 STAR_ROUNDS = 2
 SKETCH_WORDS = 32     # of a set's parity sketch
-FOLDED = 4             # of the same sketch folded, which goes along with candidate rows
+FOLDED = 16            # of the same sketch folded, which goes along with candidate rows
 U64 = np.uint64
 _GOLD, _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -93,29 +100,41 @@ class Bands:
         while len(self.low) <= band + 1:
             self.low.append(self.low[-1] * 100 // self.percent + 1)
         most = 2 * (self.low[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-        slack = most // 16 + (most > 0)
+        slack = most // SLACK + (most > 0)
         return most + 1 + slack, slack
 
 
-def part_keys(s: np.ndarray, bands: Bands, seeds: int = SEEDS) -> np.ndarray:
-    """Hashes of the (band, seed, part, parity sketch) rows of a set."""
-    out = []
+def keyed_parts(s: np.ndarray, bands: Bands, seeds: int = SEEDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the (band, seed, part, parity sketch) rows of a set, and with each how many of its
+    family's may be left out. The last four bits of a hash tell the families of a set apart."""
+    out, spare = [], []
     own = bands.of(len(s))
     with np.errstate(over="ignore"):
         for band in (own, own + 1):
             k, slack = bands.parts(band)
+            family = (band & 1) << 3
             for seed in range(seeds):
                 place = U64((band << 8) + seed + 1) * _GOLD
                 part = ((mix(s ^ place) >> U64(32)) * U64(k) >> U64(32)).astype(np.int64)
                 xor = np.zeros(k, U64)
                 np.bitwise_xor.at(xor, part, s)
                 full = np.flatnonzero(np.bincount(part, minlength=k))
-                out.append(mix(mix(xor[full] + place) ^ (U64(1) + full.astype(U64)) * _M1))
+                out.append(_told(mix(mix(xor[full] + place) ^ (U64(1) + full.astype(U64)) * _M1), family | seed))
+                spare.append(np.full(len(full), max(0, slack - k + len(full))))
                 if k - len(full) <= slack:
                     break
             else:
-                out.append(mix(np.array([(band << 8) + 255], U64) * _M2))
-    return np.concatenate(out)
+                out.append(_told(mix(np.array([(band << 8) + 255], U64) * _M2), family | 7))
+                spare.append(np.zeros(1, np.int64))
+    return np.concatenate(out), np.concatenate(spare)
+
+
+def _told(keys: np.ndarray, family: int) -> np.ndarray:
+    return keys & ~U64(15) | U64(family)
+
+
+def part_keys(s: np.ndarray, bands: Bands, seeds: int = SEEDS) -> np.ndarray:
+    return keyed_parts(s, bands, seeds)[0]
 
 
 def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -123,70 +142,88 @@ def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node): node is NULL for an empty set."""
+    """``docs`` without the text, with n_shingles and node, which is NULL for an empty set."""
+    kept = [c for c in docs.columns if c != "text"]
+
     def run(frames):
         import pandas as pd
         for frame in frames:
             found = [(len(s), node_of(s) if len(s) else None) for s in (shingles(t, words) for t in frame["text"])]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_shingles": [x[0] for x in found],
-                                "node": pd.array([x[1] for x in found], dtype="Int64")})
+            yield frame[kept].assign(n_shingles=[x[0] for x in found], node=pd.array([x[1] for x in found], dtype="Int64"))
 
-    return docs.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long")
+    types = dict(docs.dtypes)
+    return docs.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in kept) + ", n_shingles long, node long")
 
 
 def part_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, node) rows of all sets; equal sets of a batch are taken once."""
+    """(key, node, spare) rows of all sets; equal sets of a batch are taken once."""
     def run(batches):
         import pyarrow as pa
         bands = Bands(percent)
-        names = ["key", "node"]
+
+        def rows(keys, nodes, spare):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)),
+                                               pa.array(np.concatenate(spare).astype(np.int16))], ["key", "node", "spare"])
+
         for batch in batches:
-            keys, nodes, seen, held = [], [], set(), 0
+            keys, nodes, spare, seen, held = [], [], [], set(), 0
             for t in batch.column("text"):
                 s = shingles(t.as_py(), words)
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
-                k = part_keys(s, bands)
-                keys.append(k.view(np.int64)), nodes.append(np.full(len(k), node))
+                k, left_out = keyed_parts(s, bands)
+                keys.append(k), nodes.append(np.full(len(k), node)), spare.append(np.minimum(left_out, 32_000))
                 held += len(k)
                 if held > 1 << 19:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)], names)
-                    keys, nodes, held = [], [], 0
+                    yield rows(keys, nodes, spare)
+                    keys, nodes, spare, held = [], [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)], names)
+                yield rows(keys, nodes, spare)
 
-    return docs.select("text").mapInArrow(run, "key long, node long")
+    return docs.select("text").mapInArrow(run, "key long, node long, spare short")
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
-    """(key, node) of the keys that two nodes or more share. Rows come sorted by key and node and
-    are streamed, whatever a key's size; the state is one row."""
+    """The rows (key, node, others) of the keys that two nodes or more share, a node once. They come sorted by key
+    and node and are streamed, whatever a key's size; the state is one row."""
+    names = rows.columns
+
     def run(batches):
         import pyarrow as pa
-        last_key = last_node = None
-        open_run = False         # the last row's key is shared and was written
+        last, written = None, False          # the last row, and whether it went out
         for batch in batches:
-            key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            if last_key is not None:
-                key, node = np.append([last_key], key), np.append([last_node], node)
+            if last is not None:
+                batch = pa.concat_batches([last, batch])
+            key, node = (batch.column(names.index(c)).to_numpy() for c in ("key", "node"))
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node = key[new], node[new]
-            shared = np.zeros(len(key), bool)
-            shared[1:] = key[1:] == key[:-1]
-            tail_shared = bool(shared[-1]) or (open_run and len(key) == 1)
-            shared[:-1] |= shared[1:]
-            if last_key is not None and open_run:
-                shared[0] = False             # written before
-            last_key, last_node = key[-1], node[-1]
-            open_run = tail_shared
+            at = np.flatnonzero(new)
+            same = key[at][1:] == key[at][:-1]
+            shared = np.zeros(len(at), bool)
+            shared[1:] = same
+            shared[:-1] |= same
+            first = last is None or not written
+            last, written = batch.slice(at[-1], 1), bool(shared[-1]) or (written and len(at) == 1)
+            shared[0] &= first
             if shared.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(node[shared])], ["key", "node"])
+                yield batch.take(pa.array(at[shared]))
+
+    return (rows.repartition("key").sortWithinPartitions("key", "node")
+            .mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)))
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+
+def rarest(groups: DataFrame) -> DataFrame:
+    """(key, node) of ``groups(key, node, spare)`` without the most frequent keys that each set may leave out, and
+    of those the keys that two nodes still share."""
+    size = groups.groupBy("key").agg(F.count("*").alias("size"))
+    family = Window.partitionBy("node", F.col("key").bitwiseAND(15)).orderBy(F.col("size").desc(), "key")
+    left = materialize(groups.join(size, "key").withColumn("rank", F.row_number().over(family))
+                       .filter("rank > spare").select("key", "node"), "parity-rarest")
+    shared = left.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    return left.join(shared.select("key"), "key", "left_semi")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, sets: DataFrame, words: int) -> DataFrame:
@@ -276,13 +313,28 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def node_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """(node, label) of all nodes that are linked with another node."""
+def _candidates(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The groups (key, node) in which every linked pair meets, and the sets of their nodes."""
     spark = docs.sparkSession
-    groups = materialize(groups_of(part_rows(docs, words, percent)), "parity-groups")
+    groups = materialize(groups_of(part_rows(docs, words, percent)), "parity-shared")
     release(spark)
+    groups = materialize(rarest(groups), "parity-groups")
     known = materialize(node_sets(docs, groups.select("node").distinct(), sets, words), "parity-sets")
     release(spark)
+    return groups, known
+
+
+def _met(open_: DataFrame, which, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that share a group, fulfil ``which`` and may be linked."""
+    a, b = open_.alias("a"), open_.alias("b")
+    return (a.join(b, (F.col("a.key") == F.col("b.key")) & which & _may_link(percent, folded=True))
+            .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
+
+
+def node_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """(node, label) of all nodes that are linked with another node."""
+    spark = docs.sparkSession
+    groups, known = _candidates(docs, sets, words, percent)
     light = known.drop("shingles")
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, label long")
@@ -308,11 +360,7 @@ def node_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, star_
         else:
             open_ = materialize(member.join(mixed.select("key"), "key").join(light.drop("sketch"), "node"),
                                 "parity-open")
-            a, b = open_.alias("a"), open_.alias("b")
-            pairs = (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
-                            & _may_link(percent, folded=True))
-                     .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
-            pairs = _bounded(pairs, light, percent)
+            pairs = _bounded(_met(open_, F.col("a.label") < F.col("b.label"), percent), light, percent)
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "parity-pairs")
         if pairs.isEmpty() and turn < star_rounds:
             continue
@@ -332,32 +380,71 @@ def _bounded(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     return both.filter(_may_link(percent, folded=False)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
+def first_of(sets: DataFrame, labels: DataFrame, order) -> DataFrame:
+    """(node, first): the smallest ``order`` of the rows of a node's component. Rows are brought down to
+    nodes before anything is joined, so copies of a text cost what one of them does."""
+    nodes = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("first"))
+    linked = labels.join(nodes, "node")
+    component = linked.groupBy("label").agg(F.min("first").alias("of_all"))
+    linked = linked.join(component, "label").select("node", "of_all")
+    return nodes.join(linked, "node", "left").select("node", F.coalesce("of_all", "first").alias("first"))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS,
          percent: int = PERCENT) -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     ship_package(docs.sparkSession)
     texts = _texts(docs, id_col, text)
     sets = materialize(sets_of(texts, words), "shingle-sets")
-    labels = node_links(texts, sets, words, percent)
-    rows = sets.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
-    linked = rows.filter(F.col("label").isNotNull())
-    first = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return (linked.join(first, "label").select("doc_id", "n_shingles", "component_id")
-            .unionByName(rows.filter(F.col("label").isNull()).select("doc_id", "n_shingles",
-                                                                     F.col("doc_id").alias("component_id"))))
+    first = first_of(sets, node_links(texts, sets, words, percent), F.col("doc_id"))
+    return sets.join(first, "node", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS,
+          percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links of the join: (doc_id, n_shingles, class, n_links) of every row, where equal sets are one class (NULL
+    for an empty set) and n_links counts the other rows it is linked with; and the pairs (a, b), a < b, of
+    different classes that reach the similarity. Copies are not expanded, but a family of n different texts that are
+    all alike does have n * (n - 1) / 2 links."""
+    ship_package(docs.sparkSession)
+    texts = _texts(docs, id_col, text)
+    sets = materialize(sets_of(texts, words), "shingle-sets")
+    groups, known = _candidates(texts, sets, words, percent)
+    open_ = materialize(groups.join(known.drop("shingles", "sketch"), "node"), "parity-open")
+    pairs = materialize(verified(_bounded(_met(open_, F.col("a.node") < F.col("b.node"), percent), known.drop("shingles"),
+                                          percent), known, percent), "parity-all-links")
+    size = sets.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("size"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = (both.join(size.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node"))
+              .agg(F.sum("size").alias("others")))
+    counted = size.join(others, "node", "left").select(
+        "node", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    members = sets.join(counted, "node", "left").select(
+        "doc_id", "n_shingles", F.col("node").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return members, pairs
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5,
                      percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged: of each component the row with the
-    smallest id (one of them if rows repeat); rows with a NULL id stay."""
-    stay = (join(docs, id_col, text, words, percent).filter("doc_id = component_id")
-            .select(F.col("doc_id").alias("__stay")).distinct())
-    rows = docs.select(F.col(id_col).alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    known = rows.filter(F.col("__id").isNotNull()).join(stay, F.col("__id") == F.col("__stay"))
-    w = Window.partitionBy("__id").orderBy(F.xxhash64("__row"))
-    one = known.withColumn("__first", F.row_number().over(w)).filter("__first = 1").select("__row.*")
-    return one.unionByName(rows.filter(F.col("__id").isNull()).select("__row.*"))
+    """The rows of ``docs`` that stay, all columns unchanged: of each component the row with the smallest id (a
+    NULL id is the largest; of rows with that id one). A row is told by its id and all its columns, so
+    different texts of one id are judged apart. Rows without words are linked with nothing and stay."""
+    ship_package(docs.sparkSession)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc_id"), name.alias("name"), F.xxhash64(whole).alias("row"),
+                        F.col(text).alias("text"))
+    sets = materialize(sets_of(texts, words), "shingle-sets")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "name")
+    first = first_of(sets, node_links(texts.select("doc_id", "text"), sets, words, percent), order)
+    stay = first.select(F.col("first.row").alias("__hash"), F.col("first.name").alias("__name")).distinct()
+    rows = docs.select(F.xxhash64(whole).alias("__hash"), name.alias("__name"),
+                       F.coalesce(F.col(text).rlike(WORD), F.lit(False)).alias("__words"), whole.alias("__row"))
+    w = Window.partitionBy("__hash", "__name").orderBy(F.lit(0))
+    once = rows.filter("__words").withColumn("__first", F.row_number().over(w)).filter("__first = 1")
+    return (once.join(stay, ["__hash", "__name"]).select("__row.*")
+            .unionByName(rows.filter(~F.col("__words")).select("__row.*")))
 
 
 # ---- registered query (tests compare with all pairs of small tables) ---------------

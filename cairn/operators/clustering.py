@@ -1,28 +1,29 @@
-"""Threshold clustering (H3) and theme rebuild (H4) as iterative DataFrame jobs.
+"""Threshold clustering (H3) and connected components as iterative DataFrame jobs.
 
 * ``connected_components``: min-label propagation with pointer jumping over an
   edge list; each round is two joins and a min-aggregation, and the labels are
   checkpointed every round so lineage stays flat.
 * ``average_linkage``: exact average-linkage agglomerative clustering on cosine
-  distance, merging while distance < threshold, computed by reciprocal nearest
-  neighbour rounds (merging every mutual-nearest pair with distance < t in a round
-  gives the same clusters as one-at-a-time merging, because average linkage is
-  reducible). For unit vectors the average pairwise cosine distance between
-  clusters A and B is ``1 - (sum_A . sum_B) / (|A| |B|)``, so every round only
-  needs each cluster's sum vector, never a member x member matrix. Candidate
-  merges come from the similarity edges: an average below t implies some member
-  pair below t, so clusters without an edge can never merge.
+  distance, merging while distance < threshold. Average linkage is reducible: a merge brings
+  no third cluster nearer than the nearer of the two was. So any pair of reciprocal nearest
+  neighbours may be merged at once, and distances to clusters elsewhere can only be bounded from below
+  by what they were. For unit vectors the average pairwise cosine distance between clusters A and B
+  is ``1 - (sum_A . sum_B) / (|A| |B|)``, so a cluster is its size and sum vector, and no edge list or
+  member x member matrix is kept.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from . import cells
 from .util import materialize
-from .vectors import similar_pairs, unit
-
+from .vectors import common_width, valid_vectors
 
 
 def _cut(df: DataFrame, name: str) -> DataFrame:
@@ -54,166 +55,195 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-LOCAL_COMPONENT_ROWS = 50_000
-LOCAL_COMPONENT_EDGES = 5_000_000
-
-
-def _local_rac(ids, x, ea, eb, t):
-    """Reciprocal-nearest-neighbour average linkage inside one component, on its
-    sparse edge list and per-cluster sum vectors (numpy; memory O(edges + rows)).
-    ``ea``/``eb`` are row indexes of the member pairs closer than ``t``. Returns
-    the smallest member id of every row's cluster."""
-    import numpy as np
+GROUP_ROWS = 8192      # clusters of one task
+_CHUNK = 1 << 23       # cells of a product
+_INF, _LAST = float("inf"), (1 << 63) - 1
+
+
+def _nearest(m: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and place of the nearest of ``cols`` (the first among ties) to each of ``rows``, itself left out."""
+    dist, place = np.full(len(rows), _INF), np.full(len(rows), -1)
+    if not len(cols):
+        return dist, place
+    right = m[cols]
+    step = max(1, _CHUNK // len(cols))
+    for at in range(0, len(rows), step):
+        some = rows[at:at + step]
+        sims = m[some] @ right.T
+        own = np.searchsorted(cols, some)
+        here = (own < len(cols)) & (cols[np.minimum(own, len(cols) - 1)] == some)
+        sims[np.flatnonzero(here), own[here]] = -_INF
+        j = sims.argmax(axis=1)
+        dist[at:at + step], place[at:at + step] = 1.0 - sims[np.arange(len(j)), j], cols[j]
+    return dist, place
+
+
+def merge_group(ids: np.ndarray, n: np.ndarray, s: np.ndarray, out_d: np.ndarray, out_id: np.ndarray, t: float):
+    """All merges inside a group that nothing outside can forestall. ``ids`` rise; ``out_d`` and ``out_id`` are the
+    distance and id of each cluster's nearest one elsewhere. A pair is merged if each is the other's nearest in the
+    group, nearer than t and nearer than what lies outside; the pair's bound is the lesser of both.
+    Returns (root, n, s, wants): the place of the cluster that each went into, sizes and sums at
+    the roots, and which clusters are unmerged and have their nearest one elsewhere."""
     k = len(ids)
-    s = x / np.linalg.norm(x, axis=1, keepdims=True)
-    n = np.ones(k)
-    parent = np.arange(k)
-    a, b = np.minimum(ea, eb), np.maximum(ea, eb)
-    while len(a):
-        d = 1.0 - np.einsum("ij,ij->i", s[a], s[b]) / (n[a] * n[b])
-        m = d < t
-        if not m.any():
-            break
-        src = np.concatenate([a[m], b[m]])
-        dst = np.concatenate([b[m], a[m]])
-        dd = np.concatenate([d[m], d[m]])
-        order = np.lexsort((dst, dd, src))          # per src: smallest distance, then smallest id
-        src, dst = src[order], dst[order]
-        first = np.ones(len(src), dtype=bool)
-        first[1:] = src[1:] != src[:-1]
-        nn = np.full(k, -1)
-        nn[src[first]] = dst[first]
-        xs = src[first]
-        recip = xs[(nn[nn[xs]] == xs) & (xs < nn[xs])]
-        if len(recip) == 0:
-            break
-        gone = nn[recip]
-        s[recip] += s[gone]
-        n[recip] += n[gone]
-        parent[gone] = recip
-        rel = np.arange(k)
-        rel[gone] = recip
-        a, b = rel[a], rel[b]
-        keep = a != b
-        a, b = np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])
-        key = np.unique(a.astype(np.int64) * k + b)
-        a, b = key // k, key % k
-    root = parent.copy()
-    while True:                                      # resolve merge chains
-        nxt = root[root]
-        if (nxt == root).all():
+    n, s, out_d, out_id = n.astype(np.float64), s.copy(), out_d.copy(), out_id.copy()
+    m = s / n[:, None]
+    alive, root = np.ones(k, bool), np.arange(k)
+    dist, place = _nearest(m, np.arange(k), np.arange(k))
+    first_d = dist.copy()
+    first_id = np.where(place >= 0, ids[place], _LAST)
+    while True:
+        rows = np.flatnonzero(alive & (dist < t))
+        a = rows[(place[place[rows]] == rows) & (rows < place[rows]) & alive[place[rows]]]
+        b = place[a]
+        safe = np.ones(len(a), bool)
+        for x, y in ((a, b), (b, a)):
+            safe &= (dist[x] < out_d[x]) | ((dist[x] == out_d[x]) & (ids[y] < out_id[x]))
+        a, b = a[safe], b[safe]
+        if not len(a):
             break
-        root = nxt
-    order = np.argsort(root, kind="stable")
-    first_id = {}
-    for r, i in zip(root[order], ids[order]):
-        first_id[r] = min(first_id.get(r, i), i)
-    return np.array([first_id[r] for r in root], dtype=np.int64)
-
-
-def average_linkage(vecs: DataFrame, threshold: float, edges: DataFrame | None = None,
-                    local_rows: int = LOCAL_COMPONENT_ROWS, local_edges: int = LOCAL_COMPONENT_EDGES) -> DataFrame:
-    """(id, vec) -> (id, cluster), cluster = smallest member id; merges while the
-    average cosine distance is < ``threshold``. Exact.
-
-    A cluster never spans two connected components of the similarity graph, so the
-    components are found first. A component within ``local_rows`` vectors and
-    ``local_edges`` edges is clustered in one bounded cogroup (its vectors and its
-    edges, numpy, memory linear in both); only oversize components go through the
-    distributed rounds, which use the same merge rule."""
-    spark = vecs.sparkSession
-    checkpoint_dir(spark)
-    if edges is None:
-        edges = similar_pairs(vecs, threshold)
-    edges = _cut(edges.select("a", "b"), "edges")
-    n_vecs = vecs.count()
-    if n_vecs <= local_rows and edges.limit(local_edges + 1).count() <= local_edges:
-        # the whole graph is within the bound of one component: no labelling rounds
-        return _cut(_local_groups(vecs.select(F.lit(0).cast("long").alias("comp"), "id", "vec"),
-                                  edges.select("a", "b", F.lit(0).cast("long").alias("comp")), threshold),
-                    "clusters")
-    comps = connected_components(vecs.select("id"), edges)
-    ecomp = comps.select(F.col("id").alias("a"), F.col("comp").alias("ecomp"))
-    esize = edges.join(ecomp, "a").groupBy("ecomp").agg(F.count("*").alias("esize"))
-    sizes = (comps.groupBy("comp").agg(F.count("*").alias("csize"))
-             .join(esize, F.col("comp") == F.col("ecomp"), "left").drop("ecomp"))
-    local_ok = (F.col("csize") <= local_rows) & (F.coalesce("esize", F.lit(0)) <= local_edges)
-    tagged = _cut(vecs.select("id", "vec").join(comps, "id").join(sizes, "comp")
-                  .withColumn("local", local_ok), "tagged")
-    small_v = tagged.filter("local").select("comp", "id", "vec")
-    small_e = edges.join(tagged.filter("local").select(F.col("id").alias("a"), F.col("comp").alias("comp")), "a")
-    small = _local_groups(small_v, small_e, threshold)
-    big_ids = tagged.filter(~F.col("local")).select("id", "vec")
-    if big_ids.limit(1).count() == 0:
-        return _cut(small, "clusters")   # written once: consumers read it several times
-    big_edges = edges.join(big_ids.select(F.col("id").alias("a")), "a", "left_semi")
-    return _cut(small.unionByName(_rac_rounds(big_ids, threshold, big_edges)), "clusters")
-
-
-def _local_groups(vecs: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
-    """Exact linkage per bounded group: ``vecs(comp, id, vec)`` cogrouped with
-    ``edges(a, b, comp)`` by ``comp``."""
-    def local(vp, ep):
-        import numpy as np
-        import pandas as pd
-        if vp.empty:
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "cluster": pd.Series([], dtype="int64")})
-        ids = vp["id"].to_numpy().astype(np.int64)
-        x = np.vstack(vp["vec"].to_numpy()).astype(np.float64)
-        pos = pd.Series(np.arange(len(ids)), index=ids)
-        ea = pos.loc[ep["a"].to_numpy()].to_numpy() if len(ep) else np.array([], dtype=np.int64)
-        eb = pos.loc[ep["b"].to_numpy()].to_numpy() if len(ep) else np.array([], dtype=np.int64)
-        return pd.DataFrame({"id": ids, "cluster": _local_rac(ids, x, ea, eb, threshold)})
-
-    return vecs.groupBy("comp").cogroup(edges.groupBy("comp")).applyInPandas(local, "id long, cluster long")
-
-
-def _rac_rounds(vecs: DataFrame, threshold: float, edges: DataFrame) -> DataFrame:
-    """Distributed rounds for oversize components. Per round the work is
-    proportional to the number of clusters and candidate edges (both shrink);
-    member ids are resolved once at the end from the merge forest."""
-    u = vecs.select("id", unit(F.col("vec")).alias("u"))
-    merged = None  # every (keep, gone) merge so far; a forest over the ids
-    csum = _cut(u.select(F.col("id").alias("cid"), F.lit(1).cast("long").alias("n"), F.col("u").alias("s")), "csum")
-    cedges = _cut(edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "cedges")
-
-    def add(a, b):
-        return F.zip_with(a, b, lambda p, q: p + q)
-
+        s[a] += s[b]
+        n[a] += n[b]
+        m[a] = s[a] / n[a][:, None]
+        # among equal distances the id of what lies outside no longer decides
+        out_d[a], out_id[a] = np.minimum(out_d[a], out_d[b]), -_LAST
+        alive[b] = False
+        root[b] = a
+        touched = np.zeros(k, bool)
+        touched[a] = touched[b] = True
+        living = np.flatnonzero(alive)
+        again = living[touched[living] | touched[np.maximum(place[living], 0)]]
+        dist[again], place[again] = _nearest(m, again, living)
+    while (root[root] != root).any():
+        root = root[root]
+    merged = np.bincount(root, minlength=k) > 1
+    nearer = (out_d < first_d) | ((out_d == first_d) & (out_id < first_id))
+    return root, n, s, alive & ~merged & (out_d < t) & nearer
+
+
+def average_linkage(vecs: DataFrame, threshold: float, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(id, vec) -> (id, cluster), cluster = smallest member id; merges while the average cosine distance
+    is < ``threshold``. Exact, for any number of vectors and rounds.
+
+    Identical vectors are one weighted cluster from the start. Each round deals the clusters to groups of about
+    ``group_rows`` by pivot cells of their sums; groups that the angles allow to hold anything nearer than the
+    threshold meet, which gives each cluster its nearest one elsewhere; then every group merges what that
+    bound leaves safe (``merge_group``), and pairs of different groups that are each other's nearest merge
+    too. At least the nearest pair of all merges in a round; the last round is the one without
+    merges, or the one in which all clusters fit into one group. Vectors that are missing or not of the
+    commonest width stay alone; a zero vector is at distance 1 from all."""
+    vecs = materialize(vecs.select("id", "vec"), "linkage-vectors")
+    dim = common_width(vecs)
+    good = valid_vectors(vecs, dim).filter(F.col("vec").isNotNull())
+    # the threshold of identical vectors is 0: they are merged before all others, or never
+    members = good.groupBy("vec").agg(F.min("id").alias("cid"), F.count("*").alias("n")) if threshold > 0 else \
+        good.select("vec", F.col("id").alias("cid"), F.lit(1).cast("long").alias("n"))
+
+    def unit_rows(frames):
+        for f in frames:
+            if len(f):
+                u = cells.directions(cells.stacked(f["vec"])) * f["n"].to_numpy()[:, None]
+                yield pd.DataFrame({"id": f["cid"], "n": f["n"], "vec": list(u)})
+
+    clusters = materialize(members.mapInPandas(unit_rows, "id long, n long, vec array<double>"), "linkage-clusters")
+    labels = (good.join(members.select("vec", "cid"), "vec").select("id", "cid") if threshold > 0
+              else good.select("id", F.col("id").alias("cid")))
+    moves = None                       # (id, cluster) of every cluster of the start
+    count, turn = clusters.count(), 0
     while True:
-        sx = csum.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"))
-        sy = csum.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"))
-        dots = F.aggregate(F.zip_with("sx", "sy", lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-        dist = (cedges.join(sx, "x").join(sy, "y")
-                .select("x", "y", (F.lit(1.0) - dots / (F.col("nx") * F.col("ny"))).alias("d"))
-                .filter(F.col("d") < threshold))
-        sym = dist.unionByName(dist.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
-        nn = sym.groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("nn"))
-        merges = (nn.alias("p").join(nn.alias("q"), (F.col("p.nn") == F.col("q.x")) & (F.col("q.nn") == F.col("p.x")))
-                  .filter(F.col("p.x") < F.col("p.nn"))
-                  .select(F.col("p.x").alias("keep"), F.col("p.nn").alias("gone")))
-        merges = _cut(merges, "merges")
-        n_merges = merges.count()
-        if n_merges == 0:
+        step = _linkage_round(clusters, count, threshold, group_rows, turn)
+        gone = step.filter("id <> cid").select("id", "cid")
+        moves = _follow(moves, gone, f"linkage-moves-{turn}")
+        left = step.filter("id = cid").select("id", "n", "vec")
+        if count <= group_rows:
+            break
+        pairs = step.filter("want IS NOT NULL").select("id", "want")
+        p, q = pairs.alias("p"), pairs.alias("q")
+        cross = materialize(p.join(q, (F.col("p.want") == F.col("q.id")) & (F.col("q.want") == F.col("p.id"))
+                                   & (F.col("p.id") < F.col("q.id")))
+                            .select(F.col("q.id").alias("id"), F.col("p.id").alias("cid")), "linkage-cross")
+        moves = _follow(moves, cross, f"linkage-moves-{turn}")
+        added = F.zip_with(F.element_at(F.collect_list("vec"), 1), F.element_at(F.collect_list("vec"), -1), lambda a, b: a + b)
+        moved = left.join(cross, "id", "left").select(F.coalesce("cid", "id").alias("id"), "n", "vec")
+        clusters = materialize(moved.groupBy("id").agg(F.sum("n").alias("n"), F.when(F.count("*") == 1, F.first("vec"))
+                                                       .otherwise(added).alias("vec")), "linkage-clusters")
+        now = clusters.count()
+        if now == count:
             break
-        merged = merges if merged is None else merged.unionByName(merges)
-        relabel = merges.select(F.col("gone").alias("cid"), F.col("keep").alias("new"))
-        csum = (csum.join(relabel, "cid", "left").select(F.coalesce("new", "cid").alias("cid"), "n", "s")
-                .groupBy("cid").agg(F.sum("n").alias("n"),
-                                    F.aggregate(F.collect_list("s"), F.array_repeat(F.lit(0.0), F.size(F.first("s"))),
-                                                add).alias("s")))
-        csum = _cut(csum, "csum")
-        rx = relabel.select(F.col("cid").alias("x"), F.col("new").alias("nx"))
-        ry = relabel.select(F.col("cid").alias("y"), F.col("new").alias("ny"))
-        moved = (cedges.join(rx, "x", "left").join(ry, "y", "left")
-                 .select(F.coalesce("nx", "x").alias("x0"), F.coalesce("ny", "y").alias("y0")))
-        cedges = (moved.filter(F.col("x0") != F.col("y0"))
-                  .select(F.least("x0", "y0").alias("x"), F.greatest("x0", "y0").alias("y")).distinct())
-        cedges = _cut(cedges, "cedges")
-    # A cluster's id is its smallest member (the kept side of every merge is the
-    # smaller cluster id), i.e. the component minimum of the merge forest.
-    nodes = vecs.select("id")
-    if merged is None:
-        return nodes.select("id", F.col("id").alias("cluster"))
-    forest = merged.select(F.col("keep").alias("a"), F.col("gone").alias("b"))
-    return connected_components(nodes, forest).select("id", F.col("comp").alias("cluster"))
+        count, turn = now, turn + 1
+    to = moves.select(F.col("id").alias("cid"), F.col("cid").alias("to"))
+    found = labels.join(to, "cid", "left").select("id", F.coalesce("to", "cid").alias("cid"))
+    # a merged cluster keeps the smaller id, so its id is its smallest member's
+    return materialize(vecs.select("id").join(found, "id", "left").select("id", F.coalesce("cid", "id").alias("cluster")),
+                       "clusters")
+
+
+def _follow(moves: DataFrame | None, new: DataFrame, name: str) -> DataFrame:
+    """(id, cid) of all moves so far, each led on by the new ones."""
+    if moves is None:
+        return materialize(new, name)
+    on = new.select(F.col("id").alias("cid"), F.col("cid").alias("to"))
+    led = moves.join(on, "cid", "left").select("id", F.coalesce("to", "cid").alias("cid"))
+    return materialize(led.unionByName(new), name)
+
+
+def _linkage_round(clusters: DataFrame, count: int, t: float, group_rows: int, turn: int) -> DataFrame:
+    """(id, cid, n, vec, want) of ``clusters(id, n, vec)``: the cluster that each went into, sums at those that stay."""
+    rows, layout = cells.lay_out(clusters.select("id", "vec"), count, group_rows, seed=turn)
+    schema = "id long, cid long, n long, vec array<double>, want long"
+
+    def merged(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id")
+        ids = f["id"].to_numpy()
+        out_id = f["other"].to_numpy()
+        root, n, s, wants = merge_group(ids, f["n"].to_numpy(), cells.stacked(f["vec"]), f["d"].to_numpy(), out_id, t)
+        return pd.DataFrame({"id": ids, "cid": ids[root], "n": n.astype(np.int64), "vec": list(s),
+                             "want": pd.array(np.where(wants, out_id, 0), dtype="Int64")}).assign(
+            want=lambda g: g["want"].where(wants))
+
+    def group(f):
+        return layout.group_of(f["cell"].to_numpy(), f["salt"].to_numpy())
+
+    def grouped(frames):
+        for f in frames:
+            if len(f):
+                yield f[["id"]].assign(grp=group(f).astype("int64"))
+
+    if layout.groups == 1:
+        one = clusters.select("id", "n", "vec", F.lit(_INF).alias("d"), F.lit(_LAST).alias("other"), F.lit(0).alias("grp"))
+        return materialize(one.groupBy("grp").applyInPandas(merged, schema), "linkage-step")
+    sized = rows.join(clusters.select("id", "n"), "id").select("id", "cell", "salt", "n", "vec")
+    # sums of like directions: an average distance under t needs an angle whose cosine is over 1 - t
+    reach = math.acos(1.0 - t) if 0.0 < t < 1.0 else math.pi * (t > 0)
+    choose = cells.inner_visits(layout, reach)
+    counts = cells.visit_counts(rows, layout, choose)
+
+    def between(homes: pd.DataFrame, visitors: pd.DataFrame | None) -> pd.DataFrame:
+        none = pd.DataFrame({"id": [], "d": [], "other": []}).astype({"id": "int64", "d": "float64", "other": "int64"})
+        if visitors is None or not len(homes) or not len(visitors):
+            return none
+        homes, visitors = homes.sort_values("id"), visitors.sort_values("id")
+        (ia, xa), (ib, xb) = ((f["id"].to_numpy(), cells.stacked(f["vec"])) for f in (homes, visitors))
+        best = {"d": np.full(len(ib), -_INF), "at": np.zeros(len(ib), np.int64)}
+        out = []
+        step = max(1, _CHUNK // len(ib))
+        for at in range(0, len(ia), step):
+            sims = xa[at:at + step] @ xb.T
+            j = sims.argmax(axis=1)
+            out.append(pd.DataFrame({"id": ia[at:at + step], "d": 1.0 - sims[np.arange(len(j)), j], "other": ib[j]}))
+            i = sims.argmax(axis=0)
+            s = sims[i, np.arange(len(ib))]
+            better = s > best["d"]
+            best["d"][better], best["at"][better] = s[better], i[better] + at
+        out.append(pd.DataFrame({"id": ib, "d": 1.0 - best["d"], "other": ia[best["at"]]}))
+        found = pd.concat(out)
+        return found[found["d"] < t]
+
+    # homes and visitors carry mean vectors, whose products are average similarities
+    means = sized.select("id", "cell", "salt", F.transform("vec", lambda x: x / F.col("n")).alias("vec"))
+    near = (cells.meet(means, means, layout, choose, counts, group_rows, between, "id long, d double, other long")
+            .groupBy("id").agg(F.min(F.struct("d", "other")).alias("o")))
+    placed = rows.select("id", "cell", "salt").mapInPandas(grouped, "id long, grp long")
+    full = (clusters.join(placed, "id").join(near, "id", "left")
+            .select("id", "n", "vec", F.coalesce("o.d", F.lit(_INF)).alias("d"), F.coalesce("o.other", F.lit(_LAST)).alias("other"),
+                    "grp"))
+    return materialize(full.groupBy("grp").applyInPandas(merged, schema), "linkage-step")

@@ -1,21 +1,23 @@
 """Vector jobs: validity screen (B11), embedding (H1), incremental embedding cache
 (H2, E12), exact similarity self-join (D6) and nearest prior idea (D5).
 
-Similarity joins are exact. Vectors are hash-assigned to blocks of bounded size
-(by id, so data skew cannot grow a block); every block pair is one group scored
-with a single numpy matrix product, and only pairs that pass the threshold are
-emitted. Group size is bounded by 2 x ``block_rows`` whatever the data.
+Similarity joins are exact. Vectors are dealt to pivot cells, cells to groups of
+bounded size, and groups meet only where the angles allow a result (``cells``); a group and a
+chunk of its visitors are scored with numpy matrix products, and only results leave the task.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import cells
+from .util import materialize
 
 BLOCK_ROWS = 2048
 DUPLICATE_AT = 0.75
@@ -40,7 +42,6 @@ def hashing_encoder(df: DataFrame, text_col: str = "text", dim: int = 256, out:
     Any other encoder with the same (DataFrame, text_col) -> vec contract can be plugged in."""
     @F.pandas_udf("array<float>")
     def counted(buckets: pd.Series) -> pd.Series:
-        import numpy as np
         rows = []
         for x in buckets:
             v = np.bincount(np.asarray(x if x is not None else [], dtype=np.int64), minlength=dim).astype(np.float64)
@@ -73,110 +74,110 @@ def embedding_cache(corpus: DataFrame, cache: DataFrame, model: str, encode=hash
     return hit.unionByName(fresh)
 
 
-def _blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))
-
-
-def _replicate(df: DataFrame, nb: int, side: str) -> DataFrame:
-    """Send each vector of block b to every block pair (min(b,j), max(b,j))."""
-    b = F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")
-    j = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
-    return (df.select("id", "vec", b.alias("blk")).select("*", j.alias("other"))
-            .select(F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"),
-                    "blk", F.lit(side).alias("side"), "id", "vec"))
+def common_width(vecs: DataFrame) -> int:
+    """The commonest width (ties to the larger); 0 without vectors."""
+    widths = vecs.groupBy(F.size("vec").alias("w")).agg(F.count("*").alias("n")).filter("w > 0")
+    top = widths.orderBy(F.col("n").desc(), F.col("w").desc()).first()
+    return top.w if top else 0
 
 
 def similar_pairs(vecs: DataFrame, max_distance: float, block_rows: int = BLOCK_ROWS,
                   dim: int | None = None) -> DataFrame:
     """All pairs (a < b) with cosine distance < ``max_distance``, exact.
     Output ``(a, b, sim)`` with sim = cosine similarity (double). Vectors that are not
-    ``dim`` wide (default: the commonest width, ties to the larger) count as missing."""
-    if dim is None:
-        widths = vecs.groupBy(F.size("vec").alias("w")).agg(F.count("*").alias("n")).filter("w > 0")
-        top = widths.orderBy(F.col("n").desc(), F.col("w").desc()).first()
-        dim = top.w if top else 0
+    ``dim`` wide (default: the commonest width) count as missing, a zero vector is similar to nothing.
+    Vectors meet in pivot cells (see ``cells``), and only with cells that can hold a partner."""
+    dim = common_width(vecs) if dim is None else dim
     vecs = valid_vectors(vecs.select("id", "vec"), dim).filter(F.col("vec").isNotNull())
-    n = vecs.count()
-    nb = _blocks(n, block_rows)
-    rep = _replicate(vecs.select("id", "vec"), nb, "x")
     min_sim = 1.0 - max_distance
-
-    def score(pdf):
-        import numpy as np
-        import pandas as pd
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        left = pdf[pdf["blk"] == lo]
-        right = pdf[pdf["blk"] == hi] if hi != lo else left
-        empty = pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")})
-        if left.empty or right.empty:
-            return empty
-        xa = np.vstack(left["vec"].to_numpy()).astype(np.float64)
-        xb = np.vstack(right["vec"].to_numpy()).astype(np.float64)
-        xa /= np.linalg.norm(xa, axis=1, keepdims=True)
-        xb /= np.linalg.norm(xb, axis=1, keepdims=True)
-        sims = xa @ xb.T
-        ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
-        r, c = np.nonzero(sims > min_sim)
-        a, b = ia[r], ib[c]
-        keep = a < b if hi == lo else np.ones(len(a), dtype=bool)
-        a, b, s = a[keep], b[keep], sims[r, c][keep]
-        swap = a > b
-        a2, b2 = np.where(swap, b, a), np.where(swap, a, b)
-        return pd.DataFrame({"a": a2.astype("int64"), "b": b2.astype("int64"), "sim": s})
-
-    return rep.groupBy("lo", "hi").applyInPandas(score, "a long, b long, sim double")
+    reach = math.acos(min(1.0, max(-1.0, min_sim)))
+    rows, layout = cells.lay_out(vecs, vecs.count(), block_rows)
+    choose = cells.inner_visits(layout, reach)
+    counts = cells.visit_counts(rows, layout, choose) if layout.groups > 1 else np.zeros(1, np.int64)
+
+    def score(homes: pd.DataFrame, visitors: pd.DataFrame | None) -> pd.DataFrame:
+        out = []
+        ia, xa = homes["id"].to_numpy(), cells.directions(cells.stacked(homes["vec"])) if len(homes) else None
+        ib, xb = (ia, xa) if visitors is None else (
+            visitors["id"].to_numpy(), cells.directions(cells.stacked(visitors["vec"])) if len(visitors) else None)
+        for at in range(0, len(ia) if len(ib) else 0, block_rows):
+            sims = xa[at:at + block_rows] @ xb.T
+            r, c = np.nonzero(sims > min_sim)
+            s = sims[r, c]
+            r += at
+            if visitors is None:
+                keep = ia[r] < ib[c]
+                r, c, s = r[keep], c[keep], s[keep]
+            zero = (xa[r] == 0).all(axis=1) | (xb[c] == 0).all(axis=1)
+            a, b = ia[r[~zero]], ib[c[~zero]]
+            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": s[~zero]}))
+        none = pd.DataFrame({"a": [], "b": [], "sim": []})
+        return pd.concat([none, *out]).astype({"a": "int64", "b": "int64", "sim": "float64"})
+
+    return cells.meet(rows, rows, layout, choose, counts, 2 * block_rows, score, "a long, b long, sim double", alone=True)
 
 
 def nearest_prior(queries: DataFrame, ledger: DataFrame, dim: int, threshold: float = DUPLICATE_AT,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """For every query vector, the most similar ledger entry by dot product
-    (vectors are unit-norm). Ties -> the earliest ledger entry (smallest ``ord``);
-    ledger rows of another width are skipped; an empty ledger gives (0.0, '').
-    ``duplicate`` iff sim >= threshold (inclusive).
-    queries(qid, vec); ledger(ord, title, vec). Exact, block-partitioned."""
-    led = ledger.filter(F.size("vec") == dim).select(F.col("ord").alias("id"), "title", "vec")
+    """For every query vector, the most similar ledger entry by dot product. Ties -> the earliest ledger
+    entry (smallest ``ord``); ledger rows of another width are skipped; an empty ledger gives (0.0, '').
+    ``duplicate`` iff sim >= threshold (inclusive). queries(qid, vec); ledger(ord, title, vec). Exact: a query first
+    meets the ledger rows of its nearest cell, then only the cells whose bound reaches what it has found."""
+    led = ledger.filter(F.size("vec") == dim)
     q = valid_vectors(queries.select(F.col("qid").alias("id"), "vec"), dim)
-    n_led, n_q = led.count(), q.count()
-    nl = _blocks(n_led, block_rows)
-    # A query block is at least as large as the ledger block, so copying every
-    # ledger block once per query block never moves more rows than the queries
-    # themselves; inside a group the scoring runs in chunks of ``block_rows``.
-    nq = _blocks(n_q, max(block_rows, min(n_led, 64 * block_rows)))
-    lb = F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int")
-    qb = F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")
-    # every query block meets every ledger block once: (qblk, lblk) groups
-    lrep = led.select("id", "title", "vec", lb.alias("lblk"),
-                      F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qblk")).withColumn("side", F.lit("l"))
-    qrep = q.filter(F.col("vec").isNotNull()).select("id", F.lit(None).cast("string").alias("title"), "vec", qb.alias("qblk"),
-                    F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("lblk")).withColumn("side", F.lit("q"))
-    both = lrep.unionByName(qrep)
-
-    def best(pdf):
-        import numpy as np
-        import pandas as pd
-        lq = pdf[pdf["side"] == "q"]
-        ll = pdf[pdf["side"] == "l"]
-        if lq.empty or ll.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "ord": pd.Series([], dtype="int64"),
-                                 "title": pd.Series([], dtype="object"), "sim": pd.Series([], dtype="float64")})
-        xl = np.vstack(ll["vec"].to_numpy()).astype(np.float64)
-        ords = ll["id"].to_numpy()
-        order = np.argsort(ords, kind="stable")   # max sim, earliest ord among ties
-        xl, ords, titles = xl[order], ords[order], ll["title"].to_numpy()[order]
-        qv, qid = lq["vec"].to_numpy(), lq["id"].to_numpy()
-        outs = []
-        for a in range(0, len(qv), block_rows):
-            xq = np.vstack(qv[a:a + block_rows]).astype(np.float64)
-            sims = xq @ xl.T
-            j = np.argmax(sims, axis=1)
-            outs.append(pd.DataFrame({"qid": qid[a:a + block_rows].astype("int64"), "ord": ords[j].astype("int64"),
-                                      "title": titles[j], "sim": sims[np.arange(len(j)), j]}))
-        return pd.concat(outs, ignore_index=True)
-
-    per_block = both.groupBy("qblk", "lblk").applyInPandas(best, "qid long, ord long, title string, sim double")
-    top = per_block.groupBy("qid").agg(F.max_by(F.struct("ord", "title", "sim"),
-                                                F.struct(F.col("sim"), -F.col("ord"))).alias("t"))
-    out = q.select(F.col("id").alias("qid")).join(top, "qid", "left")
-    sim = F.coalesce(F.col("t.sim"), F.lit(0.0))
-    return out.select("qid", F.col("t.ord").alias("nearest_ord"), F.coalesce(F.col("t.title"), F.lit("")).alias("title"),
+    asked = (q.filter(F.col("vec").isNotNull())
+             .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 30))))
+    found = nearest(asked, led.select(F.col("ord").alias("id"), "vec"), led.count(), block_rows)
+    titled = found.join(led.groupBy("ord").agg(F.min("title").alias("title")), "ord")
+    out = q.select(F.col("id").alias("qid")).join(titled, "qid", "left")
+    sim = F.coalesce(F.col("sim"), F.lit(0.0))
+    return out.select("qid", F.col("ord").alias("nearest_ord"), F.coalesce("title", F.lit("")).alias("title"),
                       sim.alias("sim"), (sim >= threshold).alias("duplicate"))
+
+
+def nearest(asked: DataFrame, stored: DataFrame, n_stored: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(qid, ord, sim): the stored row of largest dot product, then of smallest id, for each of
+    ``asked(id, vec, salt)``; ``stored(id, vec)``."""
+    schema = "qid long, ord long, sim double"
+    if not n_stored:
+        return asked.sparkSession.createDataFrame([], schema)
+    rows, layout = cells.lay_out(stored, n_stored, block_rows)
+
+    def best(homes: pd.DataFrame, visitors: pd.DataFrame | None) -> pd.DataFrame:
+        none = pd.DataFrame({"qid": [], "ord": [], "sim": []}).astype({"qid": "int64", "ord": "int64", "sim": "float64"})
+        if visitors is None or not len(homes) or not len(visitors):
+            return none
+        homes = homes.sort_values("id", kind="stable")   # max sim, earliest among ties
+        ids, x = homes["id"].to_numpy(), cells.stacked(homes["vec"])
+        out = []
+        for at in range(0, len(visitors), block_rows):
+            some = visitors.iloc[at:at + block_rows]
+            sims = cells.stacked(some["vec"]) @ x.T
+            j = sims.argmax(axis=1)
+            out.append(pd.DataFrame({"qid": some["id"].to_numpy(), "ord": ids[j], "sim": sims[np.arange(len(j)), j]}))
+        return pd.concat([none, *out])
+
+    def first(f: pd.DataFrame) -> np.ndarray:
+        """The group of the nearest cell that has rows (one of them, if it has several)."""
+        angle = np.where(layout.size > 0, layout.angles(cells.stacked(f["vec"])), np.inf)
+        out = np.zeros((len(f), layout.groups), bool)
+        out[np.arange(len(f)), layout.group_of(angle.argmin(axis=1), f["salt"].to_numpy())] = True
+        return out
+
+    def rest(f: pd.DataFrame) -> np.ndarray:
+        """The other groups of the cells that may hold a better or an earlier one."""
+        x = cells.stacked(f["vec"])
+        limit = layout.bound(layout.angles(x)) * np.linalg.norm(x, axis=1)[:, None]
+        return layout.spread(limit >= f["sim"].to_numpy()[:, None]) & ~first(f)
+
+    def met(visitors, choose):
+        counts = cells.visit_counts(visitors, layout, choose)
+        return cells.meet(rows, visitors, layout, choose, counts, 4 * block_rows, best, schema)
+
+    order = F.max_by(F.struct("ord", "sim"), F.struct(F.col("sim"), -F.col("ord")))
+    one = materialize(met(asked, first).groupBy("qid").agg(order.alias("t")).select("qid", "t.ord", "t.sim"), "nearest-first")
+    if layout.groups == 1:
+        return one
+    again = materialize(asked.join(one.select(F.col("qid").alias("id"), "sim"), "id"), "nearest-asked")
+    both = one.unionByName(met(again, rest))
+    return both.groupBy("qid").agg(order.alias("t")).select("qid", "t.ord", "t.sim")

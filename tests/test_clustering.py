@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.operators import cells
 from cairn.operators import clustering as cl
 from cairn.operators import vectors as vx
 
@@ -45,13 +46,95 @@ def test_average_linkage_matches_brute_force(spark, seed, t):
     want = brute_average_linkage(x.astype(np.float64), t)
     got = as_partition(cl.average_linkage(df, t).select("id", "cluster").collect())
     assert got == want
-    # the same clusters per component (small bound) and when every component
-    # takes the distributed rounds
-    for bound in (10, 0):
-        got = as_partition(cl.average_linkage(df, t, local_rows=bound).select("id", "cluster").collect())
+    # the same clusters however small the groups are
+    for bound in (12,):
+        got = as_partition(cl.average_linkage(df, t, group_rows=bound).select("id", "cluster").collect())
         assert got == want
 
 
+def test_linkage_of_a_long_chain_takes_as_many_rounds_as_it_needs(spark):
+    # gaps grow along an arc, so merges wait for each other from one end to the other; groups of one cluster
+    # leave a single merge a round
+    gaps = 0.002 * 1.02 ** np.arange(10)
+    at = np.concatenate([[0.0], np.cumsum(gaps)])
+    x = np.stack([np.cos(at), np.sin(at)], axis=1)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    got = as_partition(cl.average_linkage(df, 0.001, group_rows=1).collect())
+    assert got == brute_average_linkage(x, 0.001)
+
+
+def chain_rounds(n):
+    """Rounds that reciprocal neighbours take on points whose gaps shrink to one end, one merge a round."""
+    ids, s = np.arange(n), None
+    at = np.cumsum(0.9999 ** np.arange(n)) * 0.001
+    s = np.stack([np.cos(at), np.sin(at)], axis=1)
+    root, size, _, _ = cl.merge_group(ids, np.ones(n), s, np.full(n, np.inf), np.full(n, cl._LAST), 0.5)
+    return root, size
+
+
+def test_a_group_merges_through_hundreds_of_rounds():
+    root, size = chain_rounds(600)
+    want = brute_average_linkage(np.stack([np.cos(a := np.cumsum(0.9999 ** np.arange(60)) * 0.001), np.sin(a)], axis=1), 0.5)
+    assert len(want) == len(set(chain_rounds(60)[0])) == 1 and len(set(root)) == 1 and size.max() == 600
+
+
+def test_a_group_leaves_what_an_outer_neighbour_may_forestall():
+    s = np.array([[1.0, 0.0], [0.995, 0.1], [0.0, 1.0]])
+    s /= np.linalg.norm(s, axis=1, keepdims=True)
+    ids, n, far = np.array([10, 20, 30]), np.ones(3), np.full(3, cl._LAST)
+    root, _, _, wants = cl.merge_group(ids, n, s, np.array([np.inf, 0.001, np.inf]), np.array([5, 7, 9]), 0.5)
+    assert root.tolist() == [0, 1, 2] and wants.tolist() == [False, True, False]
+    root, size, _, _ = cl.merge_group(ids, n, s, np.full(3, 0.4), far, 0.5)
+    assert root.tolist() == [0, 0, 2] and size[0] == 2
+
+
+def test_copies_missing_and_zero_vectors(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(5, 12)] + [(1, [1.0, 0.001, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0, 0.0]),
+                                                           (20, [0.0, 1.0, 0.0]), (21, [0.0, 1.0, 0.0]), (-7, [0.0, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = as_partition(cl.average_linkage(df, 0.3).collect())
+    assert got == sorted([[1, *range(5, 12)], [2], [3], [4], [20, 21], [-7]])
+    assert cl.average_linkage(df.limit(0), 0.3).count() == 0
+    assert as_partition(cl.average_linkage(df, 0.0).collect()) == sorted([[r[0]] for r in rows])
+
+
+def clustered(n, dim=16, centres=40, spread=0.05, seed=5):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, dim))
+    x = c[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, dim))
+    x[: n // 3] = x[0]                                        # a third are copies
+    x[: n // 3] += spread * rng.normal(size=(n // 3, dim)) * (np.arange(n // 3) % 2)[:, None]
+    return x
+
+
+def test_pruned_pairs_lose_none_and_score_few(spark):
+    x = clustered(1500)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    got = {(r.a, r.b) for r in vx.similar_pairs(df, 0.02, block_rows=100).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u @ u.T
+    assert got == {(i, j) for i, j in zip(*np.nonzero(1.0 - sims < 0.02)) if i < j}
+    # what is scored: homes with themselves and with their visitors
+    import math
+    rows, layout = cells.lay_out(df, 1500, 100)
+    visits = cells.visit_counts(rows, layout, cells.inner_visits(layout, math.acos(0.98)))
+    cell, salt = (np.array(c) for c in zip(*[(r.cell, r.salt) for r in rows.select("cell", "salt").collect()]))
+    homes = np.bincount(layout.group_of(cell, salt), minlength=layout.groups)
+    assert homes.sum() == 1500 and homes.max() < 200
+    scored = (homes * (homes - 1) // 2 + homes * visits).sum()
+    assert scored < 0.35 * 1500 * 1499 / 2
+
+
+def test_nearest_visits_few_groups(spark):
+    x = clustered(1200, seed=8)
+    led = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x[:1000])], "id long, vec array<double>")
+    asked = spark.createDataFrame([(i, [float(v) for v in r], i * 7919) for i, r in enumerate(x[1000:])],
+                                  "id long, vec array<double>, salt long")
+    got = {r.qid: r.ord for r in vx.nearest(asked, led, 1000, 60).collect()}
+    sims = x[1000:] @ x[:1000].T
+    assert all(np.isclose(sims[q, o], sims[q].max(), rtol=0, atol=1e-12) for q, o in got.items()) and len(got) == 200
+
+
 def test_similar_pairs_small_blocks_equal_one_block(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(90, 6)).astype(np.float32)

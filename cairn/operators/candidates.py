@@ -91,14 +91,61 @@ def judged(result: Column) -> Column:
                     F.coalesce(reason, verdict).alias("reason"))
 
 
-def gate_funnel(cands: DataFrame, packets: DataFrame, nearest, judgements: DataFrame,
-                revisions: DataFrame, rejudgements: DataFrame, dup_at: float = 0.75) -> DataFrame:
-    """K1/K2: grounding -> shape -> dedup -> judged (-> revise -> shape -> judged).
+def _quoted(text: Column) -> Column:
+    """A string as JSON text."""
+    j = F.to_json(F.array(text))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
+def with_fields(record: Column, fields: dict[str, Column]) -> Column:
+    """A JSON object (VARIANT) with some fields set; all others stay. ``fields`` gives JSON texts, NULL leaves a
+    field as it is."""
+    texts = F.transform_values(F.try_variant_get(record, "$", "map<string,variant>"), lambda k, v: F.to_json(v))
+    given = F.array(*[F.named_struct(F.lit("key"), F.lit(k), F.lit("value"), v) for k, v in fields.items()])
+    added = F.map_from_entries(F.filter(given, lambda e: e["value"].isNotNull()))
+    kept = F.map_filter(texts, lambda k, v: ~F.array_contains(F.map_keys(added), k))
+    parts = F.transform(F.map_entries(F.map_concat(kept, added)), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"]))
+    return F.parse_json(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
+
+
+def _given(result: Column, name: str) -> Column:
+    """The JSON text of a field that is not empty."""
+    x = field(result, name)
+    return F.when(truthy(x), F.to_json(x))
+
+
+def judgement_fields(result: Column) -> dict[str, Column]:
+    """K3: what a judgement changes in the record that it judges."""
+    return {"prior_art": _given(result, "prior_art_note"), "closest_existing": _given(result, "closest_existing"),
+            "first_weekend": _given(result, "revised_first_weekend"),
+            "feasibility": F.coalesce(F.to_json(field(result, "feasibility")), F.lit('""'))}
+
+
+def _said(x: Column, name: str, default: str = "") -> Column:
+    return F.coalesce(F.try_variant_get(x, f"$.{name}", "string"), F.lit(default))
+
+
+def judged_reason(result: Column) -> Column:
+    j, why = judged(result), _said(result, "reason")
+    said = F.when(j["verdict"] == "", F.lit("(missing)")).otherwise(j["verdict"])
+    return (F.when(~F.coalesce(is_kind(result, "OBJECT"), F.lit(False)), F.lit("gate returned a non-object"))
+            .when(~j["verdict"].isin(*PASSING_VERDICTS), F.concat(F.lit("verdict '"), said, F.lit("': "), why))
+            .when(~j["ok"], F.concat(F.lit("unrealistic scope: "), why))
+            .otherwise(F.concat(j["verdict"], F.lit(": "), why)))
+
+
+def gate_records(cands: DataFrame, packets: DataFrame, nearest, judgements: DataFrame,
+                 revisions: DataFrame, rejudgements: DataFrame, dup_at: float = 0.75) -> DataFrame:
+    """K1-K3: grounding -> shape -> dedup -> judged (-> revise -> shape -> judged).
     ``cands(candidate_id, domain, body variant)``; ``packets(domain, urls)``;
-    ``nearest``: survivors(candidate_id) -> (candidate_id, sim), the D5 job, called
+    ``nearest``: survivors(candidate_id) -> (candidate_id, sim[, title]), the D5 job, called
     only for candidates that passed the cheap stages; judgements / rejudgements
     ``(candidate_id, result variant)``; ``revisions(candidate_id, body variant)``.
-    Output one row per candidate: passed, failed_stage, trail (ordered stage marks)."""
+
+    One row per candidate: passed, verdicts (stage, ok, reason of every stage it reached, in order) and record (VARIANT):
+    what passed with its judgement folded in -- a revised one is the revision with the citations of the
+    original and its note -- or the candidate as it came, with the citations that were supplied."""
+    from .util import bounded_broadcast, materialize
     refs = F.coalesce(F.try_variant_get(F.col("body"), "$.evidence_refs", "array<string>"),
                       F.array().cast("array<string>"))
     supplied = F.coalesce(F.col("urls"), F.array().cast("array<string>"))
@@ -106,46 +153,78 @@ def gate_funnel(cands: DataFrame, packets: DataFrame, nearest, judgements: DataF
     text = tx.idea_text(F.try_variant_get(F.col("body"), "$.title", "string"),
                         F.try_variant_get(F.col("body"), "$.one_liner", "string"),
                         F.try_variant_get(F.col("body"), "$.problem", "string"))
-    from .util import bounded_broadcast
-    s1 = (cands.join(bounded_broadcast(packets.select("domain", "urls")), "domain", "left")
-          .select("candidate_id", "domain", "body", (F.size(kept) >= 2).alias("g_ok"),
-                  shape_check(F.col("body")).alias("shape"), (text != "").alias("has_text")))
-    # the vector join only for candidates that survived the cheap stages
-    cheap_ok = s1.filter(F.col("g_ok") & F.col("shape.ok") & F.col("has_text")).select("candidate_id")
-    dd = cheap_ok.join(nearest(cheap_ok).select("candidate_id", "sim"), "candidate_id", "left").select(
-        "candidate_id", (F.coalesce(F.col("sim"), F.lit(0.0)) < dup_at).alias("d_ok"))
-    j1 = judgements.select("candidate_id", judged(F.col("result")).alias("j1"))
-    rv = revisions.select("candidate_id", F.col("body").alias("rbody"))
-    j2 = rejudgements.select("candidate_id", judged(F.col("result")).alias("j2"))
+    # read by the vector join and by the funnel, so written once
+    s1 = materialize(cands.join(bounded_broadcast(packets.select("domain", "urls")), "domain", "left")
+                     .select("candidate_id", "domain", "body", kept.alias("kept"), F.size(refs).alias("n_cited"),
+                             shape_check(F.col("body")).alias("shape"), (text != "").alias("has_text")), "gate-stage")
+    grounded = F.size("kept") >= 2
+    cheap_ok = s1.filter(grounded & F.col("shape.ok") & F.col("has_text")).select("candidate_id")
+    near = nearest(cheap_ok)
+    title = F.col("title") if "title" in near.columns else F.lit("")
+    dd = near.select("candidate_id", F.coalesce("sim", F.lit(0.0)).alias("sim"), F.coalesce(title, F.lit("")).alias("title"))
+    j1 = judgements.select("candidate_id", F.col("result").alias("r1"), judged(F.col("result")).alias("j1"))
+    rv = revisions.select("candidate_id", F.col("body").alias("rbody"), shape_check(F.col("body")).alias("rshape"))
+    j2 = rejudgements.select("candidate_id", F.col("result").alias("r2"), judged(F.col("result")).alias("j2"))
     x = (s1.join(dd, "candidate_id", "left").join(j1, "candidate_id", "left")
          .join(rv, "candidate_id", "left").join(j2, "candidate_id", "left"))
-    withdrawn = F.col("rbody").isNull() | ~is_kind(F.col("rbody"), "OBJECT") | truthy(field(F.col("rbody"), "withdrawn"))
-    rshape = shape_check(F.col("rbody"))
-    j1ok = F.coalesce(F.col("j1.ok"), F.lit(False))
-    j2ok = F.coalesce(F.col("j2.ok"), F.lit(False))
-    reframe = F.col("j1.verdict") == "reframe"
-    failed = (F.when(~F.col("g_ok"), F.lit("grounding"))
-              .when(~F.col("shape.ok"), F.lit("shape"))
-              .when(~F.col("has_text") | ~F.col("d_ok"), F.lit("dedup"))
-              .when(~j1ok, F.lit("judged"))
-              .when(~reframe, F.lit(None))
-              .when(withdrawn, F.lit("revise"))
-              .when(~rshape["ok"], F.lit("shape"))
-              .when(~j2ok, F.lit("judged"))
-              .when(F.col("j2.verdict") == "reframe", F.lit("revise")))
-    trail = (F.when(~F.col("g_ok"), F.lit("grounding-"))
-             .when(~F.col("shape.ok"), F.lit("grounding+,shape-"))
-             .when(~F.col("has_text") | ~F.col("d_ok"), F.lit("grounding+,shape+,dedup-"))
-             .when(~j1ok, F.lit("grounding+,shape+,dedup+,judged-"))
-             .when(~reframe, F.lit("grounding+,shape+,dedup+,judged+"))
-             .when(withdrawn, F.lit("grounding+,shape+,dedup+,judged+,revise-"))
-             .when(~rshape["ok"], F.lit("grounding+,shape+,dedup+,judged+,revise+,shape-"))
-             .when(~j2ok, F.lit("grounding+,shape+,dedup+,judged+,revise+,shape+,judged-"))
-             .when(F.col("j2.verdict") == "reframe",
-                   F.lit("grounding+,shape+,dedup+,judged+,revise+,shape+,judged+,revise-"))
-             .otherwise(F.lit("grounding+,shape+,dedup+,judged+,revise+,shape+,judged+")))
-    return x.select("candidate_id", "domain", failed.isNull().alias("passed"),
-                    failed.alias("failed_stage"), trail.alias("trail"))
+
+    no = F.lit(False)
+    sim, named = F.coalesce("sim", F.lit(0.0)), F.coalesce("title", F.lit(""))
+    quoted = F.concat(F.lit("'"), named, F.lit("'"))
+    distinct = F.col("has_text") & (sim < dup_at)
+    near_reason = (F.when(~F.col("has_text"), F.lit("no comparable text"))
+                   .when(sim >= dup_at, F.concat(F.format_string("%.2f", sim), F.lit(" similar to "), quoted))
+                   .otherwise(F.concat(F.lit("nearest past idea "), F.format_string("%.2f", sim), F.lit(" ('"),
+                                       F.left(named, F.lit(40)), F.lit("')"))))
+    odd = F.col("rbody").isNull() | ~is_kind(F.col("rbody"), "OBJECT")
+    gone = odd | truthy(field(F.col("rbody"), "withdrawn"))
+    note = F.coalesce(F.to_json(field(F.col("rbody"), "revision_note")), F.lit('"revised"'))
+    gone_reason = F.concat(F.lit("withdrawn: "), F.when(odd, F.lit("revision returned a non-object")).otherwise(
+        _said(F.col("rbody"), "revision_note", "no hard core survived review")))
+    j1ok, j2ok = F.coalesce(F.col("j1.ok"), no), F.coalesce(F.col("j2.ok"), no)
+    reframe = F.coalesce(F.col("j1.verdict") == "reframe", no)
+    again = F.coalesce(F.col("j2.verdict") == "reframe", no)
+
+    # each stage is reached if the ones before it were passed
+    to_shape = grounded
+    to_near = to_shape & F.col("shape.ok")
+    to_judge = to_near & distinct
+    to_revise = to_judge & j1ok & reframe
+    to_shape2 = to_revise & ~gone
+    to_judge2 = to_shape2 & F.coalesce(F.col("rshape.ok"), no)
+    stuck = to_judge2 & j2ok & again
+
+    def verdict(reached, stage, ok, reason):
+        return F.when(reached, F.struct(F.lit(stage).alias("stage"), ok.alias("ok"), reason.alias("reason")))
+
+    cited = F.concat(F.size("kept").cast("string"), F.lit(" of "), F.col("n_cited").cast("string"), F.lit(" citations supplied"))
+    verdicts = F.filter(F.array(
+        verdict(F.lit(True), "grounding", grounded, cited),
+        verdict(to_shape, "shape", F.col("shape.ok"), F.col("shape.reason")),
+        verdict(to_near, "dedup", distinct, near_reason),
+        verdict(to_judge, "judged", j1ok, judged_reason(F.col("r1"))),
+        verdict(to_revise, "revise", ~gone, F.when(gone, gone_reason).otherwise(_said(F.col("rbody"), "revision_note", "revised"))),
+        verdict(to_shape2, "shape", F.coalesce(F.col("rshape.ok"), no), F.col("rshape.reason")),
+        verdict(to_judge2, "judged", j2ok, judged_reason(F.col("r2"))),
+        verdict(stuck, "revise", no, F.lit("still reframed after revision; not converging"))), lambda v: v.isNotNull())
+    own_refs = {"evidence_refs": F.to_json("kept")}
+    record = (F.when(to_judge2 & j2ok & ~again, with_fields(F.col("rbody"), {
+                  **own_refs, **judgement_fields(F.col("r2")), "revision_note": note}))
+              .when(to_judge & j1ok & ~reframe, with_fields(F.col("body"), {**own_refs, **judgement_fields(F.col("r1"))}))
+              .otherwise(with_fields(F.col("body"), own_refs)))
+    # a generator keeps the array from being built again for each use
+    out = x.select("candidate_id", "domain", F.inline(F.array(F.struct(verdicts.alias("verdicts")))), record.alias("record"))
+    return out.select("candidate_id", "domain", F.forall("verdicts", lambda v: v["ok"]).alias("passed"), "verdicts", "record")
+
+
+def gate_funnel(cands: DataFrame, packets: DataFrame, nearest, judgements: DataFrame,
+                revisions: DataFrame, rejudgements: DataFrame, dup_at: float = 0.75) -> DataFrame:
+    """K1/K2 in short (``gate_records`` has the inputs): passed, failed_stage, trail (ordered stage marks)."""
+    g = gate_records(cands, packets, nearest, judgements, revisions, rejudgements, dup_at)
+    last = F.element_at("verdicts", -1)
+    marks = F.transform("verdicts", lambda v: F.concat(v["stage"], F.when(v["ok"], F.lit("+")).otherwise(F.lit("-"))))
+    return g.select("candidate_id", "domain", "passed", F.when(~last["ok"], last["stage"]).alias("failed_stage"),
+                    F.array_join(marks, ",").alias("trail"))
 
 
 def needs_backfill(body: Column) -> Column:
@@ -203,9 +282,14 @@ def query_builder(ideas: DataFrame, domains: dict[str, list[str]] = DOMAINS,
     toks = F.regexp_extract_all(F.col("low"), F.lit(WORD_RE), 0)
     stops = F.array(*[F.lit(s) for s in stop])
     x = x.withColumn("toks", F.filter(toks, lambda w: ~F.array_contains(stops, w) & ~F.array_contains(F.col("jargon"), w)))
-    ranked = F.array_sort(F.transform(F.array_distinct("toks"), lambda w: F.struct(
-        (-F.size(F.filter(F.col("toks"), lambda t: t == w))).alias("neg_n"),
-        F.array_position(F.col("toks"), w).alias("pos"), w.alias("w"))))
+    # sorted by (word, place): a word's run starts at its first place and ends where the next word's starts
+    x = x.withColumn("at", F.array_sort(F.transform("toks", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
+    at = F.col("at")
+    starts = F.filter(F.transform(at, lambda e, k: F.when((k == 0) | (e["w"] != F.get(at, k - 1)["w"]), k)), lambda k: k.isNotNull())
+    x = x.withColumn("starts", starts)
+    nexts = F.slice(F.concat("starts", F.array(F.size("at"))), F.lit(2), F.size("starts"))
+    ranked = F.array_sort(F.zip_with("starts", nexts, lambda k, e: F.struct(
+        (k - e).alias("neg_n"), F.get(at, k)["i"].alias("pos"), F.get(at, k)["w"].alias("w"))))
     x = x.withColumn("common", F.transform(F.slice(ranked, 1, 6), lambda s: s["w"]))
     j, c = F.col("jargon"), F.col("common")
     q1 = F.when(F.size(j) >= 2, F.concat_ws(" ", j[0], j[1]))

@@ -54,9 +54,8 @@ def weight_fold(verdicts: DataFrame, idea_signal: DataFrame, steps: dict[str, fl
     The fold is order-dependent but associative: a run of clamped multiplications
     is itself one clamped multiplication (see ``_compose``). Steps are therefore
     range-partitioned on (signal, ts, seq) -- which also splits a hot signal over
-    many tasks -- each partition folds its contiguous runs in order, and the
-    per-partition results (at most one per partition a signal spans) are composed
-    in range order. No group ever holds a signal's whole history."""
+    many tasks -- and folded in chunks (``fold_steps``). No group ever holds a signal's
+    whole history."""
     step = F.create_map(*[x for k, v in steps.items() for x in (F.lit(k), F.lit(v))])
     per_signal = (verdicts.join(idea_signal, "idea_id")
                   .select("id", "ts", "seq", step[F.col("verdict")].alias("factor"))
@@ -64,37 +63,33 @@ def weight_fold(verdicts: DataFrame, idea_signal: DataFrame, steps: dict[str, fl
     return fold_steps(per_signal, partitions)
 
 
+CHUNK = 1024      # consecutive steps that are composed in one array
+
+
 def fold_steps(steps: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The fold of I5 over ``steps(id, ts, seq, factor)``: (id, weight, n_steps)."""
+    """The fold of I5 over ``steps(id, ts, seq, factor)``: (id, weight, n_steps). A segmented scan in expressions:
+    rows sorted by (id, ts, seq) are cut into chunks, an id's part of a chunk becomes one clamped multiplication, and
+    these (a thousandth of the steps) are composed in order."""
     n_parts = partitions or int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = steps.repartitionByRange(n_parts, "id", "ts", "seq").sortWithinPartitions("id", "ts", "seq")
-
-    def runs(batches):
-        import pandas as pd
-        lo_c, hi_c = WEIGHT_MIN, WEIGHT_MAX
-        out = []
-        cur = None
-        for pdf in batches:
-            for i, ts, seq, f in zip(pdf["id"], pdf["ts"], pdf["seq"], pdf["factor"]):
-                if cur is None or cur[0] != i:
-                    if cur is not None:
-                        out.append(cur)
-                    cur = [int(i), int(ts), int(seq), 1.0, float("-inf"), float("inf"), 0]
-                _, _, _, fa, la, ha, n = cur
-                f = float(f)
-                cur[3:] = [fa * f, min(max(f * la, lo_c), hi_c), max(min(f * ha, hi_c), lo_c), n + 1]
-        if cur is not None:
-            out.append(cur)
-        if out:
-            yield pd.DataFrame(out, columns=["id", "ts", "seq", "f", "lo", "hi", "n"])
-
-    parts = ordered.mapInPandas(runs, "id long, ts long, seq long, f double, lo double, hi double, n long")
-    folded = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "f", "lo", "hi", "n"))).alias("p"))
-    ident = F.struct(F.lit(1.0).alias("f"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"),
-                     F.lit(0).cast("long").alias("n"))
-    total = F.aggregate("p", ident, _compose)
-    return folded.select("id", F.least(total["hi"], F.greatest(total["lo"], total["f"] * F.lit(1.0))).alias("weight"),
-                         total["n"].cast("int").alias("n_steps"))
+    # the counter runs through a partition in its order, with the partition's number above it
+    chunked = ordered.select("id", "ts", "seq", "factor",
+                             F.floor(F.monotonically_increasing_id() / F.lit(CHUNK)).alias("chunk"))
+    one = F.struct(F.lit(1.0).alias("f"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"),
+                   F.lit(0).cast("long").alias("n"))
+
+    def composed(ops):
+        return F.aggregate(ops, one, _compose)
+
+    parts = (chunked.groupBy("id", "chunk").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "factor"))).alias("s"))
+             .select("id", F.col("s")[0]["ts"].alias("ts"), F.col("s")[0]["seq"].alias("seq"),
+                     composed(F.transform("s", lambda x: F.struct(
+                         x["factor"].cast("double").alias("f"), F.lit(WEIGHT_MIN).alias("lo"), F.lit(WEIGHT_MAX).alias("hi"),
+                         F.lit(1).cast("long").alias("n")))).alias("op")))
+    folded = (parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "op"))).alias("p"))
+              .select("id", composed(F.transform("p", lambda x: x["op"])).alias("total")))
+    return folded.select("id", F.least(F.col("total.hi"), F.greatest(F.col("total.lo"), F.col("total.f"))).alias("weight"),
+                         F.col("total.n").cast("int").alias("n_steps"))
 
 
 def latest_control(controls: DataFrame, key: str = "subscriber_id") -> DataFrame:

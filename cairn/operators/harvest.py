@@ -3,7 +3,7 @@ match (A5), idempotent append (A6) and kept/dropped counters (A14)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -119,7 +119,26 @@ def idempotent_append(existing_keys: DataFrame, batch: DataFrame, keys: list[str
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     first = batch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return first.join(existing_keys.select(*keys), keys, "left_anti")
+    stored = existing_keys.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return first.join(stored, same, "left_anti")
+
+
+def append_counted(rows: DataFrame, path: str, source: str, sources: list[str], kept: str = "kept",
+                   new: str = "new") -> list[tuple[str, int, int, int]]:
+    """A14 in the writing job: appends the rows of ``rows`` that are kept and new (two flags) to the table at ``path`` and
+    returns (source, kept, dropped, new) of every one of the declared ``sources``, observed while the rows pass: the
+    input is read once. Rows of other sources count as ''."""
+    seen = Observation("append")
+    which = F.coalesce(F.when(F.col(source).isin(*sources), F.col(source)), F.lit(""))
+    counts = []
+    for i, name in enumerate([*sources, ""]):
+        here = which == name
+        counts += [F.count_if(here & F.col(kept)).alias(f"kept{i}"), F.count_if(here & ~F.col(kept)).alias(f"dropped{i}"),
+                   F.count_if(here & F.col(kept) & F.col(new)).alias(f"new{i}")]
+    rows.observe(seen, *counts).filter(F.col(kept) & F.col(new)).drop(kept, new).write.mode("append").parquet(path)
+    got = seen.get
+    return [(name, got[f"kept{i}"], got[f"dropped{i}"], got[f"new{i}"]) for i, name in enumerate([*sources, ""])]
 
 
 def kept_dropped(df: DataFrame, source_col: str, kept: Column) -> DataFrame:

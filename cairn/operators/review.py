@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .util import materialize
+
 LEECH_AT = 8
 
 
@@ -26,7 +27,7 @@ LEARNING_STEPS = [60, 600]      # seconds
 RELEARNING_STEPS = [600]
 NEW, LEARNING, REVIEW, RELEARNING = "New", "Learning", "Review", "Relearning"
 
-# (retention, max_interval_days, daily_cap, problems, timed_design) per intensity mode
+# ---- FIXED VALUES: (retention, max_interval_days, daily_cap, problems, timed_design) per intensity mode ----
 MODES = {"sharp": (0.90, 180, 3, 0, False), "ramping": (0.91, 60, 6, 1, False),
          "recruiting": (0.93, 21, 10, 3, True)}
 
@@ -94,57 +95,88 @@ def replay_card(ratings: list[int], times: list[int], retention: float, max_ivl:
             "lapses": int(lapses), "fails": int(fails), "last_utc": last, "step": step}
 
 
-REPLAY_SCHEMA = ("learner_id long, deck string, card_id string, state string, stability double, "
-                 "difficulty double, due_utc long, reps long, lapses long, fails long, last_utc long")
+REPLAY_COLUMNS = ["state", "stability", "difficulty", "due_utc", "reps", "lapses", "fails", "last_utc"]
+CHUNK = 4096      # reviews of a card that are folded at once
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a variable that holds ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
 
+def _interval(s: Column, retention: float, max_ivl: int) -> Column:
+    days = F.rint(s / F.lit(FACTOR) * F.lit(retention ** (1 / DECAY) - 1))
+    return F.least(F.greatest(days, F.lit(1.0)), F.lit(float(max_ivl))).cast("long") * 86400
 
-def review_replay(log: DataFrame, mode: str = "recruiting") -> DataFrame:
-    """Fold every (learner, deck, card)'s grades in (review_utc, seq) order into
-    its review state. Rows are hash-partitioned by card key and sorted; one Python
-    call per Arrow batch streams through the sorted rows, carrying only the current
-    card's state across batch boundaries (no group is ever materialised)."""
+
+def _replay_step(a: Column, x: Column, retention: float, max_ivl: int, w=FSRS_W) -> Column:
+    """``replay_card`` for one grade: the state ``a`` led on by ``x(review_utc, rating)``."""
+    g, t = x["rating"], x["review_utc"]
+    new = a["state"] == NEW
+
+    def clamp_d(d):
+        return F.least(F.greatest(d, F.lit(1.0)), F.lit(10.0))
+
+    elapsed = F.greatest((t - F.coalesce(a["last_utc"], t)) / F.lit(86400.0), F.lit(0.0))
+    known = F.when(new, F.struct(F.lit(1.0).alias("r"), clamp_d(F.lit(w[4]) - (g - 3) * F.lit(w[5])).alias("d"))).otherwise(F.struct(
+        F.pow(F.lit(1.0) + F.lit(FACTOR) * elapsed / a["stability"], F.lit(DECAY)).alias("r"),
+        clamp_d(F.lit(w[7] * w[4]) + F.lit(1 - w[7]) * (a["difficulty"] - F.lit(w[6]) * (g - 3))).alias("d")))
+
+    def grown(k):
+        s, r, d = a["stability"], k["r"], k["d"]
+        lapse = (F.lit(w[11]) * F.pow(d, F.lit(-w[12])) * (F.pow(s + 1, F.lit(w[13])) - 1) * F.exp(F.lit(w[14]) * (F.lit(1.0) - r)))
+        easier = F.when(g == 2, F.lit(w[15])).otherwise(F.lit(1.0)) * F.when(g == 4, F.lit(w[16])).otherwise(F.lit(1.0))
+        growth = F.lit(math.exp(w[8])) * (F.lit(11.0) - d) * F.pow(s, F.lit(-w[9])) * (F.exp(F.lit(w[10]) * (F.lit(1.0) - r)) - 1) * easier
+        first = F.get(F.array(*[F.lit(v) for v in w[:4]]), g.cast("int") - 1)
+        s2 = F.when(new, first).when(g == 1, lapse).otherwise(s * (growth + 1))
+        return F.struct(s2.alias("s"), d.alias("d"))
+
+    def moved(k):
+        early = a["state"].isin(NEW, LEARNING)
+        passed = F.when(early, (g == 4) | ((g == 3) & (a["step"] + 1 >= len(LEARNING_STEPS)))).when(
+            a["state"] == REVIEW, g > 1).otherwise(g > 2)
+        state = F.when(passed, F.lit(REVIEW)).when(early, F.lit(LEARNING)).otherwise(F.lit(RELEARNING))
+        step = (F.when(passed, a["step"]).when(g == 1, F.lit(0)).when(early & (g > 2), a["step"] + 1).otherwise(a["step"]))
+        wait = F.when(early, F.get(F.array(*[F.lit(v) for v in LEARNING_STEPS]), step)).otherwise(
+            F.get(F.array(*[F.lit(v) for v in RELEARNING_STEPS]), step))
+        due = t + F.when(passed, _interval(k["s"], retention, max_ivl)).otherwise(wait.cast("long"))
+        return F.struct(
+            state.alias("state"), k["s"].alias("stability"), k["d"].alias("difficulty"), step.cast("int").alias("step"),
+            due.alias("due_utc"), (a["reps"] + 1).alias("reps"),
+            (a["lapses"] + ((g == 1) & a["state"].isin(REVIEW, RELEARNING)).cast("long")).alias("lapses"),
+            (a["fails"] + (g == 1).cast("long")).alias("fails"), t.alias("last_utc"))
+
+    return _bound(known, lambda k: _bound(grown(k), moved))
+
+
+def review_replay(log: DataFrame, mode: str = "recruiting", chunk: int = CHUNK) -> DataFrame:
+    """Fold every (learner, deck, card)'s grades in (review_utc, seq) order into its review state, in expressions.
+    A card's reviews are folded ``chunk`` at a time, so an array is bounded however often a card was seen; almost
+    always one pass does it all."""
     retention, max_ivl = MODES[mode][0], MODES[mode][1]
     keys = ["learner_id", "deck", "card_id"]
-
-    def fold(batches):
-        cur, st = None, None
-        out = []
-        cols = ["learner_id", "deck", "card_id", "state", "stability", "difficulty", "due_utc", "reps",
-                "lapses", "fails", "last_utc"]
-
-        def emit():
-            if cur is not None and st is not None:
-                out.append({"learner_id": int(cur[0]), "deck": cur[1], "card_id": cur[2],
-                            **{k: v for k, v in st.items() if k != "step"}})
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            k0, k1, k2 = pdf["learner_id"].to_numpy(), pdf["deck"].to_numpy(), pdf["card_id"].to_numpy()
-            r, t = pdf["rating"].to_numpy(), pdf["review_utc"].to_numpy()
-            n = len(pdf)
-            start = 0
-            while start < n:
-                key = (k0[start], k1[start], k2[start])
-                end = start + 1
-                while end < n and (k0[end], k1[end], k2[end]) == key:
-                    end += 1
-                if key != cur:
-                    emit()
-                    cur, st = key, None
-                st = replay_card([int(x) for x in r[start:end]], [int(x) for x in t[start:end]],
-                                 retention, max_ivl, init=st)
-                start = end
-            if len(out) >= 4096:
-                yield pd.DataFrame(out, columns=cols)
-                out = []
-        emit()
-        if out:
-            yield pd.DataFrame(out, columns=cols)
-
-    graded = log.filter(F.col("rating").between(1, 4)).select(*keys, "rating", "review_utc", "seq")
-    ordered = graded.repartition(*keys).sortWithinPartitions(*keys, "review_utc", "seq")
-    return ordered.mapInPandas(fold, REPLAY_SCHEMA)
+    graded = log.filter(F.col("rating").between(1, 4)).select(*keys, "rating", F.col("review_utc").cast("long").alias("review_utc"), "seq")
+    most = graded.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    start = F.struct(F.lit(NEW).alias("state"), F.lit(0.0).alias("stability"), F.lit(0.0).alias("difficulty"),
+                     F.lit(0).alias("step"), F.lit(None).cast("long").alias("due_utc"), *[
+                         F.lit(0).cast("long").alias(c) for c in ("reps", "lapses", "fails")],
+                     F.lit(None).cast("long").alias("last_utc"))
+
+    def folded(rows, began):
+        seen = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("review_utc", "seq", "rating"))).alias("seen"))
+        seen = seen.withColumn("began", start) if began is None else (
+            seen.join(began, keys, "right").withColumn("seen", F.coalesce("seen", F.array().cast("array<struct<review_utc:bigint,seq:bigint,rating:int>>"))))
+        return seen.select(*keys, F.aggregate("seen", F.col("began"), lambda a, x: _replay_step(a, x, retention, max_ivl)).alias("began"))
+
+    if most <= chunk:
+        states = folded(graded, None)
+    else:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("review_utc", "seq"))
+        parts = materialize(graded.withColumn("part", F.floor((place - 1) / chunk).cast("int")), "replay-parts")
+        states = None
+        for part in range(math.ceil(most / chunk)):
+            states = materialize(folded(parts.filter(F.col("part") == part), states), "replay-states")
+    return states.select(*keys, *[F.col(f"began.{c}").alias(c) for c in REPLAY_COLUMNS])
 
 
 # ---- selection over a review-state table ----

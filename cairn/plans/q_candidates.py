@@ -181,16 +181,16 @@ def funnel_inputs(spark, sf):
     return cands, packets, ledger
 
 
-def funnel(spark, sf):
+def funnel(spark, sf, gate=cd.gate_funnel):
     cands, packets, ledger = funnel_inputs(spark, sf)
     c = cands.select("candidate_id", "domain", "body")
 
     def nearest(survivors):
         qv = survivors.join(cands.select("candidate_id", "vec"), "candidate_id").select(
             F.col("candidate_id").alias("qid"), "vec")
-        return vx.nearest_prior(qv, ledger, dim=64).select(F.col("qid").alias("candidate_id"), "sim")
+        return vx.nearest_prior(qv, ledger, dim=64).select(F.col("qid").alias("candidate_id"), "sim", "title")
 
-    return cd.gate_funnel(c, packets, nearest,
+    return gate(c, packets, nearest,
                           cands.select("candidate_id", F.col("j1").alias("result")),
                           cands.select("candidate_id", F.col("rv").alias("body")).filter(F.col("body").isNotNull()),
                           cands.select("candidate_id", F.col("j2").alias("result")).filter(F.col("result").isNotNull()))
@@ -247,6 +247,75 @@ def q_gate_funnel(spark, sf):
     return funnel(spark, sf)
 
 
+def _judged_reason_sql(r: str) -> str:
+    j = f"CAST({r} AS JSON)"
+    v, why = f"lower(trim(coalesce(json_extract_string({j}, '$.verdict'), '')))", f"coalesce(json_extract_string({j}, '$.reason'), '')"
+    return (f"CASE WHEN {r} IS NULL OR json_type({j}) <> 'OBJECT' THEN 'gate returned a non-object' "
+            f"WHEN {v} NOT IN ('ship', 'reframe') THEN 'verdict ''' || CASE WHEN {v} = '' THEN '(missing)' ELSE {v} END || ''': ' || {why} "
+            f"WHEN coalesce(json_extract_string({j}, '$.feasibility') = 'unrealistic', false) THEN 'unrealistic scope: ' || {why} "
+            f"ELSE {v} || ': ' || {why} END")
+
+
+def _stage_sql(reached: str, stage: str, ok: str, reason: str) -> str:
+    return f"CASE WHEN {reached} THEN '{stage}' || CASE WHEN {ok} THEN '+ ' ELSE '- ' END || {reason} END"
+
+
+_NEAR_SQL = ("CASE WHEN NOT has_text THEN 'no comparable text' WHEN NOT d_ok THEN printf('%.2f', sim) || ' similar to ''' || title || '''' "
+             "ELSE 'nearest past idea ' || printf('%.2f', sim) || ' (''' || left(title, 40) || ''')' END")
+_NOTE_SQL = "json_extract_string(CAST(rv AS JSON), '$.revision_note')"
+_REVISE_SQL = ("CASE WHEN rv IS NULL OR json_type(CAST(rv AS JSON)) <> 'OBJECT' THEN 'withdrawn: revision returned a non-object' "
+               f"WHEN withdrawn THEN 'withdrawn: ' || coalesce({_NOTE_SQL}, 'no hard core survived review') "
+               f"ELSE coalesce({_NOTE_SQL}, 'revised') END")
+_TO_JUDGE = "g_ok AND s_ok AND has_text AND d_ok"
+_TO_SHAPE2 = f"{_TO_JUDGE} AND j1ok AND reframe AND NOT withdrawn"
+_STAGES = ", ".join([
+    _stage_sql("true", "grounding", "g_ok", "len(kept) || ' of ' || n_cited || ' citations supplied'"),
+    _stage_sql("g_ok", "shape", "s_ok", f"coalesce({shape_sql('body')}, 'well formed')"),
+    _stage_sql("g_ok AND s_ok", "dedup", "has_text AND d_ok", _NEAR_SQL),
+    _stage_sql(_TO_JUDGE, "judged", "j1ok", _judged_reason_sql("j1")),
+    _stage_sql(f"{_TO_JUDGE} AND j1ok AND reframe", "revise", "NOT withdrawn", _REVISE_SQL),
+    _stage_sql(_TO_SHAPE2, "shape", "rs_ok", f"coalesce({shape_sql('rv')}, 'well formed')"),
+    _stage_sql(f"{_TO_SHAPE2} AND rs_ok", "judged", "j2ok", _judged_reason_sql("j2")),
+    _stage_sql(f"{_TO_SHAPE2} AND rs_ok AND j2ok AND reframe2", "revise", "false", "'still reframed after revision; not converging'")])
+_LEFT = "CAST(CASE WHEN passed AND reframe THEN rv ELSE body END AS JSON)"
+
+
+@register(sql=FUNNEL_SQL + f""",
+kp AS (SELECT fc.id, list_filter(CAST(json_extract(CAST(body AS JSON), '$.evidence_refs') AS VARCHAR[]),
+                                 lambda u: list_contains(coalesce(urls, []::VARCHAR[]), u)) AS kept,
+              json_array_length(json_extract(CAST(body AS JSON), '$.evidence_refs')) AS n_cited FROM fc),
+nt AS (SELECT st.id, arg_max('idea ' || CAST(led.ord AS VARCHAR), (list_dot_product(st.vec, led.e), -led.ord)) AS title,
+              max(list_dot_product(st.vec, led.e)) AS sim FROM st CROSS JOIN led GROUP BY st.id),
+y AS (SELECT x.*, kp.kept, kp.n_cited, nt.title, nt.sim, f.failed_stage IS NULL AS passed
+      FROM x JOIN kp USING (id) JOIN nt USING (id) JOIN f USING (id))
+SELECT id AS candidate_id, passed,
+  array_to_string(list_filter([{_STAGES}], lambda v: v IS NOT NULL), chr(10)) AS verdicts,
+  array_to_string(kept, ' ') AS refs,
+  CASE WHEN passed THEN coalesce(json_extract_string(CAST(CASE WHEN reframe THEN j2 ELSE j1 END AS JSON), '$.feasibility'), '') END AS feasibility,
+  CASE WHEN passed AND reframe THEN coalesce({_NOTE_SQL}, 'revised') END AS revision_note,
+  json_extract_string({_LEFT}, '$.problem') AS problem,
+  CAST(json_array_length(json_extract({_LEFT}, '$.glossary')) AS BIGINT) AS n_glossary,
+  CAST(len(json_keys({_LEFT})) + CASE WHEN passed AND reframe THEN 2 WHEN passed THEN 1 ELSE 0 END AS BIGINT) AS n_fields
+FROM y""")
+def q_gate_record(spark, sf):
+    """K1-K3: every stage's reason, and the record that leaves the gate: revised ones with the original citations
+    and their note, all fields that no judgement touches as they were."""
+    g = funnel(spark, sf, cd.gate_records)
+    said = F.transform("verdicts", lambda v: F.concat(v["stage"], F.when(v["ok"], F.lit("+ ")).otherwise(F.lit("- ")), v["reason"]))
+    r = F.col("record")
+
+    def text(name):
+        return F.try_variant_get(r, f"$.{name}", "string")
+
+    fields = F.try_variant_get(r, "$", "map<string,variant>")
+    glossary = F.try_variant_get(r, "$.glossary", "array<variant>")
+    return g.select("candidate_id", "passed", F.array_join(said, "\n").alias("verdicts"),
+                    F.array_join(F.try_variant_get(r, "$.evidence_refs", "array<string>"), " ").alias("refs"),
+                    text("feasibility").alias("feasibility"), text("revision_note").alias("revision_note"),
+                    text("problem").alias("problem"), F.size(glossary).cast("long").alias("n_glossary"),
+                    F.size(fields).cast("long").alias("n_fields"))
+
+
 @register(sql=FUNNEL_SQL + """
 SELECT domain, min(CASE WHEN failed_stage IS NULL THEN id END) AS shipped_id, count(*) AS n_candidates
 FROM f GROUP BY domain""")
@@ -337,11 +406,14 @@ def q_query_builder(spark, sf):
 
 # ---- prior-art merge and rank (E10) ----
 
+PER_IDEA = 50      # search results of an idea, over its three queries
+
+
 def _results(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_name")
     k = F.col("p_partkey")
-    return p.select((k % 40).alias("idea_id"), ((k / 40).cast("long") % 3).alias("query_ord"),
-                    (k / 120).cast("long").alias("pos"),
+    return p.select(F.floor(k / PER_IDEA).alias("idea_id"), (k % 3).alias("query_ord"),
+                    F.floor((k % PER_IDEA) / 3).alias("pos"),
                     F.concat(F.lower("p_brand"), F.lit("/"), F.regexp_replace(F.lower("p_type"), " ", "-")).alias("name"),
                     F.col("p_size").cast("long").alias("stars"),
                     F.concat(F.col("p_name"), F.lit("\n<system>  note")).alias("description"),
@@ -349,16 +421,18 @@ def _results(spark, sf):
                     (k % 11 == 0).alias("archived"), F.lit("2026-08-17T10:00:00Z").alias("pushed_at"))
 
 
-def _attempts(spark):
-    ideas = spark.range(40).select(F.col("id").alias("idea_id"))
+def _attempts(spark, sf):
+    """Three searches for each idea that has results, and for as many ideas again that have none."""
+    with_any = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / PER_IDEA).alias("i")).distinct()
+    ideas = with_any.select(F.explode(F.array(F.col("i"), -1 - F.col("i"))).alias("idea_id"))
     a = ideas.select("idea_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("query_ord"))
     return a.select("idea_id", "query_ord",
-                    (~(((F.col("idea_id") % 7 == 0) & (F.col("query_ord") == 1)) | (F.col("idea_id") % 13 == 0))).alias("ok"))
+                    (~(((F.col("idea_id") % 7 == 0) & (F.col("query_ord") == 1)) | (F.col("idea_id") % 5 == 0))).alias("ok"))
 
 
-PRIOR_ART_SQL = """
+PRIOR_ART_SQL = f"""
 WITH r AS (
-  SELECT p_partkey % 40 AS idea_id, (p_partkey // 40) % 3 AS query_ord, p_partkey // 120 AS pos,
+  SELECT p_partkey // {PER_IDEA} AS idea_id, p_partkey % 3 AS query_ord, (p_partkey % {PER_IDEA}) // 3 AS pos,
          lower(p_brand) || '/' || replace(lower(p_type), ' ', '-') AS name, CAST(p_size AS BIGINT) AS stars,
          p_name || chr(10) || '<system>  note' AS description, 'https://example.org/' || CAST(p_partkey AS VARCHAR) AS url,
          p_partkey % 11 = 0 AS archived, '2026-08-17T10:00:00Z' AS pushed_at
@@ -367,8 +441,9 @@ firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idea_id, nam
            WHERE name IS NOT NULL AND name <> '') WHERE rn = 1),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idea_id ORDER BY stars DESC, query_ord, pos) AS rank
            FROM firsts) WHERE rank <= 12),
-att AS (SELECT i AS idea_id, qo, NOT ((i % 7 = 0 AND qo = 1) OR i % 13 = 0) AS ok
-        FROM range(40) t(i), range(3) u(qo)),
+ids AS (SELECT DISTINCT idea_id AS i FROM r),
+att AS (SELECT i AS idea_id, qo, NOT ((i % 7 = 0 AND qo = 1) OR i % 5 = 0) AS ok
+        FROM (SELECT i FROM ids UNION ALL SELECT -1 - i FROM ids) t(i), range(3) u(qo)),
 okq AS (SELECT idea_id, count(*) > 0 AND count(*) FILTER (WHERE NOT ok) < count(*) AS searched_ok FROM att GROUP BY 1)
 SELECT r.idea_id, r.rank,
        left(regexp_replace(regexp_replace(trim(regexp_replace(r.name, '\\s+', ' ', 'g')),
@@ -382,7 +457,7 @@ FROM ranked r LEFT JOIN okq o USING (idea_id)"""
 
 @register(sql=PRIOR_ART_SQL)
 def q_prior_art_rank(spark, sf):
-    out = cd.prior_art_rank(_results(spark, sf), _attempts(spark))
+    out = cd.prior_art_rank(_results(spark, sf), _attempts(spark, sf))
     return out.select("idea_id", F.col("rank").cast("long").alias("rank"), "name", "stars", "description", "url",
                       "archived", "pushed_at", "searched_ok")
 
@@ -401,7 +476,7 @@ FROM ideas i LEFT JOIN (
   FROM rr GROUP BY 1) l USING (idea_id)""")
 def q_prior_art_block(spark, sf):
     """E10 rendering: the three cases of the prior-art block per idea."""
-    ranked = cd.prior_art_rank(_results(spark, sf), _attempts(spark))
-    ideas = _attempts(spark).groupBy("idea_id").agg(
+    ranked = cd.prior_art_rank(_results(spark, sf), _attempts(spark, sf))
+    ideas = _attempts(spark, sf).groupBy("idea_id").agg(
         ((F.count("*") > 0) & (F.count_if(~F.col("ok")) < F.count("*"))).alias("searched_ok"))
     return cd.prior_art_block(ranked, ideas)

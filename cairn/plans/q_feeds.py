@@ -16,12 +16,11 @@ from pyspark.sql import types as T
 
 from ..functions.lexicons import FIXTURE_DOMAINS, FIXTURE_PAIN
 from ..operators import feedback as fb
-from ..operators import review as rv
 from ..operators.util import materialize
 from ..session import checkpoint_dir
 from ..sources import feeds
 from ..sources.tables import table
-from ..streaming import folds
+from ..streaming import canary, folds, ordered
 from ..streaming import harvest as sh
 from . import fixtures as fx
 from .oracle import REVIEW_LOG, SIGNAL, VERDICT_LOG, with_
@@ -227,16 +226,28 @@ def q_incremental_harvest(spark, sf):
     return spark.read.parquet(store).select("source", "external_id", "domain", "created_utc")
 
 
-def _streamed(spark, events: DataFrame, order: str, keys: list[str], fold) -> DataFrame:
-    """Events arrive in three lots that each span the whole time, so most of the later two are
-    late; the stream runs after each lot."""
-    landed, log, out, done = (_folder(spark, n) for n in ("events", "log", "folds", "fold-progress"))
-    for lot in (2, 0, 1):
-        events.filter(F.col(order) % 3 == lot).write.mode("append").parquet(landed)
-        stream = spark.readStream.schema(events.schema).parquet(landed)
-        (stream.writeStream.foreachBatch(folds.refold_touched(log, out, keys, fold))
-         .option("checkpointLocation", done).trigger(availableNow=True).start().awaitTermination())
-    return folds.folded(spark.read.parquet(out), keys)
+DAY = 86400
+JITTER = 2 * DAY       # how much later than its time an event may arrive; the streams wait three days
+
+
+def _arriving(events: DataFrame, ts: str, key: str, lots: int) -> DataFrame:
+    """``events`` with ``lot``, the part of the time in which each arrives: in a lot and at its ends they come
+    out of order."""
+    arrival = F.col(ts) + F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(JITTER))
+    span = events.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
+    first, length = (span.a or 0), max(1, (span.b or 0) - (span.a or 0) + JITTER)
+    return events.withColumn("lot", F.least(F.floor((arrival - first) * lots / length), F.lit(lots - 1)).cast("int"))
+
+
+def _streamed(spark, arriving: DataFrame, lots: list[int], stream, mode: str = "update") -> DataFrame:
+    """What ``stream`` writes if the lots land one after the other and it runs after each."""
+    landed, out, done = (_folder(spark, n) for n in ("events", "folds", "fold-progress"))
+    arriving = materialize(arriving, "arriving")
+    events = arriving.drop("lot")
+    for lot in lots:
+        arriving.filter(F.col("lot") == lot).drop("lot").write.mode("append").parquet(landed)
+        ordered.run_available(stream(spark.readStream.schema(events.schema).parquet(landed)), out, done, mode)
+    return spark.read.parquet(out)
 
 
 @register(sql=with_(VERDICT_LOG) + """
@@ -244,8 +255,10 @@ SELECT idea_id, arg_min(verdict, (ts, message_id)) AS verdict, min(ts) AS ts,
        arg_min(message_id, (ts, message_id)) AS message_id
 FROM vlog GROUP BY idea_id""")
 def q_stream_first_verdict(spark, sf):
-    """I4 as a stream: a late verdict that is earlier still becomes the first one."""
-    return _streamed(spark, fx.verdict_log(spark, sf), "message_id", ["idea_id"], fb.first_verdict)
+    """I4 as a stream on state: three lots that each span the whole time; a late verdict that is
+    earlier still becomes the first one."""
+    log = fx.verdict_log(spark, sf).withColumn("lot", (F.col("message_id") % 3).cast("int"))
+    return ordered.newest(_streamed(spark, log, [2, 0, 1], folds.stream_first_verdict), ["idea_id"])
 
 
 @register(sql="""
@@ -258,20 +271,87 @@ SELECT id, round(list_reduce(list(factor ORDER BY ts, seq), lambda w, f: greates
                              CAST(1.0 AS DOUBLE)), 6) AS weight, CAST(count(*) AS INTEGER) AS n_steps
 FROM steps WHERE factor IS NOT NULL GROUP BY id""")
 def q_stream_weight_fold(spark, sf):
-    """I5 as a stream: each event is a step of its user's weight, which meets both clamps; late
-    steps are folded at their own place."""
+    """I5 as a stream on state: each event is a step of its user's weight, which meets both clamps; steps
+    arrive up to two days late and are folded at their own place."""
+    steps = _steps(spark, sf)
+    out = _streamed(spark, _arriving(steps, "ts", "seq", 3), [0, 1, 2], folds.stream_weight_fold)
+    return ordered.newest(out, ["id"]).select("id", F.round("weight", 6).alias("weight"), F.col("n_steps").cast("int").alias("n_steps"))
+
+
+def _steps(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
     steps = F.create_map(*[F.lit(x) for e, v in fx.VERDICT_OF_EVENT.items() for x in (e, fb.WEIGHT_STEP[v])])
-    steps = ev.select(F.col("user_id").alias("id"), F.unix_timestamp("ts").alias("ts"), F.col("event_id").alias("seq"),
-                      steps[F.col("event_type")].alias("factor")).filter(F.col("factor").isNotNull())
-    out = _streamed(spark, steps, "seq", ["id"], fb.fold_steps)
-    return out.select("id", F.round("weight", 6).alias("weight"), "n_steps")
+    return ev.select(F.col("user_id").alias("id"), F.unix_timestamp("ts").alias("ts"), F.col("event_id").alias("seq"),
+                     steps[F.col("event_type")].alias("factor")).filter(F.col("factor").isNotNull())
 
 
 @register(sql=with_(REVIEW_LOG) + " SELECT learner_id, deck, card_id, reps, fails, last_utc FROM rev")
 def q_stream_review(spark, sf):
-    """I1 as a stream: every grade counts, late ones too; the states equal the batch replay's (in
-    the tests), here the counts are compared."""
-    out = _streamed(spark, fx.review_log(spark, sf), "seq", ["learner_id", "deck", "card_id"], rv.review_replay)
-    return out.select("learner_id", "deck", "card_id", F.col("reps").cast("long").alias("reps"),
-                      F.col("fails").cast("long").alias("fails"), "last_utc")
+    """I1 as a stream on state: every grade counts, those that arrive late too (the states equal the
+    batch replay's, in the tests)."""
+    log = _arriving(fx.review_log(spark, sf), "review_utc", "seq", 3)
+    out = ordered.newest(_streamed(spark, log, [0, 1, 2], folds.stream_review_replay), ["learner_id", "deck", "card_id"])
+    return out.select("learner_id", "deck", "card_id", "reps", "fails", "last_utc")
+
+
+QUIET = 60 * DAY       # the clock runs on after the last event
+
+CANARY_SQL = f"""
+WITH sends AS (
+  SELECT o_custkey AS s, CAST(epoch(o_orderdate) AS BIGINT) AS ts, o_orderpriority AS domain FROM orders),
+replies AS (
+  SELECT DISTINCT o_custkey AS s, CAST(epoch(o_orderdate) AS BIGINT) + {2 * DAY} AS ts FROM orders WHERE o_orderstatus = 'F'),
+clock AS (SELECT max(ts) + {QUIET} AS w FROM (SELECT ts FROM sends UNION ALL SELECT ts FROM replies)),
+begins AS (SELECT s, min(ts) AS since FROM sends GROUP BY s UNION SELECT s, ts FROM replies),
+stretch AS (SELECT s, since, coalesce(lead(since) OVER (PARTITION BY s ORDER BY since), (SELECT w FROM clock)) AS stop FROM begins),
+inside AS (SELECT g.s, g.since, g.stop, x.ts, x.domain FROM stretch g JOIN sends x ON x.s = g.s AND x.ts >= g.since AND x.ts < g.stop),
+due AS (SELECT s, since, stop, greatest(since + {14 * DAY}, list_sort(list(ts))[4]) AS first_at FROM inside GROUP BY 1, 2, 3 HAVING count(*) >= 4),
+alerts AS (SELECT s, since, unnest(range(first_at, stop, {14 * DAY})) AS now_utc FROM due),
+counted AS (SELECT a.s, a.since, a.now_utc, i.domain, count(*) AS n FROM alerts a JOIN inside i
+            ON i.s = a.s AND i.since = a.since AND i.ts <= a.now_utc GROUP BY 1, 2, 3, 4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s, now_utc ORDER BY n DESC, domain) AS r FROM counted)
+SELECT s AS subscriber_id, now_utc, CAST(sum(n) AS BIGINT) AS n_unanswered, (now_utc - since) // {DAY} AS quiet_days,
+       string_agg(domain || ' x' || CAST(n AS VARCHAR), ', ' ORDER BY r) FILTER (WHERE r <= 3) AS breakdown
+FROM ranked GROUP BY s, since, now_utc"""
+
+
+@register(sql=CANARY_SQL)
+def q_stream_canary(spark, sf):
+    """Digests are orders, and a finished order is answered two days later by a reply with a verdict; events
+    arrive up to two days late, in four lots, and the clock runs on for 60 days. One row for each alert."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    sent = F.unix_timestamp("o_orderdate")
+
+    def kind(name, place, ts, idea, domain):
+        return F.struct(F.lit(name).alias("kind"), ts.alias("ts"), (F.col("o_orderkey") * 3 + place).alias("seq"),
+                        idea.cast("long").alias("idea_id"), domain.cast("string").alias("domain"))
+
+    back = sent + 2 * DAY
+    events = o.select(F.col("o_custkey").alias("subscriber_id"), F.explode(F.when(F.col("o_orderstatus") == "F", F.array(
+        kind("send", 0, sent, F.col("o_orderkey"), F.col("o_orderpriority")),
+        kind("verdict", 1, back, F.col("o_orderkey"), F.lit(None)), kind("reply", 2, back, F.lit(None), F.lit(None)))).otherwise(
+        F.array(kind("send", 0, sent, F.col("o_orderkey"), F.col("o_orderpriority"))))).alias("e")).select("subscriber_id", "e.*")
+    arriving = _arriving(events, "ts", "seq", 4)
+    end = (events.agg(F.max("ts")).first()[0] or 0) + QUIET + 3 * DAY       # the streams wait three days
+    clock = spark.createDataFrame([(-1, "clock", end, -k, None, None, 4 + k) for k in range(2)],
+                                  "subscriber_id long, kind string, ts long, seq long, idea_id long, domain string, lot int")
+    rows = _streamed(spark, arriving.unionByName(clock), [0, 1, 2, 3, 4, 5], canary.stream_silence_canary, "append")
+    return rows.select("subscriber_id", "now_utc", "n_unanswered", "quiet_days", "breakdown")
+
+
+@register(sql="""
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS message_id, conv_id, turn, length(text) AS n_chars
+FROM conversations WHERE role = 'user'""")
+def q_stream_replay_dedup(spark, sf):
+    """G2 as a stream: every third conversation's messages are delivered again 1,000 seconds later; state that
+    expires with the watermark lets each through once."""
+    c = table(spark, sf, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    mid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    at = F.col("conv_id") * 10 + F.col("turn")
+    times = F.explode(F.when(F.col("conv_id") % 3 == 0, F.array(at, at + 1000)).otherwise(F.array(at)))
+    log = c.select(mid.alias("message_id"), "conv_id", "turn", F.length("text").alias("n_chars"), times.alias("fetched_utc"))
+    span = log.agg(F.min("fetched_utc").alias("a"), F.max("fetched_utc").alias("b")).first()
+    width = max(1, ((span.b or 0) - (span.a or 0)) // 3 + 1)
+    lots = log.withColumn("lot", F.floor((F.col("fetched_utc") - (span.a or 0)) / width).cast("int"))
+    out = _streamed(spark, lots, [0, 1, 2], lambda s: sh.once(s, ["message_id"], "fetched_utc", "20 minutes"), "append")
+    return out.select("message_id", "conv_id", "turn", F.col("n_chars").cast("long").alias("n_chars"))

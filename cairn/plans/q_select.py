@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import FIXTURE_DOMAINS
 from ..operators import evidence as ev
 from ..operators import selection as sel
+from ..operators.util import materialize
 from . import fixtures as fx
 from .oracle import EVIDENCE_CTE, PACKET_CTE, SIGNAL, TOP_CTE, with_
 from .registry import register
@@ -15,8 +16,9 @@ from .registry import register
 def packet_inputs(spark, sf):
     sig, mem, th = fx.theme_tables(spark, sf)
     used = fx.used_ids(sig)
-    top = ev.top_theme_per_domain(th, mem, used)
-    rows = sel.gather_evidence(top, mem, sig, used)
+    # a few rows a domain, which several plans read: written once, like the themes
+    top = materialize(ev.top_theme_per_domain(th, mem, used), "top-themes")
+    rows = materialize(sel.gather_evidence(top, mem, sig, used), "packet-rows")
     return sig, mem, used, top, rows
 
 
@@ -100,3 +102,20 @@ def q_citation_grounding(spark, sf):
     sig, _, _, _, rows = packet_inputs(spark, sf)
     packets = sel.evidence_packet(rows)
     return sel.citation_grounding(candidates_from_signal(sig), packets)
+
+@register(sql=with_(SIGNAL, EVIDENCE_CTE, TOP_CTE, PACKET_CTE) + """,
+cands AS (
+  SELECT id AS candidate_id, domain,
+         ['u/' || CAST(id AS VARCHAR), 'u/' || CAST(id + 1 AS VARCHAR), 'u/' || CAST(id + 2 AS VARCHAR),
+          'u/' || CAST(id + 1 AS VARCHAR), 'x/' || CAST(id AS VARCHAR)] AS refs
+  FROM signal),
+k AS (
+  SELECT c.candidate_id, c.domain, list_filter(c.refs, lambda u: list_contains(coalesce(p.urls, []::VARCHAR[]), u)) AS kept
+  FROM cands c LEFT JOIN packets p USING (domain)),
+cited AS (SELECT DISTINCT domain, unnest(kept) AS url FROM k WHERE len(kept) >= 2)
+SELECT r.domain, r.id, r.url FROM packet_rows r JOIN cited USING (domain, url)""")
+def q_consumed_signals(spark, sf):
+    """C10 consumption: the packet rows that grounded candidates cited are spent, the others are not."""
+    sig, _, _, _, rows = packet_inputs(spark, sf)
+    grounded = sel.citation_grounding(candidates_from_signal(sig), sel.evidence_packet(rows))
+    return sel.consumed_signals(grounded, rows).select("domain", "id", "url")

@@ -62,11 +62,32 @@ def _e(c):
     return F.coalesce(c, F.lit(""))
 
 
-def search_hits(spark: SparkSession, path: str) -> DataFrame:
+def landed_pages(spark: SparkSession, path: str, schema: T.StructType, source: str, quarantine: str | None = None,
+                 multi_line: bool = False) -> DataFrame:
+    """Landed JSON pages. With ``quarantine`` a page that cannot be read as ``schema`` is appended to that table
+    (source, file, record) instead of vanishing; the others go on."""
+    if quarantine is None:
+        return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    marked = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
+    pages = (spark.read.schema(marked).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+             .option("columnNameOfCorruptRecord", "_corrupt").json(path))
+    broken = pages.select(F.lit(source).alias("source"), F.input_file_name().alias("file"), F.col("_corrupt").alias("record"),
+                          schema.fields[0].name).filter(F.col("record").isNotNull()).drop(schema.fields[0].name)
+    broken.write.mode("append").parquet(quarantine)
+    return pages.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+
+
+def quarantined(spark: SparkSession, quarantine: str) -> DataFrame:
+    """(source, n_pages): how many broken pages each source has left."""
+    return (spark.read.schema("source string, file string, record string").parquet(quarantine)
+            .groupBy("source").agg(F.count("*").alias("n_pages")))
+
+
+def search_hits(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
     """A1: flatten search pages; hits without an objectID are skipped (not counted
     as dropped); missing text fields -> '', missing ints -> 0; the comment HTML is
     cleaned (B1)."""
-    pages = spark.read.schema(SEARCH_PAGE).json(path)
+    pages = landed_pages(spark, path, SEARCH_PAGE, "hn", quarantine)
     hits = pages.select("query", "probe_ord", "page", F.posexplode("hits").alias("pos", "h"))
     hits = hits.filter(F.col("h.objectID").isNotNull() & (F.col("h.objectID") != ""))
     oid = F.col("h.objectID")
@@ -78,20 +99,21 @@ def search_hits(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("h.num_comments", F.lit(0)).alias("engagement"), "query", "probe_ord", "page", "pos")
 
 
-def threaded_feed(spark: SparkSession, listings: str, details: str, since: int, multi_line: bool = True) -> DataFrame:
+def threaded_feed(spark: SparkSession, listings: str, details: str, since: int, multi_line: bool = True,
+                  quarantine: str | None = None) -> DataFrame:
     """A2: listings -> stories (first tag in plan order wins; a story whose
     comment_count is explicitly 0 is skipped, a missing count is still read) ->
     detail comments. Comment url falls back to the story url; bad timestamps -> 0.
     The look-back cutoff is applied (unknown timestamps are kept; scoring ignores
     them). Details are one story per file, or one per line without ``multi_line``."""
-    lst = spark.read.schema(LISTING).json(listings)
+    lst = landed_pages(spark, listings, LISTING, "lobsters", quarantine)
     st = lst.select("tag", "tag_ord", "page", F.posexplode("stories").alias("pos", "s")).filter(
         F.col("s.short_id").isNotNull())
     w = Window.partitionBy("s.short_id").orderBy("tag_ord", "page", "pos")
     first = (st.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
              .filter(~F.col("s.comment_count").eqNullSafe(F.lit(0)))
              .select(F.col("s.short_id").alias("short_id"), "tag", "tag_ord"))
-    det = spark.read.schema(DETAIL).option("multiLine", multi_line).json(details)
+    det = landed_pages(spark, details, DETAIL, "lobsters", quarantine, multi_line)
     j = first.join(det, "short_id")
     c = j.select("tag", "tag_ord", F.col("title").alias("story_title"), F.col("url").alias("story_url"),
                  F.posexplode("comments").alias("pos", "c"))
@@ -110,11 +132,11 @@ MIN_REACTIONS = 15
 PER_REPO = 40
 
 
-def issue_feed(spark: SparkSession, path: str, since: int) -> DataFrame:
+def issue_feed(spark: SparkSession, path: str, since: int, quarantine: str | None = None) -> DataFrame:
     """A3: open issues with >= 15 reactions created since the cutoff, most reacted
     first, at most 40 per repo; title 'repo: title'; an unparseable timestamp
     becomes the cutoff. Bodies are cleaned like every other source."""
-    pages = spark.read.schema(ISSUE_PAGE).json(path)
+    pages = landed_pages(spark, path, ISSUE_PAGE, "github", quarantine)
     it = pages.select("repo", "repo_ord", F.posexplode("items").alias("pos", "i"))
     created = F.coalesce(tx.parse_epoch(F.col("i.created_at")), F.lit(since).cast("long"))
     reactions = F.coalesce(F.col("i.reactions.total_count"), F.lit(0))

@@ -1,86 +1,72 @@
-"""Silence canary as an event-time timer.
+"""Silence canary as an event-time timer (I9), on the ordered state of ``ordered``.
 
-Per subscriber the state keeps the last reply, the first send, the sends still
-unanswered since the last reply (pruned on every reply, so it stays small) and the
-last time the alert fired. The canary (E7 rule) is evaluated whenever events
-arrive and when the subscriber's timer -- set one silence period ahead -- passes
-the watermark, so a subscriber who went quiet is noticed even though they send
-nothing. The event-time clock is the watermark, never the wall clock.
+A subscriber's value keeps the last reply, the first send, the sends since then that no verdict
+has answered, and when the alert fired. Events count in the order of their own time, however they
+arrive: the first send is the earliest one, a verdict that arrives before its send waits for it, and a reply
+starts a new stretch from its own time on. An alert fires at the first moment at which the rule of E7 holds:
+``silence_days`` after the stretch began and ``silence_ideas`` sends in it, and again each ``silence_days`` after.
+The timer stands at that moment, so a subscriber who went quiet is noticed though nothing arrives.
+Events of a moment come before an alert of the same moment; the clock is the watermark.
 """
 
 from __future__ import annotations
 
-import json
+from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.feedback import SILENCE_DAYS, SILENCE_IDEAS
+from .ordered import Fold, stream_ordered
 
 DAY = 86400
-OUT = "subscriber_id long, now_utc long, n_unanswered long, quiet_days long, breakdown string"
-STATE = "last_reply long, first_send long, fired long, open_json string"
 
 
-def evaluate(last: int, first: int, fired: int, sends: dict, now: int,
-             silence_days: int = SILENCE_DAYS, silence_ideas: int = SILENCE_IDEAS):
-    """E7 on one subscriber's state; returns (n, quiet_days, breakdown) or None."""
-    since = last or first or now
-    open_ = [i for i, (t, answered, _) in sends.items() if not answered and t >= since]
-    n = len(open_)
-    quiet = (now - since) / DAY
-    if n < silence_ideas or quiet < silence_days:
-        return None
-    if fired > last and (now - fired) < silence_days * DAY:
-        return None
-    counts: dict[str, int] = {}
-    for t, answered, dom in sends.values():
-        if not answered and t >= since and dom:
-            counts[dom] = counts.get(dom, 0) + 1
-    top = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:3]
-    return n, int(quiet // 1), ", ".join(f"{d} x{c}" for d, c in top if d)
+class SilenceFold(Fold):
+    columns = ["kind", "idea_id", "domain"]
+    out = "now_utc long, n_unanswered long, quiet_days long, breakdown string"
+    shows = False
 
+    def __init__(self, days: int = SILENCE_DAYS, ideas: int = SILENCE_IDEAS):
+        self.days, self.ideas = days, ideas
 
-def stream_silence_canary(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """``events(subscriber_id, kind, idea_id, domain, ts)`` with kind in send /
-    reply / verdict (a verdict answers ``idea_id``). Emits one alert row each time
-    the canary fires for a subscriber."""
+    def start(self):
+        return {"last": None, "first": None, "fired": None, "open": []}        # open: [ts, idea, domain] in order
 
-    def fn(key, batches, state):
-        if state.exists:
-            last, first, fired, open_json = state.get
-            sends = {int(k): v for k, v in json.loads(open_json).items()}
-        else:
-            last, first, fired, sends = 0, 0, 0, {}
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs() // 1000
-        else:
-            pdf = pd.concat(list(batches)).sort_values("ts")
-            now = 0
-            for kind, idea, dom, ts in zip(pdf["kind"], pdf["idea_id"], pdf["domain"], pdf["ts"]):
-                t = int(pd.Timestamp(ts).timestamp())
-                now = max(now, t)
-                if kind == "send":
-                    first = first or t
-                    sends[int(idea)] = [t, False, dom]
-                elif kind == "verdict" and int(idea) in sends:
-                    sends[int(idea)][1] = True
-                elif kind == "reply":
-                    last = max(last, t)
-            now = max(now, state.getCurrentWatermarkMs() // 1000)
-        since = last or first
-        sends = {k: v for k, v in sends.items() if not v[1] and v[0] >= since}   # prune answered / stale
-        hit = evaluate(last, first, fired, {k: (v[0], v[1], v[2]) for k, v in sends.items()}, now)
+    def step(self, state, ts, event):
+        kind, idea, domain = event
+        if kind == "send":
+            state["first"] = ts if state["first"] is None else state["first"]
+            state["open"].append([ts, idea, domain])
+        elif kind == "verdict":
+            state["open"] = [x for x in state["open"] if x[1] != idea]
+        elif kind == "reply":
+            state["last"] = ts
+            state["open"] = [x for x in state["open"] if x[0] >= ts]
+
+    def due(self, state):
+        since = state["first"] if state["last"] is None else state["last"]
+        if since is None or len(state["open"]) < self.ideas:
+            return None
+        at = max(since + self.days * DAY, state["open"][self.ideas - 1][0])
+        fired = state["fired"]
+        if fired is not None and (state["last"] is None or fired > state["last"]):
+            at = max(at, fired + self.days * DAY)
+        return at
+
+    def idle(self, state, until):
         out = []
-        if hit is not None:
-            fired = now
-            out.append({"subscriber_id": key[0], "now_utc": now, "n_unanswered": hit[0],
-                        "quiet_days": hit[1], "breakdown": hit[2]})
-        state.update((last, first, fired, json.dumps({str(k): v for k, v in sends.items()})))
-        state.setTimeoutTimestamp((max(now, since) + SILENCE_DAYS * DAY) * 1000 + 1)
-        if out:
-            yield pd.DataFrame(out)
+        while (at := self.due(state)) is not None and at < until:
+            since = state["first"] if state["last"] is None else state["last"]
+            # ideas without a domain take their place among the three and are not shown
+            count = Counter(d or "" for _, _, d in state["open"])
+            top = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:3]
+            out.append({"now_utc": at, "n_unanswered": len(state["open"]), "quiet_days": (at - since) // DAY,
+                        "breakdown": ", ".join(f"{d} x{n}" for d, n in top if d)})
+            state["fired"] = at
+        return out
+
 
-    return (events.withWatermark("ts", watermark).groupBy("subscriber_id")
-            .applyInPandasWithState(fn, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout))
+def stream_silence_canary(events: DataFrame, delay: str = "3 days") -> DataFrame:
+    """``events(subscriber_id, kind, idea_id, domain, ts, seq)`` with kind in send / reply / verdict (a verdict
+    answers ``idea_id``). One row for each time the canary fires for a subscriber."""
+    return stream_ordered(events, ["subscriber_id"], SilenceFold(), delay)

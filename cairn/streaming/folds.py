@@ -1,15 +1,11 @@
-"""Structured Streaming forms of the order-dependent folds.
-
-Each is ``groupBy(key).applyInPandasWithState`` in update mode: the state holds
-the fold's running value plus the (ts, seq) of the last applied event, so a
-micro-batch continues exactly where the previous one stopped. Events that arrive
-older than the last applied one cannot be folded in order any more; they are not
-applied and are counted as ``late`` (quarantined) instead. With in-order input the
-final state equals the batch fold.
-
-Where late events must count, ``refold_touched`` keeps the events in a log and folds the keys of
-each micro-batch again with the batch operator: the result equals the batch fold whatever the
-order of arrival.
+"""Structured Streaming forms of the order-dependent folds (I1, I4, I5), all on streaming state.
+
+The first verdict (I4) is a minimum, so its state is one row a key and any order will do. The weight (I5) and
+the review state (I1) depend on the order: they are folds of ``ordered``, which holds events back until the
+watermark has passed them.
+
+Where events may be later than any watermark allows, ``refold_touched`` keeps them in a log and folds the keys
+of each micro-batch again with the batch operator, at the price of reading the log.
 """
 
 from __future__ import annotations
@@ -24,32 +20,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.feedback import WEIGHT_MAX, WEIGHT_MIN
 from ..operators.review import MODES, replay_card
+from .ordered import Fold, newest, stream_ordered
 
-WEIGHT_OUT = "id long, weight double, n_applied long, n_late long"
-WEIGHT_STATE = "weight double, last_ts long, last_seq long, n_applied long, n_late long"
-
-
-def stream_weight_fold(steps: DataFrame) -> DataFrame:
-    """I5 stream: ``steps(id, ts, seq, factor)`` -> running clamped weight per signal."""
-
-    def fold(key, batches, state):
-        if state.exists:
-            w, lts, lseq, n, late = state.get
-        else:
-            w, lts, lseq, n, late = 1.0, -1, -1, 0, 0
-        pdf = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for ts, seq, f in zip(pdf["ts"], pdf["seq"], pdf["factor"]):
-            if (ts, seq) <= (lts, lseq):
-                late += 1
-                continue
-            w = max(WEIGHT_MIN, min(WEIGHT_MAX, w * float(f)))
-            lts, lseq, n = int(ts), int(seq), n + 1
-        state.update((w, lts, lseq, n, late))
-        yield pd.DataFrame({"id": [key[0]], "weight": [w], "n_applied": [n], "n_late": [late]})
-
-    return steps.groupBy("id").applyInPandasWithState(fold, WEIGHT_OUT, WEIGHT_STATE, "update",
-                                                      GroupStateTimeout.NoTimeout)
-
+DELAY = "3 days"
 
 FIRST_OUT = "idea_id long, verdict string, ts long, message_id long"
 FIRST_STATE = "verdict string, ts long, message_id long"
@@ -57,7 +30,7 @@ FIRST_STATE = "verdict string, ts long, message_id long"
 
 def stream_first_verdict(verdicts: DataFrame) -> DataFrame:
     """I4 stream: the earliest (ts, message_id) verdict per idea; a replayed or
-    later reply never changes it."""
+    later reply never changes it, a late one that is earlier does."""
 
     def first(key, batches, state):
         cur = state.get if state.exists else None
@@ -73,44 +46,52 @@ def stream_first_verdict(verdicts: DataFrame) -> DataFrame:
                                                               GroupStateTimeout.NoTimeout)
 
 
-REPLAY_OUT = ("learner_id long, deck string, card_id string, state string, stability double, difficulty double, "
-              "due_utc long, reps long, lapses long, fails long, last_utc long, n_late long")
-REPLAY_STATE = ("state string, stability double, difficulty double, step long, due_utc long, reps long, "
-                "lapses long, fails long, last_utc long, last_seq long, n_late long")
-
-
-def stream_review_replay(log: DataFrame, mode: str = "recruiting") -> DataFrame:
-    """I1 stream: continue each card's review-state fold batch by batch."""
-    retention, max_ivl = MODES[mode][0], MODES[mode][1]
-
-    def fold(key, batches, state):
-        init, lseq, late = None, -1, 0
-        if state.exists:
-            st, s, d, step, due, reps, lapses, fails, last, lseq, late = state.get
-            init = {"state": st, "stability": s, "difficulty": d, "step": step, "due_utc": due, "reps": reps,
-                    "lapses": lapses, "fails": fails, "last_utc": last}
-        pdf = pd.concat(list(batches)).sort_values(["review_utc", "seq"])
-        if init is not None:
-            old = (pdf["review_utc"] < init["last_utc"]) | ((pdf["review_utc"] == init["last_utc"]) & (pdf["seq"] <= lseq))
-            late += int(old.sum())
-            pdf = pdf[~old]
-        if not pdf.empty:
-            init = replay_card(pdf["rating"].astype(int).tolist(), pdf["review_utc"].astype(int).tolist(),
-                               retention, max_ivl, init=init)
-            lseq = int(pdf["seq"].iloc[-1])
-        if init is None:
-            return
-        state.update((init["state"], float(init["stability"]), float(init["difficulty"]), int(init["step"]),
-                      int(init["due_utc"]), int(init["reps"]), int(init["lapses"]), int(init["fails"]),
-                      int(init["last_utc"]), lseq, late))
-        yield pd.DataFrame([{"learner_id": key[0], "deck": key[1], "card_id": key[2], "state": init["state"],
-                             "stability": init["stability"], "difficulty": init["difficulty"],
-                             "due_utc": init["due_utc"], "reps": init["reps"], "lapses": init["lapses"],
-                             "fails": init["fails"], "last_utc": init["last_utc"], "n_late": late}])
-
-    graded = log.filter("rating BETWEEN 1 AND 4").select("learner_id", "deck", "card_id", "rating", "review_utc", "seq")
-    return graded.groupBy("learner_id", "deck", "card_id").applyInPandasWithState(
-        fold, REPLAY_OUT, REPLAY_STATE, "update", GroupStateTimeout.NoTimeout)
+class WeightFold(Fold):
+    """Each step multiplies the weight, which stays within its bounds after every one."""
+
+    columns = ["factor"]
+    out = "weight double, n_steps long"
+
+    def start(self):
+        return {"weight": 1.0, "n_steps": 0}
+
+    def step(self, state, ts, event):
+        state["weight"] = max(WEIGHT_MIN, min(WEIGHT_MAX, state["weight"] * float(event[0])))
+        state["n_steps"] += 1
+
+    def row(self, state):
+        return dict(state)
+
+
+def stream_weight_fold(steps: DataFrame, delay: str = DELAY) -> DataFrame:
+    """I5 stream: ``steps(id, ts, seq, factor)`` -> the clamped weight of each signal."""
+    return stream_ordered(steps, ["id"], WeightFold(), delay)
+
+
+class ReviewFold(Fold):
+    """A card's grades lead its review state on."""
+
+    columns = ["rating"]
+    out = ("state string, stability double, difficulty double, due_utc long, reps long, lapses long, fails long, "
+           "last_utc long")
+
+    def __init__(self, mode: str):
+        self.retention, self.longest = MODES[mode][0], MODES[mode][1]
+
+    def start(self):
+        return {}
+
+    def step(self, state, ts, event):
+        state.update(replay_card([int(event[0])], [ts], self.retention, self.longest, init=dict(state) or None))
+
+    def row(self, state):
+        return {k: v for k, v in state.items() if k != "step"} if state else None
+
+
+def stream_review_replay(log: DataFrame, mode: str = "recruiting", delay: str = DELAY) -> DataFrame:
+    """I1 stream: the review state of each (learner, deck, card); grades out of 1 to 4 are skipped."""
+    graded = log.filter("rating BETWEEN 1 AND 4")
+    return stream_ordered(graded, ["learner_id", "deck", "card_id"], ReviewFold(mode), delay, ts="review_utc")
 
 
 def refold_touched(log: str, out: str, keys: list[str], fold: Callable[[DataFrame], DataFrame]):
@@ -132,7 +113,4 @@ def refold_touched(log: str, out: str, keys: list[str], fold: Callable[[DataFram
     return write
 
 
-def folded(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest row of each key in what ``refold_touched`` wrote."""
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__row")).select(*keys, "__row.*")
+folded = newest

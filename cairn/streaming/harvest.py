@@ -1,11 +1,13 @@
 """Incremental harvest (I7) and idempotent micro-batch commits.
 
-Landed item files are read as a file stream, pushed through the shared gate,
-and committed by ``foreachBatch``: each micro-batch keeps one row per (source,
-external_id), drops keys that other batches have stored (anti join) and writes one
-directory named by its batch id with overwrite, so a replayed batch rewrites its own
-directory with the same rows. No event is late: the store itself is the de-dup state, so
-old rows and rows of unknown time are stored like any other.
+Landed item files are read as a file stream, pushed through the shared gate, and lose the keys
+(source, external_id) that the stream has let through before. The keys are streaming state in RocksDB: a batch
+looks up its own keys only, so its cost does not follow the store's size. Each micro-batch writes one
+directory named by its batch id with overwrite, so a batch that runs again rewrites its own directory. No event is
+late: the state has no time limit, so old rows and rows of unknown time are stored like any other.
+
+A stream that starts anew over a store that others have filled knows none of its keys; its batches are compared
+with the store instead (``commit_batch``, an anti join).
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators.harvest import harvest_gate
 from ..operators.util import materialize
+from .ordered import rocks_db
 
 ITEM = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("external_id", T.StringType()),
@@ -61,10 +64,46 @@ def commit_batch(store: str):
     return write
 
 
+def write_batch(store: str):
+    """foreachBatch sink of a stream that has no key twice: one directory per micro-batch, overwritten on replay."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={batch_id}")
+
+    return write
+
+
+def _began_empty(spark: SparkSession, store: str, checkpoint: str) -> bool:
+    """Whether the store held nothing when the stream of this checkpoint first ran; noted beside the checkpoint."""
+    from pyspark.errors import AnalysisException
+    note = f"{checkpoint.rstrip('/')}-began-empty"
+    try:
+        return spark.read.schema("empty boolean").parquet(note).first().empty
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    stored = _stored(spark, store)
+    empty = stored is None or stored.isEmpty()
+    spark.createDataFrame([(empty,)], "empty boolean").coalesce(1).write.parquet(note)
+    return empty
+
+
 def incremental_harvest(spark: SparkSession, landed: str, store: str, checkpoint: str,
                         gate_kwargs: dict | None = None):
     """Run the harvest stream over everything landed so far (availableNow) and stop."""
-    q = (gated_stream(spark, landed, gate_kwargs).writeStream.foreachBatch(commit_batch(store))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    items = gated_stream(spark, landed, gate_kwargs)
+    if _began_empty(spark, store, checkpoint):
+        items, sink = items.dropDuplicates(["source", "external_id"]), write_batch(store)
+    else:
+        sink = commit_batch(store)
+    with rocks_db(spark):
+        q = (items.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return q
+
+
+def once(messages: DataFrame, keys: list[str], ts: str, within: str) -> DataFrame:
+    """G2 stream: of messages with the same keys that lie ``within`` each other (``ts`` in seconds) the first to
+    arrive; keys are forgotten when the watermark has passed them, so the state does not grow with the log."""
+    timed = messages.withColumn("event_time", F.timestamp_seconds(ts)).withWatermark("event_time", within)
+    return timed.dropDuplicatesWithinWatermark(keys).drop("event_time")

@@ -101,3 +101,32 @@ FIXTURE_PAIN: list[str] = ["is", "was", "are", "that", "for th*", "de", "la", "e
                            "que", "und", "das", "ist"]
 
 ROTATION = list(DOMAINS)
+
+# ---- FIXED VALUES: search probes of A5; phrases that people write at a wall, and named territory ----
+PHRASE_PROBES = [
+    "biggest pain point", "we had to build our own", "there is no good solution",
+    "wish there was a tool", "surprisingly hard", "the hard part is",
+    "spent weeks debugging", "does not scale", "footgun", "why is there no",
+    "ended up writing our own", "nobody has solved", "turned out to be much harder",
+    "still an unsolved problem", "the tooling is terrible", "hardest bug",
+    "took us months", "no one talks about", "the real problem is",
+    "everyone runs into", "bit us in production", "silently fails",
+    "hard to debug", "does not compose", "leaky abstraction", "worst part about",
+]
+TERM_PROBES = [
+    "kubernetes operational complexity", "observability cost cardinality",
+    "distributed tracing overhead", "postgres scaling problems",
+    "compiler incremental rebuild slow", "gpu inference latency",
+    "kernel scheduler regression", "secret rotation painful",
+    "vector database limitations", "consensus implementation bug",
+    "network partition data loss", "container cold start",
+    "prometheus cardinality explosion", "database migration downtime",
+    "connection pool exhausted", "kafka consumer lag rebalance",
+    "etcd performance cluster", "grpc streaming backpressure",
+    "llm inference batching throughput", "kv cache memory eviction",
+    "wasm toolchain debugging", "build system incremental cache",
+    "ebpf kernel tracing overhead", "log volume ingestion cost",
+    "flaky integration tests distributed", "oauth token refresh race",
+    "sqlite concurrency wal", "rust compile time slow",
+    "terraform state drift", "memory leak production debugging",
+]

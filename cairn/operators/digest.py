@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 IDEAS_PER_DIGEST = 3
 
 
@@ -61,3 +63,19 @@ def once_per_day(candidates: DataFrame, sent_log: DataFrame, force: bool = False
     if force:
         return c
     return c.join(sent_log.select("subscriber_id", "local_date"), ["subscriber_id", "local_date"], "left_anti")
+
+
+def unique_slugs(ideas: DataFrame, taken: DataFrame) -> DataFrame:
+    """B10 with collisions: ``ideas(idea_id, title, created_utc)`` -> (idea_id, slug). A slug that is in ``taken(slug)``, or
+    that an earlier idea of the batch has, gets the idea's time as a suffix; where two of one second would still share one,
+    the later ids get a number too."""
+    x = ideas.select("idea_id", "created_utc", tx.slugify(F.col("title")).alias("base"))
+    held = taken.select(F.col("slug").alias("base")).distinct().withColumn("held", F.lit(True))
+    x = x.join(held, "base", "left")
+    batch = Window.partitionBy("base").orderBy("created_utc", "idea_id")
+    x = x.withColumn("plain", F.col("held").isNull() & (F.row_number().over(batch) == 1))
+    second = Window.partitionBy("base", "plain", "created_utc").orderBy("idea_id")
+    k = F.row_number().over(second)
+    dated = F.concat("base", F.lit("-"), F.col("created_utc").cast("string"),
+                     F.when(F.col("k") > 1, F.concat(F.lit("-"), F.col("k").cast("string"))).otherwise(F.lit("")))
+    return x.withColumn("k", k).select("idea_id", F.when(F.col("plain"), F.col("base")).otherwise(dated).alias("slug"))

@@ -28,6 +28,18 @@ def own_message_filter(messages: DataFrame, sent_titles: DataFrame) -> DataFrame
                     ((F.col("subject_norm") != "") & (F.coalesce("_sent", F.lit(False)) | prefixed)).alias("is_ours")))
 
 
+MAX_PER_RUN = 20
+
+
+def mail_run(messages: DataFrame, sent_titles: DataFrame, most: int = MAX_PER_RUN) -> DataFrame:
+    """What one run over each mailbox takes in: of its messages that are ours the newest ``most`` (ties: the larger
+    id); the rest wait for the next run. ``messages(mailbox, message_id, received_utc, subject)``."""
+    ours = own_message_filter(messages, sent_titles).filter("is_ours").select("message_id")
+    newest = Window.partitionBy("mailbox").orderBy(F.col("received_utc").desc(), F.col("message_id").desc())
+    return (messages.join(ours, "message_id").withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= most)
+            .select("mailbox", "message_id", "place"))
+
+
 def first_verdict(verdicts: DataFrame) -> DataFrame:
     """I4: only the first verdict per idea applies (order: ts, then message_id)."""
     return verdicts.groupBy("idea_id").agg(

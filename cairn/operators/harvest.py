@@ -3,11 +3,11 @@ match (A5), idempotent append (A6) and kept/dropped counters (A14)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.lexicons import DOMAINS, NOISE_TITLES, PAIN_MARKERS
+from ..functions.lexicons import DOMAINS, NOISE_TITLES, PAIN_MARKERS, PHRASE_PROBES, TERM_PROBES
 
 MIN_DOMAIN_HITS = 2
 MIN_PAIN = 2
@@ -82,6 +82,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
 
 
+def probe_table(spark: SparkSession, phrases: list[str] = PHRASE_PROBES, terms: list[str] = TERM_PROBES) -> DataFrame:
+    """A5: the probes in plan order, phrases first: (probe_ord, query, phrase)."""
+    rows = [(i, p, i < len(phrases)) for i, p in enumerate([*phrases, *terms])]
+    return spark.createDataFrame(rows, "probe_ord int, query string, phrase boolean")
+
+
 def probe_match(docs: DataFrame, probes: DataFrame, since: int) -> DataFrame:
     """A5: which probe surfaces which document (created after ``since``).
 

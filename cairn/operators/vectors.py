@@ -35,10 +35,10 @@ def unit(vec: Column) -> Column:
     return F.transform(vec, lambda x: x.cast("double") / norm)
 
 
-def hashing_encoder(df: DataFrame, text_col: str = "text", dim: int = 256, out: str = "vec") -> DataFrame:
+def hashing_encoder(df: DataFrame, text_col: str = "text", dim: int = 256, out: str = "vec", bucket=None) -> DataFrame:
     """H1 default encoder: lower-cased word tokens -> hashed term counts -> L2
     normalised float vector (tokens and their buckets in the JVM, the counts in an
-    Arrow batch), a pure function of the text, so vectors can be cached by text hash.
+    Arrow batch), a pure function of the text, so vectors can be cached by text hash. ``bucket`` maps a token to its place (default: xxhash64 modulo ``dim``).
     Any other encoder with the same (DataFrame, text_col) -> vec contract can be plugged in."""
     @F.pandas_udf("array<float>")
     def counted(buckets: pd.Series) -> pd.Series:
@@ -49,7 +49,8 @@ def hashing_encoder(df: DataFrame, text_col: str = "text", dim: int = 256, out:
         return pd.Series(rows, index=buckets.index)
 
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return df.withColumn(out, counted(F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))))
+    place = bucket or (lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
+    return df.withColumn(out, counted(F.transform(tokens, lambda w: place(w).cast("int"))))
 
 
 def embedding_cache(corpus: DataFrame, cache: DataFrame, model: str, encode=hashing_encoder,

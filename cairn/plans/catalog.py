@@ -48,8 +48,7 @@ def q_harvest_gate(spark, sf):
 @register
 def q_noise_filter(spark, sf):
     raw = fx.raw_signal(spark, sf)
-    first_line = F.substring_index("text", "\n", 1)
-    return raw.select("id", lx.is_noise_title(first_line, FIXTURE_NOISE).alias("is_noise"))
+    return raw.select("id", lx.is_noise_title(F.col("text"), FIXTURE_NOISE).alias("is_noise"))
 
 
 def _rows(spark, sf):

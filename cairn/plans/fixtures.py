@@ -100,10 +100,10 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
                    F.concat(F.lit(" solved in "), ((F.col("conv_id") % 90) + 1).cast("string"), F.lit("m"))
                    ).otherwise(F.lit(""))
     control = F.when(F.col("turn") % 7 == 2, F.lit("\nstop ideas")).otherwise(F.lit(""))
-    subject = (F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Re: ideas — "), F.left("text", F.lit(20))))
+    subject = (F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Re: ideas — "), F.col("text")))
                .when(F.col("turn") % 4 == 1, F.lit("RE: Fwd: prep - 7 due"))
-               .when(F.col("turn") % 4 == 2, F.concat(F.lit("aw:sv: "), F.left("text", F.lit(30))))
-               .otherwise(F.left("text", F.lit(40))))
+               .when(F.col("turn") % 4 == 2, F.concat(F.lit("aw:sv: "), F.col("text")))
+               .otherwise(F.col("text")))
     return c.select(
         F.concat_ws("-", _s("conv_id"), _s("turn")).alias("message_id"), "conv_id", "turn",
         subject.alias("subject"), F.concat("text", timed, control, tail).alias("body"))

@@ -114,8 +114,8 @@ themes AS (
 REPLIES = """
 replies AS (
   SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS message_id, conv_id, turn,
-         CASE turn % 4 WHEN 0 THEN 'Re: ideas — ' || left(text, 20) WHEN 1 THEN 'RE: Fwd: prep - 7 due'
-              WHEN 2 THEN 'aw:sv: ' || left(text, 30) ELSE left(text, 40) END AS subject,
+         CASE turn % 4 WHEN 0 THEN 'Re: ideas — ' || text WHEN 1 THEN 'RE: Fwd: prep - 7 due'
+              WHEN 2 THEN 'aw:sv: ' || text ELSE text END AS subject,
          text || CASE WHEN turn % 3 = 0 THEN ' solved in ' || CAST(conv_id % 90 + 1 AS VARCHAR) || 'm' ELSE '' END
               || CASE WHEN turn % 7 = 2 THEN chr(10) || 'stop ideas' ELSE '' END
               || CASE conv_id % 6

@@ -22,9 +22,9 @@ SQL["harvest_gate"] = with_(SIGNAL) + """
 SELECT id, source, domain, CAST(domain_hits AS BIGINT) AS domain_hits, CAST(pain AS BIGINT) AS pain FROM signal"""
 
 SQL["noise_filter"] = with_(RAW_SIGNAL) + """
-SELECT id, (strpos(lower(split_part(text, chr(10), 1)), 'is the') > 0
-         OR strpos(lower(split_part(text, chr(10), 1)), 'la de') > 0
-         OR strpos(lower(split_part(text, chr(10), 1)), 'und die') > 0) AS is_noise
+SELECT id, (strpos(lower(text), 'is the') > 0
+         OR strpos(lower(text), 'la de') > 0
+         OR strpos(lower(text), 'und die') > 0) AS is_noise
 FROM raw_signal"""
 
 SQL["evidence_score"] = with_(SIGNAL, EVIDENCE_CTE) + " SELECT theme, round(evidence, 6) AS evidence FROM evid"

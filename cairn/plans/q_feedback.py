@@ -200,7 +200,13 @@ def q_silence_canary(spark, sf):
     return fb.silence_canary(sent, lr, fired, NOW)
 
 
-@register(sql=with_(REPLIES, REPLY_CTE) + f""",
+_SUB = "CAST(split_part(t.message_id, '-', 1) AS BIGINT) % 150"
+SCOPED_CTE = REPLY_CTE.replace(
+    f"FROM toks t WHERE t.tok IN {_inlist(IDEAS)}",
+    f"FROM toks t WHERE {_SUB} % 5 <> 0 AND (t.tok = 'that' OR (t.tok = 'and' AND {_SUB} % 2 = 0))")
+
+
+@register(sql=with_(REPLIES, SCOPED_CTE) + f""",
 mm AS (SELECT message_id, conv_id % 150 AS subscriber_id FROM replies),
 hd AS (SELECT s.subscriber_id, h.term AS reply_id, s.subscriber_id * 10 + h.i AS idea_id
        FROM (SELECT DISTINCT subscriber_id FROM mm) s, (VALUES ('and', 1), ('that', 2)) h(term, i)),
@@ -214,7 +220,8 @@ SELECT message_id, CASE WHEN CAST(split_part(message_id, '-', 2) AS INTEGER) % 2
 FROM bare WHERE v IS NOT NULL""")
 def q_reply_apply(spark, sf):
     """J4 verdict log: named verdicts resolved through each subscriber's handles,
-    bare verdicts routed (here: even turns route to idea 7, odd ones are ambiguous)."""
+    bare verdicts routed (here: even turns route to idea 7, odd ones are ambiguous). A handle that is another
+    subscriber's binds nothing."""
     return _applied(spark, sf)[1].select("message_id", "idea_id", "verdict", "bare")
 
 
@@ -223,19 +230,25 @@ def _reply_messages(r):
                     (F.col("conv_id") * 3600 + F.col("turn")).alias("ts"))
 
 
+def _own_handles(r):
+    """Handles of each subscriber: every fifth has none, odd ones have one of the two."""
+    return r.select("subscriber_id").distinct().filter("subscriber_id % 5 <> 0").select(
+        "subscriber_id", F.explode(F.when(F.col("subscriber_id") % 2 == 0, F.array(F.lit(" And"), F.lit("that")))
+                                   .otherwise(F.array(F.lit("that"), F.lit("")))).alias("reply_id"))
+
+
 def _applied(spark, sf):
-    b, s = _parsed(spark, sf)
-    r = fx.replies(spark, sf)
+    r = fx.replies(spark, sf).withColumn("subscriber_id", F.col("conv_id") % 150)
     msgs = _reply_messages(r).drop("ts")
-    subs = msgs.select("subscriber_id").distinct()
-    pairs = F.array(*[F.struct(F.lit(t).alias("reply_id"), F.lit(i).alias("i")) for t, i in (("and", 1), ("that", 2))])
-    handles = subs.select("subscriber_id", F.inline(pairs)).select(
-        "subscriber_id", "reply_id", (F.col("subscriber_id") * 10 + F.col("i")).alias("idea_id"))
+    handles = _own_handles(r).select(
+        "subscriber_id", F.lower(F.trim("reply_id")).alias("reply_id"),
+        (F.col("subscriber_id") * 10 + F.when(F.lower(F.trim("reply_id")) == "and", 1).otherwise(2)).alias("idea_id")).filter("reply_id <> ''")
+    b, s = rp.parse_replies(r, CARDS, handles.select("subscriber_id", "reply_id"), GRADE_VOCAB, VERDICT_VOCAB)
     routed = r.select("message_id", F.when(F.col("turn") % 2 == 0, F.lit(7).cast("long")).alias("idea_id"))
     return rp.apply_replies(b, s, msgs, handles, routed)
 
 
-@register(sql=with_(REPLIES, REPLY_CTE) + """
+@register(sql=with_(REPLIES, SCOPED_CTE) + """
 SELECT f.message_id, f.term AS card_id, f.value AS grade FROM firsts f JOIN msgs m USING (message_id)
 WHERE f.kind = 'grade' AND f.value <> 'skip' AND NOT m.own""")
 def q_reply_grades(spark, sf):
@@ -243,7 +256,7 @@ def q_reply_grades(spark, sf):
     return _applied(spark, sf)[0]
 
 
-@register(sql=with_(REPLIES, REPLY_CTE) + f"""
+@register(sql=with_(REPLIES, SCOPED_CTE) + f"""
 SELECT CAST(split_part(m.message_id, '-', 1) AS BIGINT) % 150 AS subscriber_id, {_ctrl} AS action, m.message_id
 FROM msgs m WHERE NOT m.own AND m.text <> '' AND {_ctrl} IS NOT NULL""")
 def q_reply_controls(spark, sf):
@@ -259,12 +272,6 @@ def q_reply_liveness(spark, sf):
     return rp.liveness(_reply_messages(fx.replies(spark, sf)))
 
 
-_SUB = "CAST(split_part(t.message_id, '-', 1) AS BIGINT) % 150"
-SCOPED_CTE = REPLY_CTE.replace(
-    f"FROM toks t WHERE t.tok IN {_inlist(IDEAS)}",
-    f"FROM toks t WHERE {_SUB} % 5 <> 0 AND (t.tok = 'that' OR (t.tok = 'and' AND {_SUB} % 2 = 0))")
-
-
 @register(sql=with_(REPLIES, SCOPED_CTE) + f"""
 SELECT message_id, kind, term, value FROM firsts
 UNION ALL
@@ -275,10 +282,7 @@ def q_reply_scoped(spark, sf):
     ones have only one of the two); another's handle leaves its line plain, so the line still
     gives its bare verdict."""
     r = fx.replies(spark, sf).withColumn("subscriber_id", F.col("conv_id") % 150)
-    handles = r.select("subscriber_id").distinct().filter("subscriber_id % 5 <> 0").select(
-        "subscriber_id", F.explode(F.when(F.col("subscriber_id") % 2 == 0, F.array(F.lit(" And"), F.lit("that")))
-                                   .otherwise(F.array(F.lit("that"), F.lit("")))).alias("reply_id"))
-    b, s = rp.parse_replies(r, CARDS, handles, GRADE_VOCAB, VERDICT_VOCAB)
+    b, s = rp.parse_replies(r, CARDS, _own_handles(r), GRADE_VOCAB, VERDICT_VOCAB)
     bare = s.filter(F.col("bare_verdict").isNotNull()).select(
         "message_id", F.lit("bare").alias("kind"), F.lit(None).cast("string").alias("term"), F.col("bare_verdict").alias("value"))
     return b.unionByName(bare)

@@ -63,6 +63,10 @@ SELECT 'hn' AS source, CAST(event_id AS VARCHAR) AS external_id,
 FROM e WHERE event_id % 13 <> 0 AND event_id % 17 <> 0""")
 def q_search_feed(spark, sf):
     """A1: every event is a hit, 50 to a page; some have no id, author, time or count."""
+    return feeds.search_hits(spark, _landed(_search_pages(spark, sf), "search"))
+
+
+def _search_pages(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "props")
     k = F.get_json_object("props", "$.k").cast("long")
     hit = F.struct(
@@ -74,11 +78,10 @@ def q_search_feed(spark, sf):
         _unless(11, "event_id", _text("u", "user_id")).alias("author"),
         _unless(19, "event_id", F.unix_timestamp("ts")).alias("created_at_i"),
         _unless(23, "event_id", k).alias("num_comments"))
-    pages = (e.groupBy(F.floor(F.col("event_id") / 50).cast("int").alias("page"))
-             .agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-             .select("page", "hits", (F.col("page") % 3).alias("probe_ord"),
-                     F.concat(F.lit("probe "), (F.col("page") % 3).cast("string")).alias("query")))
-    return feeds.search_hits(spark, _landed(pages, "search"))
+    return (e.groupBy(F.floor(F.col("event_id") / 50).cast("int").alias("page"))
+            .agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+            .select("page", "hits", (F.col("page") % 3).alias("probe_ord"),
+                    F.concat(F.lit("probe "), (F.col("page") % 3).cast("string")).alias("query")))
 
 
 @register(sql=f"""
@@ -355,3 +358,19 @@ def q_stream_replay_dedup(spark, sf):
     lots = log.withColumn("lot", F.floor((F.col("fetched_utc") - (span.a or 0)) / width).cast("int"))
     out = _streamed(spark, lots, [0, 1, 2], lambda s: sh.once(s, ["message_id"], "fetched_utc", "20 minutes"), "append")
     return out.select("message_id", "conv_id", "turn", F.col("n_chars").cast("long").alias("n_chars"))
+
+@register(sql="""
+WITH e AS (SELECT *, event_id // 50 AS page FROM events)
+SELECT 'hn' AS source, count(DISTINCT page) FILTER (WHERE page % 7 = 3) AS n_broken,
+       count(*) FILTER (WHERE page % 7 <> 3 AND event_id % 13 <> 0 AND event_id % 17 <> 0) AS n_hits
+FROM e""")
+def q_feed_quarantine(spark, sf):
+    """A4: every seventh page was cut off on its way; it is counted by source in the quarantine, and the hits of all
+    others come out."""
+    whole = spark.read.text(_landed(_search_pages(spark, sf), "search"))
+    cut = F.get_json_object("value", "$.page").cast("long") % 7 == 3
+    landed, broken = _folder(spark, "search-cut"), _folder(spark, "quarantine")
+    whole.select(F.when(cut, F.left("value", F.length("value") / 2)).otherwise(F.col("value")).alias("value")).write.text(landed)
+    hits = feeds.search_hits(spark, landed, broken).groupBy("source").agg(F.count("*").alias("n_hits"))
+    lost = feeds.quarantined(spark, broken).select("source", F.col("n_pages").alias("n_broken"))
+    return lost.join(hits, "source").select("source", "n_broken", "n_hits")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import NOW
 from ..functions.lexicons import FIXTURE_DOMAINS
 from ..operators import harvest as hv
+from ..session import checkpoint_dir
 from ..sources.tables import table
 from . import fixtures as fx
 from .oracle import FOLD, RAW_SIGNAL, SIGNAL, hits_sql, q, with_
@@ -112,3 +115,26 @@ def q_technical(spark, sf):
     both = F.concat_ws("\n", "title", "text")
     s = raw.select("id", F.inline(F.array(F.struct(lx.domain_scores(both, FIXTURE_DOMAINS).alias("s")))))
     return s.select("id", lx.is_technical(F.col("s"), FIXTURE_DOMAINS).alias("technical"))
+
+SOURCES = [f"src{i}" for i in range(18)]      # the declared plan; rows of other sources count together
+
+
+@register(sql=with_(SIGNAL) + f""",
+flags AS (SELECT CASE WHEN r.source IN ({", ".join(q(s) for s in SOURCES)}) THEN r.source ELSE '' END AS source,
+                 g.id IS NOT NULL AS kept, r.id % 3 <> 0 AS fresh
+          FROM raw_signal r LEFT JOIN gated g ON g.id = r.id),
+plan AS (SELECT unnest([{", ".join(q(s) for s in [*SOURCES, ""])}]) AS source)
+SELECT p.source, count(f.source) FILTER (WHERE kept) AS kept, count(f.source) FILTER (WHERE NOT kept) AS dropped,
+       count(f.source) FILTER (WHERE kept AND fresh) AS new
+FROM plan p LEFT JOIN flags f ON f.source = p.source GROUP BY 1""")
+def q_append_counts(spark, sf):
+    """Kept, dropped and new rows per declared source, observed by the job that appends them (every third id was
+    stored before)."""
+    raw = fx.raw_signal(spark, sf).select("id", "source", "external_id")
+    kept = fx.signal(spark, sf).select("id", F.lit(True).alias("k"))
+    stored = raw.filter("id % 3 = 0").select("source", "external_id", F.lit(True).alias("s"))
+    rows = (raw.join(kept, "id", "left").join(stored, ["source", "external_id"], "left")
+            .select("id", "source", "external_id", F.coalesce("k", F.lit(False)).alias("kept"), F.col("s").isNull().alias("new")))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/appended-{uuid.uuid4().hex}"
+    counts = hv.append_counted(rows, path, "source", SOURCES)
+    return spark.createDataFrame(counts, "source string, kept long, dropped long, new long")

@@ -4,7 +4,9 @@ rebuild H4."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from .. import NOW
@@ -15,9 +17,10 @@ from ..operators import evidence as ev
 from ..operators import feedback as fb
 from ..operators import review as rv
 from ..operators import vectors as vx
+from ..operators.util import materialize, write_table
 from ..sources.tables import table
 from . import fixtures as fx
-from .oracle import REVIEW_LOG, q, with_
+from .oracle import EVIDENCE_CTE, REVIEW_LOG, SIGNAL, q, with_
 from .q_candidates import DOC_CANDS, _truthy, case, doc_candidates, idc, lit, shape_sql
 from .q_review import LEECH, LIMIT, NOW_R
 from .q_vectors import CACHE_MODEL, cache_fixture
@@ -84,10 +87,12 @@ r AS (SELECT c.id, h.id IS NOT NULL AS reused FROM corpus c
       LEFT JOIN (SELECT DISTINCT id, text_hash FROM cache WHERE width = 64) h ON h.id = c.id AND h.text_hash = c.text_hash)
 SELECT count(*) FILTER (WHERE reused) AS reused, count(*) FILTER (WHERE NOT reused) AS encoded FROM r""")
 def q_cache_accounting(spark, sf):
-    """Vectors reused from the cache vs newly encoded, in one aggregate."""
+    """Vectors reused from the cache vs newly encoded, observed by the job that writes the new cache."""
     corpus = fx.raw_signal(spark, sf).select("id", "title", "text")
     out = vx.embedding_cache(corpus, cache_fixture(spark, sf), CACHE_MODEL, dim=64)
-    return out.agg(F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("encoded"))
+    seen = Observation("cache")
+    write_table(out.observe(seen, F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("encoded")), "cache")
+    return spark.createDataFrame([(seen.get["reused"], seen.get["encoded"])], "reused long, encoded long")
 
 
 def _sent_ideas(spark, sf):
@@ -265,7 +270,6 @@ def q_theme_rebuild(spark, sf):
     average-linkage clusters -> themes (size >= 2) with evidence, domain, weight,
     key and TF-IDF label. No SQL form (the encoder and the linkage are not SQL);
     each stage is oracle- or brute-force-checked on its own."""
-    from ..operators.util import materialize
     sig = fx.signal(spark, sf)
     corpus = sig.select("id", "title", "text")
     empty = spark.createDataFrame([], "id long, text_hash string, vec array<float>")
@@ -281,3 +285,46 @@ def q_theme_rebuild(spark, sf):
     labels = ev.tfidf_labels(mt)   # over all clusters, single ones too: they count in N and df
     return th.join(labels, "theme", "left").select("theme_key", "size", F.round("evidence", 6).alias("evidence"),
                                                    "domain", F.round("weight", 6).alias("weight"), "label")
+
+def _snapshot_of(spark, sf):
+    """The second of two published builds: first over every second member, then over all."""
+    from ..operators import snapshots
+    from ..session import checkpoint_dir
+    sig = fx.signal(spark, sf)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/themes-{uuid.uuid4().hex}"
+    for mem in (fx.members(spark, sf, sig).filter("id % 2 = 0"), fx.members(spark, sf, sig)):
+        mem = materialize(mem, "members")
+        snapshots.publish(spark, base, {"themes": ev.build_themes(mem, sig, NOW), "members": mem})
+    return snapshots.current(spark, base)
+
+
+@register(sql=with_(SIGNAL, EVIDENCE_CTE) + """
+SELECT k.theme_key, m.id FROM mrows m JOIN tkeys k USING (theme) WHERE k.size >= 2""")
+def q_theme_members(spark, sf):
+    """H4: the members published with the themes, read from the newest snapshot."""
+    from ..operators import snapshots
+    folder = _snapshot_of(spark, sf)
+    themes = snapshots.table_of(spark, folder, "themes").select("theme", "theme_key")
+    return snapshots.table_of(spark, folder, "members").join(themes, "theme").select("theme_key", "id")
+
+
+EMBED_DIM = 32
+
+
+def _md5_bucket(dim):
+    return lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim
+
+
+@register(sql=f"""
+WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents),
+b AS (SELECT id, CAST('0x' || left(md5(w), 8) AS BIGINT) % {EMBED_DIM} AS b, count(*) AS n FROM t GROUP BY 1, 2),
+s AS (SELECT id, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1)
+SELECT d.doc_id AS id, i.i AS place,
+       round(CAST(CAST(coalesce(b.n / s.norm, 0) AS FLOAT) AS DOUBLE), 5) AS value
+FROM documents d CROSS JOIN range({EMBED_DIM}) i(i) LEFT JOIN b ON b.id = d.doc_id AND b.b = i.i LEFT JOIN s ON s.id = d.doc_id""")
+def q_embedding_values(spark, sf):
+    """H1: every component of every document's vector (buckets by md5, which SQL has too)."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    v = vx.hashing_encoder(d, "text", EMBED_DIM, bucket=_md5_bucket(EMBED_DIM))
+    return v.select("id", F.posexplode("vec").alias("place", "value")).select(
+        "id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 5).alias("value"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import digest as dg
 from ..operators import review as rv
+from ..operators.util import materialize
 from ..sources.tables import table
 from . import fixtures as fx
 from .oracle import REVIEW_LOG, q, with_
@@ -105,12 +106,75 @@ def q_problem_rotation(spark, sf):
              .select("learner_id", "card_id", "problem"))
     return rv.problem_rotation(picks, cp, given)
 
-
-@register
+def _replay_sql(mode: str) -> str:
+    """The review state of every card as a recursion over its reviews."""
+    retention, cap = rv.MODES[mode][:2]
+    w = [f"CAST({x!r} AS DOUBLE)" for x in rv.FSRS_W]
+    learn, again = rv.LEARNING_STEPS, rv.RELEARNING_STEPS[0]
+    factor = f"CAST({rv.FACTOR!r} AS DOUBLE)"
+
+    def clamp(d):
+        return f"least(greatest({d}, 1.0), 10.0)"
+
+    def days(s):
+        return (f"86400 * CAST(least(greatest(round_even({s} / {factor} * CAST({retention ** (1 / rv.DECAY) - 1!r} AS DOUBLE), 0), 1), "
+                f"{cap}) AS BIGINT)")
+
+    first = f"list_value({', '.join(w[:4])})[g]"
+    return f"""
+g AS (SELECT learner_id, deck, card_id, rating AS g, review_utc AS t,
+             row_number() OVER (PARTITION BY learner_id, deck, card_id ORDER BY review_utc, seq) AS k
+      FROM rlog WHERE rating BETWEEN 1 AND 4),
+f AS (
+  SELECT learner_id, deck, card_id, k, t, CASE WHEN g = 4 THEN 'Review' ELSE 'Learning' END AS state, {first} AS s,
+         {clamp(f"{w[4]} - (g - 3) * {w[5]}")} AS d, CASE WHEN g = 3 THEN 1 ELSE 0 END AS step,
+         t + CASE WHEN g = 4 THEN {days(first)} WHEN g = 3 THEN {learn[1]} ELSE {learn[0]} END AS due,
+         CAST(1 AS BIGINT) AS reps, CAST(0 AS BIGINT) AS lapses, CAST(g = 1 AS BIGINT) AS fails
+  FROM g WHERE k = 1
+  UNION ALL
+  SELECT learner_id, deck, card_id, k2, t2,
+         CASE WHEN passed THEN 'Review' WHEN state = 'Learning' THEN 'Learning' ELSE 'Relearning' END, s2, d2, step2,
+         t2 + CASE WHEN passed THEN {days('s2')} WHEN state = 'Learning' THEN [{learn[0]}, {learn[1]}][step2 + 1] ELSE {again} END,
+         reps + 1, lapses + CAST(g = 1 AND state <> 'Learning' AS BIGINT), fails + CAST(g = 1 AS BIGINT)
+  FROM (SELECT *, CASE WHEN passed THEN step WHEN g = 1 THEN 0 WHEN state = 'Learning' AND g > 2 THEN step + 1 ELSE step END AS step2,
+               CASE WHEN g = 1 THEN {w[11]} * pow(d2, -{w[12]}) * (pow(s + 1, {w[13]}) - 1) * exp({w[14]} * (1 - r))
+                    ELSE s * (exp({w[8]}) * (11 - d2) * pow(s, -{w[9]}) * (exp({w[10]} * (1 - r)) - 1)
+                              * CASE g WHEN 2 THEN {w[15]} WHEN 4 THEN {w[16]} ELSE 1 END + 1) END AS s2
+        FROM (SELECT f.*, g.g, g.t AS t2, g.k AS k2,
+                     pow(1 + {factor} * greatest((g.t - f.t) / CAST(86400 AS DOUBLE), 0) / f.s, CAST({rv.DECAY} AS DOUBLE)) AS r,
+                     {clamp(f"{w[7]} * {w[4]} + (1 - {w[7]}) * (f.d - {w[6]} * (g.g - 3))")} AS d2,
+                     CASE f.state WHEN 'Learning' THEN g.g = 4 OR (g.g = 3 AND f.step = 1) WHEN 'Review' THEN g.g > 1 ELSE g.g > 2 END AS passed
+              FROM f JOIN g ON g.learner_id = f.learner_id AND g.deck = f.deck AND g.card_id = f.card_id AND g.k = f.k + 1))),
+states AS (SELECT * FROM f QUALIFY k = max(k) OVER (PARTITION BY learner_id, deck, card_id))"""
+
+
+@register(sql="WITH RECURSIVE " + REVIEW_LOG.strip() + "," + _replay_sql("recruiting") + """
+SELECT learner_id, deck, card_id, state, round(s, 6) AS stability, round(d, 6) AS difficulty, due AS due_utc, reps, lapses,
+       fails, t AS last_utc
+FROM states""")
 def q_review_replay(spark, sf):
-    """FSRS-style replay of every card's grade history (rows-only; the
-    interval contract is checked in tests)."""
-    return rv.review_replay(fx.review_log(spark, sf))
+    """The review state of every card, folded from its grades."""
+    out = rv.review_replay(fx.review_log(spark, sf))
+    return out.withColumns({c: F.round(c, 6) for c in ("stability", "difficulty")})
+
+
+def _interval_sql() -> str:
+    parts = [f"SELECT '{m}' AS mode, * FROM (WITH RECURSIVE " + REVIEW_LOG.strip() + "," + _replay_sql(m)
+             + " SELECT learner_id, deck, card_id, state, due - t AS wait_s FROM states)" for m in rv.MODES]
+    return " UNION ALL ".join(parts)
+
+
+@register(sql=_interval_sql())
+def q_interval_contract(spark, sf):
+    """How long each card waits in each mode: never beyond the mode's longest interval, and within a day after a
+    lapse."""
+    log = materialize(fx.review_log(spark, sf), "review-log")
+    parts = [rv.review_replay(log, m).select(F.lit(m).alias("mode"), "learner_id", "deck", "card_id", "state",
+                                             (F.col("due_utc") - F.col("last_utc")).alias("wait_s")) for m in rv.MODES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 _MODES = ", ".join(f"({q(m)}, {v[2]})" for m, v in rv.MODES.items())

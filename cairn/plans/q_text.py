@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import NOW
 from ..functions import text as tx
+from ..operators.digest import unique_slugs
+from ..operators.feedback import mail_run, own_message_filter
 from ..sources.tables import table
 from . import fixtures as fx
 from .oracle import REPLIES, with_
@@ -139,7 +141,7 @@ _norm = "lower(" + TRIM_SQL.format(t="regexp_replace(coalesce(subject, ''), '(?i
 
 
 @register(sql=with_(REPLIES) + f""",
-sent AS (SELECT DISTINCT lower({TRIM_SQL.format(t='left(text, 30)')}) AS title
+sent AS (SELECT DISTINCT lower({TRIM_SQL.format(t='text')}) AS title
          FROM conversations WHERE role = 'user' AND conv_id % 2 = 0),
 norm AS (SELECT message_id, {_norm} AS s FROM replies)
 SELECT n.message_id, n.s AS subject_norm,
@@ -148,10 +150,48 @@ SELECT n.message_id, n.s AS subject_norm,
 FROM norm n LEFT JOIN sent t ON n.s = t.title""")
 def q_own_messages(spark, sf):
     """C12 with B13: replies whose normalised subject is one we sent."""
-    from ..operators.feedback import own_message_filter
+    return own_message_filter(fx.replies(spark, sf), _sent_titles(spark, sf))
+
+
+def _sent_titles(spark, sf):
     conv = table(spark, sf, "conversations").filter((F.col("role") == "user") & (F.col("conv_id") % 2 == 0))
-    sent = conv.select(F.lower(tx.full_trim(F.left("text", F.lit(30)))).alias("title"))
-    return own_message_filter(fx.replies(spark, sf), sent)
+    return conv.select(F.lower(tx.full_trim(F.col("text"))).alias("title"))
+
+
+@register(sql=with_(REPLIES) + f""",
+sent AS (SELECT DISTINCT lower({TRIM_SQL.format(t='text')}) AS title
+         FROM conversations WHERE role = 'user' AND conv_id % 2 = 0),
+norm AS (SELECT message_id, conv_id, turn, {_norm} AS s FROM replies),
+ours AS (SELECT n.* FROM norm n LEFT JOIN sent t ON n.s = t.title
+         WHERE n.s <> '' AND (t.title IS NOT NULL OR starts_with(n.s, 'prep —') OR starts_with(n.s, 'prep -')
+                              OR starts_with(n.s, 'ideas —') OR starts_with(n.s, 'ideas -')))
+SELECT mailbox, message_id, CAST(place AS INTEGER) AS place FROM (
+  SELECT conv_id % 5 AS mailbox, message_id, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id * 3600 + turn DESC, message_id DESC) AS place
+  FROM ours) WHERE place <= 20""")
+def q_mail_run(spark, sf):
+    """The newest twenty of the messages that are ours, for each of five mailboxes."""
+    r = fx.replies(spark, sf).select((F.col("conv_id") % 5).alias("mailbox"), "message_id", "subject",
+                                     (F.col("conv_id") * 3600 + F.col("turn")).alias("received_utc"))
+    return mail_run(r, _sent_titles(spark, sf))
+
+
+@register(sql=f"""
+WITH b AS (
+  SELECT p_partkey AS idea_id, {NOW} + p_partkey // 2 AS created_utc, p_size,
+         coalesce(nullif(left(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60), ''), 'idea') AS base
+  FROM part),
+x AS (SELECT *, base NOT IN (SELECT base FROM b WHERE p_size < 3)
+             AND row_number() OVER (PARTITION BY base ORDER BY created_utc, idea_id) = 1 AS plain FROM b),
+y AS (SELECT *, row_number() OVER (PARTITION BY base, plain, created_utc ORDER BY idea_id) AS k FROM x)
+SELECT idea_id, CASE WHEN plain THEN base ELSE base || '-' || CAST(created_utc AS VARCHAR)
+                     || CASE WHEN k > 1 THEN '-' || CAST(k AS VARCHAR) ELSE '' END END AS slug FROM y""")
+def q_slug_collisions(spark, sf):
+    """Parts as ideas titled by their type, which many share; types of the smallest parts are taken."""
+    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
+    taken = p.filter("p_size < 3").select(tx.slugify(F.col("p_type")).alias("slug"))
+    ideas = p.select(F.col("p_partkey").alias("idea_id"), F.col("p_type").alias("title"),
+                     (F.lit(NOW) + F.floor(F.col("p_partkey") / 2)).alias("created_utc"))
+    return unique_slugs(ideas, taken)
 
 
 @register(sql="""

@@ -69,12 +69,14 @@ def landed_pages(spark: SparkSession, path: str, schema: T.StructType, source: s
     if quarantine is None:
         return spark.read.schema(schema).option("multiLine", multi_line).json(path)
     marked = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
-    pages = (spark.read.schema(marked).option("multiLine", multi_line).option("mode", "PERMISSIVE")
-             .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    broken = pages.select(F.lit(source).alias("source"), F.input_file_name().alias("file"), F.col("_corrupt").alias("record"),
-                          schema.fields[0].name).filter(F.col("record").isNotNull()).drop(schema.fields[0].name)
-    broken.write.mode("append").parquet(quarantine)
-    return pages.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    lines = (spark.read.option("wholetext", multi_line).text(path).filter(F.trim("value") != "")
+             .select("value", F.input_file_name().alias("file")))
+    read = lines.select("file", "value", F.from_json("value", marked, {"mode": "PERMISSIVE",
+                                                                       "columnNameOfCorruptRecord": "_corrupt"}).alias("page"))
+    broken = F.col("page._corrupt").isNotNull()
+    (read.filter(broken).select(F.lit(source).alias("source"), "file", F.col("value").alias("record"))
+     .write.mode("append").parquet(quarantine))
+    return read.filter(~broken).select("page.*").drop("_corrupt")
 
 
 def quarantined(spark: SparkSession, quarantine: str) -> DataFrame:

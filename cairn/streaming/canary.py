@@ -26,8 +26,8 @@ class SilenceFold(Fold):
     out = "now_utc long, n_unanswered long, quiet_days long, breakdown string"
     shows = False
 
-    def __init__(self, days: int = SILENCE_DAYS, ideas: int = SILENCE_IDEAS):
-        self.days, self.ideas = days, ideas
+    def __init__(self, days: int = SILENCE_DAYS, ideas: int = SILENCE_IDEAS, day: int = DAY):
+        self.ideas, self.day, self.quiet = ideas, day, days * day
 
     def start(self):
         return {"last": None, "first": None, "fired": None, "open": []}        # open: [ts, idea, domain] in order
@@ -47,10 +47,10 @@ class SilenceFold(Fold):
         since = state["first"] if state["last"] is None else state["last"]
         if since is None or len(state["open"]) < self.ideas:
             return None
-        at = max(since + self.days * DAY, state["open"][self.ideas - 1][0])
+        at = max(since + self.quiet, state["open"][self.ideas - 1][0])
         fired = state["fired"]
         if fired is not None and (state["last"] is None or fired > state["last"]):
-            at = max(at, fired + self.days * DAY)
+            at = max(at, fired + self.quiet)
         return at
 
     def idle(self, state, until):
@@ -60,7 +60,7 @@ class SilenceFold(Fold):
             # ideas without a domain take their place among the three and are not shown
             count = Counter(d or "" for _, _, d in state["open"])
             top = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:3]
-            out.append({"now_utc": at, "n_unanswered": len(state["open"]), "quiet_days": (at - since) // DAY,
+            out.append({"now_utc": at, "n_unanswered": len(state["open"]), "quiet_days": (at - since) // self.day,
                         "breakdown": ", ".join(f"{d} x{n}" for d, n in top if d)})
             state["fired"] = at
         return out

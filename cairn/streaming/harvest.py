@@ -45,11 +45,12 @@ def _stored(spark: SparkSession, store: str) -> DataFrame | None:
         return None
 
 
-def commit_batch(store: str):
+def commit_batch(store: str, first: int = 0):
     """foreachBatch sink: insert-or-ignore into the signal store, one directory per
-    micro-batch (overwrite = idempotent on replay)."""
+    micro-batch (overwrite = idempotent on replay), numbered from ``first``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch_id += first
         one = Window.partitionBy("source", "external_id").orderBy(F.xxhash64(*batch.columns), *[
             c for c, kind in batch.dtypes if kind in ("string", "bigint", "int", "double")])
         fresh = batch.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
@@ -72,29 +73,32 @@ def write_batch(store: str):
     return write
 
 
-def _began_empty(spark: SparkSession, store: str, checkpoint: str) -> bool:
-    """Whether the store held nothing when the stream of this checkpoint first ran; noted beside the checkpoint."""
+def _first_batch(spark: SparkSession, store: str, checkpoint: str) -> int:
+    """The number of the first batch of this checkpoint's stream: 0 if the store held nothing when it began, else the one
+    after those that others had written. Noted beside the checkpoint."""
     from pyspark.errors import AnalysisException
-    note = f"{checkpoint.rstrip('/')}-began-empty"
+    note = f"{checkpoint.rstrip('/')}-first-batch"
     try:
-        return spark.read.schema("empty boolean").parquet(note).first().empty
+        return spark.read.schema("first long").parquet(note).first().first
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     stored = _stored(spark, store)
-    empty = stored is None or stored.isEmpty()
-    spark.createDataFrame([(empty,)], "empty boolean").coalesce(1).write.parquet(note)
-    return empty
+    last = None if stored is None else stored.agg(F.max("batch")).first()[0]
+    first = 0 if last is None else last + 1
+    spark.createDataFrame([(first,)], "first long").coalesce(1).write.parquet(note)
+    return first
 
 
 def incremental_harvest(spark: SparkSession, landed: str, store: str, checkpoint: str,
                         gate_kwargs: dict | None = None):
     """Run the harvest stream over everything landed so far (availableNow) and stop."""
     items = gated_stream(spark, landed, gate_kwargs)
-    if _began_empty(spark, store, checkpoint):
+    first = _first_batch(spark, store, checkpoint)
+    if first == 0:
         items, sink = items.dropDuplicates(["source", "external_id"]), write_batch(store)
     else:
-        sink = commit_batch(store)
+        sink = commit_batch(store, first)
     with rocks_db(spark):
         q = (items.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

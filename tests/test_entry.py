@@ -7,7 +7,7 @@ import sys
 
 import __spark_entry__ as E
 
-ROWS_ONLY = {"clustering", "review_replay", "theme_rebuild"}
+ROWS_ONLY = {"clustering", "theme_rebuild"}
 
 
 def test_oracle_keys_match_queries():

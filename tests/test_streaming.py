@@ -12,15 +12,17 @@ from cairn.operators import feedback as fb
 from cairn.operators import review as rv
 from cairn.streaming import folds
 from cairn.streaming.harvest import ITEM, incremental_harvest
+from cairn.streaming.ordered import newest, rocks_db, run_available, stream_ordered
 
 
 def run_stream(spark, df_stream, key_cols):
     out = []
     ckpt = tempfile.mkdtemp(prefix="cairn-stream-")
-    q = (df_stream.writeStream.outputMode("update").option("checkpointLocation", ckpt)
-         .foreachBatch(lambda b, i: out.extend(r.asDict() for r in b.collect()))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with rocks_db(spark):
+        q = (df_stream.writeStream.outputMode("update").option("checkpointLocation", ckpt)
+             .foreachBatch(lambda b, i: out.extend(r.asDict() for r in b.collect()))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     last = {}
     for r in out:
         last[tuple(r[k] for k in key_cols)] = r
@@ -89,26 +91,95 @@ def test_incremental_harvest_is_idempotent(spark):
     assert n1 == 6 and spark.read.parquet(store).count() == 6
 
 
-def test_silence_canary_timer(spark):
-    from cairn.streaming.canary import stream_silence_canary
-    day = 86400
-    t0 = 1_800_000_000
-    rows = [(1, "send", i, "storage", t0 + i * day) for i in range(5)]          # five unanswered sends
-    rows += [(2, "send", 100, "compilers", t0), (2, "reply", None, None, t0 + day)]
-    later = [(2, "send", 101, "compilers", t0 + 30 * day)]                      # traffic that moves the clock
-    schema = "subscriber_id long, kind string, idea_id long, domain string, ts_s long"
-    d = land(spark, [pd.DataFrame(rows, columns=["subscriber_id", "kind", "idea_id", "domain", "ts_s"]),
-                     pd.DataFrame(later, columns=["subscriber_id", "kind", "idea_id", "domain", "ts_s"])], schema)
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "*"))
-              .withColumn("ts", F.timestamp_seconds("ts_s")).drop("ts_s"))
-    out = []
-    ckpt = tempfile.mkdtemp(prefix="cairn-stream-")
-    q = (stream_silence_canary(stream).writeStream.outputMode("append").option("checkpointLocation", ckpt)
-         .foreachBatch(lambda b, i: out.extend(r.asDict() for r in b.collect())).trigger(availableNow=True).start())
-    q.awaitTermination()
-    fired = [r for r in out if r["subscriber_id"] == 1]
-    assert len(fired) == 1 and fired[0]["n_unanswered"] == 5 and fired[0]["breakdown"] == "storage x5"
-    assert not [r for r in out if r["subscriber_id"] == 2]
+def brute_alerts(events, clock, day):
+    """E7 tried at every moment of one subscriber's events."""
+    out, fired = [], None
+    first = min((t for k, _, _, t in events if k == "send"), default=None)
+    for now in range(min(t for *_, t in events), clock):
+        last = max((t for k, _, _, t in events if k == "reply" and t <= now), default=None)
+        since = last if last is not None else first
+        if since is None or now < since + 14 * day:
+            continue
+        done = {i for k, i, _, t in events if k == "verdict" and t <= now}
+        n = sum(k == "send" and since <= t <= now and i not in done for k, i, _, t in events)
+        if n < 4 or (fired is not None and (last is None or fired > last) and now - fired < 14 * day):
+            continue
+        fired = now
+        out.append((now, n, (now - since) // day))
+    return out
+
+
+def test_canary_equals_the_rule_on_shuffled_events(spark):
+    import random
+
+    from cairn.streaming.canary import SilenceFold
+    rnd, rows = random.Random(4), []
+    for sub in range(12):
+        t = rnd.randrange(50)
+        for i in range(rnd.randrange(3, 25)):
+            rows.append((sub, "send", 100 * sub + i, rnd.choice(["a", "b", None]), t))
+            if rnd.random() < 0.15:
+                rows.append((sub, "reply", None, None, t + rnd.randrange(1, 40)))
+            if rnd.random() < 0.2:
+                rows.append((sub, "verdict", 100 * sub + i, None, t + rnd.randrange(1, 40)))
+            t += rnd.randrange(0, 60)
+    clock = max(r[-1] for r in rows) + 500
+    want = {(sub, *a) for sub in range(12) for a in brute_alerts([r[1:] for r in rows if r[0] == sub], clock, 10)}
+    rows = [(*r, n) for n, r in enumerate(rows)]
+    rows.sort(key=lambda r: r[4] + rnd.randrange(0, 100))             # late by less than the delay
+    third = len(rows) // 3
+    tick = [(-1, "clock", None, None, clock + 150, -1)]
+    base, out = tempfile.mkdtemp(prefix="cairn-canary-"), tempfile.mkdtemp(prefix="cairn-alerts-") + "/a"
+    schema = "subscriber_id long, kind string, idea_id long, domain string, ts long, seq long"
+    for lot in (rows[:third], rows[third:2 * third], rows[2 * third:], tick, tick):
+        spark.createDataFrame(lot, schema).coalesce(2).write.mode("append").parquet(f"{base}/in")
+        stream = stream_ordered(spark.readStream.schema(schema).parquet(f"{base}/in"), ["subscriber_id"], SilenceFold(day=10),
+                                "150 seconds")
+        run_available(stream, out, f"{base}/ckpt", "append")
+    got = [(r.subscriber_id, r.now_utc, r.n_unanswered, r.quiet_days) for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_folds_do_not_depend_on_how_events_arrive(spark):
+    import random
+    rnd = random.Random(7)
+    steps = [(k, 1000 + rnd.randrange(400), n, rnd.choice([1.8, 0.6, 1.3])) for n in range(300) for k in (n % 3,)]
+    steps += [(5, 1000, -1, 1.3)]
+    schema = "id long, ts long, seq long, factor double"
+    base, out = tempfile.mkdtemp(prefix="cairn-fold-"), tempfile.mkdtemp(prefix="cairn-fold-") + "/o"
+    late = sorted(steps, key=lambda r: r[1] + rnd.randrange(0, 100))
+    for lot in (late[:100], late[100:200], late[200:]):
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = folds.stream_weight_fold(spark.readStream.schema(schema).parquet(f"{base}/in"), "150 seconds")
+        run_available(stream, out, f"{base}/ckpt")
+    got = {r.id: (round(r.weight, 9), r.n_steps) for r in newest(spark.read.parquet(out), ["id"]).collect()}
+    batch = {r.id: (round(r.weight, 9), r.n_steps) for r in fb.fold_steps(spark.createDataFrame(steps, schema)).collect()}
+    assert got == batch and len(got) == 4
+
+
+def test_harvest_does_not_read_its_store(spark, monkeypatch):
+    from cairn.streaming import harvest
+    store, ckpt = tempfile.mkdtemp(prefix="cairn-store-") + "/s", tempfile.mkdtemp(prefix="cairn-ckpt-") + "/c"
+    landed = land(spark, [_items(range(5), 1_700_000_000)], ITEM)
+    incremental_harvest(spark, os.path.join(landed, "*"), store, ckpt)
+
+    def no_read(*_):
+        raise AssertionError("the store was read")
+    monkeypatch.setattr(harvest, "_stored", no_read)
+    spark.createDataFrame(_items([3, 4, 5, 6], 1_700_000_000), ITEM).write.parquet(os.path.join(landed, "later"))
+    incremental_harvest(spark, os.path.join(landed, "*"), store, ckpt)
+    assert sorted(int(r.external_id) for r in spark.read.parquet(store).collect()) == list(range(7))
+
+
+def test_a_new_stream_over_a_filled_store_repeats_nothing(spark):
+    store = tempfile.mkdtemp(prefix="cairn-store-") + "/s"
+    landed = land(spark, [_items(range(5), 1_700_000_000)], ITEM)
+    incremental_harvest(spark, os.path.join(landed, "*"), store, tempfile.mkdtemp(prefix="cairn-ckpt-") + "/a")
+    spark.createDataFrame(_items(range(3, 8), 1_700_000_000), ITEM).write.parquet(os.path.join(landed, "later"))
+    other = tempfile.mkdtemp(prefix="cairn-ckpt-") + "/b"
+    for _ in range(2):         # batch numbers start again with the new checkpoint; its rows go beside the old ones
+        incremental_harvest(spark, os.path.join(landed, "*"), store, other)
+        assert sorted(int(r.external_id) for r in spark.read.parquet(store).collect()) == list(range(8))
 
 
 def test_weight_fold_partitioning_is_invisible(spark):

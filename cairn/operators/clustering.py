@@ -55,26 +55,24 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-GROUP_ROWS = 8192      # clusters of one task
-_CHUNK = 1 << 23       # cells of a product
+GROUP_ROWS = 8192      # clusters of one task; their products are 540 MB
+_CHUNK = 1 << 23       # cells of a product that is looked through at once
 _INF, _LAST = float("inf"), (1 << 63) - 1
 
 
-def _nearest(m: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(gram: np.ndarray, n: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distance and place of the nearest of ``cols`` (the first among ties) to each of ``rows``, itself left out."""
     dist, place = np.full(len(rows), _INF), np.full(len(rows), -1)
     if not len(cols):
         return dist, place
-    right = m[cols]
+    every = len(cols) == len(gram)
     step = max(1, _CHUNK // len(cols))
     for at in range(0, len(rows), step):
         some = rows[at:at + step]
-        sims = m[some] @ right.T
-        own = np.searchsorted(cols, some)
-        here = (own < len(cols)) & (cols[np.minimum(own, len(cols) - 1)] == some)
-        sims[np.flatnonzero(here), own[here]] = -_INF
+        sims = (gram[some] if every else gram[np.ix_(some, cols)]) / n[cols]
+        sims[np.arange(len(some)), np.searchsorted(cols, some)] = -_INF
         j = sims.argmax(axis=1)
-        dist[at:at + step], place[at:at + step] = 1.0 - sims[np.arange(len(j)), j], cols[j]
+        dist[at:at + step], place[at:at + step] = 1.0 - sims[np.arange(len(j)), j] / n[some], cols[j]
     return dist, place
 
 
@@ -86,9 +84,10 @@ def merge_group(ids: np.ndarray, n: np.ndarray, s: np.ndarray, out_d: np.ndarray
     the roots, and which clusters are unmerged and have their nearest one elsewhere."""
     k = len(ids)
     n, s, out_d, out_id = n.astype(np.float64), s.copy(), out_d.copy(), out_id.copy()
-    m = s / n[:, None]
+    # products of sums: those of a merged cluster are the sums of its parts' products
+    gram = s @ s.T
     alive, root = np.ones(k, bool), np.arange(k)
-    dist, place = _nearest(m, np.arange(k), np.arange(k))
+    dist, place = _nearest(gram, n, np.arange(k), np.arange(k))
     first_d = dist.copy()
     first_id = np.where(place >= 0, ids[place], _LAST)
     while True:
@@ -103,7 +102,8 @@ def merge_group(ids: np.ndarray, n: np.ndarray, s: np.ndarray, out_d: np.ndarray
             break
         s[a] += s[b]
         n[a] += n[b]
-        m[a] = s[a] / n[a][:, None]
+        gram[a] += gram[b]
+        gram[:, a] += gram[:, b]
         # among equal distances the id of what lies outside no longer decides
         out_d[a], out_id[a] = np.minimum(out_d[a], out_d[b]), -_LAST
         alive[b] = False
@@ -112,7 +112,7 @@ def merge_group(ids: np.ndarray, n: np.ndarray, s: np.ndarray, out_d: np.ndarray
         touched[a] = touched[b] = True
         living = np.flatnonzero(alive)
         again = living[touched[living] | touched[np.maximum(place[living], 0)]]
-        dist[again], place[again] = _nearest(m, again, living)
+        dist[again], place[again] = _nearest(gram, n, again, living)
     while (root[root] != root).any():
         root = root[root]
     merged = np.bincount(root, minlength=k) > 1
@@ -152,16 +152,17 @@ def average_linkage(vecs: DataFrame, threshold: float, group_rows: int = GROUP_R
     while True:
         step = _linkage_round(clusters, count, threshold, group_rows, turn)
         gone = step.filter("id <> cid").select("id", "cid")
-        moves = _follow(moves, gone, f"linkage-moves-{turn}")
-        left = step.filter("id = cid").select("id", "n", "vec")
         if count <= group_rows:
+            moves = _led(moves, gone)
             break
+        moves = materialize(_led(moves, gone), "linkage-moves")
+        left = step.filter("id = cid").select("id", "n", "vec")
         pairs = step.filter("want IS NOT NULL").select("id", "want")
         p, q = pairs.alias("p"), pairs.alias("q")
         cross = materialize(p.join(q, (F.col("p.want") == F.col("q.id")) & (F.col("q.want") == F.col("p.id"))
                                    & (F.col("p.id") < F.col("q.id")))
                             .select(F.col("q.id").alias("id"), F.col("p.id").alias("cid")), "linkage-cross")
-        moves = _follow(moves, cross, f"linkage-moves-{turn}")
+        moves = materialize(_led(moves, cross), "linkage-moves")
         added = F.zip_with(F.element_at(F.collect_list("vec"), 1), F.element_at(F.collect_list("vec"), -1), lambda a, b: a + b)
         moved = left.join(cross, "id", "left").select(F.coalesce("cid", "id").alias("id"), "n", "vec")
         clusters = materialize(moved.groupBy("id").agg(F.sum("n").alias("n"), F.when(F.count("*") == 1, F.first("vec"))
@@ -177,18 +178,16 @@ def average_linkage(vecs: DataFrame, threshold: float, group_rows: int = GROUP_R
                        "clusters")
 
 
-def _follow(moves: DataFrame | None, new: DataFrame, name: str) -> DataFrame:
+def _led(moves: DataFrame | None, new: DataFrame) -> DataFrame:
     """(id, cid) of all moves so far, each led on by the new ones."""
     if moves is None:
-        return materialize(new, name)
+        return new
     on = new.select(F.col("id").alias("cid"), F.col("cid").alias("to"))
-    led = moves.join(on, "cid", "left").select("id", F.coalesce("to", "cid").alias("cid"))
-    return materialize(led.unionByName(new), name)
+    return moves.join(on, "cid", "left").select("id", F.coalesce("to", "cid").alias("cid")).unionByName(new)
 
 
 def _linkage_round(clusters: DataFrame, count: int, t: float, group_rows: int, turn: int) -> DataFrame:
     """(id, cid, n, vec, want) of ``clusters(id, n, vec)``: the cluster that each went into, sums at those that stay."""
-    rows, layout = cells.lay_out(clusters.select("id", "vec"), count, group_rows, seed=turn)
     schema = "id long, cid long, n long, vec array<double>, want long"
 
     def merged(f: pd.DataFrame) -> pd.DataFrame:
@@ -200,17 +199,16 @@ def _linkage_round(clusters: DataFrame, count: int, t: float, group_rows: int, t
                              "want": pd.array(np.where(wants, out_id, 0), dtype="Int64")}).assign(
             want=lambda g: g["want"].where(wants))
 
-    def group(f):
-        return layout.group_of(f["cell"].to_numpy(), f["salt"].to_numpy())
+    if count <= group_rows:
+        one = clusters.select("id", "n", "vec", F.lit(_INF).alias("d"), F.lit(_LAST).alias("other"), F.lit(0).alias("grp"))
+        return materialize(one.groupBy("grp").applyInPandas(merged, schema), "linkage-step")
+    rows, layout = cells.lay_out(clusters.select("id", "vec"), count, group_rows, seed=turn)
 
     def grouped(frames):
         for f in frames:
             if len(f):
-                yield f[["id"]].assign(grp=group(f).astype("int64"))
+                yield f[["id"]].assign(grp=layout.group_of(f["cell"].to_numpy(), f["salt"].to_numpy()).astype("int64"))
 
-    if layout.groups == 1:
-        one = clusters.select("id", "n", "vec", F.lit(_INF).alias("d"), F.lit(_LAST).alias("other"), F.lit(0).alias("grp"))
-        return materialize(one.groupBy("grp").applyInPandas(merged, schema), "linkage-step")
     sized = rows.join(clusters.select("id", "n"), "id").select("id", "cell", "salt", "n", "vec")
     # sums of like directions: an average distance under t needs an angle whose cosine is over 1 - t
     reach = math.acos(1.0 - t) if 0.0 < t < 1.0 else math.pi * (t > 0)

@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,10 +172,11 @@ def line_of(text: str | None) -> tuple[bytes, int]:
 
 def places(line: bytes, phrase: bytes) -> list:
     """Number of the first word wherever the phrase's words stand."""
-    out, at = [], line.find(phrase)
+    out, word, last, at = [], 0, 0, line.find(phrase)
     while at >= 0:
-        out.append(line.count(b" ", 0, at))
-        at = line.find(phrase, at + 1)
+        word += line.count(b" ", last, at)       # from the place before on, so a line is counted once
+        out.append(word)
+        last, at = at, line.find(phrase, at + 1)
     return out
 
 
@@ -185,19 +188,44 @@ def _by_keyword() -> tuple:
     return tuple(out.items())
 
 
+class _Furthest:
+    """The largest end of the intervals that start at or before a place; both are numbers of words."""
+
+    def __init__(self, starts):
+        self.starts = sorted(set(starts))
+        self.tree = [-1] * (len(self.starts) + 1)
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_right(self.starts, start)
+        while i < len(self.tree):
+            self.tree[i] = max(self.tree[i], end)
+            i += i & -i
+
+    def up_to(self, start: int) -> int:
+        i, out = bisect_right(self.starts, start), -1
+        while i:
+            out = max(out, self.tree[i])
+            i -= i & -i
+        return out
+
+
 def detections(line: bytes) -> list:
-    """(start, end, label, priority) of the detections that stand, in words."""
-    found = []
-    for keyword, rules in _by_keyword():
-        for s in rules if keyword in line else ():
-            for m in s.pattern.finditer(line):
-                start = line.count(b" ", 0, m.start()) - 1
-                found.append((start, start + m.group().count(b" ") + 1, s.label, s.priority))
+    """(start, end, label, priority) of the detections that stand, in words: by priority, then length, place and
+    label; one that lies within a detection before it is suppressed. Time is near-linear in what is found."""
+    hits = [(m.start(), m.end(), s.label, s.priority)
+            for keyword, rules in _by_keyword() if keyword in line for s in rules for m in s.pattern.finditer(line)]
+    if not hits:
+        return []
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    starts = np.searchsorted(spaces, [h[0] for h in hits]) - 1
+    ends = np.searchsorted(spaces, [h[1] for h in hits])
+    found = [(int(a), int(e), label, p) for a, e, (_, _, label, p) in zip(starts, ends, hits)]
     found.sort(key=lambda x: (-x[3], x[0] - x[1], x[0], x[2]))
-    taken: list = []
+    taken, furthest = [], _Furthest(x[0] for x in found)
     for x in found:
-        if not any(t[0] <= x[0] and x[1] <= t[1] for t in taken):
+        if furthest.up_to(x[0]) < x[1]:
             taken.append(x)
+            furthest.add(x[0], x[1])
     return taken
 
 

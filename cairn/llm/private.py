@@ -2,7 +2,8 @@
 
 One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, schemes and identifier
 cues. From each, a small local parser grows and checks the span, so nothing is searched where
-no anchor stands; runs of digits are the anchors of addresses and cards.
+no anchor stands; runs of digits are the anchors of addresses and cards, a country code with two
+digits that of an IBAN without a cue (both by expression: as words of the automaton they would stand everywhere).
 
 Kinds, in the order of the output: email, ip, card, phone (the base rules: leftmost,
 not overlapping within a kind, failing matches dropped), then the method's own: url
@@ -19,6 +20,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_TAIL = re.compile(r"[^\s\"'<>`{}|\\^\x00-\x20]+")
 _HANDLE = re.compile(r"[A-Za-z0-9_]{2,30}(?![A-Za-z0-9_@])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30}")
+_COUNTRY = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[ -]?[A-Z0-9])")
 _GAP = re.compile(r"(?:[ \t]*(?:number|no|nr|num|is|code)\b\.?)?[ \t]*[:#=]?[ \t]*", re.I)
 _IDENT = re.compile(r"[A-Za-z0-9](?:[-./ ]?[A-Za-z0-9]){3,33}")
 _UPPER = re.compile("[A-Z]+")
@@ -155,6 +158,17 @@ def _account(text: str, at: int):
     return (at, end) if sum(c.isdigit() for c in got) >= 4 else None
 
 
+def _union(spans: list) -> list:
+    """The places that the spans cover, as spans that do not touch each other, in order."""
+    out: list = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def spans_of(text: str | None) -> dict:
     """Sorted (start, end) lists by kind."""
     text = text or ""
@@ -181,12 +195,14 @@ def spans_of(text: str | None) -> dict:
         if span := _url(text, start, start if word == "www." else after):
             out["url"].append(span)
             low = span[1]
-    taken = out["email"] + out["url"]
+    taken = _union(out["email"] + out["url"])
+    begins = [a for a, _ in taken]
     for at in ats:
         if at and (_WORD_CHAR.match(text, at - 1) or text[at - 1] in ".%+-@/"):
             continue
         m = _HANDLE.match(text, at + 1)
-        if m and any(c.isalpha() for c in m.group()) and not any(a <= at < b for a, b in taken):
+        before = bisect_right(begins, at) - 1
+        if m and any(c.isalpha() for c in m.group()) and not (before >= 0 and at < taken[before][1]):
             out["handle"].append((at, m.end()))
     done = {"iban": 0, "account": 0}
     for start, after, word in sorted(cues):
@@ -200,6 +216,18 @@ def spans_of(text: str | None) -> dict:
                 out[k].append(span)
                 done[k] = span[1]
                 break
+    # country codes are anchors of their own, where no cue has led to the number
+    known = _union(out["iban"])
+    begins, low = [a for a, _ in known], 0
+    for m in _COUNTRY.finditer(text):
+        at = m.start()
+        before = bisect_right(begins, at) - 1
+        if at >= low and not (before >= 0 and at < known[before][1]) and (span := _iban(text, at)):
+            after = before + 1
+            if after == len(known) or span[1] <= known[after][0]:
+                out["iban"].append(span)
+                low = span[1]
+    out["iban"].sort()
     return out
 
 

@@ -6,7 +6,8 @@ encoded by a small layer; gated attention weighs the encoded passages, with weig
 the documents' labels alone, and a logistic layer scores the weighted mean.
 
 Fitting takes at most ``MAX_TRAIN`` labelled documents (those with the smallest hash of the
-id); their passage features, not their texts, come to the driver. Scoring is one narrow
+id; of rows that share an id one, by the hash of the text) and at most ``MAX_PASSAGES`` passages of each, evenly
+spread over it; their features, not their texts, come to the driver, 35 MB a thousand documents at most. Scoring is one narrow
 pass over all whole texts. Labels, language, source and id are never inputs of a score.
 
 Defined results: NULL and empty texts are one passage without words; an id with several labels
@@ -20,7 +21,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, ship_package
@@ -28,6 +29,7 @@ from .rules import STOP_WORDS
 
 PASSAGE_WORDS = 64
 MAX_TRAIN = 4000
+MAX_PASSAGES = 256     # of a training document: 16,000 words
 THRESHOLD = 0.7
 HASHED = 16
 CODE, GATE = 16, 8
@@ -174,6 +176,11 @@ def score_bags(model: dict, bags: list) -> np.ndarray:
     return forward(model, x, starts)[0]
 
 
+def spread(bag: np.ndarray, most: int = MAX_PASSAGES) -> np.ndarray:
+    """At most ``most`` rows of a bag, evenly spread over it."""
+    return bag if len(bag) <= most else bag[np.arange(most) * len(bag) // most]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
         max_train: int = MAX_TRAIN) -> dict:
     """Model from ``labels(id, label)``; at most ``max_train`` ids are taken."""
@@ -182,12 +189,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
              .groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("double").alias("__y"))
              .orderBy(F.xxhash64("__id"), "__id").limit(max_train))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id")
+    one = Window.partitionBy("__id").orderBy(F.xxhash64("__text"), "__text")
+    rows = rows.withColumn("__first", F.row_number().over(one)).filter("__first = 1").drop("__first")
 
     def run(frames):
         import pandas as pd
         for frame in frames:
             yield pd.DataFrame({"id": frame["__id"].astype("string"), "y": frame["__y"],
-                                "bag": [passages(t).tobytes() for t in frame["__text"]]})
+                                "bag": [spread(passages(t)).tobytes() for t in frame["__text"]]})
 
     got = sorted((r.id, r.bag, r.y) for r in rows.mapInPandas(run, "id string, y double, bag binary").collect())
     if not got:

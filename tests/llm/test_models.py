@@ -332,3 +332,52 @@ def test_sets_share_one_key_more_than_they_may_leave_out():
                         for k, x in ((ka, xa), (kb, xb)))
                 good |= len(set(a) & set(b)) > max(max(a.values()), max(b.values()))
             assert good
+
+
+# ---- the classifier's forward pass and passages against plain loops ----------------------
+
+
+def test_forward_matches_a_plain_loop():
+    rng = np.random.default_rng(3)
+    bags = [rng.normal(size=(k, quality.N_FEATURES)).astype(np.float32) for k in (1, 4, 9)]
+    model = quality.train(bags * 4, np.array([0.0, 1.0, 1.0] * 4), epochs=2)
+    got = quality.score_bags(model, bags)
+    for bag, score in zip(bags, got):
+        x = np.clip((bag - model["mean"]) / model["scale"], -6, 6)
+        want = plain_score(model, x)
+        assert abs(want - score) < 1e-5
+
+
+def plain_score(p, x):
+    def dense(row, weights, j):
+        return sum(float(r) * float(w[j]) for r, w in zip(row, weights))
+
+    def sigmoid(t):
+        return 1 / (1 + math.exp(-t))
+
+    codes, gates = [], []
+    for row in x:
+        h = [math.tanh(dense(row, p["E"], j) + float(p["e"][j])) for j in range(quality.CODE)]
+        codes.append(h)
+        gates.append(sum(math.tanh(dense(h, p["V"], j)) * sigmoid(dense(h, p["U"], j)) * float(p["w"][j]) for j in range(quality.GATE)))
+    total = sum(math.exp(g) for g in gates)
+    z = [sum(math.exp(g) / total * h[j] for g, h in zip(gates, codes)) for j in range(quality.CODE)]
+    return sigmoid(sum(a * float(b) for a, b in zip(z, p["b"])) + float(p["c"][0]))
+
+
+def test_training_rows_are_bounded(spark):
+    data = [(1, words(40, 5), *[None] * 7)] * 300 + [(2, words(60_000, 6), *[None] * 7)] + [(i, words(30, i), *[None] * 7) for i in range(3, 30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
+    seen = []
+    train = quality.train
+
+    def counted(bags, y):
+        seen.append((len(bags), max(len(b) for b in bags)))
+        return train(bags, y)
+
+    quality.train = counted
+    try:
+        quality.fit(table(spark, data), labels)
+    finally:
+        quality.train = train
+    assert seen == [(29, quality.MAX_PASSAGES)]

@@ -213,3 +213,51 @@ def test_warc_damage_is_noticed():
     for bad in (good[:-6], good.replace(b"Length: 3", b"Length: 2"), b"x" + good):
         with pytest.raises(ValueError):
             list(warc.chunks_of(io.BytesIO(bad), 2))
+
+
+# ---- linear sweeps against plain ones, and very long texts -------------------------------
+
+
+def plain_detections(line):
+    """Every rule tried on the line, offsets counted from its start, suppression by comparing with all before."""
+    found = []
+    for s in licenses.signatures():
+        if s.keyword in line:
+            for m in s.pattern.finditer(line):
+                start = line[:m.start()].count(b" ") - 1
+                found.append((start, start + m.group().count(b" ") + 1, s.label, s.priority))
+    taken = []
+    for x in sorted(found, key=lambda x: (-x[3], x[0] - x[1], x[0], x[2])):
+        if not any(t[0] <= x[0] and x[1] <= t[1] for t in taken):
+            taken.append(x)
+    return taken
+
+
+def test_license_sweep_matches_a_plain_scan():
+    import random
+    rng = random.Random(8)
+    phrases = ["licensed under the apache license version 2 0", "apache license", "mit license", "cc by sa 4 0", "cc by", "gpl v3",
+               "gnu general public license v2 or later", "spdx license identifier mit", "all rights reserved", "public domain",
+               "copyright c 2019 2020", "bsd 3 clause", "redistribution prohibited", "the", "word", "lgpl 2 1"]
+    for _ in range(60):
+        line, n = licenses.line_of(" ".join(rng.choice(phrases) for _ in range(rng.randint(0, 60))))
+        assert licenses.detections(line) == plain_detections(line)
+        for phrase, _ in licenses.BASE:
+            p = b" " + phrase.encode() + b" "
+            want = [i for i, w in enumerate(line.split()) if line.split()[i:i + len(phrase.split())] == phrase.encode().split()]
+            assert licenses.places(line, p) == want
+
+
+def test_very_long_texts_full_of_hits_end_in_seconds():
+    import time
+    for scan, unit in ((licenses.scan_text, "Licensed under the Apache License, Version 2.0; cc by all rights reserved. "),
+                       (private.spans_of, "bob@x.com @alice_b 10.0.0.1 +49 30 1234567 ftp://a.b/c DE89 3704 0044 0532 0130 00 ")):
+        start = time.time()
+        scan(unit * (2_000_000 // len(unit)))
+        assert time.time() - start < 60
+
+
+def test_iban_without_a_cue():
+    text = "pay to DE89 3704 0044 0532 0130 00 or iban: GB82WEST12345698765432, not XX00 1234 nor ADE89370400440532013000"
+    found = [text[a:b] for a, b in private.spans_of(text)["iban"]]
+    assert found == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]

@@ -17,7 +17,7 @@ from ..operators import evidence as ev
 from ..operators import feedback as fb
 from ..operators import review as rv
 from ..operators import vectors as vx
-from ..operators.util import materialize, write_table
+from ..operators.util import bounded_broadcast, materialize, write_table
 from ..sources.tables import table
 from . import fixtures as fx
 from .oracle import EVIDENCE_CTE, REVIEW_LOG, SIGNAL, q, with_
@@ -174,7 +174,7 @@ def q_today_cards(spark, sf):
     small, fixed dimension); review rows whose card left the deck drop out."""
     due = rv.due_cards(fx.review_state(spark, sf), NOW_R, LIMIT, leech_at=LEECH)
     cards = spark.createDataFrame(DECK_CARDS, "deck string, card_id string")
-    return due.join(F.broadcast(cards), ["deck", "card_id"]).select("learner_id", "deck", "card_id")
+    return due.join(bounded_broadcast(cards), ["deck", "card_id"]).select("learner_id", "deck", "card_id")
 
 
 JUDGE_FULL = case([(idc(4, 0), lit('{"verdict": "ship", "reason": "clear", "prior_art_note": "two tools", '

@@ -270,3 +270,47 @@ def test_refolded_reviews_equal_the_batch_replay(spark):
     write(log.filter("seq % 2 = 0"), 1)
     got = folds.folded(spark.read.parquet(f"{base}/out"), keys)
     assert got.first().asDict() == rv.review_replay(log).first().asDict()
+
+
+def test_keys_share_the_calls_of_their_bucket(spark, monkeypatch):
+    """Keys with a NULL and beyond a double's reach stay exact, though several share a call and a row of state."""
+    from cairn.streaming import ordered
+    monkeypatch.setattr(ordered, "BUCKETS", 3)
+    big = 1 << 60
+    keys = [None, *range(big, big + 20)]
+    steps = [(k, "a" if n % 2 else None, 1000 + 37 * n % 100, 100 * i + n, [1.8, 0.6, 1.3][(n + i) % 3])
+             for i, k in enumerate(keys) for n in range(9)]
+    schema = "id long, kind string, ts long, seq long, factor double"
+    base = tempfile.mkdtemp(prefix="cairn-fold-")
+    for lot in (steps[::2], steps[1::2]):
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = stream_ordered(spark.readStream.schema(schema).parquet(f"{base}/in"), ["id", "kind"], folds.WeightFold(), "1 day")
+        assert [c for c, _ in stream.dtypes] == ["id", "kind", "weight", "n_steps"] and dict(stream.dtypes)["id"] == "bigint"
+        run_available(stream, f"{base}/out", f"{base}/ckpt")
+    got = {(r.id, r.kind): (round(r.weight, 9), r.n_steps)
+           for r in newest(spark.read.parquet(f"{base}/out"), ["id", "kind"]).collect()}
+    want = {}
+    for k, kind, _, _, f in sorted(steps, key=lambda x: x[2:4]):
+        w, n = want.get((k, kind), (1.0, 0))
+        want[k, kind] = (max(0.1, min(4.0, w * f)), n + 1)
+    assert got == {k: (round(w, 9), n) for k, (w, n) in want.items()} and len(got) == 42
+
+
+def test_a_call_serves_all_keys_of_a_bucket():
+    from types import SimpleNamespace
+
+    from cairn.streaming import ordered
+    calls = []
+
+    class Fold(folds.WeightFold):
+        def start(self):
+            calls.append(1)
+            return super().start()
+
+    kept = SimpleNamespace(exists=False, hasTimedOut=False, getCurrentWatermarkMs=lambda: 0, update=lambda v: calls.append(v),
+                           setTimeoutTimestamp=lambda t: calls.append(t))
+    frame = pd.DataFrame({"id": [str(i % 500) for i in range(1000)], "ts_s": [50] * 1000, "seq": range(1000),
+                          "body": ['{"factor":1.3}'] * 1000})
+    shown = list(ordered._Bucket(Fold(), ["id"], ["id", "weight", "n_steps"])((0,), [frame], kept))
+    assert len(shown) == 1 and len(shown[0]) == 500 and set(shown[0]["n_steps"]) == {2}
+    assert calls[-1] == 50_999 and len(calls) == 502

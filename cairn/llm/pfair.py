@@ -125,6 +125,16 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     return m.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
+def placed_documents(docs: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` of ``docs``, which is read from files that hold ``mixed_documents``, and ``place``: a row's place in the
+    mix from 0, by the order of the files and of the rows in them. Only the files' sizes are summed up."""
+    at = docs.select(*[F.col(f"`{c}`") for c in cols], F.col("_metadata.file_path").alias("__file"),
+                     F.col("_metadata.row_index").alias("__row"))
+    sizes = at.groupBy("__file").agg(F.count("*").alias("n"))
+    before = F.broadcast(sizes.select("__file", (F.sum("n").over(Window.orderBy("__file")) - F.col("n")).alias("__before")))
+    return at.join(before, "__file").select(*[F.col(f"`{c}`") for c in cols], (F.col("__before") + F.col("__row")).alias("place"))
+
+
 # ---- registered query and its SQL --------------------------------------------------
 
 def op3_pfair_mix(spark, sf_dir: str) -> DataFrame:

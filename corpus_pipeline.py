@@ -4,7 +4,8 @@ written as Parquet and read again as the next stage's ``docs``.
 
 Defined results follow the operators': NULL texts fail the rules and go; rows that repeat stay
 once; an empty table passes through; columns of any name are carried to the mix. The last stage
-returns doc_id, source, n_tokens, ids and round_trip.
+returns doc_id, source, n_tokens, ids, round_trip and place: a text's place in the mix, from 0, which
+the mix hands on as the order of the files it is written to.
 """
 
 from __future__ import annotations
@@ -46,9 +47,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text."""
+    """Token ids of every whole text, with its place in the mix."""
     ship_package(spark)
-    return pieces.encode(docs, keep=("source",)).select("doc_id", "source", "n_tokens", "ids", "round_trip")
+    docs = pfair.placed_documents(docs, "doc_id", "text", "source")
+    return pieces.encode(docs, keep=("source", "place")).select("doc_id", "source", "n_tokens", "ids", "round_trip", "place")
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),

@@ -331,6 +331,16 @@ def _met(open_: DataFrame, which, percent: int) -> DataFrame:
             .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
 
 
+def _centred(open_: DataFrame, order, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of the first node of each group in ``order`` with those of other labels that may be linked."""
+    sketch = [f"p{i}" for i in range(FOLDED)]
+    first = (open_.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "label", "n", *sketch)).alias("c"))
+             .select("key", "c.*"))
+    a, b = open_.alias("a"), first.alias("b")
+    return (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & _may_link(percent, folded=True))
+            .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
+
+
 def node_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(node, label) of all nodes that are linked with another node."""
     spark = docs.sparkSession
@@ -342,25 +352,25 @@ def node_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, star_
     for turn in range(star_rounds + 1):
         member = (groups.join(labels, "node", "left")
                   .select("key", "node", F.coalesce("label", "node").alias("label")))
-        order = F.xxhash64("node") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
         mixed = (member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                           F.min(F.struct(order, "node", "label")).alias("c"))
+                                           F.min(F.struct(F.xxhash64("node"), "node", "label")).alias("c"))
                  .filter("lo <> hi"))
-        if turn < star_rounds:
-            # one centre a group. First the same order everywhere, and of a node's centres only the one
-            # it shares most groups with: this settles clear groups. Then another order in each group,
-            # and all centres of a node: at most one pair for each row of a group
+        if turn == 0 and star_rounds:
+            # one centre a group, in the same order everywhere, and of a node's centres only the one it shares
+            # most groups with: this settles clear groups
             open_ = member.join(mixed.select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("other")),
                                 "key").filter("label <> other")
             open_ = open_.groupBy("node", "centre").agg(F.count("*").alias("n"))
-            if turn == 0:
-                open_ = open_.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
+            open_ = open_.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
             pairs = open_.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-            pairs = _bounded(pairs, light, percent)
         else:
             open_ = materialize(member.join(mixed.select("key"), "key").join(light.drop("sketch"), "node"),
                                 "parity-open")
-            pairs = _bounded(_met(open_, F.col("a.label") < F.col("b.label"), percent), light, percent)
+            # then another order in each group and all centres of a node: at most one pair for each row of a group,
+            # and only those that the bounds allow leave it. Then all pairs that are still apart
+            pairs = (_centred(open_, F.xxhash64("node", "key", F.lit(turn)), percent) if turn < star_rounds
+                     else _met(open_, F.col("a.label") < F.col("b.label"), percent))
+        pairs = _bounded(pairs, light, percent)
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "parity-pairs")
         if pairs.isEmpty() and turn < star_rounds:
             continue

@@ -66,3 +66,22 @@ def test_entry_has_every_operator():
     assert names == {f"op{n}_" for n in range(1, 14)} and "pipeline" in E.queries()
     assert Counter(type(v) for v in E.oracle_sql().values()) == {str: len(E.oracle_sql())}
     assert parity.PERCENT == 85 and parity.WORDS == 4
+
+
+def test_the_mix_decides_the_place_of_every_encoded_text(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "hot" if i % 9 else "few", i) for i in range(700)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    C.source_mix(spark, docs, "").write.parquet(str(tmp_path / "mix"))
+    out = C.sentencepiece(spark, spark.read.parquet(str(tmp_path / "mix")), "").collect()
+    mixed = C.pfair.mix(docs).orderBy("slot", "place").collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.place)] == [r.doc_id for r in mixed]
+    assert sorted(r.place for r in out) == list(range(700))
+
+
+def test_centres_meet_only_what_the_bounds_allow(spark):
+    # 60 sets that share one frequent sketch and little else
+    rows = [(7, n, n, 100, *[(n * 0x9E3779B97F4A7C15 * (i + 1)) % (1 << 62) for i in range(parity.FOLDED)]) for n in range(60)]
+    rows += [(7, 100, 100, 100, *rows[3][4:]), (8, 100, 100, 100, *rows[3][4:]), (8, 3, 3, 100, *rows[3][4:])]
+    schema = "key long, node long, label long, n long, " + ", ".join(f"p{i} long" for i in range(parity.FOLDED))
+    got = parity._centred(spark.createDataFrame(rows, schema), C.pfair.F.col("node"), 80).collect()
+    assert [(r.a, r.b) for r in got] == [(3, 100)]

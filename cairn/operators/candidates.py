@@ -277,18 +277,17 @@ def query_builder(ideas: DataFrame, domains: dict[str, list[str]] = DOMAINS,
     occurrence). ``ideas(idea_id, domain, text)`` where text is the joined title /
     one_liner / problem / why_hard. Per-row array functions only (no shuffle)."""
     low = F.regexp_replace(F.lower(F.col("text")), URL_RE, " ")
-    x = ideas.select("idea_id", "domain", low.alias("low")).withColumn(
-        "jargon", F.filter(lx.matched_terms(F.col("low"), F.col("domain"), domains), lambda t: F.length(t) > 2))
+    x = ideas.select("idea_id", "domain", low.alias("low")).withColumn("folded", lx.folded(F.col("low"))).withColumn(
+        "jargon", F.filter(lx.matched_terms(F.col("low"), F.col("domain"), domains, F.col("folded")), lambda t: F.length(t) > 2))
     toks = F.regexp_extract_all(F.col("low"), F.lit(WORD_RE), 0)
-    stops = F.array(*[F.lit(s) for s in stop])
-    x = x.withColumn("toks", F.filter(toks, lambda w: ~F.array_contains(stops, w) & ~F.array_contains(F.col("jargon"), w)))
+    x = x.withColumn("toks", F.filter(toks, lambda w: ~w.isin(list(stop)) & ~F.array_contains(F.col("jargon"), w)))
     # sorted by (word, place): a word's run starts at its first place and ends where the next word's starts
-    x = x.withColumn("at", F.array_sort(F.transform("toks", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
+    x = x.withColumn("at", F.sort_array(F.transform("toks", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
     at = F.col("at")
     starts = F.filter(F.transform(at, lambda e, k: F.when((k == 0) | (e["w"] != F.get(at, k - 1)["w"]), k)), lambda k: k.isNotNull())
     x = x.withColumn("starts", starts)
     nexts = F.slice(F.concat("starts", F.array(F.size("at"))), F.lit(2), F.size("starts"))
-    ranked = F.array_sort(F.zip_with("starts", nexts, lambda k, e: F.struct(
+    ranked = F.sort_array(F.zip_with("starts", nexts, lambda k, e: F.struct(
         (k - e).alias("neg_n"), F.get(at, k)["i"].alias("pos"), F.get(at, k)["w"].alias("w"))))
     x = x.withColumn("common", F.transform(F.slice(ranked, 1, 6), lambda s: s["w"]))
     j, c = F.col("jargon"), F.col("common")

@@ -63,3 +63,13 @@ def test_matched_terms_domain_first(spark):
     df = spark.createDataFrame([("sharded sqlite database", "storage")], "t string, d string")
     got = df.select(lx.matched_terms(F.col("t"), F.col("d")).alias("m")).first()["m"]
     assert got[0] in ("sqlite", "database") and "sharded" in got
+
+
+def test_matched_terms_spare_patterns_and_lose_none(spark):
+    domains = {"a": ["sikh*", "kind", "no such term"], "b": ["kind", "is"]}
+    texts = ["a ſikhs is", "the Kind of", "Kınd", "SİKH", "mankind", "", None, "IS kinD"]
+    df = spark.createDataFrame([(t, d) for t in texts for d in ("a", "b", None)], "t string, d string")
+    out = df.withColumn("f", lx.folded(F.col("t"))).select(
+        lx.matched_terms(F.col("t"), F.col("d"), domains).alias("plain"),
+        lx.matched_terms(F.col("t"), F.col("d"), domains, F.col("f")).alias("spared")).collect()
+    assert all(r.plain == r.spared for r in out) and sum(len(r.plain) for r in out) > 10

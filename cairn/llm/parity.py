@@ -19,7 +19,8 @@ frequent ones, and those that remain are shared by few.
 
 No group is expanded into all pairs. Equal sets are one node. In each group every node is first
 compared with one centre; the links make classes, and only pairs of a group whose ends lie in
-different classes are looked at after that, which is exact for components. ``links`` gives all links of
+different classes are looked at after that, which is exact for components. Of the pairs between two classes one is
+verified first, the others only if it is no link; components are found among classes, not among all links. ``links`` gives all links of
 the join, between classes of equal sets.
 
 Defined results: NULL and empty texts have an empty set and are linked with nothing; with fewer
@@ -42,7 +43,7 @@ from .common import WORD, materialize, release, ship_package
 WORDS, PERCENT = 4, 85
 SEEDS = 4
 SLACK = 4              # one more part for so many that may differ
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 SKETCH_WORDS = 32     # of a set's parity sketch
 FOLDED = 16            # of the same sketch folded, which goes along with candidate rows
 U64 = np.uint64
@@ -341,42 +342,76 @@ def _centred(open_: DataFrame, order, percent: int) -> DataFrame:
             .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
 
 
+def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, la, lb) of the ``pairs`` of nodes whose labels differ; a node without one is its own."""
+    side = {s: labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab"}
+    both = pairs.join(side["a"], "a", "left").join(side["b"], "b", "left")
+    return both.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).filter("la <> lb")
+
+
+def _one_each(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One of the ``pairs`` (a, b) for every two labels: a single link joins them, however many there are."""
+    return (_named(pairs, labels).groupBy(F.least("la", "lb"), F.greatest("la", "lb"))
+            .agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after ``links`` (a, b): their components are those of the labels, an edge for two of them."""
+    edges = materialize(_named(links, labels).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+                        .distinct(), "parity-edges")
+    moved = components(edges)
+    alone = moved.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti")
+    to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return materialize(labels.unionByName(alone).join(to, "label", "left")
+                       .select("node", F.coalesce("to", "label").alias("label")), "parity-labels")
+
+
 def node_links(docs: DataFrame, sets: DataFrame, words: int, percent: int, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(node, label) of all nodes that are linked with another node."""
     spark = docs.sparkSession
     groups, known = _candidates(docs, sets, words, percent)
     light = known.drop("shingles")
-    links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, label long")
     tested = spark.createDataFrame([], "a long, b long")
+
+    def judged(some, labels):
+        return _merged(labels, verified(some, known, percent))
+
     for turn in range(star_rounds + 1):
         member = (groups.join(labels, "node", "left")
                   .select("key", "node", F.coalesce("label", "node").alias("label")))
+        order = F.xxhash64("node", F.lit(turn)) if turn else F.xxhash64("node")
         mixed = (member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                           F.min(F.struct(F.xxhash64("node"), "node", "label")).alias("c"))
-                 .filter("lo <> hi"))
-        if turn == 0 and star_rounds:
-            # one centre a group, in the same order everywhere, and of a node's centres only the one it shares
-            # most groups with: this settles clear groups
-            open_ = member.join(mixed.select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("other")),
-                                "key").filter("label <> other")
-            open_ = open_.groupBy("node", "centre").agg(F.count("*").alias("n"))
-            open_ = open_.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
-            pairs = open_.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+                                           F.min(F.struct(order, "node", "label")).alias("c"))
+                 .filter("lo <> hi").select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("other")))
+        open_ = member.join(mixed, "key")
+        if turn:
+            # labels only merge, so a group of one label stays one and is not looked at again
+            open_ = materialize(open_, "parity-open")
+            groups = open_.select("key", "node")
+        if turn < star_rounds - 1:
+            # one centre a group, in an order that is the same everywhere, and of a node's centres only the one it
+            # shares most groups with: this settles clear groups
+            star = open_.filter("label <> other").groupBy("node", "centre").agg(F.count("*").alias("n"))
+            star = star.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
+            pairs = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         else:
-            open_ = materialize(member.join(mixed.select("key"), "key").join(light.drop("sketch"), "node"),
-                                "parity-open")
             # then another order in each group and all centres of a node: at most one pair for each row of a group,
             # and only those that the bounds allow leave it. Then all pairs that are still apart
-            pairs = (_centred(open_, F.xxhash64("node", "key", F.lit(turn)), percent) if turn < star_rounds
-                     else _met(open_, F.col("a.label") < F.col("b.label"), percent))
-        pairs = _bounded(pairs, light, percent)
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "parity-pairs")
-        if pairs.isEmpty() and turn < star_rounds:
+            marked = open_.select("key", "node", "label").join(light.drop("sketch"), "node")
+            pairs = (_centred(marked, F.xxhash64("node", "key", F.lit(turn)), percent) if turn < star_rounds
+                     else _met(marked, F.col("a.label") < F.col("b.label"), percent))
+        pairs = materialize(_bounded(pairs, light, percent).join(tested, ["a", "b"], "left_anti"), "parity-pairs")
+        if pairs.isEmpty():
             continue
-        links = materialize(links.unionByName(verified(pairs, known, percent)), "parity-links")
+        some = materialize(_one_each(pairs, labels), "parity-some") if turn else pairs
+        labels = judged(some, labels)
+        if turn:
+            rest = _named(pairs, labels).select("a", "b").join(some, ["a", "b"], "left_anti")
+            rest = materialize(rest, "parity-rest")
+            if not rest.isEmpty():
+                labels = judged(rest, labels)
         tested = tested.unionByName(pairs)
-        labels = components(links)
         release(spark)
     return labels
 

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 import __spark_entry__ as E
 import corpus_pipeline as C
 from cairn.llm import parity, pieces
@@ -85,3 +87,27 @@ def test_centres_meet_only_what_the_bounds_allow(spark):
     schema = "key long, node long, label long, n long, " + ", ".join(f"p{i} long" for i in range(parity.FOLDED))
     got = parity._centred(spark.createDataFrame(rows, schema), C.pfair.F.col("node"), 80).collect()
     assert [(r.a, r.b) for r in got] == [(3, 100)]
+
+
+def test_a_family_of_near_copies_makes_few_edges(spark, monkeypatch):
+    # texts near the threshold: a star links some, and each of the others then has many links into one class
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for n in range(120):
+        words = list(base)
+        for i, at in enumerate(rng.choice(200, int(rng.integers(1, 5)), replace=False)):
+            words[at] = f"x{n}y{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, found = [], parity.components
+    monkeypatch.setattr(parity, "components", lambda links: (seen.append(links.count()), found(links))[1])
+    got = {r.doc_id: r.component_id for r in parity.join(docs, words=5, percent=80).collect()}
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    label = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b]):
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    assert got == dict(enumerate(label))
+    assert sum(seen) <= 2 * 120

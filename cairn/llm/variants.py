@@ -137,15 +137,16 @@ def near_words(words: DataFrame, least: int = GRAM_MIN, most: int = GRAM_MAX, fr
             if keys:
                 yield _rows(pa, keys, roles, ids)
 
+    # Spark sizes the lists by the file of words, some twenty rows of theirs by one; none of these sides is broadcast
     lists = words.mapInArrow(run, "key long, role byte, id long")
     a, b = lists.alias("a"), lists.alias("b")
     meet = ((F.col("a.role") == SAME) & (F.col("b.role") == SAME) & (F.col("a.id") < F.col("b.id"))
             | (F.col("a.role") == LONGER) & (F.col("b.role") == SHORTER))
-    pairs = (a.join(b, (F.col("a.key") == F.col("b.key")) & meet)
+    pairs = (a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & meet)
              .select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct())
     left = words.select(F.col("id").alias("x"), F.struct("word", "n").alias("v"))
     right = words.select(F.col("id").alias("y"), F.struct("word", "n").alias("w"))
-    near = pairs.join(left, "x").join(right, "y").filter(F.levenshtein("v.word", "w.word", 1) == 1)
+    near = pairs.join(left.hint("merge"), "x").join(right.hint("merge"), "y").filter(F.levenshtein("v.word", "w.word", 1) == 1)
     both = F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("w").alias("b")),
                              F.struct(F.col("w").alias("a"), F.col("v").alias("b"))))
     return near.select(both.alias("p")).select("p.a.word", "p.a.n", F.col("p.b.word").alias("other"),
@@ -172,13 +173,13 @@ def group_variants(words: DataFrame, ratio: int = RATIO, **grams) -> DataFrame:
     roots = materialize(forms.select("word", F.col("form").alias("root")), "variant-roots")
     while True:                                    # each round doubles the length of the way that is known
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = materialize(roots.join(onward, "root", "left")
+        step = materialize(roots.join(onward.hint("merge"), "root", "left")
                            .select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("on")),
                            "variant-roots")
         roots = step.select("word", "root")
         if step.filter("on").isEmpty():
             break
-    return (words.join(best, "word", "left").join(roots, "word", "left")
+    return (words.join(best.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), F.col("n").cast("long").alias("n"),
                     F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n"))
 

@@ -86,6 +86,22 @@ def test_forms_lead_on_to_the_root_through_long_chains(spark):
     assert got["b"] == ("bb", "b" * 13) and got["b" * 13] == (None, "b" * 13)
 
 
+def test_no_side_that_grows_with_the_words_is_broadcast(spark, monkeypatch):
+    # small enough for Spark to broadcast every side, had it the choice
+    plans = []
+
+    def planned(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    kept = variants.materialize
+    monkeypatch.setattr(variants, "materialize", planned)
+    words = spark.createDataFrame([("b" * i, 5 ** i) for i in range(1, 8)], "word string, n long")
+    out = variants.group_variants(words)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not any("Broadcast" in p for p in plans) and sum(p.count("SortMergeJoin") for p in plans) >= 6
+
+
 def brute_words(data, min_count):
     count = Counter()
     for r in data:

@@ -222,3 +222,64 @@ def test_components_read_their_edges_once(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").mapInPandas(count, "a long, b long")
     got = {r.comp for r in cl.connected_components(spark.range(41), edges).collect()}
     assert got == {0} and made.value == 40
+
+
+def nearest_of_all(x, t, ids):
+    best, own = cl._Best(ids), np.arange(len(ids))
+    for i, j, d in cl._near_places(x, x.astype(np.float32), x, x.astype(np.float32), t, (own, own), False):
+        best.add(i, d, ids[j])
+    return best
+
+
+def test_packed_rows_come_back():
+    x = np.random.default_rng(1).normal(size=(40, 30)) * (np.random.default_rng(2).random((40, 30)) < 0.3)
+    x[:3] = np.array([[0.0], [1.5], [np.pi]])
+    x[3, :] = 0.0
+    x[3, 29] = -2.0
+    packed = cells.packed(x)
+    assert (cells.stacked(packed) == x).all() and min(map(len, packed)) < 40 and max(map(len, packed)) == 240
+    assert (cells.stacked(cells.packed(x[1:3])) == x[1:3]).all()
+
+
+@pytest.mark.parametrize("edges", [0, 1 << 20])
+def test_a_task_that_knows_the_nearest_ones_merges_like_a_group_with_products(monkeypatch, edges):
+    monkeypatch.setattr(cl, "EDGES", edges)
+    for dim, t, k, seed in ((16, 0.5, 700, 1), (64, 0.65, 900, 2), (6, 1.2, 120, 3)):
+        rng = np.random.default_rng(seed)
+        c = rng.normal(size=(20, dim))
+        x = cells.directions(c[rng.integers(0, 20, k)] + 0.7 * rng.normal(size=(k, dim)))
+        ids = np.sort(rng.choice(10**6, k, False))
+        want = cl.group_merges(ids, np.ones(k), x, np.full(k, np.inf), np.full(k, cl._LAST), t)[0]
+        near = nearest_of_all(x, t, ids)
+        some = np.flatnonzero(near.d < t)
+        got = np.arange(k)
+        got[some] = some[cl.finish(ids[some], np.ones(len(some)), x[some].copy(), near.d[some], near.other[some], t)]
+        assert (got == want).all()
+
+
+def test_only_clusters_whose_nearest_changed_search_again(spark, monkeypatch):
+    asked = []
+    search = cl._nearest_of
+
+    def counted(some, n_asked, among, n_among, *rest):
+        asked.append((n_asked, n_among))
+        return search(some, n_asked, among, n_among, *rest)
+
+    monkeypatch.setattr(cl, "_nearest_of", counted)
+    monkeypatch.setattr(cl, "FINISH", 1)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(30, 12))
+    x = centres[rng.integers(0, 30, 240)] + 0.5 * rng.normal(size=(240, 12))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    got = as_partition(cl.average_linkage(df, 0.2, group_rows=60).collect())
+    assert got == brute_average_linkage(x, 0.2)
+    assert len(asked) > 1 and all(a < n for a, n in asked)
+
+
+def test_a_ring_of_equal_distances_does_not_stop(spark):
+    ring = [(1, 0.1, 5), (5, 0.1, 9), (9, 0.1, 1), (20, 0.3, 1)]
+    near = spark.createDataFrame(ring, "id long, d double, other long")
+    assert [tuple(r) for r in cl._mutual(near).collect()] == [(1, 5)]
+    x = cells.directions(np.array([[1.0, 0.1, 0.1], [0.1, 1.0, 0.1], [0.1, 0.1, 1.0]]))
+    root = cl.finish(np.array([1, 5, 9]), np.ones(3), x, np.full(3, 0.79), np.array([5, 9, 1]), 0.9)
+    assert list(root) == [0, 0, 0]
